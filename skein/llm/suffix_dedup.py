@@ -37,6 +37,7 @@ from .bytewords import BASE_INVERSE, column_bytes, mix, powers, spans_hash, sums
 from .shared import parts_for
 
 ANCHOR = 32
+BLOCK, PLACE_BITS = 1 << 19, 20
 NULL_ID = -(1 << 63)
 
 
@@ -52,49 +53,31 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring strings with one anchor: first start, last start, anchor place, anchor hash.
 
-    A run is cut where the document ends or the anchor moves."""
-    if len(data) < length:
+    Worked in blocks; the least of (hash, place) packed into one integer gives the leftmost anchor."""
+    width, mask = length - gram + 1, np.uint64((1 << PLACE_BITS) - 1)
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    long = np.diff(offsets) >= length
+    np.add.at(inside, offsets[:-1][long], 1)
+    np.add.at(inside, offsets[1:][long] - length + 1, -1)
+    inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+    out = []
+    for s in range(0, max(len(data) - length + 1, 0), BLOCK):
+        part = data[s : s + BLOCK + length - 1]
+        prefix = sums(part)
+        n = len(part) - gram + 1
+        h = (prefix[gram:] - prefix[:-gram]) * powers(BASE_INVERSE, n)[:n]
+        h = mix(h)
+        least = sliding_least((h & ~mask) | np.arange(n, dtype=np.uint64), width)
+        starts = np.flatnonzero(inside[s : s + len(least)])
+        if not len(starts):
+            continue
+        place = (least[starts] & mask).astype(np.int64)
+        change = np.flatnonzero((place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
+        head, tail = np.append(0, change), np.append(change, len(starts)) - 1
+        out.append((starts[head] + s, starts[tail] + s, place[head] + s, h[place[head]]))
+    if not out:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    prefix = sums(data)
-    h = mix((prefix[gram:] - prefix[:-gram]) * powers(BASE_INVERSE, len(data))[: len(data) - gram + 1])
-    width = length - gram + 1
-    least = sliding_least(h, width)
-    n = len(least)
-    inside = np.zeros(n, dtype=bool)
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        if b - a >= length:
-            inside[a : b - length + 1] = True
-    # the anchor's place: the next occurrence of the least hash at or after the string's start
-    starts = np.flatnonzero(inside)
-    change = np.ones(len(starts), dtype=bool)
-    change[1:] = (least[starts[1:]] != least[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)
-    first, place = starts[change], None
-    last = starts[np.append(np.flatnonzero(change)[1:], len(starts)) - 1] if len(starts) else first
-    place = np.empty(len(first), dtype=np.int64)
-    more_first, more_last, more_place = [], [], []
-    # within a run of one least value the value may recur (repeating text): split at each occurrence passed
-    hits = np.flatnonzero(np.isin(h, np.unique(least[first]))) if len(first) else np.zeros(0, np.int64)
-    values = h[hits]
-    order = np.lexsort((hits, values))
-    hits, values = hits[order], values[order]
-    low = np.searchsorted(values, least[first], "left")
-    high = np.searchsorted(values, least[first], "right")
-    for k, (a, b, lo, hi) in enumerate(zip(first.tolist(), last.tolist(), low.tolist(), high.tolist())):
-        p = lo if hi - lo == 1 else lo + int(np.searchsorted(hits[lo:hi], a))
-        place[k] = at = int(hits[p])
-        if at < b:  # later strings of the run begin after this occurrence
-            last[k] = at
-            while at < b:
-                p += 1
-                nxt = int(hits[p])
-                more_first.append(at + 1)
-                more_last.append(min(nxt, b))
-                more_place.append(nxt)
-                at = nxt
-    if more_first:
-        first, last = np.append(first, more_first), np.append(last, more_last)
-        place = np.append(place, more_place)
-    return first, last, place, h[place]
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def laid_out(table: pa.Table, id_col: str, text_col: str) -> tuple[np.ndarray, ...]:
@@ -247,7 +230,7 @@ def repeats(group: list[tuple[bytes, int, int, list[tuple[int, int]], int]], len
                 yield chunk, here[0], here[1] + begin, here[1] + stop + length
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = 20_000, chunk_bytes: int = 2_500_000, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = 20_000, chunk_bytes: int = 1_200_000, keep_text: bool = True) -> DataFrame:
     """docs with the columns n_bytes, n_removed, n_spans, spans (array of start, end), kept_sha256, and
     with keep_text also kept (binary); see the module's text. Columns of docs with these names are replaced."""
     made = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept", "skein_chunk"]
