@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .mixing import mix_sources, word_sizes
+from .packing import pack
+from .shared import cut, small_batches
 from .suffix_dedup import suffix_dedup
+from .token_counts import context_limits, length_histogram
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,5 +22,26 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = word_sizes(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("text")
+    return mix_sources(cut(docs), blocks=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return context_limits(length_histogram(table(spark, folder, "documents")))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    pieces = pack(table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op6_token_counts": op6_token_counts,
+    "op10_packing": op10_packing,
+}
 SQL: dict[str, str] = {}
