@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
 from .mixing import mix_sources, word_sizes
 from .packing import pack
 from .shared import cut, small_batches
@@ -27,6 +28,11 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(cut(docs), blocks=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     return context_limits(length_histogram(table(spark, folder, "documents")))
@@ -41,6 +47,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op10_packing": op10_packing,
 }
