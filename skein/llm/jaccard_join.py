@@ -5,20 +5,21 @@ sequence is one shingle; none: empty). Two documents link when 100 * intersectio
 The result gives each document its set's size and its component: the smallest id that links reach.
 
 1. Documents with equal sets fold into one representative.
-2. Routing. Shingles have a global order: rare ones first, by counts from a sketch of fixed size over all documents,
-   then by hash. Two linked documents share a shingle among the first n - ceil(percent * n / 100) + 1 of
-   each, so documents that share such a shingle are joined into candidate groups, outside of which no link can lie. Stars
-   to a group's first document stand for its pairs; equal keys are folded inside each map batch, so a hot key
-   arrives once per batch.
-3. Join. A candidate group is a leaf. In it shingles are hashed into coordinates, the counts
-   are points of an R-tree, and a node is entered if the sum of coordinate minima of the query and of the node's upper
-   corner reaches the overlap that a link needs. Survivors in other components are verified on the sets.
-   Groups with more than `leaf_shingles` shingles are split by size class and hash; pairs of their leaves are joined
-   in a second round, in which documents already connected are skipped.
-4. Components of the links found are those of all links.
-
-Edge cases. Null text, no words: size 0, linked with nothing, component the own id. Rows that repeat an id with the same text are
-alike; with different texts each counts with its own set. An empty table gives an empty result. Extra columns are ignored.
+2. Points. Shingles are hashed into coordinates (about one per 24 shingles, a power of two, so that longer vectors
+   fold to shorter ones); a document's point holds its counts. The sum of coordinate minima of two points bounds
+   the intersection from above.
+3. Routing. Shingles have a global order: rare ones first, by counts from a sketch of fixed size over all documents,
+   then by hash. Two linked documents share a shingle among the first n - ceil(percent * n / 100) + 1 of each.
+   Few documents with one such shingle give pairs, of which the bound drops most; many are indexed in an R-tree
+   that yields a spanning forest of the pairs within the bound, not the pairs.
+4. Join. Groups that remain connected are leaves. In each an R-tree over the points finds, for each document, those whose
+   bound allows a link; a node is entered only if its upper corner does. Survivors in other components are
+   verified on the sets. Groups with more than `leaf_shingles` shingles are split by size class and hash; pairs
+   of their leaves are joined in a second round, in which documents already connected are skipped.
+5. Components of the links found are those of all links.
+
+Edge cases. Null text, no words: size 0, linked with nothing, component the own id. Rows of one id are one
+node, linked with what any of them links with; each row has its own size. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import LOWER, column_bytes, mix, pieces, shingles, spans_hash, sums, words
 from .shared import components, cut
 
-SLOT_BITS = 18
+SLOT_BITS, SLOT_BLOCK = 20, 4096
+#: Documents with one shingle: up to FEW give pairs, more than MANY are dealt in tiles.
+FEW, MANY = 12, 20_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -47,26 +52,40 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def counted(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Documents per slot of 2 ** SLOT_BITS hashed shingle slots, over all documents."""
+    """Documents per slot of 2 ** SLOT_BITS hashed shingle slots, over all documents; a fixed 8 MB on the driver.
+
+    Tasks send blocks of counts, which are added in two steps, so that no group grows with the number of tasks alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in pieces(batches, text_col):
-            for own in shingle_sets(batch.column(0), n):
-                total += np.bincount((own >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total)) if len(own) > 20_000 else 0
-                if len(own) <= 20_000:
-                    np.add.at(total, (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        slots = np.flatnonzero(total)
-        for i in range(0, len(slots), 50_000):
-            some = slots[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+            total += np.bincount((np.concatenate(shingle_sets(batch.column(0), n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        blocks = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLOT_BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        salt = TaskContext.get().partitionId() % 256
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([salt] * len(some), pa.int32()), pa.array([blocks[i].astype(np.int64).tobytes() for i in some], pa.binary())], ["block", "salt", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
+    once = docs.select(text_col).mapInArrow(count, "block int, salt int, counts binary").groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    for slot, total in docs.select(text_col).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # bounded: one row per slot
-        out[slot] = total
+    for block, counts in once.groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # bounded: one row per block
+        out[block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK] = np.frombuffer(counts, np.int64)
     return out
 
 
+def point(own: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes per coordinate."""
+    width = 1 << max(4, min(10, (len(own) // 24).bit_length()))
+    return np.bincount((mix(own) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+
+
+def folded(v: np.ndarray, width: int) -> np.ndarray:
+    return v.reshape(-1, width).sum(axis=0) if len(v) > width else v
+
+
 def overlap_needed(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.ndarray:
     """Least intersection of linked sets of sizes a and b."""
     return -(-percent * (a + b) // (100 + percent))
@@ -100,10 +119,9 @@ class CountTree:
 def leaf_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join different labels: a spanning forest of the leaf's links. Only pairs of different sides, or any if all sides are 0."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    groups = int(min(256, max(16, sizes.max() // 16)))
-    points = np.zeros((len(sets), groups), np.int32)
-    for i, own in enumerate(sets):
-        points[i] = np.bincount((mix(own) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    points = [point(x) for x in sets]
+    width = min(map(len, points))
+    points = np.array([folded(x, width) for x in points], np.int32)
     tree = CountTree(points, sizes)
     both = bool(side.any())
     labels, out = labels.copy(), []
@@ -126,6 +144,77 @@ def leaf_links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, side
     return out
 
 
+def within_bound(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two points allow a link."""
+    width = min(len(a), len(b))
+    n, m = int(a.sum()), int(b.sum())
+    return min(n, m) * 100 >= max(n, m) * percent and int(np.minimum(folded(a, width), folded(b, width)).sum()) >= overlap_needed(n, m, percent)
+
+
+def bound_forest(ids: np.ndarray, points: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the bound; if sides differ, of the pairs of different sides.
+
+    Neighbours in size order are tried first; then only points outside the largest component ask the tree."""
+    sizes = np.array([int(x.sum()) for x in points], np.int64)
+    width = min(map(len, points))
+    flat = np.array([folded(x, width) for x in points], np.int32)
+    labels, out, both = np.arange(len(ids)), [], bool(side.any())
+
+    def join(i: int, j: int) -> None:
+        if labels[i] != labels[j]:
+            out.append((int(ids[i]), int(ids[j])))
+            labels[labels == labels[j]] = labels[i]
+
+    tree = CountTree(flat, sizes)
+    order = tree.order
+    for step in (1, 2, 3) if len(ids) > 2 else ():
+        i, j = order[:-step], order[step:]
+        fits = (np.minimum(flat[i], flat[j]).sum(axis=1) >= overlap_needed(sizes[i], sizes[j], percent)) & (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * percent)
+        fits &= (side[i] != side[j]) | (not both)
+        for x, y in zip(i[fits].tolist(), j[fits].tolist()):
+            if labels[x] != labels[y] and within_bound(points[x], points[y], percent):
+                join(x, y)
+    values, counts = np.unique(labels, return_counts=True)
+    for q in np.flatnonzero(labels != values[counts.argmax()]).tolist():
+        near = tree.near(flat[q], int(sizes[q]), percent)
+        near = near[(side[near] != side[q]) | (not both)]
+        while len(near := near[labels[near] != labels[q]]):
+            if within_bound(points[q], points[near[0]], percent):
+                join(q, int(near[0]))
+            else:
+                near = near[1:]
+    return out
+
+
+def candidates(sketched: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b that connect whatever shares a key within the bound. sketched: id, keys, point."""
+    keys = sketched.select("id", F.explode("keys").alias("key"))
+    shared = keys.withColumn("df", F.count("*").over(W.partitionBy("key"))).where("df > 1")
+    listed = shared.where(F.col("df") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    pair = F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")
+    pairs = listed.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
+    points = sketched.select("id", "point")
+    pairs = pairs.join(points.select(F.col("id").alias("a"), F.col("point").alias("pa")), "a").join(points.select(F.col("id").alias("b"), F.col("point").alias("pb")), "b").select("a", "b", "pa", "pb")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [within_bound(np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    def forest(table: pa.Table) -> pa.Table:
+        points = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("point").to_pylist()]
+        found = bound_forest(table.column("id").to_numpy(), points, table.column("side").to_numpy(), percent) if len(points) > 1 else []
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    # a key of very many documents is dealt in tiles: part i meets part j
+    dense = shared.where(F.col("df") > FEW).withColumn("parts", F.ceil(F.col("df") / MANY).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.struct(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dense = dense.select("id", "key", tile.alias("tile"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side")).join(points, "id")
+    tree = dense.groupBy("key", "tile").applyInArrow(forest, "a long, b long")
+    return pairs.mapInArrow(bounded, "a long, b long").unionByName(tree)
+
+
 def links_within(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Links inside each leaf. leaves: leaf, id, label, side."""
 
@@ -150,16 +239,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(id_col, text_col)
     totals = counted(docs, text_col, n)
     mean = max(totals.mean(), 1.0)
-    rarity = np.minimum(np.log2(totals / mean + 1), 255).astype(np.uint64)
+    rarity = np.minimum(8 * np.log2(totals / mean + 1), 255).astype(np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             own = shingle_sets(batch.column(1), n)
-            ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
             sizes = np.array([len(x) for x in own], np.int64)
             one, two = (np.array([np.bitwise_xor.reduce(mix(x)) if k else x.sum(dtype=np.uint64) for x in own], np.uint64).view(np.int64) for k in (0, 1))
             seen, flat, doc = set(), [], []
-            for i, x in enumerate(own):
+            ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the smallest id has the keys
+                x = own[i]
                 if len(x) and (key := (int(one[i]), int(two[i]), len(x))) not in seen:
                     seen.add(key)
                     p = len(x) - -(-percent * len(x) // 100) + 1
@@ -167,28 +257,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     flat.append(x[np.argpartition(order, p - 1)[:p]] if p < len(x) else x)
                     doc.append(np.full(len(flat[-1]), i))
             flat, doc = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((flat, np.uint64), (doc, np.int64)))
-            by_key = np.argsort(flat, kind="stable")
-            flat, doc = flat[by_key], doc[by_key]
-            head = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
-            leader = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(flat) else doc
-            lists = []
-            for at, values in ((head, flat.view(np.int64)), (leader != doc, ids[leader])):
-                order = np.argsort(doc[at], kind="stable")
-                ends = np.searchsorted(doc[at][order], np.arange(len(own) + 1))
-                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[at][order], pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(one), pa.array(two), *lists], ["id", "n", "s1", "s2", "keys", "peers"])
-
-    sketched = cut(docs.mapInArrow(sketch, "id long, n long, s1 long, s2 long, keys array<long>, peers array<long>"))
+            order = np.argsort(doc, kind="stable")
+            ends = np.searchsorted(doc[order], np.arange(len(own) + 1))
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order].view(np.int64), pa.int64()))
+            points = pa.array([point(x).astype(np.uint16).tobytes() if len(x) else None for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(one), pa.array(two), keys, points], ["id", "n", "s1", "s2", "keys", "point"])
+
+    sketched = cut(docs.mapInArrow(sketch, "id long, n long, s1 long, s2 long, keys array<long>, point binary"))
     slim = sketched.select("id", "n", "s1", "s2")
     first = slim.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     member = slim.join(first, ["s1", "s2", "n"], "left").select("id", "n", "rep")
-    copies = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-
-    keys = sketched.select("id", F.explode("keys").alias("key"))
-    leader = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key", F.col("a").alias("leader"))
-    stars = keys.join(leader, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    peers = sketched.select(F.col("id").alias("a"), F.explode(F.array_distinct("peers")).alias("b"))
-    groups = components(copies.unionByName(stars).unionByName(peers))
+    # keys of copies are those of their representative
+    unique = sketched.where("n > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "point")
+    groups = components(candidates(unique, percent))
 
     reps = first.join(groups, first.rep == groups.node).select("rep", "n", F.col("component").alias("grp"))
     reps = cut(reps)
