@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .language_id import identify, train
 from .mixing import mix_sources, word_sizes
 from .packing import pack
+from .quality_rules import quality_verdicts
 from .shared import cut, small_batches
 from .suffix_dedup import suffix_dedup
 from .token_counts import context_limits, length_histogram
@@ -38,6 +40,21 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, folder, "documents")))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    models, limits = train(docs.where(~held_out))
+    out = identify(docs, models, limits)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    out = quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     pieces = pack(table(spark, folder, "documents"))
@@ -49,6 +66,8 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {}
