@@ -13,6 +13,7 @@ from .quality_rules import quality_verdicts
 from .shared import cut, small_batches
 from .suffix_dedup import suffix_dedup
 from .token_counts import context_limits, length_histogram
+from .vector_search import nearest
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +50,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op8_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     out = quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_vector_search": op8_vector_search,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
