@@ -74,7 +74,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text)
         lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         start, held = 0, 0
         for i, n in enumerate(lengths.tolist()):
@@ -85,9 +85,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_
         yield batch.slice(start)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each document the index of its first word (n + 1)."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes not `apart`), and for each document the index of its first word (n + 1)."""
+    inside = ~apart[data]
     begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     finish[:-1] &= ~inside[1:]

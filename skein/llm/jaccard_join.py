@@ -59,7 +59,7 @@ def counted(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in pieces(batches, text_col):
-            total += np.bincount((np.concatenate(shingle_sets(batch.column(0), n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+            total += np.bincount((np.concatenate(shingle_sets(batch.column(text_col), n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
         blocks = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLOT_BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
         salt = TaskContext.get().partitionId() % 256
@@ -198,8 +198,8 @@ def candidates(sketched: DataFrame, percent: int) -> DataFrame:
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within_bound(np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+            keep = [within_bound(np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64), percent) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], ["a", "b"])
 
     def forest(table: pa.Table) -> pa.Table:
         points = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("point").to_pylist()]
@@ -220,8 +220,8 @@ def links_within(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "skein_text"):
-            own = shingle_sets(batch.column(4), n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in own], pa.binary())], ["leaf", "id", "label", "side", "hashes"])
+            own = shingle_sets(batch.column("skein_text"), n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leaf", "id", "label", "side")), pa.array([x.tobytes() for x in own], pa.binary())], ["leaf", "id", "label", "side", "hashes"])
 
     def join(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
@@ -243,11 +243,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            own = shingle_sets(batch.column(1), n)
+            own = shingle_sets(batch.column(text_col), n)
             sizes = np.array([len(x) for x in own], np.int64)
             one, two = (np.array([np.bitwise_xor.reduce(mix(x)) if k else x.sum(dtype=np.uint64) for x in own], np.uint64).view(np.int64) for k in (0, 1))
             seen, flat, doc = set(), [], []
-            ids = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = batch.column(id_col).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
             for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the smallest id has the keys
                 x = own[i]
                 if len(x) and (key := (int(one[i]), int(two[i]), len(x))) not in seen:
@@ -261,7 +261,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ends = np.searchsorted(doc[order], np.arange(len(own) + 1))
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order].view(np.int64), pa.int64()))
             points = pa.array([point(x).astype(np.uint16).tobytes() if len(x) else None for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(one), pa.array(two), keys, points], ["id", "n", "s1", "s2", "keys", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(sizes), pa.array(one), pa.array(two), keys, points], ["id", "n", "s1", "s2", "keys", "point"])
 
     sketched = cut(docs.mapInArrow(sketch, "id long, n long, s1 long, s2 long, keys array<long>, point binary"))
     slim = sketched.select("id", "n", "s1", "s2")

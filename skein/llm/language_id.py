@@ -182,7 +182,7 @@ def identify(docs: DataFrame, models: Models, limits: np.ndarray, id_col: str =
         models, limits = shared.value
         names = np.array([*models.languages, "und"], dtype=object)
         for batch in pieces(batches, text_col, 1_500_000):
-            entropy, n = models.entropies(batch.column(1).to_pylist())
+            entropy, n = models.entropies(batch.column(text_col).to_pylist())
             known = (n > 0) & bool(models.languages)
             best = np.where(known, entropy.argmin(axis=1) if models.languages else 0, -1)
             least = np.where(known, entropy.min(axis=1, initial=np.inf), 0.0)
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, models: Models, limits: np.ndarray, id_col: str =
                 power = -(entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, sharpness)[:, None]
                 score = np.where(known, 1 / np.exp(power).sum(axis=1), 0.0)
             rejected = known & (least > (limits[best] if len(limits) else np.inf))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(least), pa.array(rejected)], [id_col, "lang_pred", "score", "entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(least), pa.array(rejected)], [id_col, "lang_pred", "score", "entropy", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, entropy double, rejected boolean")

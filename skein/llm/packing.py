@@ -105,7 +105,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 6 else pa.int64()) for k, x in enumerate(zip(*rows) if rows else [()] * 7)], PIECES.names)
 
         for batch in pieces(batches, text_col, 1_000_000):
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), path)):
+            for doc, ids in zip(batch.column(id_col).to_pylist(), encoded(batch.column(text_col).to_pylist(), path)):
                 packer.place(doc, np.append(ids, np.uint32(end_id)).astype("<u4"))
             yield taken()
         packer.finish()

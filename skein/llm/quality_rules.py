@@ -46,8 +46,10 @@ RULES: dict[str, tuple[str, str, int, list[float]]] = {
 
 def statistics(batch: pa.RecordBatch, text_col: str) -> list[np.ndarray]:
     """The STATISTICS of each row's whole text."""
-    data, offsets = column_bytes(batch.column(batch.schema.get_field_index(text_col)))
+    data, offsets = column_bytes(batch.column(text_col))
     n = len(offsets) - 1
+    if not len(data):
+        return [np.zeros(n, np.int64)] * len(STATISTICS)
 
     def per_doc(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
@@ -97,7 +99,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            own = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            own = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int64)) for x in statistics(batch, text_col))], [*names, *STATISTICS])
 
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in STATISTICS]))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import conversations
 from .jaccard_join import jaccard_components
 from .language_id import identify, train
+from .license_scan import scan
 from .mixing import mix_sources, word_sizes
 from .packing import pack
 from .quality_rules import quality_verdicts
@@ -31,11 +33,20 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(cut(docs), blocks=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return scan(table(spark, folder, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations(table(spark, folder, "conversations"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     return context_limits(length_histogram(table(spark, folder, "documents")))
@@ -69,7 +80,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_license_scan": op3_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_vector_search": op8_vector_search,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = now.groupBy("a").agg(F.min("b").alias("component"))
     return stars.select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def set_aside(docs: DataFrame, needed: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones under names that clash with none, and what gives them their names and order again."""
+    names = {c: f"skein_own_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
+
+    return docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]), back

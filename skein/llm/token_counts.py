@@ -22,9 +22,9 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            texts = batch.column(text_col).to_pylist()
             lengths = np.fromiter((len(x) for x in encoded(texts, path)), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths)], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs.columns), pa.array(lengths)], [*docs.columns, out])
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
