@@ -1,4 +1,509 @@
 """All queries over the package's own operators, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions.text import ENTITY, SEARCH_TOKEN, clean_json, content_hash, keyword_terms, match_query, matches, normalised, token_estimate
+from .operators import claims, export, ingest, retrieval, state, store, tiers
+from .plans.adapters import CHAPTERS, CHARACTERS, CHUNKS, DAYS, NARRATIONS, all_chunks, chapters, characters, days, narrations, stripped, table
+from .sources.html import with_markdown
+from .sources.text_files import quality_score
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SHORT_LINE = r"^[^\n]{1,60}$"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ingest
+
+
+@query(f"""SELECT doc_id, {stripped("array_to_string(list_transform(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: " + stripped("x") + " <> ''), lambda x: regexp_replace(x, '" + r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]" + "+$', '')), chr(10))")} AS text FROM documents""")
+def ingest_normalize(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", normalised(F.col("text")).alias("text"))
+
+
+@query(f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+marked AS (SELECT *, CAST(length(line) BETWEEN 1 AND 60 AS INTEGER) AS head FROM lines),
+run AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos) AS seg, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM marked),
+per AS (SELECT doc_id, seg, min(place) AS start_pos, max(place + length(line)) AS stop, string_agg(line, chr(10) ORDER BY pos) AS block, min_by(line, pos) AS first FROM run GROUP BY ALL),
+more AS (SELECT *, lead(start_pos) OVER (PARTITION BY doc_id ORDER BY seg) AS next, max(seg) OVER (PARTITION BY doc_id) AS segs FROM per),
+kept AS (SELECT *, {stripped("block")} AS b, {stripped("regexp_replace(" + stripped("block") + ", '^[^\\n]*\\n?', '')")} AS rest FROM more WHERE segs > 0 AND (seg > 0 OR {stripped("block")} <> '')),
+found AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg) AS INTEGER) AS idx, CASE WHEN seg = 0 THEN '序章' ELSE {stripped("first")} END AS title,
+  CASE WHEN seg = 0 OR rest = '' THEN b ELSE rest END AS body, CAST(start_pos AS INTEGER) AS start_pos, CAST(coalesce(next, stop) AS INTEGER) AS end_pos FROM kept),
+plain AS (SELECT doc_id, text, unnest(range(0, CAST(floor((length(text) - 1) / 20000.0) AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0 AND doc_id IN (SELECT doc_id FROM per GROUP BY 1 HAVING max(seg) = 0))
+SELECT * FROM found UNION ALL SELECT doc_id, CAST(k + 1 AS INTEGER), '第' || (k + 1) || '章', {stripped("substr(text, k * 20000 + 1, 20000)")}, CAST(k * 20000 AS INTEGER), CAST(least((k + 1) * 20000, length(text)) AS INTEGER) FROM plain""")
+def ingest_chapters_by_heading(spark, folder):
+    return ingest.chapters(table(spark, folder, "documents"), "doc_id", SHORT_LINE)
+
+
+@query(f"""WITH cut AS (SELECT doc_id, text, unnest(range(0, CAST(floor((length(text) - 1) / 2000.0) AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(k + 1 AS INTEGER) AS idx, '第' || (k + 1) || '章' AS title, {stripped("substr(text, k * 2000 + 1, 2000)")} AS body, CAST(k * 2000 AS INTEGER) AS start_pos, CAST(least((k + 1) * 2000, length(text)) AS INTEGER) AS end_pos FROM cut""")
+def ingest_fallback_split(spark, folder):
+    return ingest.fixed_slices(table(spark, folder, "documents"), "doc_id", width=2000)
+
+
+@query(f"WITH {CHUNKS} SELECT book_id, chapter_id, chunk_id, chapter_idx, idx, chunk_text, start_pos, end_pos, token_count FROM chunks")
+def ingest_chunks(spark, folder):
+    return all_chunks(spark, folder).drop("title")
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, sha256(text) AS book_hash, sha256(book_id || '::' || title || '::' || text) AS chapter_hash FROM chapters")
+def content_hashes(spark, folder):
+    return chapters(spark, folder).select("chapter_id", content_hash("text").alias("book_hash"), ingest.chapter_hash(F.col("book_id"), F.col("title"), F.col("text")).alias("chapter_hash"))
+
+
+@query("""WITH hashed AS (SELECT doc_id, sha256(text) AS content_hash FROM documents), old AS (SELECT content_hash FROM hashed WHERE doc_id % 3 = 0)
+SELECT min(doc_id) AS doc_id, content_hash FROM hashed WHERE doc_id % 3 <> 0 AND content_hash NOT IN (SELECT content_hash FROM old) GROUP BY content_hash""")
+def dedupe_insert_ignore(spark, folder):
+    hashed = table(spark, folder, "documents").select("doc_id", content_hash("text").alias("content_hash"))
+    return store.insert_ignore(hashed.where("doc_id % 3 = 0"), hashed.where("doc_id % 3 <> 0"), ["content_hash"], ["doc_id"])
+
+
+@query("""WITH s AS (SELECT doc_id, substr(text, 1, 120000) AS t FROM documents), c AS (SELECT doc_id, length(t) AS n,
+  length(regexp_replace(t, '[\\n\\r\\t\\x20-\\x7e\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}]', '', 'g')) AS other,
+  length(regexp_replace(t, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}]', '', 'g')) AS no_cjk,
+  len(regexp_extract_all(t, '(?m)^第[0-9一二三四五六七八九十百千]+章.*$')) AS heads FROM s)
+SELECT doc_id, CASE WHEN n = 0 THEN -1e9 ELSE round((n - other) / n::DOUBLE * 100 + (n - no_cjk) / n::DOUBLE * 20 + least(heads, 300) * 0.5::DOUBLE, 6) END AS score FROM c""")
+def encoding_score(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.round(quality_score(F.col("text")), 6).alias("score"))
+
+
+@query(f"WITH {CHUNKS} SELECT book_id, chapter_id, {stripped('string_agg(chunk_text, chr(10) ORDER BY idx)')} AS text FROM chunks GROUP BY ALL")
+def chapter_text_rebuild(spark, folder):
+    return ingest.rebuilt(all_chunks(spark, folder), ["book_id", "chapter_id"])
+
+
+# store
+
+
+@query(f"WITH {NARRATIONS} SELECT narration_id, book_id, chapter_idx, title, version, narration_text FROM narrations QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY created_at DESC, narration_id DESC) = 1")
+def latest_narration(spark, folder):
+    return store.latest(narrations(spark, folder), ["chapter_id"], ["created_at", "narration_id"]).select("narration_id", "book_id", "chapter_idx", "title", "version", "narration_text")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_output(spark, folder):
+    return store.latest(table(spark, folder, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type", "value")
+
+
+@query(f"""WITH {DAYS}, marks AS (SELECT book_id, CAST(ceil(chapter_idx / 5.0) * 5 AS BIGINT) AS chapter_idx, count(*) AS n FROM days GROUP BY ALL), targets AS (SELECT DISTINCT book_id, CAST(chapter_idx AS BIGINT) AS target FROM days)
+SELECT t.book_id, t.target, m.chapter_idx AS checkpoint_idx, m.n AS events_in_step FROM targets t ASOF LEFT JOIN marks m ON t.book_id = m.book_id AND t.target >= m.chapter_idx""")
+def asof_checkpoint(spark, folder):
+    d = days(spark, folder)
+    marks = d.groupBy("book_id", (F.ceil(F.col("chapter_idx") / 5) * 5).cast("long").alias("chapter_idx")).agg(F.count("*").alias("n"))
+    targets = d.select("book_id", F.col("chapter_idx").cast("long").alias("target")).distinct()
+    found = store.asof(targets, marks, "book_id", "target", "chapter_idx", ["n"])
+    return found.select("book_id", "target", F.col("found.chapter_idx").alias("checkpoint_idx"), F.col("found.n").alias("events_in_step"))
+
+
+@query(f"""WITH {DAYS}, old AS (SELECT book_id, event_type AS fact_key, value AS fact_value, pos FROM days WHERE chapter_idx <= 10 QUALIFY row_number() OVER (PARTITION BY book_id, event_type ORDER BY pos DESC) = 1),
+new AS (SELECT book_id, event_type AS fact_key, value AS fact_value, pos FROM days WHERE chapter_idx BETWEEN 11 AND 15 QUALIFY row_number() OVER (PARTITION BY book_id, event_type ORDER BY pos DESC) = 1)
+SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.book_id = o.book_id AND n.fact_key = o.fact_key)""")
+def upsert_facts_lww(spark, folder):
+    rows = days(spark, folder).select("book_id", F.col("event_type").alias("fact_key"), F.col("value").alias("fact_value"), "pos", "chapter_idx")
+    old = store.latest(rows.where("chapter_idx <= 10"), ["book_id", "fact_key"], ["pos"]).drop("chapter_idx")
+    return store.upsert(old, rows.where("chapter_idx BETWEEN 11 AND 15"), ["book_id", "fact_key"], ["pos"])
+
+
+@query(f"""WITH {DAYS}, old AS (SELECT book_id, chapter_idx, count(*) AS n, min(pos) AS first_pos FROM days WHERE chapter_idx <= 15 GROUP BY ALL), new AS (SELECT book_id, chapter_idx, count(*) * 100 AS n, max(pos) AS first_pos FROM days WHERE chapter_idx >= 10 GROUP BY ALL)
+SELECT coalesce(o.book_id, w.book_id) AS book_id, coalesce(o.chapter_idx, w.chapter_idx) AS chapter_idx, CASE WHEN w.book_id IS NOT NULL THEN w.n ELSE o.n END AS n, CASE WHEN o.book_id IS NOT NULL THEN o.first_pos ELSE w.first_pos END AS first_pos
+FROM old o FULL JOIN new w ON o.book_id = w.book_id AND o.chapter_idx = w.chapter_idx""")
+def upsert_partial_columns(spark, folder):
+    d = days(spark, folder)
+    old = d.where("chapter_idx <= 15").groupBy("book_id", "chapter_idx").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    new = d.where("chapter_idx >= 10").groupBy("book_id", "chapter_idx").agg((F.count("*") * 100).alias("n"), F.max("pos").alias("first_pos"))
+    return store.merge_columns(old, new, ["book_id", "chapter_idx"], ["n"])
+
+
+@query(f"""WITH {DAYS}, chapters AS (SELECT DISTINCT book_id, chapter_idx FROM days)
+SELECT c.book_id, c.chapter_idx, d.chapter_idx AS event_idx, d.event_id, CAST(row_number() OVER (PARTITION BY c.book_id, c.chapter_idx ORDER BY d.chapter_idx DESC, d.event_id DESC) AS INTEGER) AS n
+FROM chapters c JOIN days d ON d.book_id = c.book_id AND d.chapter_idx >= greatest(1, c.chapter_idx - 5) AND d.chapter_idx < c.chapter_idx QUALIFY n <= 20""")
+def recent_events_window(spark, folder):
+    d = days(spark, folder)
+    return claims.recent_events(d, d.select("book_id", "chapter_idx"), 5).select("book_id", "chapter_idx", "event_idx", "event_id", "n")
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, chapter_id, idx FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chapter_id % 4 = 0)")
+def anti_unembedded(spark, folder):
+    c = all_chunks(spark, folder).select("chunk_id", "chapter_id", "idx")
+    return store.unseen(c, c.where("chapter_id % 4 = 0"), ["chunk_id"])
+
+
+@query(f"WITH {NARRATIONS} SELECT narration_id, chapter_id, prompt_version, sha256(narration_text) AS input_hash FROM narrations n WHERE NOT EXISTS (SELECT 1 FROM narrations d WHERE d.version = 1 AND d.chapter_id % 2 = 0 AND d.chapter_id = n.chapter_id AND d.prompt_version = n.prompt_version AND d.narration_text = n.narration_text)")
+def memo_identity_skip(spark, folder):
+    rows = narrations(spark, folder).select("narration_id", "chapter_id", "prompt_version", content_hash("narration_text").alias("input_hash"), "version")
+    done = rows.where("version = 1 AND chapter_id % 2 = 0")
+    return store.unseen(rows.drop("version"), done, ["chapter_id", "prompt_version", "input_hash"]).select("narration_id", "chapter_id", "prompt_version", "input_hash")
+
+
+@query("""WITH cache AS (SELECT event_type || ':' || user_id AS key, value, epoch(ts)::DOUBLE AS created_at, event_id FROM events), newest AS (SELECT * FROM cache QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC, event_id DESC) = 1)
+SELECT key, value FROM newest WHERE (SELECT max(created_at) FROM cache) - created_at <= 432000""")
+def cache_ttl(spark, folder):
+    cache = table(spark, folder, "events").select(F.concat("event_type", F.lit(":"), "user_id").alias("key"), "value", F.unix_timestamp("ts").cast("double").alias("created_at"), "event_id")
+    newest = store.latest(cache, ["key"], ["created_at", "event_id"]).drop("event_id")
+    now = cache.agg(F.max("created_at")).first()[0] or 0.0
+    return store.unexpired(newest, now, 432_000).select("key", "value")
+
+
+@query("SELECT user_id AS book_id, event_id FROM events WHERE user_id <> 3")
+def clear_book(spark, folder):
+    return state.clear_book(table(spark, folder, "events").select(F.col("user_id").alias("book_id"), "event_id"), 3)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
+def broken_references(spark, folder):
+    return store.broken_references(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), table(spark, folder, "customer").where("c_nationkey <> 3"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+# retrieval
+
+TOKENS = r"regexp_extract_all(lower(title || ' ' || chunk_text), '[\p{L}\p{N}]+')"
+TERMS = "asked AS (SELECT * FROM (VALUES (1, ['the', 'doc', 'tion']), (2, ['der', 'ung', 'doc']), (3, ['la', 'ment'])) q(query_id, terms))"
+BM25 = f"""{CHUNKS}, {TERMS}, tok AS (SELECT chunk_id, len({TOKENS}) AS size, {TOKENS} AS tokens FROM chunks), stat AS (SELECT count(*) AS n, avg(size) AS mean FROM tok),
+post AS (SELECT chunk_id, size, term, count(*) AS tf FROM (SELECT chunk_id, size, unnest(tokens) AS term FROM tok) GROUP BY ALL), want AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM asked),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), weight AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END AS idf, mean FROM df, stat),
+scored AS (SELECT query_id, chunk_id, round(-sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM post JOIN weight USING (term) JOIN want USING (term) GROUP BY ALL)"""
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, ["the", "doc", "tion"]), (2, ["der", "ung", "doc"]), (3, ["la", "ment"])], "query_id int, terms array<string>")
+
+
+def keyword_hits(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+    c = all_chunks(spark, folder)
+    hits = retrieval.bm25(c, asked(spark), "chunk_id", ["title", "chunk_text"], 1 << 30)
+    order = W.partitionBy("query_id").orderBy("score", "chunk_id")
+    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20")
+def bm25_search(spark, folder):
+    return keyword_hits(spark, folder, 20)
+
+
+DISTANCE = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6)"
+KNN = f"""near AS (SELECT CAST(q.vec_id AS BIGINT) AS query_id, e.vec_id, {DISTANCE} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE}, e.vec_id) AS INTEGER) AS rank
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 30)"""
+
+
+def near(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    asked_ = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.knn(e, asked_, "vec_id", "embedding", 30)
+
+
+@query(f"WITH {KNN} SELECT query_id, vec_id, distance, rank FROM near WHERE rank <= 10")
+def knn_l2(spark, folder):
+    return near(spark, folder).where("rank <= 10")
+
+
+@query("""WITH raw AS (SELECT doc_id, list_filter(list_transform(['given', lang] || regexp_extract_all(substr(text, 1, 2000), '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]{2,20}'), lambda t: trim(t)), lambda t: t <> '') AS t FROM documents),
+first AS (SELECT doc_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 8) AS terms FROM raw)
+SELECT doc_id, array_to_string(terms, ',') AS terms, array_to_string(list_transform(terms, lambda t: '"' || t || '"'), ' OR ') AS match_query FROM first""")
+def keyword_terms_query(spark, folder):
+    terms = keyword_terms(F.substring("text", 1, 2000), F.array(F.lit("given"), F.col("lang")))
+    return table(spark, folder, "documents").withColumn("t", terms).select("doc_id", F.array_join("t", ",").alias("terms"), match_query(F.col("t")).alias("match_query"))
+
+
+@query(f"WITH {KNN} SELECT query_id, vec_id, round(greatest(0, 1 - (rank - 1) / count(*) OVER (PARTITION BY query_id)::DOUBLE), 6) AS score FROM near")
+def rank_normalize(spark, folder):
+    size = F.count("*").over(W.partitionBy("query_id"))
+    return near(spark, folder).select("query_id", "vec_id", F.round(retrieval.rank_score(F.col("rank"), size), 6).alias("score"))
+
+
+HITS = f"""WITH {KNN}, hits AS (
+  SELECT query_id, 40 AS current_idx, 0 AS leg, rank, 'chunk' AS source_type, vec_id AS source_id, CAST(vec_id // 10 + 1 AS INTEGER) AS chapter_idx FROM near WHERE vec_id % 2 = 0 AND rank <= 24
+  UNION ALL SELECT query_id, 40, 1, rank, 'narration', vec_id, CAST(vec_id // 10 + 1 AS INTEGER) FROM near WHERE vec_id % 2 = 1 AND rank <= 16
+  UNION ALL SELECT query_id, 40, 2, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS INTEGER), CASE WHEN vec_id % 2 = 0 THEN 'chunk' ELSE 'narration' END, vec_id, CAST(vec_id // 10 + 1 AS INTEGER) FROM near WHERE vec_id % 3 = 0)"""
+
+
+def hits(spark: SparkSession, folder: str) -> DataFrame:
+    n = near(spark, folder).withColumn("chapter_idx", (F.floor(F.col("vec_id") / 10) + 1).cast("int"))
+    kind = F.when(F.col("vec_id") % 2 == 0, "chunk").otherwise("narration")
+    legs = [(0, "vec_id % 2 = 0 AND rank <= 24", F.col("rank")), (1, "vec_id % 2 = 1 AND rank <= 16", F.col("rank")), (2, "vec_id % 3 = 0", F.row_number().over(W.partitionBy("query_id").orderBy("vec_id")))]
+    parts = [n.where(c).select("query_id", F.lit(40).alias("current_idx"), F.lit(leg).alias("leg"), r.alias("rank"), kind.alias("source_type"), F.col("vec_id").alias("source_id"), "chapter_idx") for leg, c, r in legs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""{HITS}, s AS (SELECT *, greatest(0, 1 - (rank - 1) / count(*) OVER (PARTITION BY query_id, leg)::DOUBLE) AS s FROM hits), f AS (SELECT * FROM s WHERE chapter_idx < current_idx),
+g AS (SELECT query_id, source_type, source_id, coalesce(max(s) FILTER (WHERE leg < 2), 0) AS v, coalesce(max(s) FILTER (WHERE leg = 2), 0) AS k, min_by(chapter_idx, leg * 1000 + rank) AS chapter_idx, min(leg * 1000 + rank) AS seq FROM f GROUP BY ALL),
+t AS (SELECT *, round(0.7::DOUBLE * v + 0.3::DOUBLE * k + 0.2::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + (40 - chapter_idx))), 6) AS score FROM g)
+SELECT query_id, source_type, source_id, chapter_idx, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS INTEGER) AS rank FROM t QUALIFY rank <= 8""")
+def hybrid_batched(spark, folder):
+    return retrieval.fuse(hits(spark, folder), 8)
+
+
+@query(f"""{HITS}, own AS (SELECT query_id, rank, source_id, chapter_idx, CAST(query_id // 10 + 1 AS INTEGER) AS own_idx FROM hits WHERE leg = 0)
+SELECT query_id, source_id, chapter_idx, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (chapter_idx = own_idx) DESC, rank) AS INTEGER) AS place FROM own QUALIFY place <= 6""")
+def evidence_prefer_chapter(spark, folder):
+    own = hits(spark, folder).where("leg = 0").withColumn("current_idx", (F.floor(F.col("query_id") / 10) + 1).cast("int"))
+    return retrieval.prefer_chapter(own, 6).select("query_id", "source_id", "chapter_idx", "place")
+
+
+# tiers, steps, drafts
+
+RULE = tiers.Tiering(default="medium", long_every_n=7, long_min_chars=6000, long_keywords=("license", "Ñ"))
+TIER = "CASE WHEN idx % 7 = 0 THEN 'long' WHEN length(text) >= 6000 THEN 'long' WHEN contains(lower(title || chr(10) || substr(text, 1, 4000)), 'license') OR contains(lower(title || chr(10) || substr(text, 1, 4000)), 'ñ') THEN 'long' ELSE 'medium' END"
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, {TIER} AS tier FROM chapters")
+def tier_decision(spark, folder):
+    return chapters(spark, folder).select("chapter_id", tiers.tier(RULE, F.col("idx"), F.col("title"), F.col("text")).alias("tier"))
+
+
+@query(f"""WITH {CHAPTERS}, t AS (SELECT chapter_id, {TIER} AS tier FROM chapters) SELECT chapter_id, tier, CASE tier WHEN 'long' THEN 0.4 ELSE 0.2 END::DOUBLE AS ratio_low, CASE tier WHEN 'long' THEN 0.5 ELSE 0.3 END::DOUBLE AS ratio_high,
+CASE tier WHEN 'long' THEN 8 ELSE 4 END AS memory_top_k, true AS include_key_dialogue, tier = 'long' AS include_inner_thoughts, tier = 'long' AS refine_enabled, 'llm' AS entity_extract_mode FROM t""")
+def tier_overrides(spark, folder):
+    decided = tier_decision(spark, folder)
+    return decided.join(F.broadcast(tiers.tier_table(spark)), "tier").select("chapter_id", "tier", "ratio_low", "ratio_high", "memory_top_k", "include_key_dialogue", "include_inner_thoughts", "refine_enabled", "entity_extract_mode")
+
+
+@query(f"""WITH {CHAPTERS}, s AS (SELECT book_id, CAST((idx - 1) // 5 * 5 + 1 AS INTEGER) AS step_start, count(*) AS chapters FROM chapters GROUP BY ALL), m AS (SELECT book_id, max(idx) AS most FROM chapters GROUP BY 1)
+SELECT book_id, step_start, CAST(least(most, step_start + 4) AS INTEGER) AS step_end, chapters FROM s JOIN m USING (book_id)""")
+def step_ranges(spark, folder):
+    return tiers.step_ranges(chapters(spark, folder), "book_id", "idx", 5)
+
+
+@query(f"""WITH {CHAPTERS}, s AS (SELECT book_id, CAST((idx - 1) // 5 * 5 + 1 AS INTEGER) AS step_start, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS t FROM chapters GROUP BY ALL)
+SELECT book_id, step_start, {stripped("substr(t, 1, greatest(1, CAST(floor(length(t) * 0.3::DOUBLE) AS INTEGER)))")} AS narration FROM s""")
+def step_batch_draft(spark, folder):
+    ch = chapters(spark, folder)
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))  # a step has `size` chapters
+    steps = ch.groupBy("book_id", tiers.step_start(F.col("idx"), 5).alias("step_start")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("t"))
+    return steps.select("book_id", "step_start", tiers.draft(F.col("t"), 0.3).alias("narration"))
+
+
+@query(f"WITH {NARRATIONS} SELECT narration_id, chapter_id, narration_text, 'Chapter ' || chapter_idx || ' draft narration generated' AS what FROM narrations")
+def draft_narration(spark, folder):
+    return narrations(spark, folder).select("narration_id", "chapter_id", "narration_text", F.concat(F.lit("Chapter "), "chapter_idx", F.lit(" draft narration generated")).alias("what"))
+
+
+@query("""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,8}') AS t, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]{2,8}')) AS han FROM documents)
+SELECT doc_id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 16), ',') AS entities, CAST(han AS INTEGER) AS han FROM r""")
+def entity_fallback(spark, folder):
+    names = F.slice(F.array_distinct(matches(F.col("text"), "[A-Z][a-z]{2,8}")), 1, 16)
+    return table(spark, folder, "documents").select("doc_id", F.array_join(names, ",").alias("entities"), F.size(matches(F.col("text"), ENTITY)).alias("han"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(length(text) // 2 AS INTEGER)) END AS tokens, sha256('narration::model::v1::' || sha256(text) || '::0.3') AS cache_key FROM documents")
+def token_estimates(spark, folder):
+    key = content_hash(F.lit("narration"), F.lit("model"), F.lit("v1"), F.sha2("text", 256), F.lit("0.3"))
+    return table(spark, folder, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), key.alias("cache_key"))
+
+
+@query(f"""WITH {NARRATIONS}, w AS (SELECT n.*, c.text, c.idx FROM narrations n JOIN chapters c USING (chapter_id) WHERE version = 1)
+SELECT count(*) AS chapters_total, count(*) FILTER (WHERE length(narration_text) > 0) AS chapters_processed, CAST(sum(2) AS BIGINT) AS llm_calls, CAST(sum(CAST(chapter_id % 3 = 0 AS BIGINT)) AS BIGINT) AS cache_hits,
+CAST(greatest(0, sum(2) - sum(CAST(chapter_id % 3 = 0 AS BIGINT))) AS BIGINT) AS cache_misses, CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END) AS BIGINT) AS input_tokens,
+CAST(sum(CASE WHEN length(narration_text) = 0 THEN 0 ELSE greatest(1, length(narration_text) // 2) END) AS BIGINT) AS output_tokens, CAST(max(idx) AS INTEGER) AS max_chapter_idx FROM w""")
+def run_report(spark, folder):
+    n = narrations(spark, folder).where("version = 1").select("chapter_id", F.col("narration_text").alias("narration"))
+    rows = chapters(spark, folder).join(n, "chapter_id").withColumn("calls", F.lit(2).cast("long")).withColumn("cache_hit", F.col("chapter_id") % 3 == 0)
+    return tiers.run_report(rows)
+
+
+# claims
+
+
+@query(f"""WITH {DAYS}, ev AS (SELECT book_id, chapter_idx, pos, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what FROM days), rec AS (SELECT DISTINCT book_id, chapter_idx + 1 AS chapter_idx, what FROM ev),
+f AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY book_id, chapter_idx, what ORDER BY pos) = 1)
+SELECT book_id, chapter_idx, what, pos FROM f WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.book_id = f.book_id AND rec.chapter_idx = f.chapter_idx AND rec.what = f.what) QUALIFY row_number() OVER (PARTITION BY book_id, chapter_idx ORDER BY pos) <= 20""")
+def event_consistency(spark, folder):
+    ev = days(spark, folder).select("book_id", "chapter_idx", "pos", F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20).cast("int")).alias("what"))
+    recent = ev.select("book_id", (F.col("chapter_idx") + 1).alias("chapter_idx"), F.col("what").alias("event_summary"))
+    return claims.consistent_events(ev, recent).select("book_id", "chapter_idx", "what", "pos")
+
+
+ALIAS = f"{DAYS}, {CHARACTERS}, named AS (SELECT d.*, CASE WHEN event_id % 7 % 2 = 0 THEN 'Hero' || (event_id % 7) ELSE d.name END AS canonical FROM days d)"
+
+
+@query(f"WITH {ALIAS} SELECT book_id, event_id, name, canonical FROM named")
+def alias_resolution(spark, folder):
+    return claims.resolved(days(spark, folder), characters(spark, folder), "name", "canonical").select("book_id", "event_id", "name", "canonical")
+
+
+@query(f"""WITH {ALIAS}, u AS (SELECT book_id, event_id, canonical AS name, name AS name_raw, CASE WHEN event_id % 4 = 0 THEN 'location' ELSE 'status' END AS change_type, CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'old' END AS before, event_type AS after FROM named)
+SELECT * FROM u WHERE NOT (before <> '' AND before = after)""")
+def update_consistency(spark, folder):
+    return claims.consistent_updates(updates(spark, folder), characters(spark, folder)).select("book_id", "event_id", "name", "name_raw", "change_type", "before", "after")
+
+
+def updates(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 4 == 0, "location")
+    return days(spark, folder).select("book_id", "chapter_idx", "pos", "event_id", "name", kind.alias("change_type"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise("old").alias("before"), F.col("event_type").alias("after"), F.lit(None).cast("string").alias("evidence"))
+
+
+def support(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims: the first line of each chapter; sources: the next chapter of the book, then the one after it."""
+    ch = chapters(spark, folder)
+    line = F.substring(F.split("text", "\n")[0], 1, 200)
+    asked_ = ch.select("book_id", "chapter_id", F.col("idx"), F.trim(line).alias("claim"), F.array(F.substring("text", 50, 12)).alias("phrases"))
+    asked_ = asked_.select("book_id", F.col("idx").alias("at"), F.col("chapter_id").alias("claim_id"), "claim", "phrases")
+    near_ = [ch.select("book_id", (F.col("idx") - k).alias("at"), F.lit(k).alias("pos"), F.lit(f"next{k}").alias("source_type"), F.substring("text", 1, 3000).alias("source")) for k in (1, 2)]
+    return claims.supported(asked_, near_[0].unionByName(near_[1]), ["book_id", "at"])
+
+
+SUPPORT = f"""WITH {CHAPTERS}, asked AS (SELECT book_id, idx AS place, chapter_id AS claim_id, trim(substr(string_split(text, chr(10))[1], 1, 200), ' ') AS claim, {stripped("substr(text, 50, 12)")} AS phrase FROM chapters),
+src AS (SELECT book_id, idx - k AS place, k AS pos, 'next' || k AS source_type, substr(text, 1, 3000) AS source FROM chapters, range(1, 3) r(k) WHERE length(text) > 0),
+pairs AS (SELECT a.*, s.pos, s.source_type, s.source, list_distinct(regexp_extract_all(claim, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}|[A-Za-z0-9_]{{2,20}}')) AS ct, list_distinct(regexp_extract_all(source, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}|[A-Za-z0-9_]{{2,20}}')) AS st FROM asked a LEFT JOIN src s ON a.book_id = s.book_id AND a.place = s.place),
+h AS (SELECT *, coalesce(claim <> '' AND source IS NOT NULL AND ((phrase <> '' AND contains(source, phrase)) OR contains(source, claim)), false) AS hit FROM pairs),
+sc AS (SELECT *, CASE WHEN hit THEN 1.0::DOUBLE WHEN claim = '' OR source IS NULL THEN 0.0::DOUBLE ELSE len(list_intersect(ct, st)) / greatest(len(ct), 1)::DOUBLE END AS score FROM h),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY book_id, place, claim_id ORDER BY hit DESC, score DESC, pos) = 1),
+scored AS (SELECT book_id, place, claim_id, round(score, 4) AS score, CASE WHEN score > 0 THEN source_type ELSE '' END AS source_type, CASE WHEN score > 0 THEN {stripped("substr(source, 1, 120)")} ELSE '' END AS quote FROM best)"""
+
+
+@query(f"{SUPPORT} SELECT claim_id, score, source_type, quote FROM scored")
+def evidence_scoring(spark, folder):
+    return support(spark, folder).select("claim_id", "score", "source_type", "quote")
+
+
+@query(f"{SUPPORT} SELECT book_id, count(*) AS total_claims, count(*) FILTER (WHERE score >= 0.18) AS supported_claims, count(*) FILTER (WHERE score < 0.18) AS unsupported_claims FROM scored GROUP BY ALL")
+def evidence_report(spark, folder):
+    return claims.evidence_report(support(spark, folder), ["book_id"])
+
+
+# state
+
+UPDATES = f"""WITH {ALIAS}, u AS (SELECT book_id, chapter_idx, pos, canonical AS name, name AS name_raw, CASE WHEN event_id % 4 = 0 THEN 'location' ELSE 'status' END AS change_type, event_type AS after FROM named WHERE event_id % 5 <> 0)"""
+
+
+@query(f"""{UPDATES}, seen AS (SELECT book_id, chapter_idx, canonical AS name, CASE WHEN name <> canonical THEN name END AS alias FROM named UNION ALL SELECT book_id, chapter_idx, name, NULL FROM u)
+SELECT book_id, name, coalesce(string_agg(DISTINCT alias, ',' ORDER BY alias), '') AS aliases, min(chapter_idx) AS first_chapter_idx, max(chapter_idx) AS last_chapter_idx,
+coalesce((SELECT max_by(after, chapter_idx * 1000000 + pos) FROM u WHERE u.book_id = seen.book_id AND u.name = seen.name AND change_type = 'status'), 'active') AS status,
+(SELECT max_by(after, chapter_idx * 1000000 + pos) FROM u WHERE u.book_id = seen.book_id AND u.name = seen.name AND change_type = 'location') AS location FROM seen GROUP BY book_id, name""")
+def state_transition_characters(spark, folder):
+    cast = characters(spark, folder)
+    mentions = claims.resolved(days(spark, folder), cast, "name", "canonical").select("book_id", "chapter_idx", "name", "canonical")
+    return state.character_states(mentions, claims.consistent_updates(updates(spark, folder), cast))
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return days(spark, folder).where("event_id % 3 = 0").select("book_id", "chapter_idx", "pos", F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20).cast("int")).alias("what"), F.col("props").alias("impact"))
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    return days(spark, folder).where("event_id % 3 = 1").select("book_id", "chapter_idx", "pos", F.concat(F.lit("item "), F.col("event_id") % 5).alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("name")).alias("owner"), F.col("event_type").alias("description"))
+
+
+EVENTS = "e AS (SELECT book_id, chapter_idx, pos, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what, props AS impact FROM days WHERE event_id % 3 = 0)"
+ITEMS = "i AS (SELECT book_id, chapter_idx, pos, 'item ' || (event_id % 5) AS name, CASE WHEN event_id % 2 = 0 THEN name END AS owner, event_type AS description FROM days WHERE event_id % 3 = 1)"
+FACTS = f"""{UPDATES}, {EVENTS}, {ITEMS}, w AS (
+  SELECT book_id, chapter_idx, 0 AS stage, pos, 'event:' || chapter_idx || ':' || substr(sha256(what), 1, 12) AS fact_key, what AS fact_value, 0.7::DOUBLE AS confidence FROM e
+  UNION ALL SELECT book_id, chapter_idx, 1, pos, 'character:' || name || ':' || change_type, after, CASE change_type WHEN 'status' THEN 0.85 ELSE 0.8 END::DOUBLE FROM u
+  UNION ALL SELECT book_id, chapter_idx, 2, pos, 'item:' || name || ':owner', owner, 0.75::DOUBLE FROM i WHERE coalesce(owner, '') <> ''),
+facts AS (SELECT book_id, fact_key, fact_value, confidence, chapter_idx AS source_chapter_idx FROM w QUALIFY row_number() OVER (PARTITION BY book_id, fact_key ORDER BY chapter_idx DESC, stage DESC, pos DESC) = 1)"""
+
+
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    return state.facts(events(spark, folder), claims.consistent_updates(updates(spark, folder), characters(spark, folder)), items(spark, folder))
+
+
+@query(f"{FACTS} SELECT * FROM facts")
+def state_transition_facts(spark, folder):
+    return facts(spark, folder)
+
+
+@query(f"""WITH {DAYS}, {ITEMS} SELECT book_id, name, (array_agg(owner ORDER BY chapter_idx DESC, pos DESC))[1] AS owner_name, (array_agg(description ORDER BY chapter_idx DESC, pos DESC))[1] AS description, min(chapter_idx) AS first_chapter_idx, max(chapter_idx) AS last_chapter_idx FROM i GROUP BY ALL""")
+def state_transition_items(spark, folder):
+    return state.item_states(items(spark, folder))
+
+
+@query(f"WITH {DAYS}, {EVENTS} SELECT book_id, chapter_idx, pos, what AS event_summary, 'narration_draft' AS event_type, impact FROM e")
+def state_transition_events(spark, folder):
+    return state.plot_events(events(spark, folder))
+
+
+SNAPSHOT = f"""{FACTS}, snap AS (SELECT book_id, '[' || string_agg('{{"k":"' || fact_key || '","v":"' || fact_value || '"}}', ',' ORDER BY fact_key) || ']' AS snapshot_json FROM facts GROUP BY 1)"""
+
+
+@query(f"{SNAPSHOT} SELECT book_id, sha256(snapshot_json) AS snapshot_hash FROM snap")
+def snapshot_hash(spark, folder):
+    return state.snapshots(facts(spark, folder), ["book_id"], "fact_key", "fact_value").select("book_id", "snapshot_hash")
+
+
+@query(f"{FACTS} SELECT book_id, fact_key, fact_value FROM facts")
+def snapshot_restore_roundtrip(spark, folder):
+    return state.restored(state.snapshots(facts(spark, folder), ["book_id"], "fact_key", "fact_value"), ["book_id"], "fact_key", "fact_value")
+
+
+@query(f"""WITH RECURSIVE {CHAPTERS}, n AS (SELECT book_id, idx, CAST(least(length(text), 3000) AS BIGINT) AS size FROM chapters),
+b(book_id, idx, bin, fill) AS (SELECT book_id, idx, 1, size FROM n WHERE idx = 1 UNION ALL SELECT n.book_id, n.idx, CASE WHEN fill > 0 AND fill + size > 10000 THEN bin + 1 ELSE bin END, CASE WHEN fill > 0 AND fill + size > 10000 THEN size ELSE fill + size END FROM b JOIN n ON n.book_id = b.book_id AND n.idx = b.idx + 1)
+SELECT book_id, CAST(idx AS BIGINT) AS idx, bin FROM b""")
+def size_binning(spark, folder):
+    sized = chapters(spark, folder).select("book_id", "idx", F.least(F.length("text"), F.lit(3000)).alias("size"))
+    return state.size_bins(sized, ["book_id"], "idx", "size", 10_000)
+
+
+# export
+
+FILES = f"""WITH {NARRATIONS}, latest AS (SELECT * FROM narrations QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY created_at DESC) = 1),
+r AS (SELECT *, CASE WHEN chapter_idx % 4 = 0 THEN chapter_idx - 3 WHEN version = 2 AND (chapter_idx - 1) // 3 * 3 + 1 < chapter_idx THEN (chapter_idx - 1) // 3 * 3 + 1 END AS a, regexp_replace(title, '\\s+', '_', 'g') AS safe FROM latest),
+files AS (SELECT book_id, chapter_idx, CASE WHEN a IS NOT NULL THEN format('{{:03d}}-{{:03d}}_', a, chapter_idx) ELSE format('{{:03d}}_', chapter_idx) END || safe || '.md' AS filename,
+  CASE WHEN a IS NOT NULL AND a <> chapter_idx THEN '# 第' || a || '-' || chapter_idx || '章（Step 汇总）' || chr(10) || chr(10) || '> 锚点章节：第' || chapter_idx || '章 ' || title ELSE '# 第' || chapter_idx || '章 ' || title END || chr(10) || chr(10) || narration_text || chr(10) AS content FROM r)"""
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"])
+    payload = F.when(F.col("chapter_idx") % 4 == 0, F.concat(F.lit('{"step_start_chapter_idx":'), F.col("chapter_idx") - 3, F.lit(',"step_end_chapter_idx":'), "chapter_idx", F.lit("}")))
+    rows = n.withColumn("payload_json", payload).withColumn("prompt_version", F.when(F.col("version") == 2, "Step_v2").otherwise("v1"))
+    return export.chapter_files(rows, 3)
+
+
+@query(f"{FILES} SELECT * FROM files")
+def export_chapter_files(spark, folder):
+    return files(spark, folder)
+
+
+@query(f"{FILES} SELECT book_id, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chapter_idx)) AS story_hash FROM files GROUP BY 1")
+def export_full_story(spark, folder):
+    return export.full_story(files(spark, folder)).select("book_id", F.sha2("content", 256).alias("story_hash"))
+
+
+@query(f"""WITH {DAYS} SELECT book_id, '# 时间线' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n) || chr(10) AS content FROM (SELECT book_id, n, n || '. ' || CASE WHEN c IS NOT NULL THEN '[第' || c || '章] ' ELSE '' END || event_type || CASE WHEN impact <> '' THEN '（影响：' || impact || '）' ELSE '' END AS line
+FROM (SELECT book_id, event_type, CASE WHEN event_id % 3 > 0 THEN chapter_idx END AS c, CASE WHEN event_id % 2 = 0 THEN props ELSE '' END AS impact, row_number() OVER (PARTITION BY book_id ORDER BY coalesce(CASE WHEN event_id % 3 > 0 THEN chapter_idx END, -1), event_id) AS n FROM days)) GROUP BY 1""")
+def export_timeline(spark, folder):
+    d = days(spark, folder).select("book_id", "event_id", F.when(F.col("event_id") % 3 > 0, F.col("chapter_idx")).alias("chapter_idx"), F.col("event_type").alias("event_summary"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("").alias("impact"))
+    return export.timeline(d)
+
+
+@query(f"""WITH {CHARACTERS} SELECT book_id, '# 人物表' || chr(10) || chr(10) || '| 姓名 | 别名 | 关系 | 动机/目标 | 变化 |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg('| ' || canonical_name || ' | ' || CASE WHEN character_id % 2 = 0 THEN 'N' || character_id ELSE '' END || ' |  | goal ' || character_id || ' | active |', chr(10) ORDER BY canonical_name) || chr(10) AS content FROM characters GROUP BY 1""")
+def export_characters(spark, folder):
+    c = characters(spark, folder).withColumn("relationships_json", F.lit(None).cast("string")).withColumn("motivation", F.concat(F.lit("goal "), "character_id")).withColumn("status", F.lit("active"))
+    return export.characters_table(c)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_safe_extract(spark, folder):
+    fenced = F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
+    noisy = F.concat(F.lit("Answer: "), "props", F.lit(" done"))
+    raw = F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, noisy).otherwise(F.col("props"))
+    return table(spark, folder, "events").select("event_id", F.from_json(clean_json(raw), "k bigint")["k"].alias("k"))
+
+
+@query()
+def html_to_text(spark, folder):
+    return with_markdown(table(spark, folder, "pages"), media=True).select("page_id", "url", "markdown")
+
+
+@query()
+def world_state_json(spark, folder):
+    f = export.world_state("facts_json", facts(spark, folder), "fact_key")
+    i = export.world_state("items_json", state.item_states(items(spark, folder)), "name")
+    return f.join(i, "book_id", "full")
+
+
+QUERIES["keyword_terms"], SQL["keyword_terms"] = QUERIES.pop("keyword_terms_query"), SQL.pop("keyword_terms_query")
