@@ -74,18 +74,20 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     replies = turns.join(linked, ["conv", "turn"], "left").join(previous, ["conv", "turn"], "left")
     replies = cut(replies.select("conv", "turn", F.coalesce("said", "before").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
 
-    now = cut(replies.select("conv", "turn", F.coalesce("reply_to", "turn").alias("root")))
-    moved = None
+    # only messages whose ancestor is not yet a root are joined again
+    root = F.col("reply_to").isNull()
+    now = cut(replies.select("conv", "turn", F.coalesce("reply_to", "turn").alias("root"), root.alias("done")))
     for _ in range(most_rounds):
-        up = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("above"))
-        after = cut(now.join(up, ["conv", "root"], "left").select("conv", "turn", F.coalesce("above", "root").alias("root")))
-        drop(now)
-        now, before = after, moved
-        moved = after.agg(F.sum(F.xxhash64("conv", "turn", "root").cast("decimal(38,0)"))).first()[0]
-        if moved == before:
+        if now.where("NOT done").isEmpty():
             break
+        up = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("above"), F.col("done").alias("above_done"))
+        moved = now.where("NOT done").join(up, ["conv", "root"]).select("conv", "turn", F.col("above").alias("root"), F.col("above_done").alias("done"))
+        after = cut(now.where("done").unionByName(moved))
+        drop(now)
+        now = after
     else:
         raise RuntimeError("reply chains are longer than the rounds allow")
+    now = now.drop("done")
 
     # the line before a quote that only introduces it goes with the quote
     size = F.size("lines")
