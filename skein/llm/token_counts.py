@@ -19,12 +19,13 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None =
     """docs with the number of tokens of each whole text (null: 0) in column `out`."""
     path = path or vocabulary_path()
     docs = docs.drop(out)
+    names = docs.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             lengths = np.fromiter((len(x) for x in encoded(texts, path)), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs.columns), pa.array(lengths)], [*docs.columns, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths)], [*names, out])
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
