@@ -12,9 +12,9 @@ from ..functions.text import content_hash, strip
 def fixed_slices(docs: DataFrame, key: str, text: str = "text", width: int = 20_000) -> DataFrame:
     """key, idx, title, body, start_pos, end_pos of fixed-width slices; bodies are stripped, empty texts give none."""
     n = F.length(text)
-    cut = docs.where(n > 0).select(key, F.col(text).alias("t"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).alias("k"))
-    start = F.col("k") * width
-    return cut.select(key, (F.col("k") + 1).alias("idx"), F.concat(F.lit("第"), F.col("k") + 1, F.lit("章")).alias("title"), strip(F.substr("t", start + 1, F.lit(width))).alias("body"), start.alias("start_pos"), F.least(start + width, F.length("t")).alias("end_pos"))
+    cut = docs.where(n > 0).select(key, F.col(text).alias("skein_t"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).alias("skein_k"))
+    start = F.col("skein_k") * width
+    return cut.select(key, (F.col("skein_k") + 1).alias("idx"), F.concat(F.lit("第"), F.col("skein_k") + 1, F.lit("章")).alias("title"), strip(F.substr("skein_t", start + 1, F.lit(width))).alias("body"), start.alias("start_pos"), F.least(start + width, F.length("skein_t")).alias("end_pos"))
 
 
 def chapters(docs: DataFrame, key: str, heading: str, text: str = "text", width: int = 20_000) -> DataFrame:
