@@ -62,7 +62,7 @@ def gram_hashes(letters: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
     out, h = [], np.zeros(len(doc), np.uint64)
     for k in range(ORDER):
         before = np.full(len(doc), blank)
-        before[k:] = base[: len(base) - k]
+        before[k:] = base[: max(len(base) - k, 0)]
         before[place < k] = blank
         h = h + mix(before + np.uint64(k + 1))
         out.append(mix(h))
