@@ -11,15 +11,18 @@ from ..functions.text import SEARCH_TOKEN, matches
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, *text: str) -> DataFrame:
-    """key, term, tf, size: the inverted index; size is the number of tokens of the document."""
+def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, size: the inverted index, or its part for `terms`; size is the number of tokens of the document."""
     tokens = matches(F.lower(F.concat_ws(" ", *text)), SEARCH_TOKEN)
-    each = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("term"))
+    # size before the explode, so that exploded rows don't carry the array
+    each = docs.select(key, tokens.alias("tokens")).select(key, "tokens", F.size("tokens").cast("long").alias("size")).select(key, "size", F.explode("tokens").alias("term"))
+    if terms is not None:  # before the shuffle
+        each = each.join(terms, "term", "left_semi")
     return each.groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
 
 
 def document_sizes(docs: DataFrame, key: str, *text: str) -> DataFrame:
-    return docs.select(key, F.size(matches(F.lower(F.concat_ws(" ", *text)), SEARCH_TOKEN)).cast("long").alias("size"))
+    return docs.select(key, F.regexp_count(F.lower(F.concat_ws(" ", *text)), F.lit(SEARCH_TOKEN)).cast("long").alias("size"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: list[str], limit: int, keep: list[str] | None = None, condition: Column | None = None) -> DataFrame:
@@ -31,7 +34,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: list[str], limit:
     size = document_sizes(docs, key, *text)
     stats = size.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).select("query_id", F.lower("term").alias("term")).distinct()
-    found = postings(docs, key, *text).join(wanted.select("term").distinct(), "term", "left_semi")
+    found = postings(docs, key, *text, terms=wanted.select("term").distinct())
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean")  # stats is one row

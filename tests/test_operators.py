@@ -35,7 +35,7 @@ def test_chapters_with_preface_and_fallback(spark):
     df = ingest.chapters(spark.createDataFrame([(1, text), (2, "0123456789"), (3, "第1章 空")], "k int, text string"), "k", r"^第[0-9]+章.*$", width=4)
     assert rows(df.where("k = 1").orderBy("idx"), "title", "body") == [("序章", "前言"), ("第1章 始", "甲"), ("第2章 续", "乙")]
     assert [r[0] for r in rows(df.where("k = 2").orderBy("idx"), "body")] == ["0123", "4567", "89"]
-    assert rows(df.where("k = 3"), "title", "body", "start_pos", "end_pos") == [("第1章 空", "第1章 空", 0, 6)]
+    assert rows(df.where("k = 3"), "title", "body", "start_pos", "end_pos") == [("第1章 空", "第1章 空", 0, 5)]
 
 
 def test_encodings(spark):
