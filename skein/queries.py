@@ -181,7 +181,8 @@ scored AS (SELECT query_id, chunk_id, round(-sum(idf * tf * 2.2::DOUBLE / (tf +
 
 
 def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, ["the", "doc", "tion"]), (2, ["der", "ung", "doc"]), (3, ["la", "ment"])], "query_id int, terms array<string>")
+    # literal rows have a known size, so that Spark itself decides whether to broadcast them
+    return spark.sql("SELECT * FROM VALUES (1, array('the', 'doc', 'tion')), (2, array('der', 'ung', 'doc')), (3, array('la', 'ment')) AS q(query_id, terms)")
 
 
 def keyword_hits(spark: SparkSession, folder: str, limit: int) -> DataFrame:
