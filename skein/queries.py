@@ -508,3 +508,94 @@ def world_state_json(spark, folder):
 
 
 QUERIES["keyword_terms"], SQL["keyword_terms"] = QUERIES.pop("keyword_terms_query"), SQL.pop("keyword_terms_query")
+
+
+# scans, filters and plans
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, book_id, idx, title FROM chapters WHERE idx BETWEEN 3 AND 9")
+def chapter_range(spark, folder):
+    return chapters(spark, folder).where(F.col("idx").between(3, 9)).select("chapter_id", "book_id", "idx", "title").orderBy("book_id", "idx")
+
+
+@query("SELECT DISTINCT coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN 'x' || event_id END AS BIGINT), try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS id FROM events WHERE id IS NOT NULL")
+def vector_ids(spark, folder):
+    key = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x"), "event_id"))
+    return table(spark, folder, "events").select(F.coalesce(key.try_cast("bigint"), F.get_json_object("props", "$.k").try_cast("bigint")).alias("id")).where("id IS NOT NULL").distinct()
+
+
+@query("""WITH c AS (SELECT event_type || ':' || (user_id % 9) AS key, value, event_id FROM events) SELECT key, value FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id DESC) = 1""")
+def cache_put(spark, folder):
+    rows = table(spark, folder, "events").select(F.concat("event_type", F.lit(":"), F.col("user_id") % 9).alias("key"), "value", "event_id")
+    return store.upsert(rows.where("event_id % 2 = 0").transform(lambda d: store.latest(d, ["key"], ["event_id"])).where("false"), rows, ["key"], ["event_id"]).select("key", "value")
+
+
+@query(f"WITH {CHUNKS}, tok AS (SELECT book_id, chunk_id, {TOKENS} AS t FROM chunks) SELECT book_id, count(DISTINCT chunk_id) AS documents, CAST(sum(len(t)) AS BIGINT) AS tokens FROM tok GROUP BY 1")
+def index_rebuild(spark, folder):
+    c = all_chunks(spark, folder)
+    sizes = retrieval.document_sizes(c, "chunk_id", "title", "chunk_text")
+    return c.select("book_id", "chunk_id").join(sizes, "chunk_id").groupBy("book_id").agg(F.count("*").alias("documents"), F.sum("size").alias("tokens"))
+
+
+@query(f"WITH {CHARACTERS} SELECT book_id, canonical_name FROM characters WHERE canonical_name IN ('Hero1', 'Hero5')")
+def in_list_filter(spark, folder):
+    names = ["Hero1", "Hero5"]
+    c = characters(spark, folder).select("book_id", "canonical_name")
+    return c.where(F.col("canonical_name").isin(names)) if names else c
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, 'chapter_idx=' || idx || chr(10) || 'entities=A, B' || chr(10) || 'locations=' || chr(10) || 'items=' || book_id || chr(10) || substr(text, 1, 2000) AS query_text FROM chapters")
+def retrieval_query_text(spark, folder):
+    from .plans.generate import query_text
+
+    none = F.array().cast("array<string>")
+    return chapters(spark, folder).select("chapter_id", query_text(F.col("idx"), F.array(F.lit("A"), F.lit("B")), none, F.array("book_id"), F.col("text")).alias("query_text"))
+
+
+@query(f"""{HITS}, m AS (SELECT query_id // 100 AS step, query_id AS at, rank, source_id, chapter_idx, source_type FROM hits WHERE leg < 2)
+SELECT step, source_id, chapter_idx, source_type, at, rank FROM m QUALIFY row_number() OVER (PARTITION BY step, source_id, chapter_idx, source_type ORDER BY at, rank) = 1""".replace(" AS at,", " AS place,").replace(" at,", " place,"))
+def merge_memories(spark, folder):
+    from .plans.generate import merged_memories
+
+    rows = hits(spark, folder).where("leg < 2").select(F.floor(F.col("query_id") / 100).alias("step"), F.col("query_id").alias("at"), "rank", "source_id", "chapter_idx", "source_type")
+    return merged_memories(rows, "step").withColumnRenamed("at", "place")
+
+
+@query(f"WITH {CHUNKS}, h AS (SELECT book_id, sha256(chapter_id || '::' || chunk_text) AS h, chunk_id FROM chunks) SELECT book_id, count(*) AS total, count(DISTINCT h) AS inserted, count(*) - count(DISTINCT h) AS skipped FROM h GROUP BY 1")
+def ingest_stats(spark, folder):
+    h = all_chunks(spark, folder).select("book_id", content_hash(F.col("chapter_id").cast("string"), F.col("chunk_text")).alias("h"))
+    return h.groupBy("book_id").agg(F.count("*").alias("total"), F.countDistinct("h").alias("inserted")).withColumn("skipped", F.col("total") - F.col("inserted"))
+
+
+@query(f"{FACTS} SELECT book_id, fact_key, fact_value FROM facts QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY fact_key) <= 5")
+def limit_facts(spark, folder):
+    n = F.row_number().over(W.partitionBy("book_id").orderBy("fact_key"))
+    return facts(spark, folder).withColumn("n", n).where("n <= 5").select("book_id", "fact_key", "fact_value")
+
+
+@query(f"""WITH {KNN} SELECT n.query_id, n.rank, '[' || n.rank || '] chunk_id=' || n.vec_id || ' 章节' || (n.vec_id // 10 + 1) || ' doc ' || d.doc_id || ': ' || CASE WHEN length(trim(replace(d.text, chr(10), ' '), ' ')) > 300 THEN substr(trim(replace(d.text, chr(10), ' '), ' '), 1, 300) || '...' ELSE trim(replace(d.text, chr(10), ' '), ' ') END AS line
+FROM near n JOIN documents d ON d.doc_id = n.vec_id WHERE n.rank <= 5""")
+def evidence_lines(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.concat(F.lit("doc "), "doc_id").alias("chapter_title"))
+    rows = near(spark, folder).where("rank <= 5").join(docs, "vec_id").withColumn("chapter_idx", (F.floor(F.col("vec_id") / 10) + 1).cast("int")).withColumnRenamed("vec_id", "source_id")
+    return export.evidence_lines(rows).select("query_id", "rank", "line")
+
+
+@query(f"WITH {CHAPTERS} SELECT book_id, '# ' || CASE WHEN book_id = 'src0' THEN '(未命名)' ELSE book_id END || chr(10) || chr(10) || count(*) || ' chapters' || chr(10) AS content, '# 说书稿' || chr(10) || chr(10) || CASE WHEN count(*) > 9 THEN 'text' ELSE '暂无说书稿数据。' END || chr(10) AS story FROM chapters GROUP BY 1")
+def export_book_summary(spark, folder):
+    n = chapters(spark, folder).groupBy("book_id").agg(F.count("*").alias("n"))
+    title = F.when(F.col("book_id") != "src0", F.col("book_id"))
+    return n.select("book_id", export.book_summary(title, F.concat("n", F.lit(" chapters"))).alias("content"), export.story(F.when(F.col("n") > 9, "text")).alias("story"))
+
+
+@query()
+def hybrid_fusion(spark, folder):
+    """Chunks and narrations, embedded and indexed; the first chapters of each book ask, with their causal bound."""
+    from .functions.providers import HashingEmbedder
+    from .plans.generate import fallback_entities, hybrid, query_text
+
+    c = all_chunks(spark, folder).select(F.lit("chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"))
+    n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"]).select(F.lit("narration").alias("source_type"), F.col("narration_id").alias("source_id"), "chapter_idx", "title", F.col("narration_text").alias("text"))
+    none = F.array().cast("array<string>")
+    asked_ = chapters(spark, folder).where("idx = 5").select(F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")).alias("query_text"), none.alias("given"))
+    return hybrid(c.unionByName(n), asked_, HashingEmbedder(), 8)
