@@ -89,4 +89,30 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {}
+#: The join by brute force: all pairs that share a shingle, and reachability by recursion.
+SQL: dict[str, str] = {
+    "op4_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT d.doc_id, count(s.shingle) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, min(r.reached) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL""",
+    "op5_chat_format": r"""WITH RECURSIVE raw AS (SELECT conv_id, turn, role, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS pos FROM conversations),
+p AS (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+') AS prefix FROM raw),
+l AS (SELECT conv_id, turn, role, pos, length(prefix) - length(replace(prefix, '>', '')) AS level, substr(line, length(prefix) + 1) AS body FROM p),
+c AS (SELECT *, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS next_level, CAST(level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS INTEGER) AS starts FROM l),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM c),
+passage AS (SELECT conv_id, turn, run, max(level) AS level, string_agg(body, chr(10) ORDER BY pos) AS t, count(*) AS n FROM g GROUP BY ALL),
+unit AS (SELECT conv_id, turn, level > 0 AS quoted, t FROM passage UNION ALL SELECT g.conv_id, g.turn, g.level > 0, g.body FROM g JOIN passage USING (conv_id, turn, run) WHERE n > 1),
+u AS (SELECT DISTINCT conv_id, turn, quoted, lower(trim(regexp_replace(t, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')) AS norm FROM unit),
+said AS (SELECT q.conv_id, q.turn, q.norm, max(o.turn) AS said FROM u q JOIN u o ON q.conv_id = o.conv_id AND q.norm = o.norm AND o.turn < q.turn WHERE q.quoted AND NOT o.quoted AND q.norm <> '' GROUP BY ALL),
+vote AS (SELECT conv_id, turn, said, sum(length(norm)) AS size FROM said GROUP BY ALL),
+linked AS (SELECT conv_id, turn, (array_agg(said ORDER BY size DESC, said DESC))[1] AS said, sum(size) AS n_linked FROM vote GROUP BY ALL),
+turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
+reply AS (SELECT t.conv_id, t.turn, coalesce(k.said, b.turn) AS reply_to, coalesce(n_linked, 0) AS n_linked FROM turns t LEFT JOIN linked k USING (conv_id, turn) LEFT JOIN turns b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1),
+chain(conv_id, turn, root) AS (SELECT conv_id, turn, turn FROM reply WHERE reply_to IS NULL UNION ALL SELECT r.conv_id, r.turn, c.root FROM reply r JOIN chain c ON c.conv_id = r.conv_id AND c.turn = r.reply_to),
+own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT (regexp_matches(body, '(?i)\bwrote:\s*$') AND coalesce(next_level, 0) > 0)), ''), '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS text, count(*) FILTER (WHERE level > 0) AS n_quoted FROM g GROUP BY ALL)
+SELECT conv_id, turn, role, reply_to, root, n_quoted, CAST(n_linked AS BIGINT) AS n_linked, text, '<|' || coalesce(role, '') || '|>' || chr(10) || text || '<|end|>' || chr(10) AS formatted FROM own JOIN reply USING (conv_id, turn) JOIN chain USING (conv_id, turn)""",
+}
