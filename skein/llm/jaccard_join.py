@@ -265,7 +265,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sketched = cut(docs.mapInArrow(sketch, "id long, n long, s1 long, s2 long, keys array<long>, point binary"))
     slim = sketched.select("id", "n", "s1", "s2")
-    first = slim.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
+    # written, so that the join below reads both sides from exchanges and a hot group of copies can be split
+    first = cut(slim.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     member = slim.join(first, ["s1", "s2", "n"], "left").select("id", "n", "rep")
     # keys of copies are those of their representative
     unique = sketched.where("n > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "point")
