@@ -65,6 +65,38 @@ def book_summary(title: Column, summary: Column) -> Column:
     return F.concat(F.lit("# "), F.when(F.coalesce(title, F.lit("")) == "", F.lit("(未命名)")).otherwise(title), F.lit("\n\n"), summary, F.lit("\n"))
 
 
+def legacy_files(summaries: DataFrame) -> DataFrame:
+    """Reports of books from summaries (book_id, summary_type, content as JSON text): the book's summary, and story, characters and timeline
+    where there are such summaries. Books without a book summary have none."""
+    wide = summaries.groupBy("book_id").pivot("summary_type", ["book_summary", "story", "characters", "timeline"]).agg(F.first("content"))
+    wide = wide.where(F.col("book_summary").isNotNull())
+    people = F.from_json("characters", "array<struct<name:string,aliases:string,relationships:string,motivation:string,changes:string>>")
+    events = F.from_json("timeline", "array<struct<chapter_idx:int,event:string,impact:string>>")
+
+    def person(x: Column) -> Column:
+        cells = [F.coalesce(x["name"], F.lit("")), F.array_join(json_list(F.coalesce(x["aliases"], F.lit(""))), ", "), *[F.coalesce(x[c], F.lit("")) for c in ("relationships", "motivation", "changes")]]
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+    def event(x: Column, i: Column) -> Column:
+        where = F.when(x["chapter_idx"].isNotNull(), F.concat(F.lit("[第"), x["chapter_idx"], F.lit("章] "))).otherwise("")
+        impact = F.when(F.coalesce(x["impact"], F.lit("")) != "", F.concat(F.lit("（影响："), x["impact"], F.lit("）"))).otherwise("")
+        return F.concat((i + 1).cast("string"), F.lit(". "), where, F.coalesce(x["event"], F.lit("")), impact)
+
+    none = F.lit(None).cast("string")
+    table_ = F.when(F.size(people) > 0, F.concat(F.lit(CHARACTER_HEAD), F.array_join(F.transform(people, person), "\n"), F.lit("\n"))).otherwise(NO_CHARACTERS)
+    list_ = F.when(F.size(events) > 0, F.concat(F.lit("# 时间线\n\n"), F.array_join(F.transform(events, event), "\n"), F.lit("\n"))).otherwise(NO_EVENTS)
+    files = {"book_summary.md": F.col("book_summary"), "story.md": F.when(F.col("story").isNotNull(), story(F.col("story"))).otherwise(none), "characters.md": F.when(F.col("characters").isNotNull(), table_).otherwise(none), "timeline.md": F.when(F.col("timeline").isNotNull(), list_).otherwise(none)}
+    rows = F.array(*[F.struct(F.lit(name).alias("filename"), content.alias("content")) for name, content in files.items()])
+    return wide.select("book_id", F.inline(rows)).where("content IS NOT NULL")
+
+
+def export_mode(mode: str, narrations: DataFrame) -> str:
+    """`auto` is `storyteller` if there is any narration, else `legacy`."""
+    if mode not in ("storyteller", "legacy", "auto"):
+        raise ValueError(f"unknown export mode {mode}")
+    return ("legacy" if narrations.isEmpty() else "storyteller") if mode == "auto" else mode
+
+
 def evidence_lines(hits: DataFrame) -> DataFrame:
     """One numbered line per query and hit, texts on one line and cut at 300 characters."""
     text = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))

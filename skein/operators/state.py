@@ -60,6 +60,30 @@ def restored(snapshot: DataFrame, keys: list[str], key: str, value: str, value_t
     return snapshot.select(*keys, F.inline(rows)).select(*keys, F.col("k").alias(key), F.col("v").alias(value))
 
 
+def lookup(chapters: DataFrame, characters: DataFrame, items: DataFrame, events: DataFrame, facts_: DataFrame, window: int, most_facts: int = 500) -> DataFrame:
+    """What each chapter (book_id, chapter_idx, entities) knows: characters and items that it names (all, if it names none), recent events
+    and the book's first facts, as sorted JSON lists."""
+    from .claims import recent_events
+
+    def named(rows: DataFrame, name: str, out: str) -> DataFrame:
+        hit = (F.size("entities") == 0) | F.array_contains("entities", F.col(name))
+        found = chapters.join(rows.select("book_id", name), "book_id").where(hit)
+        return found.groupBy("book_id", "chapter_idx").agg(F.to_json(F.sort_array(F.collect_set(name))).alias(out))
+
+    recent = recent_events(events, chapters, window).groupBy("book_id", "chapter_idx").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("n", "event_summary"))), lambda x: x["event_summary"])).alias("recent_events"))
+    known = facts_.groupBy("book_id").agg(F.to_json(F.slice(F.sort_array(F.collect_list(F.struct("fact_key", "fact_value"))), 1, most_facts)).alias("facts"))
+    out = chapters.join(named(characters, "canonical_name", "characters"), ["book_id", "chapter_idx"], "left").join(named(items, "name", "items"), ["book_id", "chapter_idx"], "left")
+    return out.join(recent, ["book_id", "chapter_idx"], "left").join(known, "book_id", "left")
+
+
+def replayed(payloads: DataFrame, upto: int) -> dict[str, DataFrame]:
+    """State tables rebuilt from stored outputs (book_id, chapter_idx, payload_json) up to a chapter: events, updates and items, ready
+    for the transitions above. Only the known fields of a payload are read."""
+    schema = "key_events array<struct<what:string,impact:string>>, character_updates array<struct<name:string,change_type:string,after:string>>, new_items array<struct<name:string,owner:string,description:string>>"
+    parsed = payloads.where(F.col("chapter_idx") <= upto).select("book_id", "chapter_idx", F.from_json("payload_json", schema).alias("p"))
+    return {out: parsed.select("book_id", "chapter_idx", F.posexplode(f"p.{name}").alias("pos", "x")).select("book_id", "chapter_idx", "pos", "x.*") for out, name in (("events", "key_events"), ("updates", "character_updates"), ("items", "new_items"))}
+
+
 def clear_book(table: DataFrame, book_id: object) -> DataFrame:
     return table.where(~F.col("book_id").eqNullSafe(F.lit(book_id)))
 

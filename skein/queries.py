@@ -599,3 +599,49 @@ def hybrid_fusion(spark, folder):
     none = F.array().cast("array<string>")
     asked_ = chapters(spark, folder).where("idx = 5").select(F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")).alias("query_text"), none.alias("given"))
     return hybrid(c.unionByName(n), asked_, HashingEmbedder(), 8)
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS summary_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id AS book_id, summary_type, value FROM s WHERE n = 1""")
+def latest_summary(spark, folder):
+    return store.latest(table(spark, folder, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select(F.col("user_id").alias("book_id"), F.col("event_type").alias("summary_type"), "value")
+
+
+@query(f"""WITH {DAYS}, e AS (SELECT book_id, CASE event_id % 4 WHEN 0 THEN 'book_summary' WHEN 1 THEN 'story' WHEN 2 THEN 'characters' ELSE 'timeline' END AS t, max(event_id) AS m FROM days GROUP BY ALL),
+b AS (SELECT book_id FROM e WHERE t = 'book_summary')
+SELECT book_id, t || '.md' AS filename, CASE t WHEN 'book_summary' THEN '# b' || m WHEN 'story' THEN '# 说书稿' || chr(10) || chr(10) || 's' || m || chr(10)
+ WHEN 'characters' THEN '# 人物表' || chr(10) || chr(10) || '| 姓名 | 别名 | 关系 | 动机/目标 | 变化 |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || '| c' || m || ' | a, b |  |  |  |' || chr(10)
+ ELSE '# 时间线' || chr(10) || chr(10) || '1. [第3章] e' || m || '（影响：i）' || chr(10) || '2. x' || chr(10) END AS content FROM e WHERE book_id IN (SELECT book_id FROM b)""")
+def legacy_export(spark, folder):
+    kind = F.when(F.col("event_id") % 4 == 0, "book_summary").when(F.col("event_id") % 4 == 1, "story").when(F.col("event_id") % 4 == 2, "characters").otherwise("timeline")
+    e = days(spark, folder).groupBy("book_id", kind.alias("summary_type")).agg(F.max("event_id").alias("m"))
+    content = F.when(F.col("summary_type") == "book_summary", F.concat(F.lit("# b"), "m")).when(F.col("summary_type") == "story", F.concat(F.lit("s"), "m")).when(F.col("summary_type") == "characters", F.concat(F.lit('[{"name":"c'), "m", F.lit('","aliases":"a, b"}]'))).otherwise(F.concat(F.lit('[{"chapter_idx":3,"event":"e'), "m", F.lit('","impact":"i"},{"event":"x"}]')))
+    return export.legacy_files(e.withColumn("content", content))
+
+
+@query()
+def state_lookup(spark, folder):
+    d = days(spark, folder)
+    asked_ = d.groupBy("book_id", "chapter_idx").agg(F.sort_array(F.collect_set(F.concat(F.lit("Hero"), F.col("event_id") % 7))).alias("entities"))
+    ev = d.select("book_id", "chapter_idx", "event_id", F.col("event_type").alias("event_summary"))
+    return state.lookup(asked_, characters(spark, folder), state.item_states(items(spark, folder)), ev, facts(spark, folder), 5)
+
+
+@query(f"WITH {DAYS}, {EVENTS} SELECT book_id, chapter_idx, what AS event_summary, count(*) AS n FROM e WHERE chapter_idx <= 10 GROUP BY ALL")
+def replay_state(spark, folder):
+    """Stored payloads of each chapter, parsed and folded again up to chapter 10."""
+    e = events(spark, folder)
+    payload = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("pos", "what", "impact"))).alias("key_events"), F.lit(1).alias("other")))
+    stored = e.groupBy("book_id", "chapter_idx").agg(payload.alias("payload_json"))
+    back = state.plot_events(state.replayed(stored, 10)["events"])
+    return back.groupBy("book_id", "chapter_idx", "event_summary").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CHUNKS}, old AS (SELECT chunk_id FROM chunks WHERE chapter_id % 4 = 0) SELECT chunk_id, 64 AS size, true AS unit FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM old)""")
+def embed_missing(spark, folder):
+    """Only chunks without a vector are embedded."""
+    from .functions.providers import HashingEmbedder, with_embeddings
+
+    c = all_chunks(spark, folder).select("chunk_id", "chapter_id", "chunk_text")
+    new = with_embeddings(store.unseen(c, c.where("chapter_id % 4 = 0"), ["chunk_id"]), "chunk_text", HashingEmbedder())
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return new.select("chunk_id", F.size("vector").alias("size"), (F.abs(norm - 1) < 1e-9).alias("unit"))
