@@ -230,7 +230,7 @@ def links_within(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str,
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("skein_text"))
-    chosen = leaves.join(texts.hint("merge"), "id")  # leaves have no size bound: never broadcast.select("leaf", "id", "label", "side", "skein_text")
+    chosen = leaves.join(texts.hint("merge"), "id").select("leaf", "id", "label", "side", "skein_text")  # leaves have no size bound: never broadcast
     return chosen.mapInArrow(sets, "leaf string, id long, label long, side int, hashes binary").groupBy("leaf").applyInArrow(join, "a long, b long")
 
 
