@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytewords import pieces
-from .tokens import encoded, vocabulary_path
+from .tokens import encoded, tokenizer_path
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType())])
 
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     doc_id are packed each on its own. `size` is a power of two. Extra columns are ignored."""
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    path = path or vocabulary_path()
+    path = path or tokenizer_path()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(size, open_most, least, TaskContext.get().partitionId() << 40)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import pieces
-from .tokens import encoded, vocabulary_path
+from .tokens import encoded, ranks_path
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of each whole text (null: 0) in column `out`."""
-    path = path or vocabulary_path()
+    path = path or ranks_path()
     docs = docs.drop(out)
     names = docs.columns
 

@@ -1,27 +1,41 @@
-"""Token ids from public vocabulary files; the files' path is a parameter and they are only read."""
+"""Token ids from public vocabulary files; the files' path is a parameter and they are only read.
+
+A `.json` file is read by `tokenizers`, a file of ranks by `tiktoken`. Both recognise the special token inside texts."""
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
-# Fixed value: the special token of this vocabulary, which the tokenizer also recognises inside texts.
+# Fixed value: the special token of the ranks' vocabulary, which their file leaves out.
 SPECIAL = {"<|endoftext|>": 50256}
 
 
-def vocabulary_path() -> str:
-    return public_tokenizers.path(VOCABULARY)
+def ranks_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def tokenizer_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@cache
+def tokenizer(path: str) -> Tokenizer:
+    """The file's tokenizer, loaded once in each worker; a task keeps to its own core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
 
 
 @cache
 def encoder(path: str) -> tiktoken.Encoding:
-    """The vocabulary's encoder, loaded once in each worker."""
+    """The ranks' encoder, loaded once in each worker."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("skein", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
@@ -29,6 +43,11 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 def encoded(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     """Ids of each whole text; null counts as empty. The special token's string becomes its id."""
-    encode, special = encoder(path), set(SPECIAL)
-    for text in texts:
-        yield np.asarray(encode.encode(text, allowed_special=special) if text else (), dtype=np.uint32)
+    if path.endswith(".json"):
+        encode = tokenizer(path).encode_batch_fast
+        for text in texts:  # one at a time: an encoding needs many times its text's memory
+            yield np.asarray(encode([text], add_special_tokens=False)[0].ids if text else (), dtype=np.uint32)
+    else:
+        encode, special = encoder(path).encode, set(SPECIAL)
+        for text in texts:
+            yield np.asarray(encode(text, allowed_special=special) if text else (), dtype=np.uint32)

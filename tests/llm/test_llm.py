@@ -7,13 +7,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from skein.llm import jaccard_join, language_id, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, vector_search
 from skein.llm.chat_format import conversations
 from skein.llm.shared import components, set_aside
-from skein.llm.tokens import encoded, vocabulary_path
+from skein.llm.tokens import encoded, ranks_path, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -248,7 +250,9 @@ def test_packing_round_trip(spark, texts):
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding <= 16 * len(sequences)
     lone = Counter(i for i, _ in texts)
-    for (i, _), ids in zip(texts, encoded([t for _, t in texts], vocabulary_path())):
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in texts:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         if lone[i] == 1:
             parts = sorted(docs[i], key=lambda g: g.start)
             joined = b"".join(bytes(g.ids) for g in parts)
@@ -257,19 +261,17 @@ def test_packing_round_trip(spark, texts):
     assert zlib.crc32(bytes(got[0].ids)) == packing.pack(df, open_most=3).where((F.col("sequence_id") == got[0].sequence_id) & (F.col("offset") == got[0].offset)).select(F.crc32("ids")).first()[0]
 
 
-def test_tokens_match_the_tokenizer():
-    tokenizers = pytest.importorskip("tokenizers")
-    import public_tokenizers
-
+def test_tokens_of_both_files():
     other = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(6)
     samples = ["", "a  b\n\n c\t", "it's <|endoftext|> here", "日本 é ½ ²", " 　x"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 1500), r.randrange(0x3000, 0xD7FF), 10, 32])) for _ in range(60)) for _ in range(200)]
-    for text, ids in zip(samples, encoded(samples, vocabulary_path())):
-        assert other.encode(text, add_special_tokens=False).ids == ids.tolist()
+    for path in (tokenizer_path(), ranks_path()):
+        for text, ids in zip(samples, encoded(samples, path)):
+            assert other.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
 def test_token_counts(spark, texts):
-    lengths = [len(x) for x in encoded([t for _, t in texts], vocabulary_path())]
+    lengths = [len(x) for x in encoded([t for _, t in texts], ranks_path())]
     got = token_counts.context_limits(token_counts.length_histogram(spark.createDataFrame(texts, DOCS))).collect()
     assert {g.n_tokens: g.n_docs for g in got} == Counter(lengths)
     for g in got:
