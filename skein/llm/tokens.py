@@ -5,17 +5,24 @@ A `.json` file is read by `tokenizers`, a file of ranks by `tiktoken`. Both reco
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 # Fixed value: the special token of the ranks' vocabulary, which their file leaves out.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Blocks whose letters, digits and spaces are settled in all versions of Unicode that libraries use; tests try each character.
+SETTLED = "\\x00-\\u0557\\u0600-\\u06ff\\u0900-\\u097f\\u2000-\\u206f\\u3000-\\u30ff\\u4e00-\\u9fea\\uac00-\\ud7a3"
+UNSETTLED = re.compile(f"[^{SETTLED}]")
 
 
 def ranks_path() -> str:
@@ -26,11 +33,45 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Words(dict):
+    """Ids of words from a `tokenizers` file, each encoded by the library once and then kept.
+
+    A file without normaliser whose pre-tokenizer is the byte-level pattern encodes the pattern's matches independently, so a
+    text's ids are those of its words in turn. Libraries differ on which recently assigned characters are letters;
+    therefore texts with characters outside SETTLED, texts that hold an added token, and any text of another kind of file are
+    encoded whole. At `most` words all are forgotten, and words above `longest` characters are not kept; both bound memory only."""
+
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        step = kind["pre_tokenizer"] or {}
+        independent = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not kind["normalizer"] and not kind["model"].get("dropout")
+        self.pattern = regex.compile(public_tokenizers.PATTERN) if independent else None
+        self.added = [x["content"] for x in kind["added_tokens"]]
+        self.whole = Tokenizer.from_file(path).encode_batch_fast
+        self.most, self.longest = most, longest
+
+    def ids(self, text: str) -> np.ndarray:
+        if not self.pattern or UNSETTLED.search(text) or any(x in text for x in self.added):
+            return np.asarray(self.whole([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        found = self.pattern.findall(text)
+        if len(self) > self.most:
+            self.clear()
+        new = [w for w in set(found) if w not in self]
+        self.update(zip(new, (array("I", x.ids).tobytes() for x in self.whole(new, add_special_tokens=False))))
+        out = np.frombuffer(b"".join(map(self.__getitem__, found)), np.uint32)
+        for word in new:
+            if len(word) > self.longest:
+                del self[word]
+        return out
+
+
 @cache
-def tokenizer(path: str) -> Tokenizer:
-    """The file's tokenizer, loaded once in each worker; a task keeps to its own core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path)
+def tokenizer(path: str) -> Words:
+    """The file's tokenizer, loaded once in each worker."""
+    return Words(path)
 
 
 @cache
@@ -44,9 +85,9 @@ def encoder(path: str) -> tiktoken.Encoding:
 def encoded(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     """Ids of each whole text; null counts as empty. The special token's string becomes its id."""
     if path.endswith(".json"):
-        encode = tokenizer(path).encode_batch_fast
-        for text in texts:  # one at a time: an encoding needs many times its text's memory
-            yield np.asarray(encode([text], add_special_tokens=False)[0].ids if text else (), dtype=np.uint32)
+        ids = tokenizer(path).ids
+        for text in texts:
+            yield ids(text or "")
     else:
         encode, special = encoder(path).encode, set(SPECIAL)
         for text in texts:

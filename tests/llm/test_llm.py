@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.llm import jaccard_join, language_id, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, vector_search
 from skein.llm.chat_format import conversations
 from skein.llm.shared import components, set_aside
-from skein.llm.tokens import encoded, ranks_path, tokenizer_path
+from skein.llm.tokens import UNSETTLED, Words, encoded, ranks_path, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -270,6 +270,22 @@ def test_tokens_of_both_files():
             assert other.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_words_are_encoded_independently():
+    path = tokenizer_path()
+    other = tokenizers.Tokenizer.from_file(path)
+    own = Words(path, most=50, longest=3)  # forgets many times on the way
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not UNSETTLED.match(chr(c))]
+    assert len(points) > 30_000
+    for k in range(0, len(points), 10):
+        sample = "".join("a{0}a1{0}1!{0}! {0}  {0}  '{0}'s{0}".format(chr(c)) for c in points[k : k + 10])
+        assert [x.span() for x in own.pattern.finditer(sample)] == [x[1] for x in other.pre_tokenizer.pre_tokenize_str(sample)]
+        assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
+    for sample in ("", "a\u0558b \u0c5c's \U0001f600", "it's <|endoftext|> here", "x" * 500 + " 12\u00b2 " * 40):
+        assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert Words(path).ids("Some WORDS  here").tolist() == tokenizers.Tokenizer.from_file(path).encode("Some WORDS  here", add_special_tokens=False).ids
+
+
 def test_token_counts(spark, texts):
     lengths = [len(x) for x in encoded([t for _, t in texts], ranks_path())]
     got = token_counts.context_limits(token_counts.length_histogram(spark.createDataFrame(texts, DOCS))).collect()
