@@ -23,6 +23,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 #: Blocks whose letters, digits and spaces are settled in all versions of Unicode that libraries use; tests try each character.
 SETTLED = "\\x00-\\u0557\\u0600-\\u06ff\\u0900-\\u097f\\u2000-\\u206f\\u3000-\\u30ff\\u4e00-\\u9fea\\uac00-\\ud7a3"
 UNSETTLED = re.compile(f"[^{SETTLED}]")
+#: The byte-level pattern for texts of ASCII alone, which the standard library splits in half the time.
+ASCII_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def ranks_path() -> str:
@@ -56,7 +58,7 @@ class Words(dict):
     def ids(self, text: str) -> np.ndarray:
         if not self.pattern or UNSETTLED.search(text) or any(x in text for x in self.added):
             return np.asarray(self.whole([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        found = self.pattern.findall(text)
+        found = (ASCII_WORD if text.isascii() else self.pattern).findall(text)
         if len(self) > self.most:
             self.clear()
         new = [w for w in set(found) if w not in self]

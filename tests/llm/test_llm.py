@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.llm import jaccard_join, language_id, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, vector_search
 from skein.llm.chat_format import conversations
 from skein.llm.shared import components, set_aside
-from skein.llm.tokens import UNSETTLED, Words, encoded, ranks_path, tokenizer_path
+from skein.llm.tokens import ASCII_WORD, UNSETTLED, Words, encoded, ranks_path, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -280,6 +280,10 @@ def test_words_are_encoded_independently():
         sample = "".join("a{0}a1{0}1!{0}! {0}  {0}  '{0}'s{0}".format(chr(c)) for c in points[k : k + 10])
         assert [x.span() for x in own.pattern.finditer(sample)] == [x[1] for x in other.pre_tokenizer.pre_tokenize_str(sample)]
         assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
+    r = random.Random(7)
+    for sample in ["".join(r.choice(["'", "s", "ll", "Re", " ", "  ", "\n", "7", *map(chr, range(128))]) for _ in range(50)) for _ in range(3000)]:
+        assert [x.span() for x in ASCII_WORD.finditer(sample)] == [x[1] for x in other.pre_tokenizer.pre_tokenize_str(sample)]
+        assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
     for sample in ("", "a\u0558b \u0c5c's \U0001f600", "it's <|endoftext|> here", "x" * 500 + " 12\u00b2 " * 40):
         assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
     path = public_tokenizers.path("word_bpe_49k.json")
