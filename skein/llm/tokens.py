@@ -16,7 +16,7 @@ import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 # Fixed value: the special token of the ranks' vocabulary, which their file leaves out.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -53,6 +53,9 @@ class Words(dict):
         self.pattern = regex.compile(public_tokenizers.PATTERN) if independent else None
         self.added = [x["content"] for x in kind["added_tokens"]]
         self.whole = Tokenizer.from_file(path).encode_batch_fast
+        words = Tokenizer.from_file(path)
+        words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # words are not split again
+        self.words = words.encode_batch_fast
         self.most, self.longest = most, longest
 
     def ids(self, text: str) -> np.ndarray:
@@ -62,7 +65,7 @@ class Words(dict):
         if len(self) > self.most:
             self.clear()
         new = [w for w in set(found) if w not in self]
-        self.update(zip(new, (array("I", x.ids).tobytes() for x in self.whole(new, add_special_tokens=False))))
+        self.update(zip(new, (array("I", x.ids).tobytes() for x in self.words(new, add_special_tokens=False))))
         out = np.frombuffer(b"".join(map(self.__getitem__, found)), np.uint32)
         for word in new:
             if len(word) > self.longest:
