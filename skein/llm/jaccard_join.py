@@ -247,8 +247,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sizes = np.array([len(x) for x in own], np.int64)
             one, two = (np.array([np.bitwise_xor.reduce(mix(x)) if k else x.sum(dtype=np.uint64) for x in own], np.uint64).view(np.int64) for k in (0, 1))
             seen, flat, doc = set(), [], []
-            ids = batch.column(id_col).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            for i in np.argsort(ids, kind="stable").tolist():  # of equal sets the smallest id has the keys
+            named = np.flatnonzero(batch.column(id_col).is_valid().to_numpy(zero_copy_only=False))
+            ids = batch.column(id_col).cast(pa.int64()).drop_null().to_numpy(zero_copy_only=False)
+            for i in named[np.argsort(ids, kind="stable")].tolist():  # of equal sets the smallest id has the keys; a row without id represents none
                 x = own[i]
                 if len(x) and (key := (int(one[i]), int(two[i]), len(x))) not in seen:
                     seen.add(key)

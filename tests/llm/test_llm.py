@@ -96,6 +96,16 @@ def test_jaccard_components(spark, texts, leaf, n, percent):
     assert Counter(map(tuple, got)) == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("low", [5, -7])
+def test_jaccard_copies_without_id(spark, low):
+    """A copy without an id in the batch of its equals takes no link from them, whatever the ids' signs."""
+    words = [f"w{k}" for k in range(120)]
+    copy, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, copy), (low, copy), (9, near), (None, near), (None, "alone in the world here")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, 117, low), (low, 117, low), (9, 117, low), (None, 117, low), (None, 2, None)])
+
+
 def test_jaccard_dense_keys(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 2)
     monkeypatch.setattr(jaccard_join, "MANY", 7)
