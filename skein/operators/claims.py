@@ -67,16 +67,22 @@ def supported(claims: DataFrame, sources: DataFrame, keys: list[str]) -> DataFra
 
     A source that contains a phrase or the claim scores 1 and the first such source wins; else the share of the claim's tokens that
     the source has, the first source on ties. Claims and sources meet by key; sources of a key are few by design."""
-    claims = claims.withColumn("claim_tokens", F.array_distinct(matches(F.col("claim"), EVIDENCE_TOKEN)))
-    sources = sources.where("source <> ''").withColumn("source_tokens", F.array_distinct(matches(F.col("source"), EVIDENCE_TOKEN)))
-    pairs = claims.join(sources, keys, "left")
+    return best_support(evidence_tokens(claims, "claim").join(evidence_tokens(sources.where("source <> ''"), "source"), keys, "left"), keys)
+
+
+def evidence_tokens(rows: DataFrame, column: str) -> DataFrame:
+    return rows.withColumn(f"{column}_tokens", F.array_distinct(matches(F.col(column), EVIDENCE_TOKEN)))
+
+
+def best_support(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """supported() of claims that have met their sources: a row per claim (with claim_tokens) and source (with source_tokens), or none."""
     phrase = F.exists("phrases", lambda p: (strip(p) != "") & F.contains(F.col("source"), strip(p)))
     hit = (F.col("claim") != "") & F.col("source").isNotNull() & (phrase | F.contains(F.col("source"), F.col("claim")))
     share = F.size(F.array_intersect("claim_tokens", "source_tokens")) / F.greatest(F.size("claim_tokens"), F.lit(1))
     score = F.when(hit, F.lit(1.0)).when((F.col("claim") == "") | F.col("source").isNull(), F.lit(0.0)).otherwise(share)
-    best = pairs.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("score", score).groupBy(*keys, "claim_id").agg(
-        F.max_by(F.struct("score", "source_type", strip(F.substring("source", 1, 120)).alias("quote")), F.struct("hit", "score", F.negative("pos"))).alias("b")
-    )
+    # only short columns are sorted and sent, not the sources
+    scored = pairs.select(*keys, "claim_id", "pos", "source_type", strip(F.substring("source", 1, 120)).alias("quote"), F.coalesce(hit, F.lit(False)).alias("hit"), score.alias("score"))
+    best = scored.groupBy(*keys, "claim_id").agg(F.max_by(F.struct("score", "source_type", "quote"), F.struct("hit", "score", F.negative("pos"))).alias("b"))
     some = F.col("b.score") > 0
     return best.select(*keys, "claim_id", F.round("b.score", 4).alias("score"), F.when(some, F.col("b.source_type")).otherwise("").alias("source_type"), F.when(some, F.col("b.quote")).otherwise("").alias("quote"))
 

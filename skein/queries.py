@@ -349,13 +349,16 @@ def updates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def support(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims: the first line of each chapter; sources: the next chapter of the book, then the one after it."""
-    ch = chapters(spark, folder)
-    line = F.substring(F.split("text", "\n")[0], 1, 200)
-    asked_ = ch.select("book_id", "chapter_id", F.col("idx"), F.trim(line).alias("claim"), F.array(F.substring("text", 50, 12)).alias("phrases"))
-    asked_ = asked_.select("book_id", F.col("idx").alias("at"), F.col("chapter_id").alias("claim_id"), "claim", "phrases")
-    near_ = [ch.select("book_id", (F.col("idx") - k).alias("at"), F.lit(k).alias("pos"), F.lit(f"next{k}").alias("source_type"), F.substring("text", 1, 3000).alias("source")) for k in (1, 2)]
-    return claims.supported(asked_, near_[0].unionByName(near_[1]), ["book_id", "at"])
+    """Claims: the first line of each chapter; sources: its own text, then the two chapters before it and the two after it, all whole."""
+    line = F.split("text", "\n")[0]
+    ch = chapters(spark, folder).select("book_id", "chapter_id", "idx", F.nullif("text", F.lit("")).alias("source"), F.trim(line).alias("claim"), F.array(F.substring("text", 50, 12)).alias("phrases"))
+    # the claims of the chapters around come to a text, so that no text travels
+    claim, near_ = F.struct(F.col("idx").alias("at"), F.col("chapter_id").alias("claim_id"), "claim", "phrases"), W.partitionBy("book_id").orderBy("chapter_id")
+    places = [("chapter", claim)] + [(f"prev{k}", F.lead(claim, k).over(near_)) for k in (1, 2)] + [(f"next{k}", F.lag(claim, k).over(near_)) for k in (1, 2)]
+    asked_ = claims.evidence_tokens(ch.select("book_id", "source", *[x.alias(kind) for kind, x in places]), "source")
+    asked_ = asked_.select("book_id", "source", "source_tokens", F.explode(F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("source_type"), F.col(kind).alias("c")) for pos, (kind, _) in enumerate(places)])).alias("x"))
+    pairs = asked_.where("x.c.at IS NOT NULL").select("book_id", "source", "source_tokens", "x.pos", "x.source_type", "x.c.*")
+    return claims.best_support(claims.evidence_tokens(pairs, "claim"), ["book_id", "at"])
 
 
 SUPPORT = f"""WITH {CHAPTERS}, asked AS (SELECT book_id, idx AS place, chapter_id AS claim_id, trim(substr(string_split(text, chr(10))[1], 1, 200), ' ') AS claim, {stripped("substr(text, 50, 12)")} AS phrase FROM chapters),
