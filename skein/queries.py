@@ -117,7 +117,7 @@ SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM
 def upsert_facts_lww(spark, folder):
     rows = days(spark, folder).select("book_id", F.col("event_type").alias("fact_key"), F.col("value").alias("fact_value"), "pos", "chapter_idx")
     old = store.latest(rows.where("chapter_idx <= 10"), ["book_id", "fact_key"], ["pos"]).drop("chapter_idx")
-    return store.upsert(old, rows.where("chapter_idx BETWEEN 11 AND 15"), ["book_id", "fact_key"], ["pos"])
+    return store.upsert(old, rows.where("chapter_idx > 10"), ["book_id", "fact_key"], ["pos"])
 
 
 @query(f"""WITH {DAYS}, old AS (SELECT book_id, chapter_idx, count(*) AS n, min(pos) AS first_pos FROM days WHERE chapter_idx <= 15 GROUP BY ALL), new AS (SELECT book_id, chapter_idx, count(*) * 100 AS n, max(pos) AS first_pos FROM days WHERE chapter_idx >= 10 GROUP BY ALL)

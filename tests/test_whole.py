@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 if not os.path.isdir(FOLDER):
     pytest.skip("no test tables", allow_module_level=True)
 
-from skein.plans.adapters import BLANKS, CHAPTERS  # noqa: E402
+from skein.plans.adapters import BLANKS, CHAPTERS, DAYS  # noqa: E402
 from skein.queries import QUERIES  # noqa: E402
 
 
@@ -54,3 +54,9 @@ def test_evidence_reads_whole_texts_of_neighbours(spark, tmp_path, monkeypatch):
     texts = {i: t for i, t, _ in rows}
     assert {r["claim"] for r in pairs} == {texts[3].split("\n")[0]}
     assert [(r["source_type"], r["source"]) for r in pairs] == [("chapter", texts[3]), ("prev1", texts[2]), ("prev2", texts[1]), ("next1", texts[4]), ("next2", texts[5])]
+
+
+def test_upsert_reads_all_days(spark, duck):
+    """With every day on one side, the last write of a key is that of the table."""
+    same(QUERIES["upsert_facts_lww"](spark, FOLDER), duck.sql(f"""WITH {DAYS} SELECT book_id, event_type AS fact_key, value AS fact_value, pos FROM days
+QUALIFY row_number() OVER (PARTITION BY book_id, event_type ORDER BY chapter_idx > 10 DESC, pos DESC) = 1"""))
