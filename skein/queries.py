@@ -396,11 +396,11 @@ def state_transition_characters(spark, folder):
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return days(spark, folder).where("event_id % 3 = 0").select("book_id", "chapter_idx", "pos", F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20).cast("int")).alias("what"), F.col("props").alias("impact"))
+    return days(spark, folder).select("book_id", "chapter_idx", "pos", F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20).cast("int")).alias("what"), F.col("props").alias("impact"))
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    return days(spark, folder).where("event_id % 3 = 1").select("book_id", "chapter_idx", "pos", F.concat(F.lit("item "), F.col("event_id") % 5).alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("name")).alias("owner"), F.col("event_type").alias("description"))
+    return days(spark, folder).select("book_id", "chapter_idx", "pos", F.concat(F.lit("item "), F.col("event_id") % 5).alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("name")).alias("owner"), F.col("event_type").alias("description"))
 
 
 EVENTS = "e AS (SELECT book_id, chapter_idx, pos, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what, props AS impact FROM days WHERE event_id % 3 = 0)"
