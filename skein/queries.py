@@ -593,14 +593,14 @@ def export_book_summary(spark, folder):
 
 @query()
 def hybrid_fusion(spark, folder):
-    """Chunks and narrations, embedded and indexed; the first chapters of each book ask, with their causal bound."""
+    """Chunks and narrations, embedded and indexed; the chapters whose id is divisible by 100 ask, with their causal bound."""
     from .functions.providers import HashingEmbedder
     from .plans.generate import fallback_entities, hybrid, query_text
 
     c = all_chunks(spark, folder).select(F.lit("chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"))
     n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"]).select(F.lit("narration").alias("source_type"), F.col("narration_id").alias("source_id"), "chapter_idx", "title", F.col("narration_text").alias("text"))
     none = F.array().cast("array<string>")
-    asked_ = chapters(spark, folder).where("idx = 5").select(F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")).alias("query_text"), none.alias("given"))
+    asked_ = chapters(spark, folder).where("chapter_id % 100 = 0").select(F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")).alias("query_text"), none.alias("given"))
     return hybrid(c.unionByName(n), asked_, HashingEmbedder(), 8)
 
 

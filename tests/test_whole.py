@@ -67,3 +67,14 @@ def test_state_reads_all_events(spark, duck, name):
     """Every event row is a plot event and an item: the twin without its filters by remainder."""
     whole = SQL[name].replace(" WHERE event_id % 3 = 0", "").replace(" WHERE event_id % 3 = 1", "")
     same(QUERIES[name](spark, FOLDER), duck.sql(whole))
+
+
+def test_hybrid_asks_with_the_stated_queries(spark, monkeypatch):
+    from skein.plans import generate
+
+    given = []
+    real = generate.hybrid
+    monkeypatch.setattr(generate, "hybrid", lambda docs, asked, *a: given.append(asked) or real(docs, asked, *a))
+    QUERIES["hybrid_fusion"](spark, FOLDER)
+    ids = [r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r.query_id for r in given[0].select("query_id").collect()) == sorted(i for i in ids if i % 100 == 0)
