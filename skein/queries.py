@@ -448,7 +448,7 @@ def snapshot_restore_roundtrip(spark, folder):
 b(book_id, idx, bin, fill) AS (SELECT book_id, idx, 1, size FROM n WHERE idx = 1 UNION ALL SELECT n.book_id, n.idx, CASE WHEN fill > 0 AND fill + size > 10000 THEN bin + 1 ELSE bin END, CASE WHEN fill > 0 AND fill + size > 10000 THEN size ELSE fill + size END FROM b JOIN n ON n.book_id = b.book_id AND n.idx = b.idx + 1)
 SELECT book_id, CAST(idx AS BIGINT) AS idx, bin FROM b""")
 def size_binning(spark, folder):
-    sized = chapters(spark, folder).select("book_id", "idx", F.least(F.length("text"), F.lit(3000)).alias("size"))
+    sized = chapters(spark, folder).select("book_id", "idx", F.length("text").alias("size"))
     return state.size_bins(sized, ["book_id"], "idx", "size", 10_000)
 
 

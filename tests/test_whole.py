@@ -78,3 +78,11 @@ def test_hybrid_asks_with_the_stated_queries(spark, monkeypatch):
     QUERIES["hybrid_fusion"](spark, FOLDER)
     ids = [r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()]
     assert sorted(r.query_id for r in given[0].select("query_id").collect()) == sorted(i for i in ids if i % 100 == 0)
+
+
+def test_size_bins_of_whole_texts(spark, tmp_path):
+    """Full lengths fill the bins; a chapter longer than a bin has one of its own."""
+    sizes = [3500, 3500, 3500, 12_000, 10, 9_990, 1]
+    spark.createDataFrame([(i, "x" * n, "b") for i, n in enumerate(sizes)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["size_binning"](spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r["bin"] for r in got] == [1, 1, 2, 3, 4, 4, 5]
