@@ -30,7 +30,8 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = word_sizes(table(spark, folder, "documents").select("doc_id", "text", "source")).drop("text")
-    return mix_sources(cut(docs), blocks=False).select("doc_id", "size", "source_size", "target", "taken")
+    taken = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["words"])
+    return mix_sources(cut(docs)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:

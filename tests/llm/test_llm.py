@@ -139,6 +139,17 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7} | {100 + i: 100 for i in range(41)}
 
 
+def test_mix_query_draws_blocks(spark, monkeypatch):
+    from skein.llm import queries
+
+    drawn, real = [], queries.mix_sources
+    monkeypatch.setattr(queries, "mix_sources", lambda *a, **k: drawn.append(real(*a, **k)) or drawn[-1])
+    got = queries.op2_mix_sources(spark, "/root/testdata/sf0.001").collect()
+    want = {r.doc_id: r for r in drawn[0].collect()}
+    assert all(b.shard >= 0 and b.place >= 0 for r in want.values() for b in r.blocks)
+    assert {r.doc_id: r.taken for r in got} == {i: r.taken for i, r in want.items()} == {i: sum(b.words for b in r.blocks) for i, r in want.items()}
+
+
 def test_mixing(spark):
     r = random.Random(4)
     rows = [(i, " ".join(["w"] * r.randrange(400)) if i % 9 else None, None if i % 10 == 3 else f"s{i % 10 % 4}") for i in range(120)] + [(7, "a b c", "s1"), (7, "a b c", "s1"), (300, "only few", "tiny")]
