@@ -129,21 +129,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             grams = np.zeros(len(place), np.uint64)
             for j in range(k):
                 grams = mix(grams + codes[place + j].astype(np.uint64) + np.uint64(j))
-            hits: dict[tuple[int, int], list[int]] = {}
+            hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
             low, high = np.searchsorted(index.keys, grams, "left"), np.searchsorted(index.keys, grams, "right")
             for p, d, a, b in zip(place.tolist(), doc.tolist(), low.tolist(), high.tolist()):
                 for t, i in index.places[a:b]:
-                    hits.setdefault((d, t), []).append(p - int(first[d]) - i)
+                    hits.setdefault((d, t), []).append((p - int(first[d]) - i, p - int(first[d])))
             found: dict[int, list[tuple]] = {}
-            for (d, t), diagonals in hits.items():
-                text, template = codes[first[d] : first[d + 1]], index.templates[t]
+            for (d, t), own in hits.items():
+                text, template = codes[first[d] : first[d + 1]].copy(), index.templates[t]
                 last = None
-                for diagonal in sorted(diagonals):
-                    if last is None or diagonal > last + band:
-                        last = diagonal
+                for diagonal, at_ in sorted(own):
+                    # words of a notice found are taken, so that a hit beside it finds its own; one without a notice speaks for its band
+                    while text[at_] >= 0 and (last is None or diagonal > last + band):
                         matched, a, b = aligned(template, text, diagonal, band)
                         if matched >= least * len(template):
                             found.setdefault(d, []).append((len(template), matched / len(template), a, b, t, matched))
+                            text[a : b + 1] = -1
+                        else:
+                            last = diagonal
             for d, matches in found.items():
                 taken: list[tuple[int, int]] = []
                 for _, coverage, a, b, t, matched in sorted(matches, key=lambda m: (-m[1] * m[0], -m[1], m[2], m[4])):

@@ -150,6 +150,14 @@ def test_mix_query_draws_blocks(spark, monkeypatch):
     assert {r.doc_id: r.taken for r in got} == {i: r.taken for i, r in want.items()} == {i: sum(b.words for b in r.blocks) for i, r in want.items()}
 
 
+@pytest.mark.parametrize("notice,times", [("one two three four five", 6), ("one two three four five six", 5), ("one two three four", 7)])
+def test_license_repeats_of_short_notices(spark, notice, times):
+    rows = [(1, "\n".join([notice] * times)), (2, f"x {notice} y {notice}"), (3, notice)]
+    got = license_scan.scan(spark.createDataFrame(rows, DOCS), templates={"t": notice}).collect()
+    assert Counter(r.doc_id for r in got) == {1: times, 2: 2, 3: 1}
+    assert all(r.passage == notice for r in got)
+
+
 def test_mixing(spark):
     r = random.Random(4)
     rows = [(i, " ".join(["w"] * r.randrange(400)) if i % 9 else None, None if i % 10 == 3 else f"s{i % 10 % 4}") for i in range(120)] + [(7, "a b c", "s1"), (7, "a b c", "s1"), (300, "only few", "tiny")]
