@@ -105,8 +105,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 6 else pa.int64()) for k, x in enumerate(zip(*rows) if rows else [()] * 7)], PIECES.names)
 
         for batch in pieces(batches, text_col, 1_000_000):
-            for doc, ids in zip(batch.column(id_col).to_pylist(), encoded(batch.column(text_col).to_pylist(), path)):
-                packer.place(doc, np.append(ids, np.uint32(end_id)).astype("<u4"))
+            ids, offsets = encoded(batch.column(text_col), path)
+            ids = np.insert(ids, offsets[1:], end_id).astype("<u4", copy=False)
+            offsets = (offsets + np.arange(len(offsets))).tolist()
+            for doc, a, b in zip(batch.column(id_col).to_pylist(), offsets[:-1], offsets[1:]):
+                packer.place(doc, ids[a:b])
             yield taken()
         packer.finish()
         yield taken()

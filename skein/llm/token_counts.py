@@ -23,9 +23,8 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", path: str | None =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            texts = batch.column(text_col).to_pylist()
-            lengths = np.fromiter((len(x) for x in encoded(texts, path)), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths)], [*names, out])
+            lengths = pa.array(np.diff(encoded(batch.column(text_col), path)[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lengths], [*names, out])
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from skein.llm import jaccard_join, language_id, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, vector_search
 from skein.llm.chat_format import conversations
 from skein.llm.shared import components, set_aside
-from skein.llm.tokens import ASCII_WORD, UNSETTLED, Words, encoded, ranks_path, tokenizer_path
+from skein.llm.tokens import Words, at_spaces, encoded, ranks_path, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -290,37 +291,53 @@ def test_packing_round_trip(spark, texts):
     assert zlib.crc32(bytes(got[0].ids)) == packing.pack(df, open_most=3).where((F.col("sequence_id") == got[0].sequence_id) & (F.col("offset") == got[0].offset)).select(F.crc32("ids")).first()[0]
 
 
+def ids_of(own, samples):
+    ids, offsets = own(pa.array(samples, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+
 def test_tokens_of_both_files():
     other = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(6)
-    samples = ["", "a  b\n\n c\t", "it's <|endoftext|> here", "日本 é ½ ²", " 　x"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 1500), r.randrange(0x3000, 0xD7FF), 10, 32])) for _ in range(60)) for _ in range(200)]
+    samples = ["", "a  b\n\n c\t", "it's <|endoftext|> here", "日本 é ½ ²", " 　x"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 1500), r.randrange(0x3000, 0xD7FF), 10, 32])) for _ in range(60)) for _ in range(200)]
     for path in (tokenizer_path(), ranks_path()):
-        for text, ids in zip(samples, encoded(samples, path)):
-            assert other.encode(text, add_special_tokens=False).ids == ids.tolist()
+        assert ids_of(lambda x: encoded(x, path), samples) == [other.encode(x, add_special_tokens=False).ids for x in samples]  # noqa: B023
+        assert ids_of(lambda x: encoded(x, path), [None, "a", None]) == [[], other.encode("a").ids, []]  # noqa: B023
+        assert ids_of(lambda x: encoded(x, path), []) == []  # noqa: B023
 
 
-def test_words_are_encoded_independently():
+@pytest.mark.parametrize("kind", ["plain", "forgets", "collides", "cuts"])
+def test_words_are_encoded_independently(kind, monkeypatch):
     path = tokenizer_path()
     other = tokenizers.Tokenizer.from_file(path)
-    own = Words(path, most=50, longest=3)  # forgets many times on the way
-    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not UNSETTLED.match(chr(c))]
-    assert len(points) > 30_000
-    for k in range(0, len(points), 10):
-        sample = "".join("a{0}a1{0}1!{0}! {0}  {0}  '{0}'s{0}".format(chr(c)) for c in points[k : k + 10])
-        assert [x.span() for x in own.pattern.finditer(sample)] == [x[1] for x in other.pre_tokenizer.pre_tokenize_str(sample)]
-        assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
+    own = Words(path, **{"forgets": {"most": 300, "slots": 16}, "cuts": {"chunk": 40}}.get(kind, {}))
+    if kind == "collides":
+        monkeypatch.setattr("skein.llm.tokens.spans_hash", lambda prefix, starts, ends: prefix[starts] * 0 + np.uint64(7) + (ends - starts > 3))
+
+    def check(samples):
+        assert ids_of(own.ids, samples) == [x.ids for x in other.encode_batch(samples, add_special_tokens=False)]
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = points[:0x3200:17] if kind == "collides" else points[:0x10000:3] + points[0x10000:0x20000:7] + points[0x20000::977]
+    check(["".join("a{0}a1{0}1!{0}! {0}  {0}  '{0}'s{0}".format(chr(c)) for c in points[k : k + 10]) for k in range(0, len(points), 10)])
     r = random.Random(7)
-    for sample in ["".join(r.choice(["'", "s", "ll", "Re", " ", "  ", "\n", "7", *map(chr, range(128))]) for _ in range(50)) for _ in range(3000)]:
-        assert [x.span() for x in ASCII_WORD.finditer(sample)] == [x[1] for x in other.pre_tokenizer.pre_tokenize_str(sample)]
-        assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
-    for sample in ("", "a\u0558b \u0c5c's \U0001f600", "it's <|endoftext|> here", "x" * 500 + " 12\u00b2 " * 40):
-        assert own.ids(sample).tolist() == other.encode(sample, add_special_tokens=False).ids
+    check(["".join(r.choice(["'", "s", "ll", "Re", " ", "  ", "\n", "7", "\xa0", "é", *map(chr, range(128))]) for _ in range(50)) for _ in range(100 if kind == "collides" else 3000)])
+    check(["", "a\u0558b \u0c5c's \U0001f600", "it's <|endoftext|> here", "x" * 500 + " 12\u00b2 " * 40, "", "<|endoftext|><|endoftext|>", "a <|endo", "ftext|> b", "'", "'s", "'r", "e", " "])
+    check(["some words that go on and on, it's " * 30 + "中文" * 60 + " and <|endoftext|> more words " * 9, "中" * 200])
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert Words(path).ids("Some WORDS  here").tolist() == tokenizers.Tokenizer.from_file(path).encode("Some WORDS  here", add_special_tokens=False).ids
+    assert ids_of(Words(path).ids, ["Some WORDS  here", None]) == [tokenizers.Tokenizer.from_file(path).encode("Some WORDS  here", add_special_tokens=False).ids, []]
+
+
+def test_texts_are_cut_where_words_end():
+    text = ("one two, three  four\nfive six 7 eight" * 50).encode()
+    parts = list(at_spaces(np.frombuffer(text, np.uint8), 100))
+    assert b"".join(x.tobytes() for x in parts) == text and len(parts) > 10
+    assert [x.tobytes() for x in at_spaces(np.frombuffer(b"x" * 1000, np.uint8), 100)] == [b"x" * 1000]
 
 
 def test_token_counts(spark, texts):
-    lengths = [len(x) for x in encoded([t for _, t in texts], ranks_path())]
+    other = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = [len(other.encode(t or "", add_special_tokens=False).ids) for _, t in texts]
     got = token_counts.context_limits(token_counts.length_histogram(spark.createDataFrame(texts, DOCS))).collect()
     assert {g.n_tokens: g.n_docs for g in got} == Counter(lengths)
     for g in got:
