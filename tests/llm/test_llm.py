@@ -416,28 +416,64 @@ def test_models_are_distributions():
     assert 0 < total < 1
 
 
-@pytest.mark.parametrize("kind", ["even", "clusters"])
+def plain_nearest(rows, wanted, k):
+    """(query id, place) to (vec_id, score) lists, by all inner products; place tells rows of one id apart."""
+    good = [(i, x, u) for x, (i, u) in enumerate(rows) if i is not None and u is not None and len(u) == 16 and all(c is not None and np.isfinite(c) for c in u) and any(u)]
+    v = np.array([u for *_, u in good])
+    out = []
+    for a, (i, x, u) in enumerate(good):
+        if wanted(i):
+            s = np.einsum("ij,ij->i", v, np.broadcast_to(v[a], v.shape))
+            out.append((i, sorted(((-s[b], j) for b, (j, *_) in enumerate(good) if b != a))[:k]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "copies"])
 def test_vector_search(spark, kind):
     rng = np.random.default_rng(4)
-    v = rng.standard_normal((700, 16))
+    v = rng.standard_normal((700, 16)).astype(np.float32).astype(float)
     if kind == "clusters":
-        v = np.repeat(rng.standard_normal((10, 16)) * 5, 70, axis=0) + 0.1 * v
+        v = (np.repeat(rng.standard_normal((10, 16)) * 5, 70, axis=0) + 0.1 * v).astype(np.float32).astype(float)
+    if kind == "copies":
+        v[:300] = v[0]
+        v[300:600] = v[300] + rng.integers(0, 2, (300, 16)) * 1e-4
     v[5], v[6] = v[4], 0
-    rows = [(i, [float(x) for x in u]) for i, u in enumerate(v)] + [(1000, None), (1001, [1.0, None] + [0.0] * 14), (1002, [float("nan")] * 16), (1020, [1.0, 2.0])]
+    rows = [(i, [float(x) for x in u]) for i, u in enumerate(v)] + [(1000, None), (1001, [1.0, None] + [0.0] * 14), (1002, [float("nan")] * 16), (1020, [1.0, 2.0]), (1040, [float("inf")] * 16), (None, [1.0] * 16)]
+    rows += [rows[20], rows[20], (40, rows[41][1])]  # repeated rows, an id with two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = vector_search.nearest(df, F.col("id") % 20 == 0, k=7, window=64).collect()
-    found = {}
-    for g in sorted(got, key=lambda g: g.rank):
-        found.setdefault(g.query_id, []).append((g.vec_id, g.score))
-    assert sorted(found) == list(range(0, 700, 20))
-    for q, best in found.items():
-        s = v @ v[q]
-        order = [i for i in np.lexsort((np.arange(700), -np.round(s, 9))) if i not in (q, 6)][:7]
-        assert [s[i] for i, _ in best] == pytest.approx([s[i] for i in order])
-        assert all(score == pytest.approx(s[i], abs=1e-9) for i, score in best)
+    want = plain_nearest(rows, lambda i: i % 20 == 0, 7)
+    for data in (df, df.select(F.col("embedding").cast("array<float>"), F.lit("clash").alias("row"), F.lit(1).alias("score"), "vec_id")):
+        got = vector_search.nearest(data, F.col("id") % 20 == 0, k=7, part=256, reach=700)
+        found = {}
+        for g in got.orderBy("query_id", "rank").collect():
+            found.setdefault(g.query_id, []).append((g.rank, g.vec_id, g.score))
+        assert sorted(found) == sorted({i for i, _ in want})
+        for i, own in found.items():
+            expected = sorted(x for j, x in want if j == i)
+            own = sorted([(-s, j) for r, j, s in own if r > 0]) if len(expected) > 1 else [(-s, j) for _, j, s in own]
+            flat = sorted(y for x in expected for y in x) if len(expected) > 1 else expected[0]
+            assert [x[0] for x in own] == pytest.approx([x[0] for x in flat], abs=1e-4 if data is not df else 1e-9)
+            if data is df and kind != "copies":
+                assert [x[1] for x in own] == [x[1] for x in flat]
+            if data is df and kind == "copies" and i < 300:
+                assert [x[1] for x in own] == [x[1] for x in flat]  # ties among 300 equal vectors
     few = vector_search.nearest(df.limit(3), F.col("id") == 0, k=7).collect()
     assert sorted(g.vec_id for g in few) == [1, 2]
     assert vector_search.nearest(df.limit(0), F.col("id") == 0).count() == 0
+    assert vector_search.nearest(df.where("vec_id >= 1000"), F.col("id") == 1020).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters"])
+def test_vector_search_recall(spark, kind):
+    """What the curves alone find, with windows far smaller than the table."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((6000, 24))
+    if kind == "clusters":
+        v = np.repeat(rng.standard_normal((60, 24)), 100, axis=0) + 0.3 * v
+    df = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(v)], "vec_id long, embedding array<float>")
+    got = vector_search.nearest(df, F.col("id") % 20 == 0, k=10, part=1500, reach=500).collect()
+    exact = {q: set(np.argsort(-np.where(np.arange(6000) == q, -np.inf, v @ v[q]))[:10].tolist()) for q in range(0, 6000, 20)}
+    assert sum(g.vec_id in exact[g.query_id] for g in got) / 3000 >= 0.9
 
 
 def test_hilbert_curve_is_continuous():
