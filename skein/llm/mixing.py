@@ -1,17 +1,21 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Each source's documents, in a fixed order, form one stream of words that is cut into blocks. A source's target is met by
-whole passes over its stream and a last pass over some of its blocks. The block quotas of all
+whole passes over its stream and a last pass over some of its blocks. The last pass's block quotas of all
 sources are split among the output shards by a binary tree: each node draws, without replacement, how many blocks of
-each source go to its left half. A keyed permutation of a source's blocks then deals them to the shards in disjoint
-runs, and a hash orders the blocks inside each shard. Nothing depends on partitions or the order of rows.
+each source go to its left half. A keyed permutation orders a source's blocks; each shard has a run of that order to itself, as
+long as its share of the quotas, and draws the first blocks of its run, as many as the tree gave it. Hence the tree decides which
+blocks a source gives. Whole passes deal their blocks to the shards in the same runs. A hash orders the blocks
+inside each shard. Nothing depends on partitions or the order of rows.
 
 Block starts come from sums over (source, bucket of ids), so a hot source is spread over all buckets. The driver holds
-one row per source and the tree's quotas, shards x sources integers.
+one row per source; the tree's quotas, shards x sources integers, are broadcast and have at most `MOST_CELLS` cells:
+with more sources there are fewer, larger shards, and more sources than that are an error.
 
 Edge cases. Null text has size 0 and takes nothing; a source without words has target 0. Null is a source of its own, last in order.
 Rows that repeat an id are documents of their own; rows equal in id, text and source may trade places. An empty table
-gives an empty result. Extra columns pass through; those named like made ones are replaced.
+gives an empty result. Extra columns pass through; those named like made ones are replaced. A very long text is one row with many blocks, a
+few dozen bytes each.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .bytewords import mix
 from .shared import parts_for
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_CELLS = 1 << 22
 BLOCK = T.StructType([T.StructField(n, T.LongType()) for n in ("pass", "first", "words", "shard", "place")])
 
 
@@ -70,6 +75,21 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def draws(j: np.ndarray, blocks: int, key: int, quotas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks j of a source with `blocks` of them: the shard in whose run each lies, and its place in the order of what the
+    shards draw (those before quotas[-1], the running sum's end), or -1 if its shard does not draw it.
+
+    quotas: running sums over shards of the blocks that each draws, at most `blocks` in all. A shard's run is never shorter than its quota."""
+    total = int(quotas[-1])
+    rank = permuted(j, blocks, key)
+    if not total:  # nothing is drawn; runs are even
+        return rank * len(quotas) // max(blocks, 1), np.full(len(j), -1)
+    ends = quotas * blocks // total
+    shard = np.searchsorted(ends, rank, "right")
+    order = rank - np.concatenate(([0], ends[:-1]))[shard] + np.concatenate(([0], quotas[:-1]))[shard]
+    return shard, np.where(order < quotas[shard], order, -1)
+
+
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0..n-1 applied to x: four Feistel rounds, walked until inside the range."""
     if n < 2:
@@ -108,16 +128,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = sorted(((r[0], r[1]) for r in sized.groupBy(source_col).agg(F.sum("size")).toLocalIterator()), key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes = [r[0] for r in per], [int(r[1] or 0) for r in per]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], most)
+    if len(per) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} sources")
     block = max(block_words, sum(sizes) * most // 200_000_000 + 1)
-    plan, quotas = {}, []
+    plan, last = {}, []
     for i, (name, n, t) in enumerate(zip(names, sizes, goal)):
-        quota = min(round(t), most * n)
-        whole, rest = divmod(quota, n) if n else (0, 0)
-        count, tail = divmod(n, block)
-        plan[name] = (i, n, t, whole, rest // block, rest % block, count, tail)
-        quotas.append(whole * (count + (tail > 0)) + rest // block + (rest % block > 0))
-    shards = max(1, -(-sum(map(round, goal)) // shard_words))
-    bounds = np.cumsum(split_quotas(np.array(quotas, np.int64), shards, seed), axis=0) if quotas else np.zeros((1, 0), np.int64)
+        whole, rest = divmod(min(round(t), most * n), n) if n else (0, 0)
+        count = n // block
+        full, extra = divmod(rest, block)
+        # the last of the drawn blocks gives `cut` words; words that exceed all full blocks come from the stream's short end
+        drawn, cut, tail = (full + (extra > 0), extra or block, 0) if full + (extra > 0) <= count else (count, block, extra)
+        plan[name] = (i, n, t, whole, count, cut, tail)
+        last.append(drawn)
+    shards = max(1, min(-(-sum(map(round, goal)) // shard_words), MOST_CELLS // max(len(per), 1)))
+    quotas = np.cumsum(split_quotas(np.array(last, np.int64), shards, seed), axis=0).T if last else np.zeros((0, shards), np.int64)
+    quotas = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(quotas))
 
     # where each document starts in its source's stream: sums of earlier buckets, then a running sum inside the bucket
     n_buckets = parts_for(docs, 16_000_000)
@@ -140,26 +165,30 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             size, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "skein_start"))
             taken, rows = np.zeros(len(own), np.int64), []
             for i in np.unique(own).tolist():
-                _, n, _, whole, full, extra, count, tail = plan[names[i]]
+                _, n, _, whole, count, cut, tail = plan[names[i]]
                 at = np.flatnonzero((own == i) & (size > 0))
                 if not len(at):
                     continue
-                first, last = start[at] // block, (start[at] + size[at] - 1) // block
-                per_doc = last - first + 1
+                first, stop = start[at] // block, (start[at] + size[at] - 1) // block
+                per_doc = stop - first + 1
                 doc = np.repeat(at, per_doc)
                 j = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc) + np.repeat(first, per_doc)
                 low, high = np.maximum(j * block, start[doc]), np.minimum((j + 1) * block, start[doc] + size[doc])
-                for p in range(whole + (full + extra > 0)):
-                    rank = np.where(j < count, permuted(np.minimum(j, max(count - 1, 0)), count, (seed + i) * 8 + p), count)
-                    end = high if p < whole else np.where(rank < full, high, np.where(rank == full, np.minimum(high, j * block + extra), low))
+                inner, drawn = j < count, int(quotas.value[i, -1])
+                for p in range(whole + (drawn > 0 or tail > 0)):
+                    shard, order = (np.full(len(j), x) for x in (shards - 1, -1))
+                    shard[inner], order[inner] = draws(j[inner], count, (seed + i) * 8 + p, quotas.value[i])
+                    if p < whole:
+                        end = high
+                    else:
+                        words_left = np.where(inner, np.where(order < 0, 0, np.where(order == drawn - 1, cut, block)), tail)
+                        end = np.minimum(high, j * block + words_left)
                     words = np.maximum(end - low, 0)
                     np.add.at(taken, doc, words)
                     if blocks:
                         some = words > 0
-                        order = rank[some] + p * (count + (tail > 0))
-                        shard = np.searchsorted(bounds[:, i], order, "right")
-                        place = (mix(order.astype(np.uint64) * np.uint64(len(names)) + np.uint64(i) + np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
-                        rows.append((doc[some], np.full(some.sum(), p), (low - start[doc])[some], words[some], shard, place))
+                        place = (mix((j[some] * most + p).astype(np.uint64) * np.uint64(len(names)) + np.uint64(i) + np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
+                        rows.append((doc[some], np.full(some.sum(), p), (low - start[doc])[some], words[some], shard[some], place))
             columns = [batch.column(c) for c in (*kept, "size")]
             columns += [pa.array(np.array([plan[s][k] for s in source], t)) for k, t in ((1, np.int64), (2, np.float64))] + [pa.array(taken)]
             if blocks:
@@ -173,20 +202,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix as documents: a row per document and pass with the text that the pass takes.
+    """The mix as documents: a row per document and pass with the text that the pass takes, in the shard of its first block.
 
-    A pass that takes all words has the text unchanged; one that takes some has their blocks' words, joined by spaces."""
+    A pass that takes all words has the text unchanged; one that takes some has their blocks' words, joined by spaces.
+    Each shard lies in one partition, shuffled by its blocks' places, so that a document's passes part."""
     passes = mixed.withColumn("skein_pass", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["pass"]))))
     own = F.filter("blocks", lambda b: b["pass"] == F.col("skein_pass"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("skein_own", lambda b: F.slice("skein_words", b["first"].cast("int") + 1, b["words"].cast("int")))), " ")
     whole = F.aggregate("skein_own", F.lit(0).cast("long"), lambda n, b: n + b["words"]) == F.col("size")
     passes = passes.withColumn("skein_own", own).withColumn("skein_whole", whole).withColumn("skein_words", F.when(~F.col("skein_whole"), words))
-    return passes.withColumn(text_col, F.when(F.col("skein_whole"), F.col(text_col)).otherwise(some)).drop("skein_pass", "skein_own", "skein_whole", "skein_words")
+    passes = passes.withColumn(text_col, F.when(F.col("skein_whole"), F.col(text_col)).otherwise(some))
+    passes = passes.withColumn("skein_shard", F.col("skein_own")[0]["shard"]).withColumn("skein_place", F.col("skein_own")[0]["place"]).drop("blocks", "skein_own", "skein_whole", "skein_words")
+    return passes.repartition("skein_shard").sortWithinPartitions("skein_shard", "skein_place", id_col, "skein_pass").drop("skein_pass", "skein_shard", "skein_place")
 
 
 def shuffled_blocks(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: one row per block with its words' text, shards as partitions, shuffled inside each shard."""
+    """The mix in blocks: one row per block with its words' text, shards as partitions, shuffled inside each shard."""
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     out = mixed.select(id_col, F.explode("blocks").alias("b"), text_col).select(id_col, "b.*", F.array_join(F.slice(words, F.col("b.first").cast("int") + 1, F.col("b.words").cast("int")), " ").alias("text"))
     return out.repartition("shard").sortWithinPartitions("shard", "place", id_col, "first")

@@ -189,6 +189,91 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def plain_mix(rows, block, shards, seed, split):
+    """Words that each (doc, text) gives, in plain Python over the same splitting function."""
+    sources = {}
+    for i, t, s in rows:
+        sources.setdefault(s, []).append((i, len(WORD.findall(t or "")), t))
+    names = sorted(sources, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, n, _ in sources[s]) for s in names]
+    goal, left, active = [0.0] * len(names), sum(sizes), set(range(len(names)))
+    while active:
+        weight = sum((5, 2, 1)[k % 3] for k in active)
+        over = {k for k in active if left * (5, 2, 1)[k % 3] > 3 * sizes[k] * weight}
+        for k in over or active:
+            goal[k] = 3 * sizes[k] if over else left * (5, 2, 1)[k % 3] / weight
+        left -= sum(3 * sizes[k] for k in over)
+        active = active - over if over else set()
+    rest = [(min(round(g), 3 * n) % n if n else 0) for g, n in zip(goal, sizes)]
+    drawn = [min(-(-r // block), n // block) for r, n in zip(rest, sizes)]
+    runs = split(np.array(drawn), shards, seed)
+    return names, sizes, goal, rest, drawn, runs
+
+
+@pytest.mark.parametrize("shards", [1, 7])
+def test_draws_follow_the_tree(shards):
+    """Each shard draws what the tree gave it from its own run, blocks are disjoint, and other draws take other blocks."""
+    for blocks, total in ((50, 20), (50, 50), (3, 1), (400, 0), (1, 1)):
+        seen = []
+        for seed in (1, 2, 3):
+            own = mixing.split_quotas(np.array([total, 30]), shards, seed)[:, 0]
+            shard, order = mixing.draws(np.arange(blocks), blocks, 9, np.cumsum(own))
+            taken = order >= 0
+            assert taken.sum() == total and sorted(order[taken]) == list(range(total))
+            assert np.bincount(shard[taken], minlength=shards).tolist() == own.tolist()
+            seen.append(taken.tolist())
+        if shards > 1 and (blocks, total) == (50, 20):
+            assert seen[0] != seen[1] or seen[1] != seen[2]
+
+
+def test_mix_follows_the_tree(spark, monkeypatch):
+    r = random.Random(14)
+    rows = [(i, " ".join(["w"] * r.randrange(300)) if i % 9 else None, f"s{i % 5 % 4}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("clash")).withColumn("size", F.lit("clash")).withColumn("blocks", F.lit("clash"))
+    real = mixing.split_quotas
+
+    def swapped(quotas, shards, seed):
+        return real(quotas, shards, seed)[::-1]
+
+    outs = []
+    for split in (real, swapped):
+        monkeypatch.setattr(mixing, "split_quotas", split)
+        got = mixing.mix_sources(df, block_words=32, shard_words=3_000).collect()
+        names, sizes, goal, rest, drawn, runs = plain_mix(rows, 32, len({b.shard for g in got for b in g.blocks}), 20240601, split)
+        last = Counter()
+        for k, name in enumerate(names):
+            own = [g for g in got if g.source == name]
+            assert sum(g.taken for g in own) == round(goal[k]) and all(g.target == pytest.approx(goal[k]) and g.source_size == sizes[k] and g.taken <= 3 * g.size for g in own)
+            whole = round(goal[k]) // sizes[k]
+            assert sum(b.words for g in own for b in g.blocks if b["pass"] == whole) == rest[k]
+            # words per shard of the last pass: as many blocks as the tree gave it, but for one that is cut
+            for g in own:
+                for b in g.blocks:
+                    if b["pass"] == whole:
+                        last[b.shard, k] += b.words
+        for s in range(len(runs)):
+            for k in range(len(names)):
+                assert abs(last[s, k] - 32 * runs[s, k]) <= 32
+        outs.append({g.doc_id: g.taken for g in got})
+    assert outs[0] != outs[1]
+
+
+def test_mixed_documents_part(spark):
+    """Rows lie in the shards of their first blocks, and passes of one document do not stay side by side."""
+    rows = [(i, " ".join(f"w{i}" for _ in range(50)), "a" if i % 10 else "b") for i in range(400)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=16, shard_words=2_000)
+    ids = [g.doc_id for g in mixing.mixed_documents(mixed).collect()]
+    assert ids != sorted(ids) and sum(a == b for a, b in zip(ids, ids[1:])) < len(ids) / 10
+    assert ids == [g.doc_id for g in mixing.mixed_documents(mixed).collect()]
+
+
+def test_mix_of_very_long_text_and_no_rows(spark):
+    rows = [(1, "word " * 200_000, "a"), (2, "", "b"), (3, None, None), (4, "x y", "b")]
+    got = {g.doc_id: g for g in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].size == 200_000 and got[2].taken == got[3].taken == 0 and got[4].taken == 6 and got[1].taken == 199_996
+    assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
 def test_permutation_and_quotas():
     for n in (1, 2, 3, 100, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 9).tolist()) == list(range(n))
