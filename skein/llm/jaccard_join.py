@@ -19,7 +19,9 @@ The result gives each document its set's size and its component: the smallest id
 5. Components of the links found are those of all links.
 
 Edge cases. Null text, no words: size 0, linked with nothing, component the own id. Rows of one id are one
-node, linked with what any of them links with; each row has its own size. An empty table gives an empty result. Extra columns are ignored.
+node, linked with what any of them links with; each row has its own size. A row without an id has the component of the rows
+with its set, if one of those has an id, and links nothing. An empty table gives an empty result. Extra columns are
+ignored. A very long text is one set in memory, 8 bytes a shingle; its point has 1024 coordinates of 32 bits.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,7 +190,8 @@ def bound_forest(ids: np.ndarray, points: list[np.ndarray], side: np.ndarray, pe
 def candidates(sketched: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b that connect whatever shares a key within the bound. sketched: id, keys, point."""
     keys = sketched.select("id", F.explode("keys").alias("key"))
-    shared = keys.withColumn("df", F.count("*").over(W.partitionBy("key"))).where("df > 1")
+    # counted before the shuffle and joined back, so that a key of very many documents is never in one task
+    shared = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "key"))
     listed = shared.where(F.col("df") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pair = F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")
     pairs = listed.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
@@ -198,11 +200,11 @@ def candidates(sketched: DataFrame, percent: int) -> DataFrame:
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within_bound(np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64), percent) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
+            keep = [within_bound(np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64), percent) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], ["a", "b"])
 
     def forest(table: pa.Table) -> pa.Table:
-        points = [np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("point").to_pylist()]
+        points = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("point").to_pylist()]
         found = bound_forest(table.column("id").to_numpy(), points, table.column("side").to_numpy(), percent) if len(points) > 1 else []
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
@@ -261,7 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             order = np.argsort(doc, kind="stable")
             ends = np.searchsorted(doc[order], np.arange(len(own) + 1))
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order].view(np.int64), pa.int64()))
-            points = pa.array([point(x).astype(np.uint16).tobytes() if len(x) else None for x in own], pa.binary())
+            points = pa.array([point(x).astype(np.uint32).tobytes() if len(x) else None for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(sizes), pa.array(one), pa.array(two), keys, points], ["id", "n", "s1", "s2", "keys", "point"])
 
     sketched = cut(docs.mapInArrow(sketch, "id long, n long, s1 long, s2 long, keys array<long>, point binary"))
@@ -305,3 +307,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = cut(links.unionByName(links_within(docs, rows, id_col, text_col, n, percent)))
     found = components(links)
     return member.join(found, member.rep == found.node, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when each component of linked texts keeps one: the smallest id, null last.
+
+    Where ids are null or repeat, rows are told apart by numbers of their own, so texts of one id that are no near copies
+    all stay; of rows with one id in one component the one with the smallest hash over all columns stays. Rows without words stay,
+    but of rows equal in id and text one. Extra columns pass through."""
+    kinds = docs.groupBy(id_col).agg(F.count("*").alias("rows")).where(F.col(id_col).isNull() | (F.col("rows") > 1))
+    if kinds.isEmpty():
+        found = jaccard_components(docs, id_col, text_col, n, percent)
+        gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+        return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    plain = [c for c, t in docs.dtypes if not t.startswith("map")]
+    rows = cut(docs.withColumn("skein_row", F.monotonically_increasing_id()).withColumn("skein_hash", F.xxhash64(*plain)).withColumn("skein_text", F.xxhash64(text_col)))
+    found = jaccard_components(rows.select(F.col("skein_row").alias("id"), F.col(text_col).alias("text")), "id", "text", n, percent)
+    found = found.select(F.col("id").alias("skein_row"), F.col("component_id").alias("skein_group"), F.col("n_shingles").alias("skein_n"))
+    slim = rows.select("skein_row", id_col, "skein_hash", "skein_text").join(found, "skein_row")
+    group = [F.when(F.col("skein_n") > 0, F.col("skein_group")), *[F.when(F.col("skein_n") == 0, F.col(c)) for c in (id_col, "skein_text")]]
+    first = F.min(F.struct(F.col(id_col).isNull(), id_col, "skein_hash", "skein_row"))
+    left = slim.groupBy(*[g.alias(f"skein_{i}") for i, g in enumerate(group)]).agg(first.alias("first")).select("first.skein_row")
+    return rows.join(left.hint("merge"), "skein_row", "left_semi").select(*docs.columns)

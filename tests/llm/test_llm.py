@@ -107,6 +107,30 @@ def test_jaccard_copies_without_id(spark, low):
     assert Counter(map(tuple, got)) == Counter([(None, 117, low), (low, 117, low), (9, 117, low), (None, 117, low), (None, 2, None)])
 
 
+def test_jaccard_edges(spark):
+    clash = spark.createDataFrame([(1, "a b c d e"), (2, "A b C d e"), (3, None), (4, " ")], DOCS).withColumn("n", F.lit("x")).withColumn("component_id", F.lit(9)).withColumn("key", F.lit(0))
+    got = jaccard_join.jaccard_components(clash).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4)])
+    assert jaccard_join.jaccard_components(clash.limit(0)).count() == 0
+    long = " ".join(f"w{k}" for k in range(150_000))
+    rows = [(5, long), (6, long + " tail"), (7, "x y z")]
+    assert Counter(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect())) == Counter([(5, 149_997, 5), (6, 149_998, 5), (7, 1, 7)])
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_of_each(spark, parts):
+    words = [f"w{k}" for k in range(120)]
+    a, near, far = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1])
+    rows = [(1, a, 0), (1, far, 1), (2, near, 2), (None, near, 3), (None, "alone in a very new world", 4), (None, "alone in a very new world", 4), (3, None, 5), (3, None, 5), (4, None, 6), (5, far, 7), (6, "", 8), (7, near, 9), (7, a, 10), (8, "b " * 30, 11), (8, "c " * 30, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").withColumn("skein", F.lit(1))
+    got = jaccard_join.one_of_each(df.repartition(parts, "extra"))
+    assert got.columns == df.columns
+    assert Counter(r.extra for r in got.collect()) == Counter([0, 1, 4, 5, 6, 8, 11, 12])
+    single = df.where("extra IN (0, 2, 4, 6, 8, 11)").dropDuplicates(["extra"]).where("doc_id IS NOT NULL")
+    assert Counter(r.extra for r in jaccard_join.one_of_each(single.repartition(parts)).collect()) == Counter([0, 6, 8, 11])
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_jaccard_dense_keys(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 2)
     monkeypatch.setattr(jaccard_join, "MANY", 7)
