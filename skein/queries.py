@@ -112,7 +112,7 @@ def asof_checkpoint(spark, folder):
 
 
 @query(f"""WITH {DAYS}, old AS (SELECT book_id, event_type AS fact_key, value AS fact_value, pos FROM days WHERE chapter_idx <= 10 QUALIFY row_number() OVER (PARTITION BY book_id, event_type ORDER BY pos DESC) = 1),
-new AS (SELECT book_id, event_type AS fact_key, value AS fact_value, pos FROM days WHERE chapter_idx BETWEEN 11 AND 15 QUALIFY row_number() OVER (PARTITION BY book_id, event_type ORDER BY pos DESC) = 1)
+new AS (SELECT book_id, event_type AS fact_key, value AS fact_value, pos FROM days WHERE chapter_idx > 10 QUALIFY row_number() OVER (PARTITION BY book_id, event_type ORDER BY pos DESC) = 1)
 SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.book_id = o.book_id AND n.fact_key = o.fact_key)""")
 def upsert_facts_lww(spark, folder):
     rows = days(spark, folder).select("book_id", F.col("event_type").alias("fact_key"), F.col("value").alias("fact_value"), "pos", "chapter_idx")
@@ -361,9 +361,10 @@ def support(spark: SparkSession, folder: str) -> DataFrame:
     return claims.best_support(claims.evidence_tokens(pairs, "claim"), ["book_id", "at"])
 
 
-SUPPORT = f"""WITH {CHAPTERS}, asked AS (SELECT book_id, idx AS place, chapter_id AS claim_id, trim(substr(string_split(text, chr(10))[1], 1, 200), ' ') AS claim, {stripped("substr(text, 50, 12)")} AS phrase FROM chapters),
-src AS (SELECT book_id, idx - k AS place, k AS pos, 'next' || k AS source_type, substr(text, 1, 3000) AS source FROM chapters, range(1, 3) r(k) WHERE length(text) > 0),
-pairs AS (SELECT a.*, s.pos, s.source_type, s.source, list_distinct(regexp_extract_all(claim, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}|[A-Za-z0-9_]{{2,20}}')) AS ct, list_distinct(regexp_extract_all(source, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}|[A-Za-z0-9_]{{2,20}}')) AS st FROM asked a LEFT JOIN src s ON a.book_id = s.book_id AND a.place = s.place),
+SUPPORT = f"""WITH {CHAPTERS}, asked AS (SELECT book_id, idx AS place, chapter_id AS claim_id, trim(string_split(text, chr(10))[1], ' ') AS claim, {stripped("substr(text, 50, 12)")} AS phrase FROM chapters),
+around AS (SELECT * FROM (VALUES (0, 'chapter', 0), (1, 'prev1', -1), (2, 'prev2', -2), (3, 'next1', 1), (4, 'next2', 2)) v(pos, source_type, step)),
+src AS (SELECT book_id, idx, nullif(text, '') AS source, list_distinct(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}|[A-Za-z0-9_]{{2,20}}')) AS st FROM chapters),
+pairs AS (SELECT a.*, o.pos, o.source_type, s.source, s.st, list_distinct(regexp_extract_all(claim, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}|[A-Za-z0-9_]{{2,20}}')) AS ct FROM asked a CROSS JOIN around o JOIN src s ON a.book_id = s.book_id AND s.idx = a.place + o.step),
 h AS (SELECT *, coalesce(claim <> '' AND source IS NOT NULL AND ((phrase <> '' AND contains(source, phrase)) OR contains(source, claim)), false) AS hit FROM pairs),
 sc AS (SELECT *, CASE WHEN hit THEN 1.0::DOUBLE WHEN claim = '' OR source IS NULL THEN 0.0::DOUBLE ELSE len(list_intersect(ct, st)) / greatest(len(ct), 1)::DOUBLE END AS score FROM h),
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY book_id, place, claim_id ORDER BY hit DESC, score DESC, pos) = 1),
@@ -403,8 +404,8 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     return days(spark, folder).select("book_id", "chapter_idx", "pos", F.concat(F.lit("item "), F.col("event_id") % 5).alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("name")).alias("owner"), F.col("event_type").alias("description"))
 
 
-EVENTS = "e AS (SELECT book_id, chapter_idx, pos, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what, props AS impact FROM days WHERE event_id % 3 = 0)"
-ITEMS = "i AS (SELECT book_id, chapter_idx, pos, 'item ' || (event_id % 5) AS name, CASE WHEN event_id % 2 = 0 THEN name END AS owner, event_type AS description FROM days WHERE event_id % 3 = 1)"
+EVENTS = "e AS (SELECT book_id, chapter_idx, pos, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what, props AS impact FROM days)"
+ITEMS = "i AS (SELECT book_id, chapter_idx, pos, 'item ' || (event_id % 5) AS name, CASE WHEN event_id % 2 = 0 THEN name END AS owner, event_type AS description FROM days)"
 FACTS = f"""{UPDATES}, {EVENTS}, {ITEMS}, w AS (
   SELECT book_id, chapter_idx, 0 AS stage, pos, 'event:' || chapter_idx || ':' || substr(sha256(what), 1, 12) AS fact_key, what AS fact_value, 0.7::DOUBLE AS confidence FROM e
   UNION ALL SELECT book_id, chapter_idx, 1, pos, 'character:' || name || ':' || change_type, after, CASE change_type WHEN 'status' THEN 0.85 ELSE 0.8 END::DOUBLE FROM u
@@ -444,7 +445,7 @@ def snapshot_restore_roundtrip(spark, folder):
     return state.restored(state.snapshots(facts(spark, folder), ["book_id"], "fact_key", "fact_value"), ["book_id"], "fact_key", "fact_value")
 
 
-@query(f"""WITH RECURSIVE {CHAPTERS}, n AS (SELECT book_id, idx, CAST(least(length(text), 3000) AS BIGINT) AS size FROM chapters),
+@query(f"""WITH RECURSIVE {CHAPTERS}, n AS (SELECT book_id, idx, CAST(length(text) AS BIGINT) AS size FROM chapters),
 b(book_id, idx, bin, fill) AS (SELECT book_id, idx, 1, size FROM n WHERE idx = 1 UNION ALL SELECT n.book_id, n.idx, CASE WHEN fill > 0 AND fill + size > 10000 THEN bin + 1 ELSE bin END, CASE WHEN fill > 0 AND fill + size > 10000 THEN size ELSE fill + size END FROM b JOIN n ON n.book_id = b.book_id AND n.idx = b.idx + 1)
 SELECT book_id, CAST(idx AS BIGINT) AS idx, bin FROM b""")
 def size_binning(spark, folder):
