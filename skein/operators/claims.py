@@ -27,6 +27,30 @@ def consistent_events(events: DataFrame, recent: DataFrame) -> DataFrame:
     return new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EVENTS).drop("n")
 
 
+def spaced_events(events: DataFrame, window: int) -> DataFrame:
+    """consistent_events() where the known events are those of this very run: an event is kept unless an equal one was kept in the
+    `window` chapters before. One fold over the chapters of each text, in order."""
+    clean = events.withColumn("what", text_or_empty(F.col("what"))).where("what <> ''")
+    first = clean.groupBy("book_id", "what", "chapter_idx").agg(F.min("pos").alias("pos"))
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc: Column, idx: Column) -> Column:
+        far = acc["last"].isNull() | (idx - acc["last"] > window)
+        return F.struct(F.when(far, idx).otherwise(acc["last"]).alias("last"), F.when(far, F.concat(acc["kept"], F.array(idx))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = first.groupBy("book_id", "what").agg(F.aggregate(F.array_sort(F.collect_list(F.col("chapter_idx").cast("int"))), start, step)["kept"].alias("kept"))
+    kept = first.join(kept.select("book_id", "what", F.explode("kept").alias("chapter_idx")), ["book_id", "what", "chapter_idx"])
+    new = clean.join(kept, ["book_id", "what", "chapter_idx", "pos"], "left_semi")
+    order = W.partitionBy("book_id", "chapter_idx").orderBy("pos")
+    return new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EVENTS).drop("n")
+
+
+def with_evidence(claims: DataFrame, scored: DataFrame, keys: list[str], least: float = LEAST_SUPPORT) -> DataFrame:
+    """The claims (keys) that are supported by `least` or more, with evidence_source_type, evidence_quote and evidence_score."""
+    good = scored.where(F.col("score") >= least).select(*keys, F.col("source_type").alias("evidence_source_type"), F.col("quote").alias("evidence_quote"), F.col("score").alias("evidence_score"))
+    return claims.join(good, keys)
+
+
 def recent_events(events: DataFrame, chapters: DataFrame, window: int, most: int = 20) -> DataFrame:
     """For each chapter (book_id, chapter_idx) the last events of the `window` chapters before it; newest first.
 

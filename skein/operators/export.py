@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_list, safe_filename
+from .state import listed
 
 # Headings and phrases of the reports.
 NO_STORY = "# 全书说书稿\n\n暂无说书稿数据。\n"
@@ -104,13 +111,39 @@ def evidence_lines(hits: DataFrame) -> DataFrame:
     return hits.withColumn("line", F.concat(F.lit("["), F.col("rank"), F.lit("] chunk_id="), F.col("source_id"), F.lit(" 章节"), F.col("chapter_idx"), F.lit(" "), F.col("chapter_title"), F.lit(": "), short))
 
 
-def world_state(name: str, rows: DataFrame, order: str, most: int = 1000) -> DataFrame:
-    """book_id and a JSON list of the first rows of each book."""
-    columns = [c for c in rows.columns if c != "book_id"]
-    listed = F.slice(F.array_sort(F.collect_list(F.struct(F.col(order).alias("skein_o"), F.struct(*columns).alias("row")))), 1, most)
-    return rows.groupBy("book_id").agg(F.to_json(F.transform(listed, lambda x: x["row"])).alias(name))
+def with_outputs(narrations: DataFrame, outputs: DataFrame) -> DataFrame:
+    """narrations with the payload_json of their stored output (narration_id, payload_json), null where there is none."""
+    return narrations.drop("payload_json").join(outputs.select("narration_id", "payload_json"), "narration_id", "left")
+
+
+def world_state(books: DataFrame, most_facts: int = 1000, **tables: DataFrame) -> DataFrame:
+    """book_id and world_state.json's content: the book (book_id, title) and its rows of each table, sorted.
+
+    tables: narrations, characters, items, plot_events, world_facts, each with book_id; the first `most_facts` facts are held."""
+    orders = {"narrations": ["chapter_idx"], "characters": ["name"], "items": ["name"], "plot_events": ["chapter_idx", "pos"], "world_facts": ["fact_key"]}
+    out = books.select("book_id", F.col("title").alias("book_title"))
+    for name, rows in tables.items():
+        part = listed(rows, orders[name], name, most_facts if name == "world_facts" else None)
+        out = out.join(part, "book_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out.select("book_id", F.to_json(F.struct("book_id", "book_title", *tables), {"pretty": "true"}).alias("content"))
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Writes (book_id, filename, content) as text, one folder per book and name; earlier output of the folder goes."""
-    files.select("book_id", "filename", F.col("content").alias("value")).write.mode("overwrite").partitionBy("book_id", "filename").text(folder)
+    """Writes (book_id, filename, content) as files folder/book_id/filename, each from the task that holds its row.
+
+    A file is written beside its place and renamed, so that readers see whole files and a repeated task does no harm."""
+    jvm_free = files.select(F.col("book_id").cast("string").alias("book_id"), "filename", "content")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        for batch in batches:
+            for book, name, content in zip(*(batch.column(c).to_pylist() for c in ("book_id", "filename", "content"))):
+                where = f"{root.rstrip('/')}/{quote(book or 'none', safe=' ')}"
+                fs.create_dir(where, recursive=True)
+                part = f"{where}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                fs.move(part, f"{where}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    jvm_free.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row

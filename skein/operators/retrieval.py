@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,55 +13,79 @@ from ..functions.text import SEARCH_TOKEN, matches
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, size: the inverted index, or its part for `terms`; size is the number of tokens of the document."""
+def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """key, keep, term, tf, size: the inverted index, or its part for `terms`; size is the number of tokens of the document."""
     tokens = matches(F.lower(F.concat_ws(" ", *text)), SEARCH_TOKEN)
     # size before the explode, so that exploded rows don't carry the array
-    each = docs.select(key, tokens.alias("tokens")).select(key, "tokens", F.size("tokens").cast("long").alias("size")).select(key, "size", F.explode("tokens").alias("term"))
+    each = docs.select(key, *keep, tokens.alias("tokens")).select(key, *keep, "tokens", F.size("tokens").cast("long").alias("size")).select(key, *keep, "size", F.explode("tokens").alias("term"))
     if terms is not None:  # before the shuffle
         each = each.join(terms, "term", "left_semi")
-    return each.groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
+    return each.groupBy(key, *keep, "term", "size").agg(F.count("*").alias("tf"))
+
+
+def document_sizes(docs: DataFrame, key: str, *text: str, keep: Sequence[str] = ()) -> DataFrame:
+    return docs.select(key, *keep, F.regexp_count(F.lower(F.concat_ws(" ", *text)), F.lit(SEARCH_TOKEN)).cast("long").alias("size"))
+
+
+class Index:
+    """An inverted index: postings and, for each value of `kind` (a constant if None), the statistics over all its documents."""
+
+    def __init__(self, rows: DataFrame, stats: DataFrame, key: str, keep: Sequence[str], kind: str | None):
+        self.rows, self.stats, self.key, self.keep, self.kind = rows, stats, key, list(keep), kind
+
+    @classmethod
+    def of(cls, docs: DataFrame, key: str, text: Sequence[str], keep: Sequence[str] = (), kind: str | None = None, terms: DataFrame | None = None) -> Index:
+        """The index of docs; with `terms` (one column, term) only its part for them, as a query on demand reads it."""
+        named = [*keep, *([kind] if kind and kind not in keep else [])]
+        group = [F.col(kind).alias("skein_kind")] if kind else [F.lit(0).alias("skein_kind")]
+        stats = document_sizes(docs, key, *text, keep=named).groupBy(*group).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+        return cls(postings(docs, key, *text, terms=terms, keep=named), stats, key, named, kind)
 
+    def stored(self, write: Callable[[DataFrame], DataFrame]) -> Index:
+        """The same over written tables; write() returns what it wrote."""
+        return Index(write(self.rows), write(self.stats), self.key, self.keep, self.kind)
 
-def document_sizes(docs: DataFrame, key: str, *text: str) -> DataFrame:
-    return docs.select(key, F.regexp_count(F.lower(F.concat_ws(" ", *text)), F.lit(SEARCH_TOKEN)).cast("long").alias("size"))
+    def search(self, queries: DataFrame, limit: Column | int, by: Sequence[str] = (), condition: Column | None = None) -> DataFrame:
+        """The best documents of each query (query_id, by, terms) and kind: query_id, key, keep, score (negative, best least) and rank.
 
+        `by` columns of query and document must agree. Statistics cover all documents; `by` and `condition` filter afterwards."""
+        kind = F.col(self.kind) if self.kind else F.lit(0)
+        rows = self.rows.withColumn("skein_kind", kind)
+        wanted = queries.select("query_id", *by, F.explode(F.array_distinct("terms")).alias("term")).withColumn("term", F.lower("term")).distinct()
+        known = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+        df = known.groupBy("skein_kind", "term").agg(F.count("*").alias("df"))
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = df.join(self.stats, "skein_kind").select("skein_kind", "term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean")
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+        scored = known.join(weights, ["skein_kind", "term"]).join(wanted, ["term", *by])
+        scored = scored.groupBy("query_id", self.key, *self.keep, "skein_kind").agg((-F.sum(part)).alias("score"))
+        if condition is not None:
+            scored = scored.join(queries.drop(*by, "terms"), "query_id").where(condition)
+        ranks = W.partitionBy("query_id", "skein_kind").orderBy(F.round("score", 9), self.key)  # the order of a sum's terms decides no tie
+        return scored.select("query_id", self.key, *self.keep, "score", F.row_number().over(ranks).alias("rank")).where(F.col("rank") <= limit)
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: list[str], limit: int, keep: list[str] | None = None, condition: Column | None = None) -> DataFrame:
-    """The best documents of each query (query_id, terms): query_id, key, keep, score (negative, best least) and rank.
 
-    Statistics cover all documents; `condition` on query and document columns filters afterwards. The corpus is read with the query
-    terms pushed into its token filter, so only postings of queried terms are shuffled."""
-    keep = keep or []
-    size = document_sizes(docs, key, *text)
-    stats = size.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).select("query_id", F.lower("term").alias("term")).distinct()
-    found = postings(docs, key, *text, terms=wanted.select("term").distinct())
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean")  # stats is one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = found.join(weights, "term").join(wanted, "term").groupBy("query_id", key).agg((-F.sum(part)).alias("score"))
-    if keep or condition is not None:
-        scored = scored.join(docs.select(key, *keep), key)
-    if condition is not None:
-        scored = scored.join(queries, "query_id").where(condition)
-    ranks = W.partitionBy("query_id").orderBy("score", key)
-    return scored.select("query_id", key, *keep, "score").withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= limit)
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: Sequence[str], limit: int, keep: Sequence[str] = (), by: Sequence[str] = (), condition: Column | None = None) -> DataFrame:
+    """Index.search() over the part of an index that the queries need, made on the way: only postings of queried terms are shuffled."""
+    terms = queries.select(F.explode("terms").alias("term")).select(F.lower("term").alias("term")).distinct()
+    return Index.of(docs, key, text, [*keep, *[b for b in by if b not in keep]], terms=terms).search(queries, limit, by, condition)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, limit: int, keep: list[str] | None = None) -> DataFrame:
-    """The nearest rows of each query (query_id, query_vector) by squared Euclidean distance.
+def knn(corpus: DataFrame | None, queries: DataFrame, key: str, vector: str, limit: Column | int, keep: Sequence[str] = (), by: Sequence[str] = (), kind: str | None = None) -> DataFrame:
+    """The nearest rows of each query (query_id, query_vector, by) and kind by squared Euclidean distance; a corpus of None has none.
 
-    Queries are a stated set; they meet all rows block by block (a nested loop over the smaller side), and the
-    window keeps `limit` rows per query before the shuffle."""
-    pairs = corpus.select(key, vector, *(keep or [])).crossJoin(queries.select("query_id", "query_vector"))
-    scored = pairs.select("query_id", key, *(keep or []), F.round(squared_distance(F.col(vector), F.col("query_vector")), 6).alias("distance"))
-    ranks = W.partitionBy("query_id").orderBy("distance", key)
+    `by` columns must agree and make it an equality join. Without them queries are a stated set that meets all rows, block by block
+    (a nested loop over the smaller side). The window keeps `limit` rows a query before its shuffle."""
+    if corpus is None:
+        return queries.where("false").select("query_id", *[F.lit(None).cast("long").alias(c) for c in (key, *keep)], F.lit(None).cast("double").alias("distance"), F.lit(0).alias("rank"))
+    rows, asked = corpus.select(key, vector, *keep, *[b for b in by if b not in keep]), queries.select("query_id", "query_vector", *by)
+    pairs = rows.join(asked, list(by)) if by else rows.crossJoin(asked)
+    scored = pairs.select("query_id", key, *keep, squared_distance(F.col(vector), F.col("query_vector")).alias("distance"))
+    ranks = W.partitionBy("query_id", *([kind] if kind else [])).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= limit)
 
 
@@ -88,7 +114,7 @@ def fuse(hits: DataFrame, limit: int, alpha: float = 0.7, beta: float = 0.2) ->
         F.min(F.struct("leg", "rank")).alias("seq"),
     )
     score = alpha * F.col("vector_score") + (1 - alpha) * F.col("keyword_score") + beta * F.coalesce(proximity(F.col("m.current_idx"), F.col("m.chapter_idx")), F.lit(0.0))
-    per = per.select("query_id", "source_type", "source_id", F.col("m.chapter_idx").alias("chapter_idx"), F.round(score, 6).alias("score"), "seq")
+    per = per.select("query_id", "source_type", "source_id", F.col("m.chapter_idx").alias("chapter_idx"), score.alias("score"), "seq")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "seq")
     return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("seq")
 

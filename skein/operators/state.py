@@ -6,8 +6,13 @@ own last value; first appearances are minima over all mentions and updates; alia
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import text_or_empty
 
@@ -36,52 +41,91 @@ def item_states(items: DataFrame) -> DataFrame:
 
 
 def plot_events(events: DataFrame) -> DataFrame:
-    return events.where(text_or_empty(F.col("what")) != "").select("book_id", "chapter_idx", "pos", F.col("what").alias("event_summary"), F.lit("narration_draft").alias("event_type"), "impact")
+    """Plot events to append, from events (book_id, chapter_idx, pos, who, what, impact)."""
+    who = F.when(text_or_empty(F.col("who")) != "", F.to_json(F.array("who")))
+    return events.where(text_or_empty(F.col("what")) != "").select("book_id", "chapter_idx", "pos", F.col("what").alias("event_summary"), who.alias("involved_characters_json"), F.lit("narration_draft").alias("event_type"), F.coalesce("impact", F.lit("")).alias("impact"))
 
 
 def facts(events: DataFrame, updates: DataFrame, items: DataFrame) -> DataFrame:
-    """Facts of events, updates and items; the last writer of a key wins. Writers of a chapter come in that order."""
-    e = events.where(text_or_empty(F.col("what")) != "").select("book_id", "chapter_idx", F.lit(0).alias("stage"), "pos", F.concat(F.lit("event:"), F.col("chapter_idx"), F.lit(":"), F.left(F.sha2("what", 256), F.lit(12))).alias("fact_key"), F.col("what").alias("fact_value"), F.lit(0.7).alias("confidence"))
-    u = updates.where(F.col("change_type").isin("status", "location") & (text_or_empty(F.col("after")) != "")).select("book_id", "chapter_idx", F.lit(1).alias("stage"), "pos", F.concat(F.lit("character:"), F.col("name"), F.lit(":"), F.col("change_type")).alias("fact_key"), F.col("after").alias("fact_value"), F.when(F.col("change_type") == "status", F.lit(0.85)).otherwise(F.lit(0.8)).alias("confidence"))
-    i = items.where((text_or_empty(F.col("name")) != "") & (text_or_empty(F.col("owner")) != "")).select("book_id", "chapter_idx", F.lit(2).alias("stage"), "pos", F.concat(F.lit("item:"), F.col("name"), F.lit(":owner")).alias("fact_key"), F.col("owner").alias("fact_value"), F.lit(0.75).alias("confidence"))
-    rows = e.unionByName(u).unionByName(i)
-    return rows.groupBy("book_id", "fact_key").agg(F.max_by(F.struct("fact_value", "confidence", "chapter_idx"), F.struct("chapter_idx", "stage", "pos")).alias("f")).select("book_id", "fact_key", "f.fact_value", "f.confidence", F.col("f.chapter_idx").alias("source_chapter_idx"))
+    """Facts of events, updates and items; the last writer of a key wins. Writers of a chapter come in that order.
+
+    Every update of a character states its status as it then is (`active` before any change), and its location once there is one."""
+    e = events.where(text_or_empty(F.col("what")) != "").select("book_id", "chapter_idx", F.lit(0).alias("stage"), "pos", F.concat(F.lit("event:"), F.col("chapter_idx"), F.lit(":"), F.left(F.sha2("what", 256), F.lit(12))).alias("fact_key"), F.col("what").alias("fact_value"), F.lit(0.7).alias("confidence"), F.col("what").alias("excerpt"))
+    order = F.struct("chapter_idx", "pos")
+    set_ = text_or_empty(F.col("after")) != ""
+
+    def last(kind: str) -> Column:
+        changed = set_ & (F.lower(F.trim("change_type")) == kind)
+        return F.max_by(F.when(changed, F.col("after")), F.when(changed, order))
+
+    cast = updates.groupBy("book_id", "name").agg(F.max(order).alias("at"), F.max_by(F.coalesce("evidence", F.lit("")), order).alias("excerpt"), F.coalesce(last("status"), F.lit("active")).alias("status"), last("location").alias("location"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.lit(c).alias("confidence")) for k, c in (("status", 0.85), ("location", 0.8))])
+    u = cast.select("book_id", "name", "at", "excerpt", F.explode(kinds).alias("k")).where("k.value IS NOT NULL")
+    u = u.select("book_id", "at.chapter_idx", F.lit(1).alias("stage"), "at.pos", F.concat(F.lit("character:"), F.col("name"), F.lit(":"), F.col("k.kind")).alias("fact_key"), F.col("k.value").alias("fact_value"), "k.confidence", "excerpt")
+    i = items.where((text_or_empty(F.col("name")) != "") & (text_or_empty(F.col("owner")) != "")).select("book_id", "chapter_idx", F.lit(2).alias("stage"), "pos", F.concat(F.lit("item:"), F.col("name"), F.lit(":owner")).alias("fact_key"), F.col("owner").alias("fact_value"), F.lit(0.75).alias("confidence"), F.coalesce(F.nullif(text_or_empty(F.col("description")), F.lit("")), "owner").alias("excerpt"))
+    rows = e.unionByName(u).unionByName(i).withColumn("excerpt", F.substring("excerpt", 1, 300))
+    return rows.groupBy("book_id", "fact_key").agg(F.max_by(F.struct("fact_value", "confidence", "chapter_idx", "excerpt"), F.struct("chapter_idx", "stage", "pos")).alias("f")).select("book_id", "fact_key", "f.fact_value", "f.confidence", F.col("f.chapter_idx").alias("source_chapter_idx"), F.col("f.excerpt").alias("source_excerpt"))
+
+
+def first_rows(rows: DataFrame, order: Sequence[str], most: int | None) -> DataFrame:
+    """The first rows of each book; windows drop the rest before anything is gathered."""
+    if most is None:
+        return rows
+    return rows.withColumn("skein_n", F.row_number().over(W.partitionBy("book_id").orderBy(*order))).where(F.col("skein_n") <= most).drop("skein_n")
+
 
+def listed(rows: DataFrame, order: Sequence[str], out: str, most: int | None = None) -> DataFrame:
+    """book_id and the book's rows, sorted, as an array of structs without book_id."""
+    columns = [c for c in rows.columns if c != "book_id"]
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("row"))))
+    return first_rows(rows, order, most).groupBy("book_id").agg(F.transform(sorted_, lambda x: x["row"]).alias(out))
 
-def snapshots(rows: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:
-    """One JSON document of sorted rows per key, and its sha256: equal states have equal hashes."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
-    return rows.groupBy(*keys).agg(F.to_json(ordered).alias("snapshot_json")).withColumn("snapshot_hash", F.sha2("snapshot_json", 256))
 
+#: The four tables of a world state, the order of their rows and how many a snapshot holds of a book.
+STATE_TABLES = {"characters": (["name"], None), "items": (["name"], None), "plot_events": (["chapter_idx", "pos"], None), "world_facts": (["fact_key"], 10_000)}
 
-def restored(snapshot: DataFrame, keys: list[str], key: str, value: str, value_type: str = "string") -> DataFrame:
-    """Rows of snapshots; fields other than the two of a row are ignored."""
-    rows = F.from_json("snapshot_json", f"array<struct<k: string, v: {value_type}>>")
-    return snapshot.select(*keys, F.inline(rows)).select(*keys, F.col("k").alias(key), F.col("v").alias(value))
+
+def snapshots(**tables: DataFrame) -> DataFrame:
+    """book_id, snapshot_json and snapshot_hash from tables by name (those of STATE_TABLES): equal states have equal hashes."""
+    parts = [listed(rows, *STATE_TABLES[name][:1], out=name, most=STATE_TABLES[name][1]) for name, rows in sorted(tables.items())]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.join(part, "book_id", "full")
+    return both.select("book_id", F.to_json(F.struct(*sorted(tables))).alias("snapshot_json")).withColumn("snapshot_hash", F.sha2("snapshot_json", 256))
+
+
+def restored(snapshot: DataFrame, name: str, columns: str) -> DataFrame:
+    """Rows of one table of snapshots. columns: its columns as DDL; other fields are ignored and book_id is the snapshot's."""
+    return snapshot.select("book_id", F.inline(F.from_json("snapshot_json", f"struct<{name}: array<struct<{columns}>>>")[name]))
 
 
 def lookup(chapters: DataFrame, characters: DataFrame, items: DataFrame, events: DataFrame, facts_: DataFrame, window: int, most_facts: int = 500) -> DataFrame:
-    """What each chapter (book_id, chapter_idx, entities) knows: characters and items that it names (all, if it names none), recent events
-    and the book's first facts, as sorted JSON lists."""
+    """What each chapter (book_id, chapter_idx, entities, items_mentioned) knows: rows of characters and items that it names (all of the
+    book, if it names none), its recent events, newest first, and the book's first facts; as arrays of structs."""
     from .claims import recent_events
 
-    def named(rows: DataFrame, name: str, out: str) -> DataFrame:
-        hit = (F.size("entities") == 0) | F.array_contains("entities", F.col(name))
-        found = chapters.join(rows.select("book_id", name), "book_id").where(hit)
-        return found.groupBy("book_id", "chapter_idx").agg(F.to_json(F.sort_array(F.collect_set(name))).alias(out))
+    keys = ["book_id", "chapter_idx"]
+
+    def named(names: str, rows: DataFrame, name: str, out: str) -> DataFrame:
+        some = chapters.select(*keys, F.explode(F.array_distinct(names)).alias(name)).join(rows, ["book_id", name])
+        every = chapters.where(F.coalesce(F.size(names), F.lit(0)) <= 0).select(*keys).join(rows, "book_id")
+        columns = [c for c in rows.columns if c != "book_id"]
+        return some.unionByName(every).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(name, *[c for c in columns if c != name]))).alias(out))
 
-    recent = recent_events(events, chapters, window).groupBy("book_id", "chapter_idx").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("n", "event_summary"))), lambda x: x["event_summary"])).alias("recent_events"))
-    known = facts_.groupBy("book_id").agg(F.to_json(F.slice(F.sort_array(F.collect_list(F.struct("fact_key", "fact_value"))), 1, most_facts)).alias("facts"))
-    out = chapters.join(named(characters, "canonical_name", "characters"), ["book_id", "chapter_idx"], "left").join(named(items, "name", "items"), ["book_id", "chapter_idx"], "left")
-    return out.join(recent, ["book_id", "chapter_idx"], "left").join(known, "book_id", "left")
+    recent = recent_events(events, chapters, window)
+    columns = [c for c in recent.columns if c not in (*keys, "n")]
+    recent = recent.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct(*columns).alias("row")))), lambda x: x["row"]).alias("recent_events"))
+    out = chapters.select(*keys).join(named("entities", characters, "name", "characters"), keys, "left").join(named("items_mentioned", items, "name", "items"), keys, "left")
+    return out.join(recent, keys, "left").join(listed(facts_, ["fact_key"], "facts", most_facts), "book_id", "left")
 
 
-def replayed(payloads: DataFrame, upto: int) -> dict[str, DataFrame]:
-    """State tables rebuilt from stored outputs (book_id, chapter_idx, payload_json) up to a chapter: events, updates and items, ready
-    for the transitions above. Only the known fields of a payload are read."""
-    schema = "key_events array<struct<what:string,impact:string>>, character_updates array<struct<name:string,change_type:string,after:string>>, new_items array<struct<name:string,owner:string,description:string>>"
-    parsed = payloads.where(F.col("chapter_idx") <= upto).select("book_id", "chapter_idx", F.from_json("payload_json", schema).alias("p"))
-    return {out: parsed.select("book_id", "chapter_idx", F.posexplode(f"p.{name}").alias("pos", "x")).select("book_id", "chapter_idx", "pos", "x.*") for out, name in (("events", "key_events"), ("updates", "character_updates"), ("items", "new_items"))}
+def replayed(payloads: DataFrame, upto: int, after: int = 0) -> dict[str, DataFrame]:
+    """State tables rebuilt from stored outputs (book_id, chapter_idx, payload_json) of the chapters in (after, upto]: events, updates,
+    items and mentions, ready for the transitions above. Only the known fields of a payload are read."""
+    schema = "entities_mentioned array<string>, key_events array<struct<who:string,what:string,impact:string>>, character_updates array<struct<name:string,name_raw:string,change_type:string,after:string,evidence:string>>, new_items array<struct<name:string,owner:string,description:string>>"
+    parsed = payloads.where((F.col("chapter_idx") > after) & (F.col("chapter_idx") <= upto)).select("book_id", "chapter_idx", F.from_json("payload_json", schema).alias("p"))
+    out = {name: parsed.select("book_id", "chapter_idx", F.posexplode(f"p.{field}").alias("pos", "x")).select("book_id", "chapter_idx", "pos", "x.*") for name, field in (("events", "key_events"), ("updates", "character_updates"), ("items", "new_items"))}
+    return out | {"mentions": parsed.select("book_id", "chapter_idx", F.explode("p.entities_mentioned").alias("name"))}
 
 
 def clear_book(table: DataFrame, book_id: object) -> DataFrame:
@@ -89,16 +133,20 @@ def clear_book(table: DataFrame, book_id: object) -> DataFrame:
 
 
 def size_bins(items: DataFrame, keys: list[str], order: str, size: str, most: int) -> DataFrame:
-    """In-order bins: a bin closes when the next item would take it over `most`. items with `bin`, from 1.
-
-    A fold over each key's sizes in order; the running bin and its fill are all the state."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(1).alias("bin"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<struct<o: bigint, bin: int>>").alias("out"))
-
-    def step(acc: object, x: object) -> object:
-        close = (acc["fill"] > 0) & (acc["fill"] + x["s"] > most)
-        bin_ = acc["bin"] + close.cast("int")
-        return F.struct(bin_.alias("bin"), F.when(close, x["s"]).otherwise(acc["fill"] + x["s"]).alias("fill"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), bin_.alias("bin")))).alias("out"))
-
-    folded = items.groupBy(*keys).agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select(*keys, F.inline("out")).withColumnRenamed("o", order)
+    """In-order bins: a bin closes when the next item would take it over `most`. keys, order and `bin`, from 1.
+
+    One pass over each key's sizes in order; only they travel, 16 bytes an item."""
+    rows = items.select(*keys, F.col(order).cast("bigint").alias(order), F.col(size).cast("long").alias("skein_size"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("bin", T.IntegerType())])
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        out, bin_, fill = [], 1, 0
+        for n in table.column("skein_size").to_pylist():
+            if fill > 0 and fill + n > most:
+                bin_, fill = bin_ + 1, 0
+            fill += n
+            out.append(bin_)
+        return table.drop_columns(["skein_size"]).append_column("bin", pa.array(out, pa.int32()))
+
+    return rows.groupBy(*keys).applyInArrow(fold, schema)

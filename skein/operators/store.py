@@ -19,6 +19,20 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return rows.withColumn("skein_rank", F.row_number().over(ranks)).where("skein_rank = 1").drop("skein_rank")
 
 
+def numbered(rows: DataFrame, by: str, order: str, out: str = "idx", width: int = 100_000) -> DataFrame:
+    """rows with their place, from 1, in the order of an integer column within each value of `by` (null is a value).
+
+    Rows are numbered inside ranges of `width` values, and ranges by sums of their counts, so that a value with very many rows
+    is spread over its ranges; rows that repeat `order` get places in any order."""
+    keyed = rows.withColumn("skein_by", F.coalesce(F.concat(F.lit("s"), F.col(by).cast("string")), F.lit("n"))).withColumn("skein_range", F.floor(F.col(order) / width))
+    counts = keyed.groupBy("skein_by", "skein_range").agg(F.count("*").alias("skein_n"))
+    before = W.partitionBy("skein_by").orderBy("skein_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("skein_by", F.col("skein_range").alias("skein_at"), F.coalesce(F.sum("skein_n").over(before), F.lit(0)).alias("skein_before"))
+    inside = F.row_number().over(W.partitionBy("skein_by", "skein_range").orderBy(order))
+    placed = keyed.withColumn("skein_inside", inside).join(counts.withColumnRenamed("skein_by", "skein_own"), (F.col("skein_by") == F.col("skein_own")) & F.col("skein_range").eqNullSafe(F.col("skein_at")))
+    return placed.withColumn(out, (F.col("skein_before") + F.col("skein_inside")).cast("int")).select(*rows.columns, out)
+
+
 def first_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     ranks = W.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("skein_rank", F.row_number().over(ranks)).where("skein_rank = 1").drop("skein_rank")
@@ -65,34 +79,90 @@ def broken_references(child: DataFrame, parent: DataFrame, child_key: str, paren
     return child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def unexpired(cache: DataFrame, now: float, ttl: float) -> DataFrame:
-    """Cache rows that may be read: the newest of each key, not older than ttl seconds (ttl <= 0: always)."""
+def unexpired(cache: DataFrame, now: Column | float, ttl: float) -> DataFrame:
+    """Cache rows that may be read: the newest of each key, not older than ttl seconds (ttl <= 0: always). Table.replace() with
+    these rows deletes the expired ones."""
     rows = latest(cache, ["key"], ["created_at"])
-    return rows if ttl <= 0 else rows.where(F.lit(now) - F.col("created_at") <= ttl)
+    return rows if ttl <= 0 else rows.where((now if isinstance(now, Column) else F.lit(now)) - F.col("created_at") <= ttl)
+
+
+def point_read(table: DataFrame, key: str, value: object, what: str = "row") -> dict:
+    """The row of a key, or an error; the filter reaches the scan."""
+    found = table.where(F.col(key).eqNullSafe(F.lit(value))).take(1)
+    if not found:
+        raise LookupError(f"{what} not found: {value}")
+    return found[0].asDict(recursive=True)
+
+
+class Conflict(RuntimeError):
+    """Another writer has published a version first."""
 
 
 class Table:
-    """A Parquet table with atomic replacement: each version is its own folder, and a small pointer table names the current one.
+    """A Parquet table in versions. A version is a list of folders, published by creating the small file `versions/<number>`, which
+    fails if it exists: of two writers that start from one version one gets a Conflict and loses nothing.
 
-    A failed write leaves the pointer, and with it the old version, untouched."""
+    append() adds a folder to the list, replace() starts a new list, vacuum() deletes folders that no version from `keep` on
+    names. A failed write leaves no version behind."""
 
     def __init__(self, spark: SparkSession, path: str, partition: str | None = None):
         self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
 
-    def version(self) -> str | None:
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            return None
-        last = self.spark.read.text(f"{self.path}/current").agg(F.max("value")).first()[0]
-        return last.split(" ")[1] if last else None
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version()}")
+    def _fs(self, path: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def versions(self) -> list[int]:
+        fs, where = self._fs(f"{self.path}/versions")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
+
+    def version(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def folders(self, version: int | None) -> list[str]:
+        if version is None:
+            return []
+        fs, where = self._fs(f"{self.path}/versions/{version:012d}")
+        stream = fs.open(where)
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().split()
+        finally:
+            stream.close()
+
+    def read(self, version: int | None = None) -> DataFrame:
+        folders = self.folders(self.version() if version is None else version)
+        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{x}" for x in folders]).drop("data")
+
+    def _publish(self, folders: list[str], base: int | None) -> None:
+        fs, where = self._fs(f"{self.path}/versions/{(base or 0) + 1:012d}")
+        try:
+            stream = fs.create(where, False)
+        except Exception as refusal:
+            raise Conflict(f"{self.path}: version {(base or 0) + 1} exists") from refusal
+        try:
+            stream.write(bytearray(" ".join(folders).encode()))
+        finally:
+            stream.close()
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"data={uuid.uuid4().hex}"
+        (rows.write.partitionBy(self.partition) if self.partition else rows.write).parquet(f"{self.path}/{name}")
+        return name
+
+    def append(self, rows: DataFrame) -> None:
+        base = self.version()
+        self._publish([*self.folders(base), self._write(rows)], base)
 
     def replace(self, rows: DataFrame) -> None:
-        name, number = uuid.uuid4().hex, 0
-        if self.version():
-            number = int(self.spark.read.text(f"{self.path}/current").agg(F.max("value")).first()[0].split(" ")[0]) + 1
-        writer = rows.write
-        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/{name}")
-        self.spark.range(1).select(F.lit(f"{number:012d} {name}").alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/current")
+        base = self.version()
+        self._publish([self._write(rows)], base)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Deletes versions before the last `keep`, and folders that only they name."""
+        versions = self.versions()
+        held = {x for v in versions[-keep:] for x in self.folders(v)}
+        gone = {x for v in versions[:-keep] for x in self.folders(v)} - held
+        for path in [f"versions/{v:012d}" for v in versions[:-keep]] + sorted(gone):
+            fs, where = self._fs(f"{self.path}/{path}")
+            fs.delete(where, True)
+        return sorted(gone)

@@ -47,6 +47,11 @@ def tier_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TIERS, TIER_SCHEMA)
 
 
+def effective(override: Column, held: object = None, default: object = None) -> Column:
+    """A setting's value: the override where there is one (also 0 or False), else the global one, else the default."""
+    return F.coalesce(override, F.lit(held), F.lit(default))
+
+
 def retrieval_needed(settings: DataFrame) -> Column:
     return F.bool_or(F.col("memory_top_k") > 0)
 
@@ -70,16 +75,32 @@ def draft(text: Column, ratio_high: Column | float) -> Column:
     return strip(F.substr(text, F.lit(1), F.greatest(F.lit(1), F.floor(F.length(text) * high).cast("int"))))
 
 
-def run_report(chapters: DataFrame) -> DataFrame:
-    """One row of totals over drafted chapters (text, narration, cache_hit, calls)."""
-    calls, hits = F.sum("calls"), F.sum(F.col("cache_hit").cast("long"))
-    return chapters.agg(
+def run_report(chapters: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row of totals for each book over its chapters: idx, text, narration, calls, refine_calls, cache_hit (counts), skipped, warnings,
+    actions, supported, unsupported; refine_calls and what follows may be missing and count as none."""
+    for c in ("refine_calls", "warnings", "actions", "supported", "unsupported"):
+        chapters = chapters if c in chapters.columns else chapters.withColumn(c, F.lit(0))
+    chapters = chapters if "skipped" in chapters.columns else chapters.withColumn("skipped", F.lit(False))
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0).cast("long"))
+    tokens = lambda c, when: F.coalesce(F.sum(F.when(when, token_estimate(F.col(c)).cast("long"))), F.lit(0).cast("long"))
+    work, refined = ~F.col("skipped"), F.col("refine_calls") > 0
+    calls, hits = total("calls"), total("cache_hit")
+    return chapters.groupBy("book_id").agg(
         F.count("*").alias("chapters_total"),
-        F.count_if(F.length("narration") > 0).alias("chapters_processed"),
+        F.count_if(work & (F.length("narration") > 0)).alias("chapters_processed"),
+        F.count_if(F.col("skipped")).alias("chapters_skipped"),
         calls.alias("llm_calls"),
+        total("refine_calls").alias("refine_llm_calls"),
         hits.alias("cache_hits"),
         F.greatest(F.lit(0).cast("long"), calls - hits).alias("cache_misses"),
-        F.sum(token_estimate(F.col("text")).cast("long")).alias("input_tokens"),
-        F.sum(token_estimate(F.col("narration")).cast("long")).alias("output_tokens"),
+        tokens("text", work).alias("input_tokens"),
+        tokens("narration", work).alias("output_tokens"),
+        tokens("narration", work & refined).alias("refine_input_tokens"),
+        tokens("narration", work & refined).alias("refine_output_tokens"),
+        total("warnings").alias("consistency_warnings"),
+        total("actions").alias("consistency_actions"),
+        total("supported").alias("evidence_supported_claims"),
+        total("unsupported").alias("evidence_unsupported_claims"),
         F.coalesce(F.max("idx"), F.lit(0)).cast("int").alias("max_chapter_idx"),
+        F.lit(seconds).cast("double").alias("runtime_seconds"),
     )

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ingest import chunks
+from ..operators.store import numbered
 from ..operators.tiers import draft
 
 
@@ -15,9 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    idx = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), idx.alias("idx"), F.concat(F.lit("doc "), "doc_id").alias("title"), "text")
+    docs = numbered(table(spark, folder, "documents").select("doc_id", "source", "text"), "source", "doc_id")
+    return docs.select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), "idx", F.concat(F.lit("doc "), "doc_id").alias("title"), "text")
 
 
 CHAPTERS = """chapters AS (SELECT doc_id AS chapter_id, source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS idx,

@@ -156,8 +156,7 @@ SELECT key, value FROM newest WHERE (SELECT max(created_at) FROM cache) - create
 def cache_ttl(spark, folder):
     cache = table(spark, folder, "events").select(F.concat("event_type", F.lit(":"), "user_id").alias("key"), "value", F.unix_timestamp("ts").cast("double").alias("created_at"), "event_id")
     newest = store.latest(cache, ["key"], ["created_at", "event_id"]).drop("event_id")
-    now = cache.agg(F.max("created_at")).first()[0] or 0.0
-    return store.unexpired(newest, now, 432_000).select("key", "value")
+    return store.unexpired(newest.crossJoin(cache.agg(F.max("created_at").alias("now"))), F.col("now"), 432_000).select("key", "value")  # one row
 
 
 @query("SELECT user_id AS book_id, event_id FROM events WHERE user_id <> 3")
@@ -177,7 +176,7 @@ TERMS = "asked AS (SELECT * FROM (VALUES (1, ['the', 'doc', 'tion']), (2, ['der'
 BM25 = f"""{CHUNKS}, {TERMS}, tok AS (SELECT chunk_id, len({TOKENS}) AS size, {TOKENS} AS tokens FROM chunks), stat AS (SELECT count(*) AS n, avg(size) AS mean FROM tok),
 post AS (SELECT chunk_id, size, term, count(*) AS tf FROM (SELECT chunk_id, size, unnest(tokens) AS term FROM tok) GROUP BY ALL), want AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM asked),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), weight AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END AS idf, mean FROM df, stat),
-scored AS (SELECT query_id, chunk_id, round(-sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM post JOIN weight USING (term) JOIN want USING (term) GROUP BY ALL)"""
+scored AS (SELECT query_id, chunk_id, -sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS score FROM post JOIN weight USING (term) JOIN want USING (term) GROUP BY ALL)"""
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -186,18 +185,16 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def keyword_hits(spark: SparkSession, folder: str, limit: int) -> DataFrame:
-    c = all_chunks(spark, folder)
-    hits = retrieval.bm25(c, asked(spark), "chunk_id", ["title", "chunk_text"], 1 << 30)
-    order = W.partitionBy("query_id").orderBy("score", "chunk_id")
-    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    hits = retrieval.bm25(all_chunks(spark, folder), asked(spark), "chunk_id", ["title", "chunk_text"], limit)
+    return hits.withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20")
+@query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20")
 def bm25_search(spark, folder):
     return keyword_hits(spark, folder, 20)
 
 
-DISTANCE = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6)"
+DISTANCE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
 KNN = f"""near AS (SELECT CAST(q.vec_id AS BIGINT) AS query_id, e.vec_id, {DISTANCE} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE}, e.vec_id) AS INTEGER) AS rank
   FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 30)"""
 
@@ -208,9 +205,9 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.knn(e, asked_, "vec_id", "embedding", 30)
 
 
-@query(f"WITH {KNN} SELECT query_id, vec_id, distance, rank FROM near WHERE rank <= 10")
+@query(f"WITH {KNN} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM near WHERE rank <= 10")
 def knn_l2(spark, folder):
-    return near(spark, folder).where("rank <= 10")
+    return near(spark, folder).where("rank <= 10").withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH raw AS (SELECT doc_id, list_filter(list_transform(['given', lang] || regexp_extract_all(substr(text, 1, 2000), '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]{2,20}'), lambda t: trim(t)), lambda t: t <> '') AS t FROM documents),
@@ -243,10 +240,10 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""{HITS}, s AS (SELECT *, greatest(0, 1 - (rank - 1) / count(*) OVER (PARTITION BY query_id, leg)::DOUBLE) AS s FROM hits), f AS (SELECT * FROM s WHERE chapter_idx < current_idx),
 g AS (SELECT query_id, source_type, source_id, coalesce(max(s) FILTER (WHERE leg < 2), 0) AS v, coalesce(max(s) FILTER (WHERE leg = 2), 0) AS k, min_by(chapter_idx, leg * 1000 + rank) AS chapter_idx, min(leg * 1000 + rank) AS seq FROM f GROUP BY ALL),
-t AS (SELECT *, round(0.7::DOUBLE * v + 0.3::DOUBLE * k + 0.2::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + (40 - chapter_idx))), 6) AS score FROM g)
-SELECT query_id, source_type, source_id, chapter_idx, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS INTEGER) AS rank FROM t QUALIFY rank <= 8""")
+t AS (SELECT *, 0.7::DOUBLE * v + (1 - 0.7::DOUBLE) * k + 0.2::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + (40 - chapter_idx))) AS score FROM g)
+SELECT query_id, source_type, source_id, chapter_idx, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS INTEGER) AS rank FROM t QUALIFY rank <= 8""")
 def hybrid_batched(spark, folder):
-    return retrieval.fuse(hits(spark, folder), 8)
+    return retrieval.fuse(hits(spark, folder), 8).withColumn("score", F.round("score", 6))
 
 
 @query(f"""{HITS}, own AS (SELECT query_id, rank, source_id, chapter_idx, CAST(query_id // 10 + 1 AS INTEGER) AS own_idx FROM hits WHERE leg = 0)
@@ -271,7 +268,7 @@ def tier_decision(spark, folder):
 CASE tier WHEN 'long' THEN 8 ELSE 4 END AS memory_top_k, true AS include_key_dialogue, tier = 'long' AS include_inner_thoughts, tier = 'long' AS refine_enabled, 'llm' AS entity_extract_mode FROM t""")
 def tier_overrides(spark, folder):
     decided = tier_decision(spark, folder)
-    return decided.join(F.broadcast(tiers.tier_table(spark)), "tier").select("chapter_id", "tier", "ratio_low", "ratio_high", "memory_top_k", "include_key_dialogue", "include_inner_thoughts", "refine_enabled", "entity_extract_mode")
+    return decided.join(tiers.tier_table(spark), "tier").select("chapter_id", "tier", "ratio_low", "ratio_high", "memory_top_k", "include_key_dialogue", "include_inner_thoughts", "refine_enabled", "entity_extract_mode")
 
 
 @query(f"""WITH {CHAPTERS}, s AS (SELECT book_id, CAST((idx - 1) // 5 * 5 + 1 AS INTEGER) AS step_start, count(*) AS chapters FROM chapters GROUP BY ALL), m AS (SELECT book_id, max(idx) AS most FROM chapters GROUP BY 1)
@@ -307,14 +304,19 @@ def token_estimates(spark, folder):
     return table(spark, folder, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), key.alias("cache_key"))
 
 
-@query(f"""WITH {NARRATIONS}, w AS (SELECT n.*, c.text, c.idx FROM narrations n JOIN chapters c USING (chapter_id) WHERE version = 1)
-SELECT count(*) AS chapters_total, count(*) FILTER (WHERE length(narration_text) > 0) AS chapters_processed, CAST(sum(2) AS BIGINT) AS llm_calls, CAST(sum(CAST(chapter_id % 3 = 0 AS BIGINT)) AS BIGINT) AS cache_hits,
-CAST(greatest(0, sum(2) - sum(CAST(chapter_id % 3 = 0 AS BIGINT))) AS BIGINT) AS cache_misses, CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END) AS BIGINT) AS input_tokens,
-CAST(sum(CASE WHEN length(narration_text) = 0 THEN 0 ELSE greatest(1, length(narration_text) // 2) END) AS BIGINT) AS output_tokens, CAST(max(idx) AS INTEGER) AS max_chapter_idx FROM w""")
+@query(f"""WITH {NARRATIONS}, w AS (SELECT c.book_id, c.idx, c.text, n.narration_text, {TIER.replace("idx", "c.idx").replace("text", "c.text").replace("title", "c.title")} = 'long' AS refine, row_number() OVER (PARTITION BY sha256(c.text) ORDER BY c.chapter_id) > 1 AS hit FROM narrations n JOIN chapters c USING (chapter_id) WHERE version = 1),
+t AS (SELECT *, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END AS i, CASE WHEN length(narration_text) = 0 THEN 0 ELSE greatest(1, length(narration_text) // 2) END AS o FROM w)
+SELECT book_id, count(*) AS chapters_total, count(*) FILTER (WHERE length(narration_text) > 0) AS chapters_processed, CAST(0 AS BIGINT) AS chapters_skipped, count(*) + count(*) FILTER (WHERE refine) AS llm_calls, count(*) FILTER (WHERE refine) AS refine_llm_calls,
+count(*) FILTER (WHERE hit) AS cache_hits, count(*) + count(*) FILTER (WHERE refine) - count(*) FILTER (WHERE hit) AS cache_misses, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
+CAST(coalesce(sum(o) FILTER (WHERE refine), 0) AS BIGINT) AS refine_input_tokens, CAST(coalesce(sum(o) FILTER (WHERE refine), 0) AS BIGINT) AS refine_output_tokens, CAST(0 AS BIGINT) AS consistency_warnings, CAST(0 AS BIGINT) AS consistency_actions,
+CAST(0 AS BIGINT) AS evidence_supported_claims, CAST(0 AS BIGINT) AS evidence_unsupported_claims, CAST(max(idx) AS INTEGER) AS max_chapter_idx, CAST(NULL AS DOUBLE) AS runtime_seconds FROM t GROUP BY 1""")
 def run_report(spark, folder):
+    """One call a chapter and one more where its tier refines; a prompt that an earlier chapter had is a cache hit."""
     n = narrations(spark, folder).where("version = 1").select("chapter_id", F.col("narration_text").alias("narration"))
-    rows = chapters(spark, folder).join(n, "chapter_id").withColumn("calls", F.lit(2).cast("long")).withColumn("cache_hit", F.col("chapter_id") % 3 == 0)
-    return tiers.run_report(rows)
+    rows = chapters(spark, folder).withColumn("tier", tiers.tier(RULE, F.col("idx"), F.col("title"), F.col("text"))).join(n, "chapter_id")
+    again = F.row_number().over(W.partitionBy(F.sha2("text", 256)).orderBy("chapter_id")) > 1
+    refine = (F.col("tier") == "long").cast("long")
+    return tiers.run_report(rows.withColumn("refine_calls", refine).withColumn("calls", 1 + refine).withColumn("cache_hit", again))
 
 
 # claims
@@ -329,7 +331,9 @@ def event_consistency(spark, folder):
     return claims.consistent_events(ev, recent).select("book_id", "chapter_idx", "what", "pos")
 
 
-ALIAS = f"{DAYS}, {CHARACTERS}, named AS (SELECT d.*, CASE WHEN event_id % 7 % 2 = 0 THEN 'Hero' || (event_id % 7) ELSE d.name END AS canonical FROM days d)"
+ALIAS = f"""{DAYS}, {CHARACTERS}, names AS (SELECT book_id, character_id * 1000 AS place, canonical_name AS name, canonical_name FROM characters UNION ALL SELECT book_id, character_id * 1000 + 1, unnest(from_json(aliases_json, '["VARCHAR"]')), canonical_name FROM characters),
+known AS (SELECT book_id, lower(replace(name, ' ', '')) AS key, max_by(canonical_name, place) AS canonical FROM names GROUP BY ALL),
+named AS (SELECT d.*, coalesce(k.canonical, d.name) AS canonical FROM days d LEFT JOIN known k ON k.book_id = d.book_id AND k.key = lower(replace(d.name, ' ', '')))"""
 
 
 @query(f"WITH {ALIAS} SELECT book_id, event_id, name, canonical FROM named")
@@ -345,7 +349,7 @@ def update_consistency(spark, folder):
 
 def updates(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("event_id") % 4 == 0, "location")
-    return days(spark, folder).select("book_id", "chapter_idx", "pos", "event_id", "name", kind.alias("change_type"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise("old").alias("before"), F.col("event_type").alias("after"), F.lit(None).cast("string").alias("evidence"))
+    return days(spark, folder).select("book_id", "chapter_idx", "pos", "event_id", "name", kind.alias("change_type"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise("old").alias("before"), F.col("event_type").alias("after"), F.col("props").alias("evidence"))
 
 
 def support(spark: SparkSession, folder: str) -> DataFrame:
@@ -383,7 +387,7 @@ def evidence_report(spark, folder):
 
 # state
 
-UPDATES = f"""WITH {ALIAS}, u AS (SELECT book_id, chapter_idx, pos, canonical AS name, name AS name_raw, CASE WHEN event_id % 4 = 0 THEN 'location' ELSE 'status' END AS change_type, event_type AS after FROM named WHERE event_id % 5 <> 0)"""
+UPDATES = f"""WITH {ALIAS}, u AS (SELECT book_id, chapter_idx, pos, canonical AS name, name AS name_raw, CASE WHEN event_id % 4 = 0 THEN 'location' ELSE 'status' END AS change_type, event_type AS after, props AS evidence FROM named WHERE event_id % 5 <> 0)"""
 
 
 @query(f"""{UPDATES}, seen AS (SELECT book_id, chapter_idx, canonical AS name, CASE WHEN name <> canonical THEN name END AS alias FROM named UNION ALL SELECT book_id, chapter_idx, name, NULL FROM u)
@@ -391,26 +395,26 @@ SELECT book_id, name, coalesce(string_agg(DISTINCT alias, ',' ORDER BY alias), '
 coalesce((SELECT max_by(after, chapter_idx * 1000000 + pos) FROM u WHERE u.book_id = seen.book_id AND u.name = seen.name AND change_type = 'status'), 'active') AS status,
 (SELECT max_by(after, chapter_idx * 1000000 + pos) FROM u WHERE u.book_id = seen.book_id AND u.name = seen.name AND change_type = 'location') AS location FROM seen GROUP BY book_id, name""")
 def state_transition_characters(spark, folder):
-    cast = characters(spark, folder)
-    mentions = claims.resolved(days(spark, folder), cast, "name", "canonical").select("book_id", "chapter_idx", "name", "canonical")
-    return state.character_states(mentions, claims.consistent_updates(updates(spark, folder), cast))
+    return cast_states(spark, folder)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return days(spark, folder).select("book_id", "chapter_idx", "pos", F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20).cast("int")).alias("what"), F.col("props").alias("impact"))
+    return days(spark, folder).select("book_id", "chapter_idx", "pos", F.when(F.col("event_id") % 4 > 0, F.col("name")).alias("who"), F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20).cast("int")).alias("what"), F.col("props").alias("impact"))
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     return days(spark, folder).select("book_id", "chapter_idx", "pos", F.concat(F.lit("item "), F.col("event_id") % 5).alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("name")).alias("owner"), F.col("event_type").alias("description"))
 
 
-EVENTS = "e AS (SELECT book_id, chapter_idx, pos, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what, props AS impact FROM days)"
+EVENTS = "e AS (SELECT book_id, chapter_idx, pos, CASE WHEN event_id % 4 > 0 THEN name END AS who, event_type || ' ' || CAST(floor(value / 20) AS INTEGER) AS what, props AS impact FROM days)"
 ITEMS = "i AS (SELECT book_id, chapter_idx, pos, 'item ' || (event_id % 5) AS name, CASE WHEN event_id % 2 = 0 THEN name END AS owner, event_type AS description FROM days)"
-FACTS = f"""{UPDATES}, {EVENTS}, {ITEMS}, w AS (
-  SELECT book_id, chapter_idx, 0 AS stage, pos, 'event:' || chapter_idx || ':' || substr(sha256(what), 1, 12) AS fact_key, what AS fact_value, 0.7::DOUBLE AS confidence FROM e
-  UNION ALL SELECT book_id, chapter_idx, 1, pos, 'character:' || name || ':' || change_type, after, CASE change_type WHEN 'status' THEN 0.85 ELSE 0.8 END::DOUBLE FROM u
-  UNION ALL SELECT book_id, chapter_idx, 2, pos, 'item:' || name || ':owner', owner, 0.75::DOUBLE FROM i WHERE coalesce(owner, '') <> ''),
-facts AS (SELECT book_id, fact_key, fact_value, confidence, chapter_idx AS source_chapter_idx FROM w QUALIFY row_number() OVER (PARTITION BY book_id, fact_key ORDER BY chapter_idx DESC, stage DESC, pos DESC) = 1)"""
+FACTS = f"""{UPDATES}, {EVENTS}, {ITEMS}, cast_ AS (SELECT book_id, name, max(chapter_idx * 1000000 + pos) AS at_, max_by(evidence, chapter_idx * 1000000 + pos) AS excerpt,
+  coalesce(max_by(after, chapter_idx * 1000000 + pos) FILTER (WHERE change_type = 'status'), 'active') AS status, max_by(after, chapter_idx * 1000000 + pos) FILTER (WHERE change_type = 'location') AS location FROM u GROUP BY ALL),
+w AS (SELECT book_id, chapter_idx, 0 AS stage, pos, 'event:' || chapter_idx || ':' || substr(sha256(what), 1, 12) AS fact_key, what AS fact_value, 0.7::DOUBLE AS confidence, what AS excerpt FROM e
+  UNION ALL SELECT book_id, at_ // 1000000, 1, at_ % 1000000, 'character:' || name || ':status', status, 0.85::DOUBLE, excerpt FROM cast_
+  UNION ALL SELECT book_id, at_ // 1000000, 1, at_ % 1000000, 'character:' || name || ':location', location, 0.8::DOUBLE, excerpt FROM cast_ WHERE location IS NOT NULL
+  UNION ALL SELECT book_id, chapter_idx, 2, pos, 'item:' || name || ':owner', owner, 0.75::DOUBLE, coalesce(nullif(description, ''), owner) FROM i WHERE coalesce(owner, '') <> ''),
+facts AS (SELECT book_id, fact_key, fact_value, confidence, CAST(chapter_idx AS INTEGER) AS source_chapter_idx, substr(excerpt, 1, 300) AS source_excerpt FROM w QUALIFY row_number() OVER (PARTITION BY book_id, fact_key ORDER BY chapter_idx DESC, stage DESC, pos DESC) = 1)"""
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -427,22 +431,44 @@ def state_transition_items(spark, folder):
     return state.item_states(items(spark, folder))
 
 
-@query(f"WITH {DAYS}, {EVENTS} SELECT book_id, chapter_idx, pos, what AS event_summary, 'narration_draft' AS event_type, impact FROM e")
+@query(f"""WITH {DAYS}, {EVENTS} SELECT book_id, chapter_idx, pos, what AS event_summary, '["' || who || '"]' AS involved_characters_json, 'narration_draft' AS event_type, impact FROM e""")
 def state_transition_events(spark, folder):
     return state.plot_events(events(spark, folder))
 
 
-SNAPSHOT = f"""{FACTS}, snap AS (SELECT book_id, '[' || string_agg('{{"k":"' || fact_key || '","v":"' || fact_value || '"}}', ',' ORDER BY fact_key) || ']' AS snapshot_json FROM facts GROUP BY 1)"""
+def cast_states(spark: SparkSession, folder: str) -> DataFrame:
+    known = characters(spark, folder)
+    mentions = claims.resolved(days(spark, folder), known, "name", "canonical").select("book_id", "chapter_idx", "name", "canonical")
+    return state.character_states(mentions, claims.consistent_updates(updates(spark, folder), known))
+
 
+def snapshot_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    return state.snapshots(characters=cast_states(spark, folder), items=state.item_states(items(spark, folder)), plot_events=state.plot_events(events(spark, folder)), world_facts=facts(spark, folder))
 
-@query(f"{SNAPSHOT} SELECT book_id, sha256(snapshot_json) AS snapshot_hash FROM snap")
+
+@query(f"""{FACTS} SELECT book_id, sha256('{{"world_facts":[' || string_agg('{{"fact_key":"' || fact_key || '","fact_value":"' || fact_value || '"}}', ',' ORDER BY fact_key) || ']}}') AS snapshot_hash FROM facts GROUP BY 1""")
 def snapshot_hash(spark, folder):
-    return state.snapshots(facts(spark, folder), ["book_id"], "fact_key", "fact_value").select("book_id", "snapshot_hash")
+    return state.snapshots(world_facts=facts(spark, folder).select("book_id", "fact_key", "fact_value")).select("book_id", "snapshot_hash")
+
 
+CAST = f"""seen AS (SELECT book_id, chapter_idx, canonical AS name, CASE WHEN name <> canonical THEN name END AS alias FROM named UNION ALL SELECT book_id, chapter_idx, name, NULL FROM u),
+people AS (SELECT book_id, name, coalesce(string_agg(DISTINCT alias, ',' ORDER BY alias), '') AS aliases, min(chapter_idx) AS first_idx, max(chapter_idx) AS last_idx FROM seen GROUP BY ALL),
+things AS (SELECT book_id, name, (array_agg(owner ORDER BY chapter_idx DESC, pos DESC) FILTER (WHERE owner IS NOT NULL OR true))[1] AS owner, min(chapter_idx) AS first_idx, max(chapter_idx) AS last_idx FROM i GROUP BY ALL)"""
 
-@query(f"{FACTS} SELECT book_id, fact_key, fact_value FROM facts")
+
+@query(f"""{FACTS}, {CAST} SELECT book_id, 'characters' AS kind, name AS key, aliases || '|' || first_idx || '|' || last_idx AS value FROM people
+UNION ALL SELECT book_id, 'items', name, coalesce(owner, '-') || '|' || first_idx || '|' || last_idx FROM things
+UNION ALL SELECT book_id, 'plot_events', chapter_idx || ':' || pos, what || '|' || coalesce('["' || who || '"]', '-') || '|' || impact FROM e
+UNION ALL SELECT book_id, 'world_facts', fact_key, fact_value || '|' || source_chapter_idx || '|' || source_excerpt FROM facts""")
 def snapshot_restore_roundtrip(spark, folder):
-    return state.restored(state.snapshots(facts(spark, folder), ["book_id"], "fact_key", "fact_value"), ["book_id"], "fact_key", "fact_value")
+    """All four tables, restored from the snapshots of all books."""
+    snap = snapshot_of_all(spark, folder)
+    bar = F.lit("|")
+    people = state.restored(snap, "characters", "name string, aliases string, first_chapter_idx int, last_chapter_idx int").select("book_id", F.lit("characters").alias("kind"), F.col("name").alias("key"), F.concat("aliases", bar, "first_chapter_idx", bar, "last_chapter_idx").alias("value"))
+    things = state.restored(snap, "items", "name string, owner_name string, first_chapter_idx int, last_chapter_idx int").select("book_id", F.lit("items"), "name", F.concat(F.coalesce("owner_name", F.lit("-")), bar, "first_chapter_idx", bar, "last_chapter_idx"))
+    plot = state.restored(snap, "plot_events", "chapter_idx int, pos long, event_summary string, involved_characters_json string, impact string").select("book_id", F.lit("plot_events"), F.concat("chapter_idx", F.lit(":"), "pos"), F.concat("event_summary", bar, F.coalesce("involved_characters_json", F.lit("-")), bar, "impact"))
+    known = state.restored(snap, "world_facts", "fact_key string, fact_value string, source_chapter_idx int, source_excerpt string").select("book_id", F.lit("world_facts"), "fact_key", F.concat("fact_value", bar, "source_chapter_idx", bar, "source_excerpt"))
+    return people.union(things).union(plot).union(known)
 
 
 @query(f"""WITH RECURSIVE {CHAPTERS}, n AS (SELECT book_id, idx, CAST(length(text) AS BIGINT) AS size FROM chapters),
@@ -504,11 +530,18 @@ def html_to_text(spark, folder):
     return with_markdown(table(spark, folder, "pages"), media=True).select("page_id", "url", "markdown")
 
 
-@query()
+@query(f"""{FACTS}, {CAST}, titles AS (SELECT book_id, 'user ' || book_id AS title FROM (SELECT DISTINCT book_id FROM days)), ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY fact_key) AS n FROM facts)
+SELECT t.book_id, t.title AS book_title, CAST(0 AS INTEGER) AS narrations, (SELECT string_agg(name, ',' ORDER BY name) FROM people p WHERE p.book_id = t.book_id) AS characters, (SELECT string_agg(name || '=' || coalesce(owner, ''), ',' ORDER BY name) FROM things x WHERE x.book_id = t.book_id) AS owners,
+(SELECT CAST(count(*) AS INTEGER) FROM e WHERE e.book_id = t.book_id) AS plot_events, (SELECT string_agg(fact_key || '=' || fact_value, ',' ORDER BY fact_key) FROM ranked r WHERE r.book_id = t.book_id AND n <= 100) AS facts FROM titles t""")
 def world_state_json(spark, folder):
-    f = export.world_state("facts_json", facts(spark, folder), "fact_key")
-    i = export.world_state("items_json", state.item_states(items(spark, folder)), "name")
-    return f.join(i, "book_id", "full")
+    """world_state.json of each book, read back from its text."""
+    books = days(spark, folder).select("book_id").distinct().withColumn("title", F.concat(F.lit("user "), "book_id"))
+    none = spark.createDataFrame([], "book_id long, chapter_idx int, narration_text string")
+    written = export.world_state(books, 100, narrations=none, characters=cast_states(spark, folder), items=state.item_states(items(spark, folder)), plot_events=state.plot_events(events(spark, folder)), world_facts=facts(spark, folder))
+    schema = "book_id long, book_title string, narrations array<struct<chapter_idx:int>>, characters array<struct<name:string>>, items array<struct<name:string,owner_name:string>>, plot_events array<struct<pos:long>>, world_facts array<struct<fact_key:string,fact_value:string>>"
+    x = written.select(F.from_json("content", schema).alias("x")).select("x.*")
+    pair = lambda key, value: lambda r: F.concat(r[key], F.lit("="), F.coalesce(r[value], F.lit("")))
+    return x.select("book_id", "book_title", F.size("narrations").alias("narrations"), F.array_join("characters.name", ",").alias("characters"), F.array_join(F.transform("items", pair("name", "owner_name")), ",").alias("owners"), F.size("plot_events").alias("plot_events"), F.array_join(F.transform("world_facts", pair("fact_key", "fact_value")), ",").alias("facts"))
 
 
 QUERIES["keyword_terms"], SQL["keyword_terms"] = QUERIES.pop("keyword_terms_query"), SQL.pop("keyword_terms_query")
@@ -528,10 +561,12 @@ def vector_ids(spark, folder):
     return table(spark, folder, "events").select(F.coalesce(key.try_cast("bigint"), F.get_json_object("props", "$.k").try_cast("bigint")).alias("id")).where("id IS NOT NULL").distinct()
 
 
-@query("""WITH c AS (SELECT event_type || ':' || (user_id % 9) AS key, value, event_id FROM events) SELECT key, value FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id DESC) = 1""")
+@query("""WITH c AS (SELECT event_type || ':' || user_id AS key, value, event_id, day(ts) > 15 AS late FROM events) SELECT key, value FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY late DESC, event_id DESC) = 1""")
 def cache_put(spark, folder):
-    rows = table(spark, folder, "events").select(F.concat("event_type", F.lit(":"), F.col("user_id") % 9).alias("key"), "value", "event_id")
-    return store.upsert(rows.where("event_id % 2 = 0").transform(lambda d: store.latest(d, ["key"], ["event_id"])).where("false"), rows, ["key"], ["event_id"]).select("key", "value")
+    """What the first half of the month cached is replaced by the second half's answers to the same keys."""
+    rows = table(spark, folder, "events").select(F.concat("event_type", F.lit(":"), "user_id").alias("key"), "value", "event_id", (F.dayofmonth("ts") > 15).alias("late"))
+    held = store.latest(rows.where("NOT late"), ["key"], ["event_id"])
+    return store.upsert(held, rows.where("late"), ["key"], ["event_id"]).select("key", "value")
 
 
 @query(f"WITH {CHUNKS}, tok AS (SELECT book_id, chunk_id, {TOKENS} AS t FROM chunks) SELECT book_id, count(DISTINCT chunk_id) AS documents, CAST(sum(len(t)) AS BIGINT) AS tokens FROM tok GROUP BY 1")
@@ -592,22 +627,46 @@ def export_book_summary(spark, folder):
     return n.select("book_id", export.book_summary(title, F.concat("n", F.lit(" chapters"))).alias("content"), export.story(F.when(F.col("n") > 9, "text")).alias("story"))
 
 
-@query()
+KEYWORDS = f"""list_transform(regexp_extract_all('chapter_idx=' || idx || chr(10) || 'entities=' || array_to_string(list_slice(list_filter(han, lambda x, i: list_position(han, x) = i), 1, 16), ', ') || chr(10) || 'locations=' || chr(10) || 'items=' || chr(10) || substr(text, 1, 2000), '[\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9_]{{2,20}}'), lambda t: trim(t))"""
+HYBRID = f"""WITH {NARRATIONS}, {CHUNKS.removeprefix(CHAPTERS + ", ")},
+passages AS (SELECT book_id, 'chunk' AS source_type, chunk_id AS source_id, chapter_idx, title, chunk_text AS text, (chapter_id * 7 + idx) % 500 AS v FROM chunks
+  UNION ALL SELECT book_id, 'narration', narration_id, chapter_idx, title, narration_text, (chapter_id * 7 + 3) % 500 FROM (SELECT * FROM narrations QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY created_at DESC) = 1)),
+raw AS (SELECT *, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}') AS han FROM chapters WHERE chapter_id % 100 = 0), keys AS (SELECT *, list_filter({KEYWORDS}, lambda t: t <> '') AS t FROM raw),
+asked AS (SELECT book_id, chapter_id AS query_id, idx AS current_idx, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 8) AS terms, (chapter_id * 7 + 5) % 500 AS v FROM keys),
+pair AS (SELECT a.query_id, a.current_idx, p.source_type, p.source_id, p.chapter_idx, {DISTANCE} AS distance FROM asked a JOIN passages p ON p.book_id = a.book_id JOIN embeddings q ON q.vec_id = a.v JOIN embeddings e ON e.vec_id = p.v),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY distance, source_id) AS rank FROM pair QUALIFY rank <= CASE source_type WHEN 'chunk' THEN 24 ELSE 16 END),
+tok AS (SELECT *, regexp_extract_all(lower(title || ' ' || text), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM passages), stat AS (SELECT source_type, count(*) AS n, avg(len(tokens)) AS mean FROM tok GROUP BY 1),
+post AS (SELECT book_id, source_type, source_id, chapter_idx, size, term, count(*) AS tf FROM (SELECT book_id, source_type, source_id, chapter_idx, len(tokens) AS size, unnest(tokens) AS term FROM tok) GROUP BY ALL), df AS (SELECT source_type, term, count(*) AS df FROM post GROUP BY ALL),
+want AS (SELECT DISTINCT query_id, current_idx, book_id, lower(unnest(terms)) AS term FROM asked),
+scored AS (SELECT w.query_id, w.current_idx, p.source_type, p.source_id, p.chapter_idx, -sum(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS score
+  FROM post p JOIN want w ON w.book_id = p.book_id AND w.term = p.term JOIN df ON df.source_type = p.source_type AND df.term = p.term JOIN stat ON stat.source_type = p.source_type WHERE p.chapter_idx < w.current_idx GROUP BY ALL),
+words AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY round(score, 9), source_id) AS rank FROM scored QUALIFY rank <= CASE source_type WHEN 'chunk' THEN 24 ELSE 16 END),
+hits AS (SELECT query_id, current_idx, CASE source_type WHEN 'chunk' THEN 0 ELSE 1 END AS leg, source_type, source_id, chapter_idx, rank FROM near UNION ALL SELECT query_id, current_idx, 2, source_type, source_id, chapter_idx, row_number() OVER (PARTITION BY query_id ORDER BY source_type, rank) FROM words),
+s AS (SELECT *, greatest(0, 1 - (rank - 1) / count(*) OVER (PARTITION BY query_id, leg)::DOUBLE) AS s FROM hits),
+g AS (SELECT query_id, current_idx, source_type, source_id, coalesce(max(s) FILTER (WHERE leg < 2), 0) AS v, coalesce(max(s) FILTER (WHERE leg = 2), 0) AS k, min(chapter_idx) AS chapter_idx, min(leg * 1000 + rank) AS seq FROM s WHERE chapter_idx < current_idx GROUP BY ALL),
+t AS (SELECT *, 0.7::DOUBLE * v + (1 - 0.7::DOUBLE) * k + 0.2::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + (current_idx - chapter_idx))) AS score FROM g),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS INTEGER) AS rank FROM t QUALIFY rank <= 8)"""
+
+
+@query(f"{HYBRID} SELECT b.query_id, b.source_type, b.source_id, b.chapter_idx, round(b.score, 6) AS score, b.rank, p.title AS chapter_title, substr(p.text, 1, 800) AS text FROM best b JOIN passages p ON p.source_type = b.source_type AND p.source_id = b.source_id")
 def hybrid_fusion(spark, folder):
-    """Chunks and narrations, embedded and indexed; the chapters whose id is divisible by 100 ask, with their causal bound."""
-    from .functions.providers import HashingEmbedder
-    from .plans.generate import fallback_entities, hybrid, query_text
+    """Chunks and narrations with stored vectors, indexed by book; the chapters whose id is divisible by 100 ask their own book, with their causal bound."""
+    from .functions.text import keyword_terms as keywords
+    from .plans.generate import assets, fallback_entities, hybrid, query_text
 
-    c = all_chunks(spark, folder).select(F.lit("chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"))
-    n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"]).select(F.lit("narration").alias("source_type"), F.col("narration_id").alias("source_id"), "chapter_idx", "title", F.col("narration_text").alias("text"))
+    c = all_chunks(spark, folder).select("book_id", F.lit("chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"), ((F.col("chapter_id") * 7 + F.col("idx")) % 500).alias("vec_id"))
+    n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"]).select("book_id", F.lit("narration").alias("source_type"), F.col("narration_id").alias("source_id"), "chapter_idx", "title", F.col("narration_text").alias("text"), ((F.col("chapter_id") * 7 + 3) % 500).alias("vec_id"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     none = F.array().cast("array<string>")
-    asked_ = chapters(spark, folder).where("chapter_id % 100 = 0").select(F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")).alias("query_text"), none.alias("given"))
-    return hybrid(c.unionByName(n), asked_, HashingEmbedder(), 8)
+    asked_ = chapters(spark, folder).where("chapter_id % 100 = 0").withColumn("q", query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")))
+    asked_ = asked_.select("book_id", F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), keywords(F.col("q"), none).alias("terms"), ((F.col("chapter_id") * 7 + 5) % 500).alias("vec_id")).join(vectors.withColumnRenamed("vector", "query_vector"), "vec_id").drop("vec_id")
+    passages, index = assets(c.unionByName(n).join(vectors, "vec_id").drop("vec_id"), None)
+    return hybrid(passages, asked_, index, 8).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH s AS (SELECT user_id, event_type AS summary_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id AS book_id, summary_type, value FROM s WHERE n = 1""")
+@query("""SELECT conv_id AS book_id, role AS summary_type, text AS value FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1""")
 def latest_summary(spark, folder):
-    return store.latest(table(spark, folder, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select(F.col("user_id").alias("book_id"), F.col("event_type").alias("summary_type"), "value")
+    return store.latest(table(spark, folder, "conversations"), ["conv_id", "role"], ["turn"]).select(F.col("conv_id").alias("book_id"), F.col("role").alias("summary_type"), F.col("text").alias("value"))
 
 
 @query(f"""WITH {DAYS}, e AS (SELECT book_id, CASE event_id % 4 WHEN 0 THEN 'book_summary' WHEN 1 THEN 'story' WHEN 2 THEN 'characters' ELSE 'timeline' END AS t, max(event_id) AS m FROM days GROUP BY ALL),
@@ -622,22 +681,34 @@ def legacy_export(spark, folder):
     return export.legacy_files(e.withColumn("content", content))
 
 
-@query()
+@query(f"""{FACTS}, ch AS (SELECT DISTINCT book_id, chapter_idx FROM days), who AS (SELECT DISTINCT book_id, chapter_idx, 'Hero' || (event_id % 7) AS name FROM days WHERE event_id % 3 > 0), what_ AS (SELECT DISTINCT book_id, chapter_idx, 'item ' || (event_id % 5) AS name FROM days WHERE event_id % 2 = 0), stock AS (SELECT DISTINCT book_id, name FROM i),
+c1 AS (SELECT h.book_id, h.chapter_idx, k.canonical_name AS name FROM ch h JOIN characters k USING (book_id) WHERE NOT EXISTS (SELECT 1 FROM who w WHERE w.book_id = h.book_id AND w.chapter_idx = h.chapter_idx) OR EXISTS (SELECT 1 FROM who w WHERE w.book_id = h.book_id AND w.chapter_idx = h.chapter_idx AND w.name = k.canonical_name)),
+i1 AS (SELECT h.book_id, h.chapter_idx, s.name FROM ch h JOIN stock s USING (book_id) WHERE NOT EXISTS (SELECT 1 FROM what_ w WHERE w.book_id = h.book_id AND w.chapter_idx = h.chapter_idx) OR EXISTS (SELECT 1 FROM what_ w WHERE w.book_id = h.book_id AND w.chapter_idx = h.chapter_idx AND w.name = s.name)),
+r1 AS (SELECT h.book_id, h.chapter_idx, d.event_type, row_number() OVER (PARTITION BY h.book_id, h.chapter_idx ORDER BY d.chapter_idx DESC, d.event_id DESC) AS n FROM ch h JOIN days d ON d.book_id = h.book_id AND d.chapter_idx BETWEEN h.chapter_idx - 5 AND h.chapter_idx - 1 QUALIFY n <= 20),
+f1 AS (SELECT book_id, fact_key, fact_value FROM facts QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY fact_key) <= 30)
+SELECT h.book_id, h.chapter_idx, (SELECT string_agg(name, ',' ORDER BY name) FROM c1 WHERE c1.book_id = h.book_id AND c1.chapter_idx = h.chapter_idx) AS characters, (SELECT string_agg(name, ',' ORDER BY name) FROM i1 WHERE i1.book_id = h.book_id AND i1.chapter_idx = h.chapter_idx) AS items,
+(SELECT string_agg(event_type, ',' ORDER BY n) FROM r1 WHERE r1.book_id = h.book_id AND r1.chapter_idx = h.chapter_idx) AS recent_events, (SELECT string_agg(fact_key || '=' || fact_value, ',' ORDER BY fact_key) FROM f1 WHERE f1.book_id = h.book_id) AS facts FROM ch h""")
 def state_lookup(spark, folder):
     d = days(spark, folder)
-    asked_ = d.groupBy("book_id", "chapter_idx").agg(F.sort_array(F.collect_set(F.concat(F.lit("Hero"), F.col("event_id") % 7))).alias("entities"))
+    names = lambda kind, n, when: F.collect_set(F.when(when, F.concat(F.lit(f"{kind}"), F.col("event_id") % n)))
+    asked_ = d.groupBy("book_id", "chapter_idx").agg(names("Hero", 7, F.col("event_id") % 3 > 0).alias("entities"), names("item ", 5, F.col("event_id") % 2 == 0).alias("items_mentioned"))
     ev = d.select("book_id", "chapter_idx", "event_id", F.col("event_type").alias("event_summary"))
-    return state.lookup(asked_, characters(spark, folder), state.item_states(items(spark, folder)), ev, facts(spark, folder), 5)
+    x = state.lookup(asked_, characters(spark, folder).withColumnRenamed("canonical_name", "name"), state.item_states(items(spark, folder)), ev, facts(spark, folder), 5, 30)
+    known = F.array_join(F.transform("facts", lambda f: F.concat(f["fact_key"], F.lit("="), f["fact_value"])), ",")
+    return x.select("book_id", "chapter_idx", F.array_join("characters.name", ",").alias("characters"), F.array_join("items.name", ",").alias("items"), F.array_join("recent_events.event_summary", ",").alias("recent_events"), known.alias("facts"))
 
 
-@query(f"WITH {DAYS}, {EVENTS} SELECT book_id, chapter_idx, what AS event_summary, count(*) AS n FROM e WHERE chapter_idx <= 10 GROUP BY ALL")
+@query(f"{FACTS.replace('FROM named WHERE', 'FROM named WHERE chapter_idx <= 10 AND').replace('AS impact FROM days', 'AS impact FROM days WHERE chapter_idx <= 10').replace('AS description FROM days', 'AS description FROM days WHERE chapter_idx <= 10')} SELECT * FROM facts")
 def replay_state(spark, folder):
-    """Stored payloads of each chapter, parsed and folded again up to chapter 10."""
-    e = events(spark, folder)
-    payload = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("pos", "what", "impact"))).alias("key_events"), F.lit(1).alias("other")))
-    stored = e.groupBy("book_id", "chapter_idx").agg(payload.alias("payload_json"))
-    back = state.plot_events(state.replayed(stored, 10)["events"])
-    return back.groupBy("book_id", "chapter_idx", "event_summary").agg(F.count("*").alias("n"))
+    """Stored payloads of each chapter, parsed and folded again up to chapter 10: events, updates and items."""
+    keys, parts = ["book_id", "chapter_idx"], []
+    known = characters(spark, folder)
+    for name, rows in (("key_events", events(spark, folder)), ("character_updates", claims.consistent_updates(updates(spark, folder), known)), ("new_items", items(spark, folder))):
+        columns = [c for c in rows.columns if c not in (*keys, "pos")]
+        parts.append(rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*columns).alias("x")))), lambda r: r["x"]).alias(name)))
+    stored = parts[0].join(parts[1], keys, "full").join(parts[2], keys, "full").select(*keys, F.to_json(F.struct("key_events", "character_updates", "new_items", F.lit(1).alias("other"))).alias("payload_json"))
+    back = state.replayed(stored, 10)
+    return state.facts(back["events"], back["updates"], back["items"])
 
 
 @query(f"""WITH {CHUNKS}, old AS (SELECT chunk_id FROM chunks WHERE chapter_id % 4 = 0) SELECT chunk_id, 64 AS size, true AS unit FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM old)""")

@@ -112,8 +112,8 @@ def test_consistency(spark):
 
 
 def test_restore_ignores_other_fields(spark):
-    s = spark.createDataFrame([(1, '[{"k":"a","v":"1","z":2}]')], "b int, snapshot_json string")
-    assert rows(state.restored(s, ["b"], "k", "v"), "b", "k", "v") == [(1, "a", "1")]
+    s = spark.createDataFrame([(1, '{"items":[{"name":"a","owner_name":"1","z":2}],"other":3}'), (2, '{"items":[]}'), (3, None)], "book_id int, snapshot_json string")
+    assert rows(state.restored(s, "items", "name string, owner_name string"), "book_id", "name", "owner_name") == [(1, "a", "1")]
 
 
 def test_filenames_and_steps(spark):
@@ -129,3 +129,69 @@ def test_draft_length_and_tiers(spark):
     rule = tiers.Tiering(default="short", long_keywords=("Duel",))
     assert one(spark, "the duel", lambda c: tiers.tier(rule, F.lit(1), F.lit("t"), c)) == "long"
     assert one(spark, "calm", lambda c: tiers.tier(rule, F.lit(1), F.lit("t"), c)) == "short"
+
+
+def test_numbered_across_ranges(spark):
+    ids = [5, 1, 250_000, 100_001, 99_999, -7, None]
+    df = spark.createDataFrame([(i, s) for i in ids for s in ("a", None)], "k long, s string")
+    got = store.numbered(df, "s", "k")
+    for s in ("a", None):
+        assert [r.k for r in got.where(F.col("s").eqNullSafe(F.lit(s))).orderBy("idx").collect()] == [None, -7, 1, 5, 99_999, 100_001, 250_000]
+    assert store.numbered(df.limit(0), "s", "k").count() == 0
+
+
+def test_table_versions(spark, tmp_path):
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    t = store.Table(spark, f"file://{tmp_path}/t")
+    assert t.version() is None and t.folders(None) == []
+    t.replace(rows(1, 2))
+    t.append(rows(3))
+    assert sorted(r.k for r in t.read().collect()) == [1, 2, 3] and t.version() == 2 and sorted(r.k for r in t.read(1).collect()) == [1, 2]
+    base = t.version()
+    t.append(rows(4))
+    with pytest.raises(store.Conflict):
+        t._publish(["data=lost"], base)
+    t.replace(rows(9))
+    assert len(t.vacuum()) == 3 and t.versions() == [4] and [r.k for r in t.read().collect()] == [9]
+    with pytest.raises(LookupError, match="book not found: 7"):
+        store.point_read(t.read(), "k", 7, "book")
+    assert store.point_read(t.read(), "k", 9) == {"k": 9}
+
+
+def test_table_partitions(spark, tmp_path):
+    t = store.Table(spark, f"file://{tmp_path}/p", "book")
+    t.replace(spark.createDataFrame([(1, "a"), (2, "b")], "k int, book string"))
+    t.append(spark.createDataFrame([(3, "b")], "k int, book string"))
+    assert sorted(r.k for r in t.read().where("book = 'b'").collect()) == [2, 3] and set(t.read().columns) == {"k", "book"}
+
+
+def test_spaced_events(spark):
+    """A dropped repeat does not hold back a later one: only kept events count."""
+    ev = spark.createDataFrame([("b", c, p, w) for c, p, w in [(1, 0, "x"), (1, 1, " x "), (4, 0, "x"), (7, 0, "x"), (8, 0, "y"), (9, 0, ""), (13, 0, "x"), (14, 0, None)]], "book_id string, chapter_idx int, pos int, what string")
+    got = claims.spaced_events(ev, 5)
+    assert sorted((r.chapter_idx, r.pos, r.what) for r in got.collect()) == [(1, 0, "x"), (7, 0, "x"), (8, 0, "y"), (13, 0, "x")]
+    assert claims.spaced_events(ev.limit(0), 5).count() == 0
+
+
+def test_effective_values(spark):
+    df = spark.createDataFrame([(0, False), (None, None)], "n int, b boolean")
+    got = df.select(tiers.effective(F.col("n"), 8, 1).alias("n"), tiers.effective(F.col("b"), None, True).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(0, False), (8, True)]
+
+
+def test_character_facts_state_what_holds(spark):
+    """Every update states the status, `active` before any change, and a location once there is one."""
+    u = spark.createDataFrame([(1, 1, 0, "A", "location", "hill", "seen"), (1, 2, 0, "A", "other", "z", "later"), (1, 1, 1, "B", "status", "", None)], "book_id int, chapter_idx int, pos int, name string, change_type string, after string, evidence string")
+    none = spark.createDataFrame([], "book_id int, chapter_idx int, pos int, who string, what string, impact string")
+    items = spark.createDataFrame([], "book_id int, chapter_idx int, pos int, name string, owner string, description string")
+    got = {r.fact_key: (r.fact_value, r.source_chapter_idx, r.source_excerpt) for r in state.facts(none, u, items).collect()}
+    assert got == {"character:A:status": ("active", 2, "later"), "character:A:location": ("hill", 2, "later"), "character:B:status": ("active", 1, "")}
+
+
+def test_index_by_kind_and_book(spark):
+    docs = spark.createDataFrame([(1, "a", "chunk", "red fox"), (2, "b", "chunk", "red fox red"), (3, "a", "note", "red"), (4, "a", "chunk", "blue")], "id long, book string, kind string, t string")
+    asked = spark.createDataFrame([(7, "a", ["red", "Fox"])], "query_id long, book string, terms array<string>")
+    got = retrieval.Index.of(docs, "id", ["t"], ["book"], "kind").search(asked, 5, ["book"])
+    assert sorted((r.id, r.rank) for r in got.collect()) == [(1, 1), (3, 1)]
+    none = retrieval.knn(None, asked.withColumn("query_vector", F.array(F.lit(1.0))), "id", "v", 3, ["book"])
+    assert none.count() == 0 and "distance" in none.columns
