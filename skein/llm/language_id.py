@@ -9,8 +9,10 @@ language's calibrated limit: the given quantile of entropies of training documen
 Training uses at most `per_language` documents a language, those of the least hash of their ids (default 400; the
 documented bound of the driver's memory), whole texts. Prediction uses whole texts; each batch scores its distinct n-grams once.
 
-Edge cases. Null text or a text without letters: `und`, score 0, not rejected. Rows that repeat an id are predicted each. Documents
-without lang don't train. Without any training document all texts are `und`. Empty tables give empty results.
+Edge cases. Null text or a text without letters (marks and digits are none): `und`, score 0, not rejected. Rows that repeat an id are
+predicted each. Documents without lang don't train. Without any training document all texts are `und`. Of languages with equal
+entropies the first by code point wins. Empty tables give empty results. Extra columns are ignored. A very long text is scored in one
+piece, some 100 bytes a letter. The driver and each worker hold n-grams x languages probabilities.
 """
 
 from __future__ import annotations
@@ -26,20 +28,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytewords import mix, pieces
+from .shared import cut
 
 ORDER = 5
 
 
 @cache
-def alphabet() -> np.ndarray:
-    """For each code point its lower-case letter, or 32 if it is no letter or mark."""
-    out = np.full(0x110000, 32, dtype=np.uint32)
+def alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case letter, or 32 if it is no letter or mark; and whether it is a letter."""
+    out, letter = np.full(0x110000, 32, dtype=np.uint32), np.zeros(0x110000, dtype=bool)
     for c in range(0x110000):
         s = chr(c)
-        if s.isalpha() or (c > 0x2FF and unicodedata.category(s)[0] == "M"):
+        letter[c] = s.isalpha()
+        if letter[c] or (c > 0x2FF and unicodedata.category(s)[0] == "M"):
             low = s.lower()
             out[c] = ord(low) if len(low) == 1 else c
-    return out
+    return out, letter
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +51,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
     points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(texts)), lengths)
-    out = alphabet()[points]
+    out = alphabet()[0][points]
     blank = out == 32
     start = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
     keep = ~blank | ~np.append(True, blank[:-1])[: len(blank)] & ~start
@@ -137,7 +141,7 @@ class Models:
         first = np.flatnonzero(start)
         sums = np.add.reduceat(logs[back], first, axis=0, dtype=np.float64)
         total[doc[first]] = sums / np.diff(np.append(first, len(doc)))[:, None]
-        return total, np.bincount(doc[letters != 32], minlength=len(texts))
+        return total, np.bincount(doc[alphabet()[1][letters]], minlength=len(texts))
 
     @staticmethod
     def found(keys: np.ndarray, table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -149,11 +153,14 @@ class Models:
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """lang, text and calibrate of at most per_language documents a language, by the least hash of their ids."""
-    order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = docs.where(F.col(lang_col).isNotNull()).select(id_col, lang_col).withColumn("skein_n", F.row_number().over(order)).where(F.col("skein_n") <= per_language)
-    ids = ids.select(F.col(id_col).alias("skein_id"), F.col(lang_col).alias("skein_lang"), (F.col("skein_n") % 5 == 0).alias("calibrate")).dropDuplicates(["skein_id", "skein_lang"])
-    # at most per_language rows a language
-    return docs.join(F.broadcast(ids), (F.col(id_col) == F.col("skein_id")) & (F.col(lang_col) == F.col("skein_lang"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "calibrate")
+    ids = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("skein_id"), F.col(lang_col).alias("skein_lang")).withColumn("skein_salt", F.spark_partition_id() % 1000)
+    # the first of each task, then of each thousandth of the tasks, then of all
+    for keys in (["skein_lang", "skein_salt"], ["skein_lang"]):
+        order = W.partitionBy(*keys).orderBy(F.xxhash64("skein_id"), "skein_id")
+        ids = ids.withColumn("skein_n", F.row_number().over(order)).where(F.col("skein_n") <= per_language)
+    ids = cut(ids.select("skein_id", "skein_lang", (F.col("skein_n") % 5 == 0).alias("calibrate")).dropDuplicates(["skein_id", "skein_lang"]))
+    # written, so that Spark knows its size and broadcasts it if it is small: per_language rows a language
+    return docs.join(ids, (F.col(id_col) == F.col("skein_id")) & (F.col(lang_col) == F.col("skein_lang"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "calibrate")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, quantile: float = 0.995) -> tuple[Models, np.ndarray]:
