@@ -1,18 +1,21 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
 A line's quote level is the number of `>` before its text. Neighbouring lines of one level are a passage; passages and their lines
-are normalised (lower case, single spaces) and hashed. A quoted hash belongs to the last earlier turn of the
-conversation that says the same in its own words. A message replies to the turn that most of its quoted characters belong to (ties: the
-later turn); without such a turn it replies to the turn before it, if there is one. The first turn of a chain of
+are normalised (lower case, single spaces) and hashed (128 bits and the length). A quoted hash belongs to the last earlier turn of the
+conversation that says the same in its own words, as a passage or a line. The lines of a quoted passage count only where the passage as a
+whole is not found, so that each quoted character counts once. A message replies to the turn that most of its quoted characters belong
+to (ties: the later turn); without such a turn it replies to the turn before it, if there is one. The first turn of a chain of
 replies is its root. Messages come without quotes and without the line that introduces one ("... wrote:"), in the
 order of conversation, root and turn, so that each reply follows what it answers.
 
-Quotes and own words of a conversation meet in one running window per (conversation, hash), which holds one value, not in
-a many-to-many join. Roots are found by doubling: each round replaces a message's ancestor by the ancestor's ancestor.
+Quotes and own words of a conversation meet in running windows, which hold one value, not in a many-to-many join: one per
+(conversation, hash) and thousand turns, and one over the thousands, so that a very common line of a very long conversation is
+dealt. Own words that nobody quotes are left out before. Roots are found by doubling: each round replaces a message's ancestor by the ancestor's ancestor.
 A long conversation is never gathered: all keys hold the turn or a hash, and the final order is a range sort.
 
 Edge cases. Null text is empty. Rows with one conversation and turn are one message in parts: they share links. A null
-conversation or turn has no links and is its own root. An empty table gives an empty result. Extra columns are ignored.
+conversation or turn has no links and is its own root. Rows equal in conversation, root and turn come in the order of role and text. An
+empty table gives an empty result. Extra columns are ignored. A very long text is one row of arrays, some three times its size.
 """
 
 from __future__ import annotations
@@ -57,15 +60,25 @@ def with_passages(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = "<|%s|>\n%s<|end|>\n", most_rounds: int = 64) -> DataFrame:
     """One row per message: conversation, turn, role, reply_to, root, n_quoted (lines), n_linked (quoted characters that
     were found), text (own words) and formatted; see the module's text for order and rules."""
-    base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), parsed(F.col(text_col)).alias("lines"))
+    base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), parsed(F.col(text_col)).alias("lines"), F.xxhash64(role_col, text_col).alias("part"))
     base = with_passages(base)
 
-    # every passage and, of passages of several lines, every line; level 0 is what a message says itself
-    unit = F.flatten(F.transform("passages", lambda p: F.transform(F.concat(F.array(p["text"]), F.when(F.size(p["bodies"]) > 1, p["bodies"]).otherwise(F.array().cast("array<string>"))), lambda t: F.struct((p["level"] > 0).alias("quoted"), normalised(t).alias("norm")))))
-    units = base.select("conv", "turn", F.explode(F.array_distinct(F.filter(unit, lambda u: u["norm"] != ""))).alias("u"))
-    units = units.select("conv", "turn", "u.quoted", F.xxhash64("u.norm").alias("h"), F.length("u.norm").alias("size")).where("conv IS NOT NULL AND turn IS NOT NULL")
-    earlier = W.partitionBy("conv", "h").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    quotes = units.withColumn("said", F.max(F.when(~F.col("quoted"), F.col("turn"))).over(earlier)).where("quoted AND said IS NOT NULL")
+    # every passage (i = 0) and, of passages of several lines, every line; level 0 is what a message says itself
+    def units_of(p: Column, k: Column) -> Column:
+        texts = F.concat(F.array(p["text"]), F.when(F.size(p["bodies"]) > 1, p["bodies"]).otherwise(F.array().cast("array<string>")))
+        return F.transform(texts, lambda t, i: F.struct((p["level"] > 0).alias("quoted"), k.alias("p"), i.alias("i"), normalised(t).alias("norm")))
+
+    units = base.select("conv", "turn", "part", F.explode(F.filter(F.flatten(F.transform("passages", units_of)), lambda u: u["norm"] != "")).alias("u"))
+    units = units.select("conv", "turn", "part", "u.quoted", "u.p", "u.i", F.xxhash64("u.norm").alias("h"), F.xxhash64(F.lit(1), "u.norm").alias("g"), F.length("u.norm").alias("size"), F.floor(F.col("turn") / 1000).alias("stretch"))
+    units = units.where("conv IS NOT NULL AND turn IS NOT NULL")
+    same = ["conv", "h", "g", "size"]
+    live = units.join(units.where("quoted").select(*same).distinct(), same, "left_semi")
+    said = F.max(F.when(~F.col("quoted"), F.col("turn")))
+    inside = said.over(W.partitionBy(*same, "stretch").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
+    before = F.max("last").over(W.partitionBy(*same).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    stretches = live.groupBy(*same, "stretch").agg(said.alias("last")).withColumn("earlier", before).drop("last")
+    quotes = live.withColumn("inside", inside).where("quoted").join(stretches, [*same, "stretch"]).withColumn("said", F.coalesce("inside", "earlier")).where("said IS NOT NULL")
+    quotes = quotes.withColumn("whole", F.min("i").over(W.partitionBy("conv", "turn", "part", "p")) == 0).where("i = 0 OR NOT whole")
     votes = quotes.groupBy("conv", "turn", "said").agg(F.sum("size").alias("size"))
     linked = votes.groupBy("conv", "turn").agg(F.max_by("said", F.struct("size", "said")).alias("said"), F.sum("size").alias("n_linked"))
 

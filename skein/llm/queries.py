@@ -106,10 +106,10 @@ l AS (SELECT conv_id, turn, role, pos, length(prefix) - length(replace(prefix, '
 c AS (SELECT *, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS next_level, CAST(level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS INTEGER) AS starts FROM l),
 g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM c),
 passage AS (SELECT conv_id, turn, run, max(level) AS level, string_agg(body, chr(10) ORDER BY pos) AS t, count(*) AS n FROM g GROUP BY ALL),
-unit AS (SELECT conv_id, turn, level > 0 AS quoted, t FROM passage UNION ALL SELECT g.conv_id, g.turn, g.level > 0, g.body FROM g JOIN passage USING (conv_id, turn, run) WHERE n > 1),
-u AS (SELECT DISTINCT conv_id, turn, quoted, lower(trim(regexp_replace(t, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')) AS norm FROM unit),
-said AS (SELECT q.conv_id, q.turn, q.norm, max(o.turn) AS said FROM u q JOIN u o ON q.conv_id = o.conv_id AND q.norm = o.norm AND o.turn < q.turn WHERE q.quoted AND NOT o.quoted AND q.norm <> '' GROUP BY ALL),
-vote AS (SELECT conv_id, turn, said, sum(length(norm)) AS size FROM said GROUP BY ALL),
+unit AS (SELECT conv_id, turn, run, 0 AS i, level > 0 AS quoted, t FROM passage UNION ALL SELECT g.conv_id, g.turn, g.run, g.pos, g.level > 0, g.body FROM g JOIN passage USING (conv_id, turn, run) WHERE n > 1),
+u AS (SELECT conv_id, turn, run, i, quoted, lower(trim(regexp_replace(t, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')) AS norm FROM unit),
+said AS (SELECT q.conv_id, q.turn, q.run, q.i, q.norm, max(o.turn) AS said FROM u q JOIN (SELECT DISTINCT conv_id, turn, norm FROM u WHERE NOT quoted) o ON q.conv_id = o.conv_id AND q.norm = o.norm AND o.turn < q.turn WHERE q.quoted AND q.norm <> '' GROUP BY ALL),
+vote AS (SELECT conv_id, turn, said, sum(length(norm)) AS size FROM said s WHERE i = 0 OR NOT EXISTS (SELECT 1 FROM said w WHERE w.conv_id = s.conv_id AND w.turn = s.turn AND w.run = s.run AND w.i = 0) GROUP BY ALL),
 linked AS (SELECT conv_id, turn, (array_agg(said ORDER BY size DESC, said DESC))[1] AS said, sum(size) AS n_linked FROM vote GROUP BY ALL),
 turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
 reply AS (SELECT t.conv_id, t.turn, coalesce(k.said, b.turn) AS reply_to, coalesce(n_linked, 0) AS n_linked FROM turns t LEFT JOIN linked k USING (conv_id, turn) LEFT JOIN turns b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1),
