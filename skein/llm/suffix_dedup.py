@@ -15,16 +15,22 @@ about one in 35, each with the bytes of all strings that share the anchor.
 4. Buckets merge their runs with a loser tree that keeps each entry's common prefix with the last winner, so
    known prefixes are never compared again. Neighbours that share an anchor are one group; in it
    every string but its first occurrence marks its bytes.
+   The prefix lengths also say which strings of an entry can recur in its group at all: a string that begins a bytes before the
+   anchor needs a neighbour that shares length - a bytes with it; others are never looked at.
 5. Chunks unite the marked spans.
 
+`length` is from 2 to 65,535 bytes. Each chunk sends a row to each bucket, and there are as many buckets as chunks (see the README).
+
 Edge cases. Null text counts as empty. Texts shorter than `length` keep all. Rows with one id are laid out in order of
 their text, as if one followed the other (no string crosses rows); rows equal in id and text are one document
-listed more than once and get equal results. Null ids sort first. An empty table gives an empty result. Extra columns pass unread.
+listed more than once and get equal results. Null ids sort first. An empty table gives an empty result. Extra columns pass unread. A
+very long text lies in one chunk, whose anchors are worked in blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,7 +113,7 @@ def laid_out(table: pa.Table, id_col: str, text_col: str) -> tuple[np.ndarray, .
 
 def front_code(entries: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes, bytes, bytes]:
     """Sorted (suffix, left context): common prefix lengths, lengths of new bytes, lengths of contexts, and the bytes."""
-    lcps, fresh, lefts, out, before = bytearray(), bytearray(), bytearray(), [], b""
+    lcps, fresh, lefts, out, before = array("H"), array("H"), array("H"), [], b""
     for right, left in entries:
         n = common(before, right, 0)
         lcps.append(n)
@@ -115,7 +121,7 @@ def front_code(entries: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes, bytes,
         lefts.append(len(left))
         out += (right[n:], left)
         before = right
-    return bytes(lcps), bytes(fresh), bytes(lefts), b"".join(out)
+    return lcps.tobytes(), fresh.tobytes(), lefts.tobytes(), b"".join(out)
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -131,7 +137,8 @@ class Run:
     __slots__ = ("lcps", "fresh", "lefts", "data", "at", "i", "right", "left")
 
     def __init__(self, lcps: bytes, fresh: bytes, lefts: bytes, data: bytes):
-        self.lcps, self.fresh, self.lefts, self.data = lcps, fresh, lefts, data
+        self.lcps, self.fresh, self.lefts = (memoryview(x).cast("H") for x in (lcps, fresh, lefts))
+        self.data = data
         self.at, self.i, self.right, self.left = 0, -1, b"", b""
 
     def step(self) -> int:
@@ -196,9 +203,9 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, bytes, bytes, int]]:
         known[win] = last = h
 
 
-def repeats(group: list[tuple[bytes, int, int, list[tuple[int, int]], int]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Of entries (bytes, anchor's offset in them, chunk, sorted (id, start) of the first byte), those strings that
-    occur earlier too, as chunk, id, start and end of bytes."""
+def repeats(group: list[list], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of entries (bytes, sorted (id, start) of the first byte, chunk, anchor's offset in them, longest prefix behind the anchor that is
+    shared with a neighbour), those strings that occur earlier too, as chunk, id, start and end of bytes."""
     whole: dict[bytes, list] = {}
     for entry in group:
         same = whole.get(entry[0])
@@ -210,13 +217,13 @@ def repeats(group: list[tuple[bytes, int, int, list[tuple[int, int]], int]], len
     lone = len(whole) == 1
     seen: set[bytes] = set()
     for text, (first, entries) in whole.items() if lone else sorted(whole.items(), key=lambda x: x[1][0]):
-        for _, spots, chunk in entries:
+        for _, spots, chunk, *_ in entries:
             for spot in spots:
                 if spot != first:
                     yield chunk, spot[0], spot[1], spot[1] + len(text)
         if not lone:
             here, begin, stop, chunk = first, -1, -1, next(e[2] for e in entries if e[1][0] == first)
-            for j in range(len(text) - length + 1):
+            for j in range(min(len(text), entries[0][3] + max(x[4] for x in entries)) - length + 1):
                 window = text[j : j + length]
                 if window in seen:
                     if j > stop + 1 or begin < 0:
@@ -236,6 +243,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept", "skein_chunk"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     carried = docs.columns
+    if not 2 <= length <= 65_535:
+        raise ValueError("length must be from 2 to 65535")
     gram = min(ANCHOR, length)
     n = parts_for(docs, chunk_bytes)
     dealt = docs.withColumn("skein_chunk", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
@@ -313,7 +322,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         starts = [np.concatenate(([0], np.cumsum(c))).tolist() for c in counts]
         spots = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in columns["spots"]]
         out: dict[int, list] = {}
-        group: list[tuple] = []
+        group: list[list] = []
 
         def close() -> None:
             if len(group) > 1 or group and len(group[0][1]) > 1:
@@ -324,8 +333,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if shared < gram:
                 close()
                 group = []
+            elif group:
+                group[-1][4] = max(group[-1][4], shared)
             a, b = starts[run][i], starts[run][i + 1]
-            group.append((left + right, list(map(tuple, spots[run][a:b].tolist())), columns["chunk"][run]))
+            group.append([left + right, list(map(tuple, spots[run][a:b].tolist())), columns["chunk"][run], len(left), shared if group else 0])
         close()
         return pa.table({"chunk": pa.array(list(out), pa.int32()), "spans": pa.array([np.array(x, np.int64).tobytes() for x in out.values()], pa.binary())})
 
