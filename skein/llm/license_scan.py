@@ -10,12 +10,15 @@ ones the longer template's, then the better covered.
 Each document is scanned on its own and nothing is shuffled; the index is as large as the templates, a parameter.
 
 Edge cases. Null and empty texts match nothing. Rows that repeat an id are scanned each. Empty tables give empty results.
-Extra columns are ignored. Several notices in one text give a row each, also of one template.
+Extra columns are ignored. Several notices in one text give a row each, also of one template. Of templates that cover the same
+words equally well the one listed first is reported. A very long text is scanned in one piece, some 60 bytes a word. A template
+of fewer than k words is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,8 @@ class Index:
         for text in templates.values():
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
             starts, ends, _ = words(data, np.array([0, len(data)]), APART)
+            if len(starts) < k:
+                raise ValueError(f"a template needs {k} words: {text!r}")
             coded.append(spans_hash(sums(data), starts, ends))
         self.words = np.unique(np.concatenate(coded)) if coded else np.zeros(0, np.uint64)
         self.templates = [np.searchsorted(self.words, x) for x in coded]
@@ -80,7 +85,10 @@ def aligned(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) ->
     """Best local alignment inside the band: matched words, first and last word of the text (-1 if none).
 
     The cell (i, i + diagonal + d), |d| <= band; a match gains 2, a replaced, missing or extra word costs 1."""
-    width = 2 * band + 1
+    width, size = 2 * band + 1, len(template)
+    for start in range(max(diagonal - band, 0), min(diagonal + band, len(text) - size) + 1):
+        if text[start] == template[0] and np.array_equal(text[start : start + size], template):  # word for word: nothing scores higher
+            return size, start, start + size - 1
     none = (0, 0, -1, -1)  # score, matches, first, last
     before: list[tuple] = [none] * width
     best = none
@@ -105,9 +113,16 @@ def aligned(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) ->
     return best[1], best[2], best[3]
 
 
+def templates_in(folder: str) -> dict[str, str]:
+    """Templates from the files of a local folder: the name without its ending, and the text."""
+    return {path.stem: path.read_text(encoding="utf-8") for path in sorted(Path(folder).iterdir()) if path.is_file()}
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | None = None, k: int = 3, window: int = 3, band: int = 6, least: float = 0.8) -> DataFrame:
-    """One row per notice found: id, template, matched (words), coverage, start and end (bytes of the text), passage."""
-    index = Index(TEMPLATES if templates is None else templates, k, window)
+    """One row per notice found: id, template, matched (words), coverage, start and end (bytes of the text), passage.
+
+    templates: by default the notices above and the full texts of the folder `licenses` beside this module."""
+    index = Index(TEMPLATES | templates_in(str(Path(__file__).parent / "licenses")) if templates is None else templates, k, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
