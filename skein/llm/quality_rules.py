@@ -5,15 +5,16 @@ grid are tested from the mildest to the strictest: a cutoff is certified if an e
 documents of the stratum rejects "more than alpha / rules of good documents are lost" at level
 delta / (strata x rules). Testing stops at the first failure, so levels within a rule need no further split, and with the split
 over strata and rules all certified cutoffs hold together with probability 1 - delta. Of these the one is taken that
-catches most bad documents less `penalty` times the good ones lost; none if no cutoff gains.
-Strata with too few labels certify nothing and lose nothing.
+catches most bad documents less `penalty` times the good ones lost; none if no cutoff gains. The guarantee is about good documents that
+pass the base rules, which are no part of the method. Strata with too few labels certify nothing and lose nothing; report() lists
+what was certified, with its upper bound.
 
 Statistics are computed in one pass over whole texts; only counts per stratum, rule and grid cell reach the driver.
 
 Edge cases. Null text has no words and fails the base rules, as do short texts. Null lang is a stratum of its own. Labels that are
 null are ignored; a document labelled more than once counts with its lowest label. Rows that repeat an id are judged each. Empty
 tables give empty results; without labels only the base rules act. Extra columns pass through; those named like
-made ones are replaced.
+made ones are replaced. Values equal to a cutoff are kept. A very long text is measured in one piece, some 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
 
 
 def certified_cutoffs(cells: list[tuple], alpha: float, delta: float, penalty: float) -> list[tuple]:
-    """Chosen cutoffs as (stratum, rule, cutoff), from (stratum, rule, cell, good, bad).
+    """Chosen cutoffs as (stratum, rule, cutoff, good, lost, caught), from (stratum, rule, cell, good, bad).
 
     Cell c holds documents that cutoff c and all stricter ones reject; cells past the grid are never rejected."""
     strata = sorted({c[0] for c in cells}, key=lambda s: (s is None, s or ""))
@@ -146,12 +147,27 @@ def certified_cutoffs(cells: list[tuple], alpha: float, delta: float, penalty: f
                 if binomial_at_most(lost, int(good.sum()), alpha / len(RULES)) > level:
                     break
                 if caught - penalty * lost > best:
-                    best, choice = caught - penalty * lost, grid[k]
+                    best, choice = caught - penalty * lost, (grid[k], int(good.sum()), lost, caught)
             if choice is not None:
-                out.append((stratum, rule, choice))
+                out.append((stratum, rule, *choice))
     return out
 
 
+def upper_bound(lost: int, good: int, level: float) -> float:
+    """The largest share of lost good documents that an exact test at this level does not refute."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if binomial_at_most(lost, good, mid) > level else (low, mid)
+    return high
+
+
+def report(chosen: list[tuple], strata: int, delta: float = 0.05) -> list[dict]:
+    """What was certified: each cutoff with the labelled good documents, those lost, the bad ones caught and the bound of the share lost."""
+    level = delta / max(1, strata * len(RULES))
+    return [{"stratum": s, "rule": r, "cutoff": c, "good": g, "lost": n, "caught": b, "at_most_lost": upper_bound(n, g, level)} for s, r, c, g, n, b in chosen]
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", alpha: float = 0.05, delta: float = 0.05, penalty: float = 10.0) -> list[tuple]:
     """Cutoffs from documents with statistics and labels(id, quality: 1 good, 0 bad)."""
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("skein_id")).agg(F.min("quality").alias("skein_good"))
@@ -169,7 +185,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stra
 def judged(measured: DataFrame, chosen: list[tuple], stratum_col: str = "lang") -> DataFrame:
     """measured with base_failed and kept."""
     rejected = F.lit(False)
-    for stratum, rule, cutoff in chosen:  # one condition per stratum and rule
+    for stratum, rule, cutoff, *_ in chosen:  # one condition per stratum and rule
         sign = RULES[rule][2]
         rejected = rejected | (F.col(stratum_col).eqNullSafe(F.lit(stratum)) & (ratio(rule) * sign > cutoff * sign))
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
