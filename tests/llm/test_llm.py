@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -58,6 +59,29 @@ def test_suffix_dedup(spark, texts, hot):
         assert want[-(1 << 63) if g.doc_id is None else g.doc_id, (g.text or "").encode()] == (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256, bytes(g.kept))
 
 
+@pytest.mark.parametrize("length", [40, 400])
+def test_suffix_dedup_lengths(spark, length):
+    """Other lengths, also above 255 bytes; one text many times longer than a chunk; an empty table."""
+    r = random.Random(21)
+    passage = " ".join(r.choice("abcdefgh") * r.randrange(1, 9) for _ in range(220))
+    rows = [(k, f"{k} {r.random()} " + passage[k : k + 600] + f" {r.random()}") for k in range(12)] + [(50, " ".join(str(r.random()) for _ in range(3000)) + passage)]
+    seen, want = set(), {}
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            if (w := b[j : j + length]) in seen:
+                gone[j : j + length] = b"\1" * length
+            seen.add(w)
+        want[i] = sum(gone)
+    df = spark.createDataFrame(rows, DOCS)
+    got = suffix_dedup.suffix_dedup(df, length=length, chunk_bytes=2_000).collect()
+    assert {g.doc_id: g.n_removed for g in got} == want and sum(want.values()) > 1000
+    assert suffix_dedup.suffix_dedup(df.limit(0), length=length).count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(df, length=70_000)
+
+
 def test_loser_tree_merges_front_coded_runs():
     r = random.Random(2)
     lists = [sorted((bytes(r.choice(b"ab") for _ in range(r.randrange(9))), b"l") for _ in range(r.randrange(30))) for _ in range(7)]
@@ -307,6 +331,55 @@ def test_permutation_and_quotas():
     assert mixing.targets([10, 1000], [5, 2]) == [30.0, 980.0]
 
 
+def test_license_edges(spark):
+    full = (license_scan.templates_in(str(Path(license_scan.__file__).parent / "licenses")))
+    assert {"MIT-full", "BSD-2-Clause", "Zlib"} <= set(full)
+    mit = full["MIT-full"]
+    rows = [(1, "Copyright x\n" + mit.replace("Software", "SOFTWARE")), (1, "Copyright x\n" + mit), (2, mit[: len(mit) // 2]), (3, "a\n" + full["Zlib"].replace("origin", "source") + "\n" + full["BSD-2-Clause"]), (None, mit), (4, "x " * 200_000 + mit)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("template", F.lit("clash")).withColumn("start", F.lit("clash"))
+    got = license_scan.scan(df).collect()
+    assert Counter((g.doc_id, g.template) for g in got if g.template in full) == Counter([(1, "MIT-full"), (1, "MIT-full"), (3, "Zlib"), (3, "BSD-2-Clause"), (None, "MIT-full"), (4, "MIT-full")])
+    assert [(g.doc_id, g.template) for g in got if g.template not in full] == [(2, "MIT-permission")]
+    assert license_scan.scan(df.limit(0)).count() == 0
+    ties = {"first": "alpha beta gamma delta epsilon", "second": "alpha beta gamma delta epsilon"}
+    assert [g.template for g in license_scan.scan(spark.createDataFrame([(1, "x alpha beta gamma delta epsilon y")], DOCS), templates=ties).collect()] == ["first"]
+    with pytest.raises(ValueError, match="needs 3 words"):
+        license_scan.scan(df, templates={"short": "two words"})
+
+
+def plain_alignment(template, text):
+    """Best local alignment of two word lists without band: score by 2 for a match and -1 for a replaced, missing or extra word."""
+    best, before = (0, 0), [(0, 0)] * (len(text) + 1)
+    for word in template:
+        row = [(0, 0)]
+        for j, other in enumerate(text, 1):
+            top = max((before[j - 1][0] + (2 if word == other else -1), before[j - 1][1] + (word == other)), (before[j][0] - 1, before[j][1]), (row[j - 1][0] - 1, row[j - 1][1]))
+            row.append(top if top[0] > 0 else (0, 0))
+            best = max(best, row[-1])
+        before = row
+    return best[1]
+
+
+def test_license_scan_against_plain_alignment(spark):
+    """Templates with words replaced, dropped or added: those that a full alignment covers are found, with its coverage."""
+    r = random.Random(17)
+    split = lambda t: [w.lower() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]
+    names = ["MIT-permission", "Apache-2.0-header", "GPL-3.0-notice", "BSD", "ISC"]
+    rows = []
+    for i in range(60):
+        words = split(license_scan.TEMPLATES[names[i % 5]])
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = ["changed"] * r.randrange(2)
+        rows.append((i, "before this " + " ".join(words) + " after that"))
+    only = {n: license_scan.TEMPLATES[n] for n in names}
+    got = {g.doc_id: (g.template, g.matched) for g in license_scan.scan(spark.createDataFrame(rows, DOCS), templates=only).collect()}
+    for i, text in rows:
+        name = names[i % 5]
+        matched = plain_alignment(split(only[name]), split(text))
+        assert got.get(i) == ((name, matched) if matched >= 0.8 * len(split(only[name])) else None)
+
+
 def test_license_scan(spark):
     permission = license_scan.TEMPLATES["MIT-permission"]
     changed = permission.replace("free of charge", "at no charge").upper()
@@ -319,36 +392,40 @@ def test_license_scan(spark):
 
 
 def brute_conversation(rows):
-    """reply_to by (conv, turn), said in plain Python."""
+    """(reply_to, n_linked) by (conv, turn), said in plain Python."""
     level = lambda x: len(re.sub("[^>]", "", (re.match(r"[ \t]*(?:>[ \t]*)+", x) or [""])[0]))
     norm = lambda x: re.sub(r"\s+", " ", x).strip(" ").lower()
-    units = {}
+    runs = {}
     for c, t, _, text in rows:
-        lines = [(level(x), re.sub(r"^[ \t]*(?:>[ \t]*)+", "", x)) for x in (text or "").split("\n")]
-        runs = []
-        for lv, body in lines:
-            if runs and runs[-1][0] == lv:
-                runs[-1][1].append(body)
+        own = runs.setdefault((c, t), [])
+        fresh = True
+        for line in (text or "").split("\n"):
+            lv, body = level(line), re.sub(r"^[ \t]*(?:>[ \t]*)+", "", line)
+            if not fresh and own[-1][0] == lv:
+                own[-1][1].append(body)
             else:
-                runs.append((lv, [body]))
-        for lv, bodies in runs:
-            for u in ["\n".join(bodies)] + (bodies if len(bodies) > 1 else []):
-                if norm(u):
-                    units.setdefault((c, t), set()).add((lv > 0, norm(u)))
+                own.append((lv, [body]))
+            fresh = False
+    says = {k: {norm(u) for lv, bodies in own if not lv for u in ["\n".join(bodies), *bodies]} for k, own in runs.items()}
     out = {}
-    for (c, t), own in {(c, t): units.get((c, t), set()) for c, t, *_ in rows}.items():
+    for (c, t), own in runs.items():
         votes = Counter()
-        for quoted, u in own:
-            if quoted and (said := [s for (d, s), v in units.items() if d == c and s < t and (False, u) in v]):
-                votes[max(said)] += len(u)
-        if votes:
-            out[c, t] = max(votes, key=lambda s: (votes[s], s))
-        else:
-            out[c, t] = t - 1 if any((c, t - 1) == (d, s) for d, s, *_ in rows) else None
+        for lv, bodies in own:
+            whole = norm("\n".join(bodies))
+            found = lambda u: [s for (d, s), v in says.items() if d == c and s < t and u and u in v]  # noqa: B023, E731
+            if lv:
+                for u in [whole] if found(whole) else map(norm, bodies):
+                    if found(u):
+                        votes[max(found(u))] += len(u)
+        back = t - 1 if any((c, t - 1) == (d, s) for d, s, *_ in rows) else None
+        out[c, t] = (max(votes, key=lambda s: (votes[s], s)) if votes else back, sum(votes.values()))
     return out
 
 
-def test_conversations(spark):
+CHAT = "conv_id long, turn int, role string, text string"
+
+
+def talk():
     r = random.Random(8)
     said = [f"line number {k} of talk" for k in range(30)]
     rows = []
@@ -357,20 +434,122 @@ def test_conversations(spark):
             own = [r.choice(said) for _ in range(r.randrange(3))]
             quotes = [">" * r.randrange(1, 3) + " " + r.choice(said).upper() for _ in range(r.randrange(3))]
             rows.append((c, t, "user", "\n".join(quotes + own)))
-    rows += [(50, 9, None, None)]
-    got = conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("root", F.lit("clash"))).collect()
-    want = brute_conversation(rows)
-    assert len(got) == len(rows) and {(g.conv_id, g.turn): g.reply_to for g in got} == want
+    long = [(60, t, "user", f"common line\nown {t}" if t % 700 else "> common line\n> nobody said this") for t in range(2500)]
+    return rows + [(50, 9, None, None), (61, 0, "a", "one two\nthree four"), (61, 1, "b", "On Monday a wrote:\n> One  two\n> three FOUR\nyes"), (61, 3, "b", "> three four\n> other\nno")] + long
+
+
+def test_conversations(spark):
+    rows = talk()
+    got = conversations(spark.createDataFrame(rows, CHAT).withColumn("root", F.lit("clash")).withColumn("part", F.lit("clash"))).collect()
+    want = brute_conversation([x for x in rows if x[0] != 60])
+    assert len(got) == len(rows) and {(g.conv_id, g.turn): (g.reply_to, g.n_linked) for g in got if g.conv_id != 60} == want
     for g in got:
+        if g.conv_id == 60:  # the last earlier turn that says the line, across stretches of turns
+            assert (g.reply_to, g.n_linked) == ((g.turn - 1 if g.turn else None), 11 if g.turn and not g.turn % 700 else 0)
+            continue
         at = g.turn
-        while want[g.conv_id, at] is not None:
-            at = want[g.conv_id, at]
+        while want[g.conv_id, at][0] is not None:
+            at = want[g.conv_id, at][0]
         assert g.root == at and ">" not in g.text
     assert [(g.conv_id, g.root, g.turn) for g in got] == sorted((g.conv_id, g.root, g.turn) for g in got)
-    plan = conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))._jdf.queryExecution().executedPlan().toString()
+    one = {(g.conv_id, g.turn): g for g in got}
+    assert (one[61, 1].n_linked, one[61, 1].n_quoted, one[61, 1].text, one[61, 1].formatted) == (18, 2, "yes", "<|b|>\nyes<|end|>\n")
+    assert (one[61, 3].reply_to, one[61, 3].n_linked) == (0, 10)
+    plan = conversations(spark.createDataFrame(rows, CHAT))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_conversations_twin_on_quotes(spark, tmp_path):
+    """The SQL twin on conversations that do quote."""
+    duckdb = pytest.importorskip("duckdb")
+    from skein.llm.queries import SQL, op5_chat_format
+
+    spark.createDataFrame(talk(), CHAT).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    twin = duck.sql(SQL["op5_chat_format"])
+    got = op5_chat_format(spark, str(tmp_path)).select(*twin.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, twin.fetchall()))
+
+
+def test_conversations_edges(spark):
+    rows = [(None, 1, "u", "> a"), (1, None, "u", "a"), (1, 2, "u", "hello"), (1, 2, "v", "> x\nthere"), (1, 2, "v", "> x\nthere"), (1, 5, "u", "> HELLO\n> there\nok"), (2, 0, "u", "")]
+    got = conversations(spark.createDataFrame(rows, CHAT)).collect()
+    assert len(got) == len(rows)
+    assert {(g.conv_id, g.turn): (g.reply_to, g.root) for g in got} == {(None, 1): (None, 1), (1, None): (None, None), (1, 2): (None, 2), (1, 5): (2, 2), (2, 0): (None, 0)}
+    assert [g.n_linked for g in got if g.turn == 5] == [10]
+    assert conversations(spark.createDataFrame([], CHAT)).count() == 0
+    long = [(1, 0, "u", "word " * 100_000), (1, 1, "u", "> " + "word " * 100_000)]
+    assert [g.n_linked for g in conversations(spark.createDataFrame(long, CHAT)).collect()] == [0, 499_999]
+
+
+def plain_packing(lengths, size, open_most, least):
+    """Windows of (document, start, length), by the docstring's rules, with a list that is searched from end to end."""
+    done, held = [], []
+    for doc, total in enumerate(lengths):
+        at = 0
+        while total - at >= size:
+            done.append([(doc, at, size)])
+            at += size
+        while at < total:
+            rest = total - at
+            fits = [w for w in held if size - sum(p[2] for p in w) >= rest]
+            if fits:
+                window = min(fits, key=lambda w: size - sum(p[2] for p in w))
+            elif len(held) < open_most:
+                window = []
+                held.append(window)
+            else:
+                window = max(held, key=lambda w: sum(p[2] for p in w))
+                held = [w for w in held if w is not window]
+                room = size - sum(p[2] for p in window)
+                if room >= least:
+                    window.append((doc, at, room))
+                    at += room
+                done.append(window)
+                continue
+            window.append((doc, at, rest))
+            at = total
+            if sum(p[2] for p in window) == size:
+                done.append(window)
+                held = [w for w in held if w is not window]
+    return done, sum(p[2] for w in held for p in w)
+
+
+@pytest.mark.parametrize("open_most,least", [(1, 1), (3, 4), (8, 16), (64, 16)])
+def test_packing_against_plain_version(open_most, least):
+    """Full and emitted windows hold as much as those of a plain packer, in the same order; leftovers fill windows or powers of two."""
+    r = random.Random(13)
+    lengths = [r.choice([1, 2, 5, 17, 40, 63, 64, 65, 200]) + r.randrange(20) for _ in range(700)]
+    packer = packing.Packer(64, open_most, least, 0)
+    for doc, n in enumerate(lengths):
+        packer.place(doc, np.arange(n, dtype="<u4"))
+    before = packer.next_id
+    packer.finish()
+    got = {}
+    for doc, start, length, total, sequence, offset, ids in packer.out:
+        assert total == lengths[doc] and np.frombuffer(ids, "<u4").tolist() == list(range(start, start + length))
+        assert offset == sum(p[2] for p in got.setdefault(sequence, []))
+        got[sequence].append((doc, start, length))
+    want, left = plain_packing(lengths, 64, open_most, least)
+    assert [sum(p[2] for p in got[k]) for k in range(before)] == [sum(p[2] for p in w) for w in want]
+    rest = [sum(p[2] for p in got[k]) for k in sorted(got) if k >= before]
+    assert sum(rest) == left and all(n & (n - 1) == 0 for n in rest) and rest[: left // 64] == [64] * (left // 64)
+    pieces = sorted(p for w in got.values() for p in w)
+    assert all(sum(p[2] for p in pieces if p[0] == doc) == lengths[doc] for doc in range(0, 700, 50))
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
+
+
+def test_packing_edges(spark):
+    rows = [(1, "same words here"), (1, "same words here"), (None, "no id"), (2, None), (3, ""), (4, "word " * 300_000)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("ids", F.lit("clash")).withColumn("offset", F.lit("clash")).coalesce(1)
+    got = packing.pack(df).collect()
+    assert Counter(g.doc_id for g in got if g.start == 0) == Counter([1, 1, None, 2, 3, 4])
+    assert {g.doc_tokens for g in got if g.doc_id in (2, 3)} == {1} and sum(g.length for g in got if g.doc_id == 4) == 300_002
+    with pytest.raises(ValueError, match="power of two"):
+        packing.pack(df, size=100)
+
+
 def test_packing_round_trip(spark, texts):
     df = spark.createDataFrame(texts, DOCS).repartition(3)
     got = packing.pack(df, open_most=3).collect()
@@ -454,6 +633,15 @@ def test_token_counts(spark, texts):
         assert g.quantile == pytest.approx(sum(n <= g.n_tokens for n in lengths) / len(lengths))
 
 
+def test_token_counts_edges(spark):
+    rows = [("a", None), ("a", ""), ("b", "one two"), ("b", "one two"), (None, "word " * 100_000)]
+    df = spark.createDataFrame(rows, "g string, text string").withColumn("n_tokens", F.lit("clash"))
+    got = token_counts.context_limits(token_counts.length_histogram(df, ["g"]), ["g"]).collect()
+    assert {(g.g, g.n_tokens): (g.n_docs, g.total_docs, g.quantile) for g in got} == {("a", 0): (2, 2, 1.0), ("b", 2): (2, 2, 1.0), (None, 100_001): (1, 1, 1.0)}
+    assert token_counts.context_limits(token_counts.length_histogram(df.limit(0))).count() == 0
+    assert token_counts.encoded_lengths(df).dtypes == [("g", "string"), ("text", "string"), ("n_tokens", "bigint")]
+
+
 def plain_statistics(t):
     t = t or ""
     w, seen, dup = WORD.findall(t), set(), 0
@@ -488,6 +676,42 @@ def test_quality_rules(spark, texts):
     assert none.count() == 0
 
 
+def test_quality_strata_and_ties(spark):
+    """A null stratum and several strata are judged apart; a value equal to the cutoff stays; repeated ids are judged each."""
+    plain = " ".join(f"w{k}" for k in range(60))
+    noisy = plain + " " + "#" * 200
+    rows = [(i, "xx" if i % 2 else None, noisy if i % 5 == 0 else plain) for i in range(6000)] + [(7000, "yy", noisy), (7000, "yy", plain), (7001, None, noisy), (7002, "xx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("kept", F.lit("clash")).withColumn("base_failed", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), "x") for i in range(6000)] + [(1, None, "x"), (None, 0, "x")], "doc_id long, quality int, lang string")
+    got = quality_rules.quality_verdicts(docs, labels).collect()
+    kept = {(g.doc_id, g.n_symbols > 0): g.kept for g in got}
+    assert len(got) == len(rows) and kept[7000, True] and kept[7000, False] and not kept[7001, True] and not kept[7002, False]
+    assert all(kept[i, i % 5 == 0] == (i % 5 != 0) for i in range(6000))
+    measured = quality_rules.with_statistics(docs.select("doc_id", "lang", "text"))
+    chosen = quality_rules.cutoffs(measured, labels)
+    assert {c[0] for c in chosen} == {None, "xx"}
+    edge = spark.createDataFrame([(1, "xx", c) for s, r, c, *_ in chosen if s == "xx" and r == "symbols"], "doc_id long, lang string, at double")
+    tie = edge.select("lang", F.lit(10_000_000_000_000).alias("n_words"), (F.col("at") * 10_000_000_000_000).cast("long").alias("n_symbols"), *[F.lit(0).cast("long").alias(c) for c in ("word_chars", "n_dup_lines", "n_repeat_words", "n_lines")])
+    assert quality_rules.judged(tie.withColumn("word_chars", F.col("n_words") * 3), [c for c in chosen if c[1] == "symbols"]).first().kept
+    shown = quality_rules.report(chosen, 2)
+    assert all(x["at_most_lost"] <= 0.05 / len(quality_rules.RULES) and x["lost"] == 0 and x["caught"] > 0 for x in shown)
+
+
+def test_quality_risk_is_controlled():
+    """Over many draws of labels, a cutoff that loses more than alpha / rules of good documents is certified in at most delta of them."""
+    rng = np.random.default_rng(12)
+    share = np.concatenate(([0.0] * 40, np.full(24, 0.004)))  # of good documents, in each cell of the grid of `symbols`
+    loses = np.cumsum(share)
+    grid = quality_rules.RULES["symbols"][3]
+    wrong = 0
+    for _ in range(300):
+        good = rng.multinomial(3000, [*share, 1 - share.sum()])
+        cells = [("a", "symbols", k, int(g), 50 if k == 60 else 0) for k, g in enumerate(good)]
+        for *_, cutoff, _, _, _ in quality_rules.certified_cutoffs(cells, 0.05, 0.05, 0.0):
+            wrong += loses[grid.index(cutoff)] > 0.01
+    assert wrong <= 300 * 0.05
+
+
 def test_binomial_bound_and_control():
     from math import comb
 
@@ -513,16 +737,83 @@ def test_language_id(spark):
     assert p.shape == (1, 3) and (p > 0).all() and (p <= 1).all()
 
 
+def test_models_against_plain_kneser_ney():
+    """Probabilities of a plain version: raw counts at the top, continuation counts below, one discount an order."""
+    training = ["abab abba bab cab", "aab bcb", "cc ab abcab bca", "abc abd bad"]
+    models = language_id.Models({"aa": training})
+    order = language_id.ORDER
+    raw = [Counter() for _ in range(order)]
+    for t in training:
+        padded = " " * (order - 1) + t
+        for i in range(len(t)):
+            for k in range(order):
+                raw[k][padded[i + order - 1 - k : i + order], (k > 0 and i == 0)] += 1
+    merged = [Counter() for _ in range(order)]
+    contexts = [{} for _ in range(order)]
+    for k in range(order):
+        for (g, first), n in raw[k].items():
+            merged[k][g] += n
+            contexts[k].setdefault(g, ("start",) if first else (g[:-1],))
+    counts = [merged[-1] if k == order - 1 else Counter(g[1:] for g in merged[k + 1]) for k in range(order)]
+    tables = []
+    for k in range(order):
+        one, two = sum(n == 1 for n in counts[k].values()), sum(n == 2 for n in counts[k].values())
+        d = one / (one + 2 * two) if one and two else 0.5
+        total, kinds = Counter(), Counter()
+        for g, n in counts[k].items():
+            total[contexts[k][g]] += n
+            kinds[contexts[k][g]] += 1
+        tables.append((d, total, kinds))
+    letters = set("".join(training))
+
+    def probability(text, i):
+        p = 1 / (len(letters) + 1)
+        padded = " " * (order - 1) + text
+        for k in range(order):
+            g = padded[i + order - 1 - k : i + order]
+            c = ("start",) if k and i == 0 else (g[:-1],)
+            d, total, kinds = tables[k]
+            own = (counts[k][g] - d) / total[contexts[k][g]] if counts[k][g] else 0.0
+            p = own + (d * kinds[c] / total[c] if total[c] else 1.0) * p
+        return p
+
+    for text in ("abba", "cab bad", "zab", "a", "bcb abx cc", "ab" * 20):
+        got, n = models.entropies([text])
+        assert got[0, 0] == pytest.approx(-np.mean([np.log(probability(text, i)) for i in range(len(text))]), rel=1e-4)
+        assert n[0] == len(text.replace(" ", ""))
+
+
+def test_language_edges(spark):
+    training = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate([("aa", "hello there friend"), ("bb", "bonjour mon ami")] * 20)] + [(500, None, "no language"), (501, "cc", None)], "doc_id long, lang string, text string")
+    models, limits = language_id.train(training)
+    rows = [(1, "hello"), (1, "bonjour"), (2, "\u0301\u0302 12"), (None, "hello"), (3, "hello " * 50_000), (4, "\u4e2d")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash"))
+    got = language_id.identify(df, models, limits).collect()
+    assert Counter((g.doc_id, g.lang_pred) for g in got if g.doc_id != 4) == Counter([(1, "aa"), (1, "bb"), (2, "und"), (None, "aa"), (3, "aa")])
+    assert next(g.score for g in got if g.doc_id == 2) == 0 and next(g.lang_pred for g in got if g.doc_id == 4) in ("aa", "bb")
+    assert language_id.identify(df.limit(0), models, limits).count() == 0
+    none, no_limits = language_id.train(training.limit(0))
+    assert {g.lang_pred for g in language_id.identify(df, none, no_limits).collect()} == {"und"}
+    twins, limits = language_id.train(spark.createDataFrame([(i, "ba"[i % 2], "same text here") for i in range(40)], "doc_id long, lang string, text string"))
+    assert language_id.identify(spark.createDataFrame([(1, "same text")], DOCS), twins, limits).first().lang_pred == "a"
+
+
+def test_sampled_is_the_least_hash(spark):
+    rows = [(i, f"l{i % 3}", "t") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("h", F.xxhash64("doc_id"))
+    got = language_id.sampled(df.repartition(13), "doc_id", "text", "lang", 50).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("calibrate").alias("c")).collect()
+    assert {g.lang: (g.n, g.c) for g in got} == {f"l{k}": (50, 10) for k in range(3)}
+
+
 def test_models_are_distributions():
     models = language_id.Models({"aa": ["abab abba bab", "aab"]})
-    letters = ["a", "b", " ", "c"]
-    total = 0.0
-    for x in letters:
-        one, _ = models.entropies(["ab" + x + "a"] if x == " " else ["ab" + x])
-        two, _ = models.entropies(["ab"])
-        if x != " ":
-            total += float(np.exp(-(one[0, 0] * 3 - two[0, 0] * 2)))
-    assert 0 < total < 1
+    for context in ("ab", "b", "abb", "zz"):  # all letters seen, the space and one that stands for the unseen
+        before, _ = models.entropies([context])
+        total = 0.0
+        for x in ("a", "b", " ", "c"):
+            after, _ = models.entropies([context + x])
+            total += float(np.exp(-(after[0, 0] * (len(context) + 1) - before[0, 0] * len(context))))
+        assert total == pytest.approx(1, abs=1e-4)
 
 
 def plain_nearest(rows, wanted, k):
