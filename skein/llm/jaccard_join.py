@@ -40,6 +40,8 @@ from .bytewords import LOWER, column_bytes, mix, pieces, shingles, spans_hash, s
 from .shared import components, cut
 
 SLOT_BITS, SLOT_BLOCK = 20, 4096
+#: Bytes of text that a task works on at once.
+PIECE = 1_000_000
 #: Documents with one shingle: up to FEW give pairs, more than MANY are dealt in tiles.
 FEW, MANY = 12, 20_000
 
@@ -59,7 +61,7 @@ def counted(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, PIECE):
             total += np.bincount((np.concatenate(shingle_sets(batch.column(text_col), n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
         blocks = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLOT_BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
@@ -221,7 +223,7 @@ def links_within(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str,
     """Links inside each leaf. leaves: leaf, id, label, side."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "skein_text"):
+        for batch in pieces(batches, "skein_text", PIECE):
             own = shingle_sets(batch.column("skein_text"), n)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leaf", "id", "label", "side")), pa.array([x.tobytes() for x in own], pa.binary())], ["leaf", "id", "label", "side", "hashes"])
 
@@ -244,7 +246,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rarity = np.minimum(8 * np.log2(totals / mean + 1), 255).astype(np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, PIECE):
             own = shingle_sets(batch.column(text_col), n)
             sizes = np.array([len(x) for x in own], np.int64)
             one, two = (np.array([np.bitwise_xor.reduce(mix(x)) if k else x.sum(dtype=np.uint64) for x in own], np.uint64).view(np.int64) for k in (0, 1))
