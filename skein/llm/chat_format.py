@@ -60,19 +60,23 @@ def with_passages(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = "<|%s|>\n%s<|end|>\n", most_rounds: int = 64) -> DataFrame:
     """One row per message: conversation, turn, role, reply_to, root, n_quoted (lines), n_linked (quoted characters that
     were found), text (own words) and formatted; see the module's text for order and rules."""
-    base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), parsed(F.col(text_col)).alias("lines"), F.xxhash64(role_col, text_col).alias("part"))
-    base = with_passages(base)
+    def read(rows: DataFrame) -> DataFrame:
+        return with_passages(rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), parsed(F.col(text_col)).alias("lines"), F.xxhash64(role_col, text_col).alias("part")))
+
+    base = read(messages)
 
     # every passage (i = 0) and, of passages of several lines, every line; level 0 is what a message says itself
     def units_of(p: Column, k: Column) -> Column:
         texts = F.concat(F.array(p["text"]), F.when(F.size(p["bodies"]) > 1, p["bodies"]).otherwise(F.array().cast("array<string>")))
         return F.transform(texts, lambda t, i: F.struct((p["level"] > 0).alias("quoted"), k.alias("p"), i.alias("i"), normalised(t).alias("norm")))
 
-    units = base.select("conv", "turn", "part", F.explode(F.filter(F.flatten(F.transform("passages", units_of)), lambda u: u["norm"] != "")).alias("u"))
-    units = units.select("conv", "turn", "part", "u.quoted", "u.p", "u.i", F.xxhash64("u.norm").alias("h"), F.xxhash64(F.lit(1), "u.norm").alias("g"), F.length("u.norm").alias("size"), F.floor(F.col("turn") / 1000).alias("stretch"))
-    units = units.where("conv IS NOT NULL AND turn IS NOT NULL")
+    def units(rows: DataFrame) -> DataFrame:
+        each = rows.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", "part", F.explode(F.filter(F.flatten(F.transform("passages", units_of)), lambda u: u["norm"] != "")).alias("u"))
+        return each.select("conv", "turn", "part", "u.quoted", "u.p", "u.i", F.xxhash64("u.norm").alias("h"), F.xxhash64(F.lit(1), "u.norm").alias("g"), F.length("u.norm").alias("size"), F.floor(F.col("turn") / 1000).alias("stretch"))
+
     same = ["conv", "h", "g", "size"]
-    live = units.join(units.where("quoted").select(*same).distinct(), same, "left_semi")
+    asked = units(read(messages.where(F.contains(F.col(text_col), F.lit(">"))))).where("quoted").select(*same).distinct()
+    live = cut(units(base).join(asked, same, "left_semi"))
     said = F.max(F.when(~F.col("quoted"), F.col("turn")))
     inside = said.over(W.partitionBy(*same, "stretch").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
     before = F.max("last").over(W.partitionBy(*same).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
