@@ -68,10 +68,10 @@ class Words:
     text's ids are those of its words in turn. Words are found for all texts of a batch at once, on arrays of code points; a
     character's kind is what the library's own pre-tokenizer takes it for, asked once. Words are looked up by a 64-bit
     hash and compared with the stored characters. Texts that hold an added token, and any text of another kind of file, are
-    encoded whole. Beyond `most` stored characters all words are forgotten; texts above `chunk` bytes are cut at spaces
-    between ASCII letters, where words always end. Both bound memory only."""
+    encoded whole. Beyond `most` stored characters words that were met once since the last time are forgotten, or all but the most
+    frequent; texts above `chunk` bytes are cut at spaces between ASCII letters, where words always end. Both bound memory only."""
 
-    def __init__(self, path: str, most: int = 10_000_000, chunk: int = 4_000_000, slots: int = 1 << 20):
+    def __init__(self, path: str, most: int = 4_000_000, chunk: int = 4_000_000, slots: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
         with open(path, encoding="utf-8") as file:
             kind = json.load(file)
@@ -83,11 +83,23 @@ class Words:
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # words are not split again
         self.most, self.chunk, self.slots = most, chunk, slots
         self.kinds = np.zeros(0x110000, np.uint8)
-        self.forget()
+        self.letters, self.numbers, self.times = Pool(), Pool(), np.zeros(0, np.uint32)
+        self.keys, self.row, self.kept = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32), 0
 
     def forget(self) -> None:
-        self.letters, self.numbers = Pool(), Pool()
+        """Keeps the words met at least twice, at most half of `most` characters of the most frequent."""
+        slot = np.flatnonzero(self.row >= 0)
+        keys, rows = self.keys[slot], self.row[slot].astype(np.int64)
+        order = np.argsort(-self.times[rows].astype(np.int64), kind="stable")
+        order = order[(self.times[rows[order]] > 1) & (np.cumsum(self.letters.length[rows[order]]) <= self.most // 2)]
+        keys, rows = keys[order], rows[order]
+        for name in ("letters", "numbers"):
+            old, new = getattr(self, name), Pool()
+            new.append(old.take(rows), old.length[rows])
+            setattr(self, name, new)
+        self.times = np.zeros(len(rows), np.uint32)
         self.keys, self.row, self.kept = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32), 0
+        self.add(keys, np.arange(len(rows)))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of hashes, -1 for those not kept."""
@@ -222,6 +234,9 @@ class Words:
         if self.letters.used > self.most:
             self.forget()
         row = self.rows_of(points, starts, stops, lone[owner])
+        if self.letters.rows > len(self.times):
+            self.times = np.concatenate((self.times, np.zeros(self.letters.rows + len(self.times), np.uint32)))
+        self.times += np.bincount(row, minlength=len(self.times)).astype(np.uint32)
         counts = self.numbers.length[row]
         return self.numbers.take(row), np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(owner, np.arange(n + 1))]
 
