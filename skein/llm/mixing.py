@@ -198,14 +198,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x[order], pa.int64()) for x in flat[1:]], BLOCK.names)))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return placed.mapInArrow(draw, T.StructType(fields))
+    out = placed.mapInArrow(draw, T.StructType(fields))
+    out.skein_shards = shards
+    return out
 
 
 def mixed_documents(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix as documents: a row per document and pass with the text that the pass takes, in the shard of its first block.
 
     A pass that takes all words has the text unchanged; one that takes some has their blocks' words, joined by spaces.
-    Each shard lies in one partition, shuffled by its blocks' places, so that a document's passes part."""
+    mixed is what mix_sources() returned. Each shard lies in one partition, of as many as there are shards, shuffled by its
+    blocks' places, so that a document's passes part."""
     passes = mixed.withColumn("skein_pass", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["pass"]))))
     own = F.filter("blocks", lambda b: b["pass"] == F.col("skein_pass"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
@@ -214,11 +217,11 @@ def mixed_documents(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "t
     passes = passes.withColumn("skein_own", own).withColumn("skein_whole", whole).withColumn("skein_words", F.when(~F.col("skein_whole"), words))
     passes = passes.withColumn(text_col, F.when(F.col("skein_whole"), F.col(text_col)).otherwise(some))
     passes = passes.withColumn("skein_shard", F.col("skein_own")[0]["shard"]).withColumn("skein_place", F.col("skein_own")[0]["place"]).drop("blocks", "skein_own", "skein_whole", "skein_words")
-    return passes.repartition("skein_shard").sortWithinPartitions("skein_shard", "skein_place", id_col, "skein_pass").drop("skein_pass", "skein_shard", "skein_place")
+    return passes.repartition(mixed.skein_shards, "skein_shard").sortWithinPartitions("skein_shard", "skein_place", id_col, "skein_pass").drop("skein_pass", "skein_shard", "skein_place")
 
 
 def shuffled_blocks(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix in blocks: one row per block with its words' text, shards as partitions, shuffled inside each shard."""
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     out = mixed.select(id_col, F.explode("blocks").alias("b"), text_col).select(id_col, "b.*", F.array_join(F.slice(words, F.col("b.first").cast("int") + 1, F.col("b.words").cast("int")), " ").alias("text"))
-    return out.repartition("shard").sortWithinPartitions("shard", "place", id_col, "first")
+    return out.repartition(mixed.skein_shards, "shard").sortWithinPartitions("shard", "place", id_col, "first")

@@ -8,13 +8,13 @@ import base64
 import json
 import os
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .bytewords import column_bytes, spans_hash, sums
@@ -73,19 +73,21 @@ class Words:
 
     def __init__(self, path: str, most: int = 4_000_000, chunk: int = 4_000_000, slots: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
-        with open(path, encoding="utf-8") as file:
-            kind = json.load(file)
-        step = kind["pre_tokenizer"] or {}
-        self.independent = bool(step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not kind["normalizer"] and not kind["model"].get("dropout"))
-        self.added = [x["content"] for x in kind["added_tokens"] if x["content"]]
-        self.whole = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)
+        self.path, self.words = path, Tokenizer.from_file(path)
+        self.split = self.words.pre_tokenizer
+        step = json.loads(self.split.__getstate__()) if self.split else {}
+        self.independent = bool(step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not self.words.normalizer and not getattr(self.words.model, "dropout", None))
+        self.added = [x.content for x in self.words.get_added_tokens_decoder().values() if x.content]
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # words are not split again
         self.most, self.chunk, self.slots = most, chunk, slots
         self.kinds = np.zeros(0x110000, np.uint8)
         self.letters, self.numbers, self.times = Pool(), Pool(), np.zeros(0, np.uint32)
         self.keys, self.row, self.kept = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32), 0
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         """Keeps the words met at least twice, at most half of `most` characters of the most frequent."""
         slot = np.flatnonzero(self.row >= 0)
@@ -134,7 +136,7 @@ class Words:
 
     def learn(self, points: np.ndarray) -> None:
         """Kinds of characters not seen before: whether one joins a letter, digit, mark or line end to one word."""
-        split = self.whole.pre_tokenizer.pre_tokenize_str
+        split = self.split.pre_tokenize_str
         for c in np.unique(points).tolist():
             fits = [k for k, x in ((LETTER, "a"), (DIGIT, "1"), (MARK, "!"), (SPACE, "\n")) if len(split(x + chr(c))) == 1]
             self.kinds[c] = fits[0] if len(fits) == 1 else MIXED
@@ -294,8 +296,10 @@ def tokenizer(path: str) -> Words:
 
 
 @cache
-def encoder(path: str) -> tiktoken.Encoding:
-    """The ranks' encoder, loaded once in each worker."""
+def encoder(path: str) -> Any:
+    """The ranks' encoder, loaded once in each worker that needs it."""
+    import tiktoken
+
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("skein", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
