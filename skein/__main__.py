@@ -7,12 +7,15 @@ import json
 import logging
 from dataclasses import asdict
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.providers import HashingEmbedder
 from .functions.text import content_hash, normalised
-from .operators import export, ingest, store
+from .operators import export, ingest, state, store, tiers
 from .plans.config import Config, load
-from .plans.generate import narrated
+from .plans.generate import assets
+from .plans.narrate import narrate
 from .session import session
 from .sources.text_files import read_text
 
@@ -33,48 +36,129 @@ def run_ingest(config: Config, paths: list[str]) -> dict[str, int]:
         table = store.Table(spark, f"{config.data}/{name}")
         old = table.read() if table.version() else rows.limit(0)
         before = old.count()
-        table.replace(old.unionByName(store.insert_ignore(old, rows, keys, keys)))
+        (table.append if table.version() else table.replace)(store.insert_ignore(old, rows, keys, keys))
         counts[name] = table.read().count() - before
     return counts
 
 
-def run_narrate(config: Config) -> int:
+def chapters_of(config: Config, book: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The chapters to work on: of one book or all, in a range that is widened to whole steps."""
+    size = config.narration.step_size
+    rows = store.Table(session("skein"), f"{config.data}/chapters").read().withColumnRenamed("body", "text")
+    rows = rows if book is None else rows.where(F.col("book_id") == book)
+    rows = rows if first is None else rows.where(F.col("idx") >= (first - 1) // size * size + 1)
+    rows = rows if last is None else rows.where(F.col("idx") <= -(-last // size) * size)
+    return rows.select("book_id", F.xxhash64("chapter_hash").alias("chapter_id"), "idx", "title", "text")
+
+
+def rule_of(config: Config) -> tiers.Tiering:
+    n = config.narration
+    return tiers.Tiering(default=n.tier, long_every_n=n.long_every_n, long_min_chars=n.long_min_chars, long_keywords=tuple(n.long_keywords))
+
+
+def run_embed(config: Config) -> int:
+    """Vectors and the inverted index of all chunks; only chunks that the passages table lacks are embedded."""
+    spark = session("skein-embed")
+    chunks = store.Table(spark, f"{config.data}/chunks").read()
+    corpus = chunks.select("book_id", F.lit("chunk").alias("source_type"), F.xxhash64("chapter_hash", "idx").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"))
+    table = store.Table(spark, f"{config.data}/passages", "book_id")
+    passages, index = assets(corpus, HashingEmbedder(), table.read() if table.version() else None)
+    table.replace(passages)
+    for name, rows in (("postings", index.rows), ("postings_stats", index.stats)):
+        store.Table(spark, f"{config.data}/{name}").replace(rows)
+    return table.read().count()
+
+
+def run_narrate(config: Config, book: str | None = None, first: int | None = None, last: int | None = None) -> dict[str, int]:
+    """Narrates chapters that were not narrated before, then folds the stored outputs of all chapters into the world state."""
     spark = session("skein-narrate")
-    chapters = store.Table(spark, f"{config.data}/chapters").read().withColumnRenamed("body", "text")
-    done = narrated(chapters, config.narration.ratio_high).withColumn("chapter_idx", F.col("idx"))
+    n = config.narration
     table = store.Table(spark, f"{config.data}/narrations")
-    table.replace(done.select("book_id", "chapter_hash", "chapter_idx", "title", F.col("narration").alias("narration_text"), F.lit("v1").alias("prompt_version"), F.lit(None).cast("string").alias("payload_json")))
-    return table.read().count()
+    done = table.read() if table.version() else None
+    run = narrate(chapters_of(config, book, first, last), rule_of(config), embedder=HashingEmbedder(), done=done, window=n.recent_window, least=n.evidence_least, snippets=n.evidence_snippets, memory=n.step_memory, step_size=n.step_size)
+    new = run.narrations.withColumn("narrated_at", F.current_timestamp())
+    (table.append if done is not None else table.replace)(new)
+    outputs = store.Table(spark, f"{config.data}/outputs")
+    (outputs.append if outputs.version() else outputs.replace)(run.outputs)
+    latest = store.latest(table.read(), ["chapter_id"], ["narrated_at", "input_hash"])
+    back = state.replayed(outputs.read(), 1 << 30)
+    plain = back["mentions"].withColumn("canonical", F.col("name"))
+    for name, rows in (("characters", state.character_states(plain, back["updates"])), ("items", state.item_states(back["items"])), ("plot_events", state.plot_events(back["events"])), ("world_facts", state.facts(back["events"], back["updates"], back["items"]))):
+        store.Table(spark, f"{config.data}/{name}").replace(rows)
+    report = run.report.collect()  # one row a book of this run
+    for line in report:
+        log.info("%s", line.asDict())
+    return {"narrated": sum(r.chapters_processed for r in report), "skipped": sum(r.chapters_skipped for r in report), "chapters": latest.count()}
 
 
-def run_export(config: Config) -> None:
+def run_export(config: Config, mode: str = "auto") -> None:
+    """Reports of all books that have narrations: a file a chapter, the whole story, characters, timeline, summary and world state."""
     spark = session("skein-export")
-    files = export.chapter_files(store.Table(spark, f"{config.data}/narrations").read(), config.narration.step_size)
-    story = export.full_story(files).select("book_id", F.lit("full_story.md").alias("filename"), "content")
-    export.write_files(files.select("book_id", "filename", "content").unionByName(story), config.output)
+    read = lambda name: store.Table(spark, f"{config.data}/{name}").read()
+    rows = read("narrations") if store.Table(spark, f"{config.data}/narrations").version() else spark.createDataFrame([], "book_id string")
+    if export.export_mode(mode, rows) == "legacy":
+        summaries = store.Table(spark, f"{config.data}/summaries")
+        if summaries.version():
+            export.write_files(export.legacy_files(summaries.read()), config.output)
+        return
+    latest = export.with_outputs(store.latest(rows, ["chapter_id"], ["narrated_at", "input_hash"]).withColumn("narration_id", F.col("chapter_id")), read("outputs").withColumnRenamed("chapter_id", "narration_id").dropDuplicates(["narration_id"]))
+    files = export.chapter_files(latest, config.narration.step_size)
+    story = export.full_story(files)
+    books = latest.groupBy("book_id").agg(F.count("*").alias("n"), F.first("book_id").alias("title"))
+    people, plot = read("characters"), read("plot_events")
+    table = people.withColumn("canonical_name", F.col("name")).withColumn("aliases_json", F.col("aliases")).withColumn("relationships_json", F.lit(None).cast("string")).withColumn("motivation", F.lit(None).cast("string"))
+    world = export.world_state(books, narrations=latest.drop("payload_json"), characters=people, items=read("items"), plot_events=plot, world_facts=read("world_facts"))
+    several = [
+        files.select("book_id", "filename", "content"),
+        story.select("book_id", F.lit("full_story.md"), "content"),
+        story.select("book_id", F.lit("story.md"), export.story(F.col("content"))),
+        books.select("book_id", F.lit("book_summary.md"), export.book_summary(F.col("title"), F.format_string("共导出 %d 章说书稿。", "n"))),
+        books.join(export.characters_table(table), "book_id", "left").select("book_id", F.lit("characters.md"), F.coalesce("content", F.lit(export.NO_CHARACTERS))),
+        books.join(export.timeline(plot.withColumn("event_id", F.col("pos"))), "book_id", "left").select("book_id", F.lit("timeline.md"), F.coalesce("content", F.lit(export.NO_EVENTS))),
+        world.select("book_id", F.lit("world_state.json"), "content"),
+    ]
+    out = several[0]
+    for part in several[1:]:
+        out = out.union(part)
+    export.write_files(out, config.output)
 
 
 def main(arguments: list[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     parser = argparse.ArgumentParser(prog="skein", description=__doc__)
     parser.add_argument("--config")
+    parser.add_argument("--profile")
     parser.add_argument("--data-dir")
     parser.add_argument("--output-dir")
+    parser.add_argument("--chapter-regex")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("config", "narrate", "export"):
-        commands.add_parser(name)
-    for name in ("ingest", "run"):
-        commands.add_parser(name).add_argument("paths", nargs="+")
+    for name in ("config", "embed", "narrate", "storytell", "export", "ingest", "run"):
+        one = commands.add_parser(name)
+        if name in ("ingest", "run"):
+            one.add_argument("paths", nargs="+")
+        if name in ("narrate", "storytell", "run"):
+            one.add_argument("--book-id")
+            one.add_argument("--from-chapter", type=int)
+            one.add_argument("--to-chapter", type=int)
+            one.add_argument("--step-size", type=int)
+            one.add_argument("--no-export", action="store_true")
+        if name == "export":
+            one.add_argument("--mode", default="auto", choices=["auto", "storyteller", "legacy"])
     a = parser.parse_args(arguments)
-    config = load(a.config, overrides={k: v for k, v in (("data", a.data_dir), ("output", a.output_dir)) if v})
+    given = {k: v for k, v in (("data", a.data_dir), ("output", a.output_dir)) if v}
+    given |= {"ingest": {"chapter_regex": a.chapter_regex}} if a.chapter_regex else {}
+    given |= {"narration": {"step_size": a.step_size}} if getattr(a, "step_size", None) else {}
+    config = load(a.config, a.profile, given)
     if a.command == "config":
         print(json.dumps(asdict(config), ensure_ascii=False, indent=2))
     if a.command in ("ingest", "run"):
         log.info("ingested %s", run_ingest(config, a.paths))
-    if a.command in ("narrate", "run"):
-        log.info("narrated %d chapters", run_narrate(config))
-    if a.command in ("export", "run"):
-        run_export(config)
+    if a.command in ("embed", "run"):
+        log.info("%d passages", run_embed(config))
+    if a.command in ("narrate", "storytell", "run"):
+        log.info("%s", run_narrate(config, a.book_id, a.from_chapter, a.to_chapter))
+    if a.command == "export" or a.command in ("storytell", "run") and not a.no_export:
+        run_export(config, getattr(a, "mode", "auto"))
 
 
 if __name__ == "__main__":

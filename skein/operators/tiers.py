@@ -53,7 +53,8 @@ def effective(override: Column, held: object = None, default: object = None) ->
 
 
 def retrieval_needed(settings: DataFrame) -> Column:
-    return F.bool_or(F.col("memory_top_k") > 0)
+    """Whether any row of settings takes memories."""
+    return F.coalesce(F.bool_or(settings["memory_top_k"] > 0), F.lit(False))
 
 
 def step_start(idx: Column, size: int) -> Column:

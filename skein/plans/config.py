@@ -32,6 +32,9 @@ class Ingest:
 @dataclass(frozen=True)
 class Narration:
     tier: str = "medium"
+    long_every_n: int = 0
+    long_min_chars: int = 0
+    long_keywords: tuple[str, ...] = ()
     ratio_low: float = 0.2
     ratio_high: float = 0.3
     memory_top_k: int = 8
@@ -85,13 +88,17 @@ def dotenv(text: str) -> dict[str, str]:
     return out
 
 
-def load(path: str | None = None, profile: Mapping[str, Any] | None = None, overrides: Mapping[str, Any] | None = None, env: Mapping[str, str] | None = None) -> Config:
-    """Defaults, profile, file, overrides, then SKEIN_DATA and SKEIN_OUTPUT of the environment."""
-    held: Mapping[str, Any] = {}
-    if path:
+def load(path: str | None = None, profile: Mapping[str, Any] | str | None = None, overrides: Mapping[str, Any] | None = None, env: Mapping[str, str] | None = None, env_file: str = ".env") -> Config:
+    """Defaults, profile (a mapping or a file), file, overrides, then SKEIN_DATA and SKEIN_OUTPUT of the environment, or of a .env file."""
+
+    def read(where: str) -> Mapping[str, Any]:
         import yaml
 
-        held = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    env = os.environ if env is None else env
+        return yaml.safe_load(Path(where).read_text(encoding="utf-8")) or {}
+
+    held = read(path) if path else {}
+    profile = read(profile) if isinstance(profile, str) else profile
+    if env is None:
+        env = (dotenv(Path(env_file).read_text(encoding="utf-8")) if Path(env_file).is_file() else {}) | dict(os.environ)
     last = {k: env[n] for k, n in (("data", "SKEIN_DATA"), ("output", "SKEIN_OUTPUT")) if n in env}
     return build(Config, merged(profile or {}, held, overrides or {}, last))

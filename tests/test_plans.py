@@ -100,6 +100,16 @@ def test_command_line(spark, tmp_path):
     files = sorted(x.name for x in tmp_path.glob("out/*/*"))
     assert {"001_第1章_始.md", "002_第2章_续.md", "full_story.md"} <= set(files) and not any(x.startswith(".") for x in files)
     assert Table(spark, f"file://{tmp_path}/data/chapters").read().count() == 2
+    assert {"story.md", "characters.md", "timeline.md", "book_summary.md", "world_state.json"} <= set(files)
+    main([*where, "storytell", "--from-chapter", "2", "--to-chapter", "2", "--no-export"])
+    assert Table(spark, f"file://{tmp_path}/data/narrations").read().count() == 2  # nothing is narrated twice
+    (tmp_path / "b.txt").write_text("第1章 始\n甲乙丙丁\n第2章 续\n戊己庚辛\n第3章 新\n天地玄黄", encoding="utf-8")
+    main([*where, "ingest", f"file://{tmp_path}/b.txt"])
+    main([*where, "embed"])
+    main([*where, "storytell", "--from-chapter", "3"])
+    assert Table(spark, f"file://{tmp_path}/data/narrations").read().count() == 3
+    assert Table(spark, f"file://{tmp_path}/data/passages").read().count() == Table(spark, f"file://{tmp_path}/data/chunks").read().count()
+    main([*where, "export", "--mode", "legacy"])
 
 
 def test_streams(spark, tmp_path):
