@@ -210,11 +210,11 @@ def knn_l2(spark, folder):
     return near(spark, folder).where("rank <= 10").withColumn("distance", F.round("distance", 6))
 
 
-@query("""WITH raw AS (SELECT doc_id, list_filter(list_transform(['given', lang] || regexp_extract_all(substr(text, 1, 2000), '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]{2,20}'), lambda t: trim(t)), lambda t: t <> '') AS t FROM documents),
+@query("""WITH raw AS (SELECT doc_id, list_filter(list_transform(['given', lang] || regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]{2,20}'), lambda t: trim(t)), lambda t: t <> '') AS t FROM documents),
 first AS (SELECT doc_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 8) AS terms FROM raw)
 SELECT doc_id, array_to_string(terms, ',') AS terms, array_to_string(list_transform(terms, lambda t: '"' || t || '"'), ' OR ') AS match_query FROM first""")
 def keyword_terms_query(spark, folder):
-    terms = keyword_terms(F.substring("text", 1, 2000), F.array(F.lit("given"), F.col("lang")))
+    terms = keyword_terms(F.col("text"), F.array(F.lit("given"), F.col("lang")))
     return table(spark, folder, "documents").withColumn("t", terms).select("doc_id", F.array_join("t", ",").alias("terms"), match_query(F.col("t")).alias("match_query"))
 
 
