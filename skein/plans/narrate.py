@@ -71,7 +71,7 @@ def with_memories(chapters: DataFrame, embedder: Embedder | None, held: DataFram
     asked = generate.step_queries(asked, mode, size)
     asked = with_embeddings(asked.select("book_id", F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), "query_text", keyword_terms(F.col("query_text"), F.col("entities")).alias("terms")), "query_text", embedder, "query_vector")
     most = max(row[3] for row in tiers.TIERS)
-    hits = generate.memories(generate.hybrid(passages, cut(asked.drop("query_text")), index, most), most)
+    hits = generate.memories(generate.hybrid(passages, asked.drop("query_text"), index, most), most)
     taken = hits.join(chapters.select(F.col("chapter_id").alias("query_id"), "memory_top_k"), "query_id").where("rank <= memory_top_k")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "source_type", "text")))
     lists = taken.groupBy(F.col("query_id").alias("chapter_id")).agg(F.transform(ordered, lambda m: F.struct(m["source_type"].alias("source_type"), m["text"].alias("text"))).alias("memories"))
