@@ -1,57 +1,13 @@
-"""Where intermediate tables live, how lineage is cut, and connected components."""
+"""Sizes and batches, connected components, and columns set aside; written tables are those of operators.lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.gettempdir()}/skein-shared"
-    return where.rstrip("/")
-
-
-def erase(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _erase_all() -> None:
-    for spark, path in _made:
-        try:
-            erase(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone at exit; leftover files are harmless
-            return
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.skein_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what cut() wrote for df, once nothing reads it any more."""
-    erase(df.sparkSession, df.skein_path)
+from ..operators.lineage import cut, drop
 
 
 def input_bytes(df: DataFrame) -> int:
