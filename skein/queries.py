@@ -319,6 +319,20 @@ def run_report(spark, folder):
     return tiers.run_report(rows.withColumn("refine_calls", refine).withColumn("calls", 1 + refine).withColumn("cache_hit", again))
 
 
+@query(f"""WITH {CHAPTERS}, t AS (SELECT *, {TIER} AS tier FROM chapters),
+n AS (SELECT *, {stripped("substr(text, 1, greatest(1, CAST(floor(length(text) * CASE tier WHEN 'long' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS INTEGER)))")} AS narration_text FROM t),
+e AS (SELECT chapter_id, list_distinct(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}')) AS names, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}') AS all_ FROM chapters)
+SELECT n.book_id, n.chapter_id, n.idx AS chapter_idx, n.title, n.tier, n.narration_text, 'v1' AS prompt_version, sha256(n.chapter_id || '::' || n.idx || '::' || n.text || '::' || n.tier || '::draft') AS input_hash,
+array_to_string(list_slice(list_filter(all_, lambda x, i: list_position(all_, x) = i), 1, 16), ',') AS entities FROM n JOIN e USING (chapter_id)""")
+def narration_run(spark, folder):
+    """The run from end to end, with drafts: narrations and the entities of their stored outputs."""
+    from .plans.narrate import narrate
+
+    run = narrate(chapters(spark, folder), RULE)
+    named = run.outputs.select("chapter_id", F.array_join(F.from_json("payload_json", "entities_mentioned array<string>")["entities_mentioned"], ",").alias("entities"))
+    return run.narrations.join(named, "chapter_id")
+
+
 # claims
 
 
