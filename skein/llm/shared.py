@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut, drop
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df from file metadata; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions so that each holds about bytes_each, and no fewer than the session's shuffle partitions."""
-    spark = df.sparkSession
-    wanted = min(input_bytes(df), 1 << 60) // bytes_each + 1
-    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 200_000)))
+def input_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of df from file metadata, at most the sum over what it reads (joins estimate products); None if unknown.
+    No job runs."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = min(int(plan.stats().sizeInBytes()), sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
+    return size if size < 1 << 60 else None
+
+
+def parts_for(df: DataFrame, bytes_each: int, unknown: int = 200_000) -> int:
+    """Groups (of which a task may work many) so that each holds about bytes_each, and no fewer than the session's shuffle partitions;
+    `unknown` where the size of df can't be told."""
+    size = input_bytes(df)
+    wanted = unknown if size is None else min(size // bytes_each + 1, (1 << 31) - 1)
+    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

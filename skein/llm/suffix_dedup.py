@@ -19,7 +19,8 @@ about one in 35, each with the bytes of all strings that share the anchor.
    anchor needs a neighbour that shares length - a bytes with it; others are never looked at.
 5. Chunks unite the marked spans.
 
-`length` is from 2 to 65,535 bytes. Each chunk sends a row to each bucket, and there are as many buckets as chunks (see the README).
+`length` is from 2 to 65,535 bytes. Chunks and buckets are groups, not tasks: both grow with the input, so that neither does. A chunk sends a
+row to each bucket that one of its anchors falls in, so rows grow with the square of the chunks only until a row holds one anchor.
 
 Edge cases. Null text counts as empty. Texts shorter than `length` keep all. Rows with one id are laid out in order of
 their text, as if one followed the other (no string crosses rows); rows equal in id and text are one document
