@@ -75,10 +75,11 @@ def dedupe_insert_ignore(spark, folder):
 
 
 @query("""WITH s AS (SELECT doc_id, substr(text, 1, 120000) AS t FROM documents), c AS (SELECT doc_id, length(t) AS n,
-  length(regexp_replace(t, '[\\n\\r\\t\\x20-\\x7e\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}]', '', 'g')) AS other,
+  regexp_replace(t, '[\\n\\r\\t\\x20-\\x7e\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}]', '', 'g') AS other,
   length(regexp_replace(t, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}]', '', 'g')) AS no_cjk,
-  len(regexp_extract_all(t, '(?m)^第[0-9一二三四五六七八九十百千]+章.*$')) AS heads FROM s)
-SELECT doc_id, CASE WHEN n = 0 THEN -1e9 ELSE round((n - other) / n::DOUBLE * 100 + (n - no_cjk) / n::DOUBLE * 20 + least(heads, 300) * 0.5::DOUBLE, 6) END AS score FROM c""")
+  len(regexp_extract_all(t, '(?m)^第[0-9一二三四五六七八九十百千]+章.*$')) AS heads FROM s),
+d AS (SELECT *, length(other) AS odd, length(regexp_replace(other, '[\\p{C}\\p{Zl}\\p{Zp}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}]', '', 'g')) AS printable FROM c)
+SELECT doc_id, CASE WHEN n = 0 THEN -1e9 ELSE round((n - odd) / n::DOUBLE * 100 + (n - no_cjk) / n::DOUBLE * 20 + least(heads, 300) * 0.5::DOUBLE - (odd - printable) / n::DOUBLE * 200, 6) END AS score FROM d""")
 def encoding_score(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.round(quality_score(F.col("text")), 6).alias("score"))
 
