@@ -14,12 +14,19 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """key, keep, term, tf, size: the inverted index, or its part for `terms`; size is the number of tokens of the document."""
+    """key, keep, term, tf, size: the inverted index, or its part for `terms`; size is the number of tokens of the document.
+
+    Rows are documents, one a key. The whole index needs no shuffle: a row's sorted tokens are counted by where each begins."""
     tokens = matches(F.lower(F.concat_ws(" ", *text)), SEARCH_TOKEN)
+    if terms is None:
+        held = docs.select(key, *keep, F.sort_array(tokens).alias("tokens")).select(key, *keep, "tokens", F.size("tokens").alias("n")).where("n > 0")
+        new = lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", F.greatest(i - 1, F.lit(0))))
+        held = held.select(key, *keep, "tokens", "n", F.filter(F.sequence(F.lit(0), F.col("n") - 1), new).alias("starts"))
+        counted = F.transform("starts", lambda i, j: F.struct(F.get("tokens", i).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("n")) - i).cast("long").alias("tf")))
+        return held.select(key, *keep, F.col("n").cast("long").alias("size"), F.explode(counted).alias("p")).select(key, *keep, "p.term", "size", "p.tf")
     # size before the explode, so that exploded rows don't carry the array
     each = docs.select(key, *keep, tokens.alias("tokens")).select(key, *keep, "tokens", F.size("tokens").cast("long").alias("size")).select(key, *keep, "size", F.explode("tokens").alias("term"))
-    if terms is not None:  # before the shuffle
-        each = each.join(terms, "term", "left_semi")
+    each = each.join(terms, "term", "left_semi")  # before the shuffle
     return each.groupBy(key, *keep, "term", "size").agg(F.count("*").alias("tf"))
 
 
