@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import conversations
+from .fill_middle import fill_in_middle, restored
 from .jaccard_join import jaccard_components
 from .language_id import identify, train
 from .license_scan import scan
+from .line_dedup import dedup_lines
 from .mixing import mix_sources, word_sizes
 from .packing import pack
 from .quality_rules import quality_verdicts
 from .shared import cut, small_batches
+from .source_divergence import source_divergence
 from .suffix_dedup import suffix_dedup
 from .token_counts import context_limits, length_histogram
 from .vector_search import nearest
@@ -78,6 +81,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    cut_up = fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut_up.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -89,6 +107,9 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_line_dedup": op13_line_dedup,
 }
 #: The join by brute force: all pairs that share a shingle, and reachability by recursion.
 SQL: dict[str, str] = {
@@ -116,4 +137,29 @@ reply AS (SELECT t.conv_id, t.turn, coalesce(k.said, b.turn) AS reply_to, coales
 chain(conv_id, turn, root) AS (SELECT conv_id, turn, turn FROM reply WHERE reply_to IS NULL UNION ALL SELECT r.conv_id, r.turn, c.root FROM reply r JOIN chain c ON c.conv_id = r.conv_id AND c.turn = r.reply_to),
 own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT (regexp_matches(body, '(?i)\bwrote:\s*$') AND coalesce(next_level, 0) > 0)), ''), '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS text, count(*) FILTER (WHERE level > 0) AS n_quoted FROM g GROUP BY ALL)
 SELECT conv_id, turn, role, reply_to, root, n_quoted, CAST(n_linked AS BIGINT) AS n_linked, text, '<|' || coalesce(role, '') || '|>' || chr(10) || text || '<|end|>' || chr(10) AS formatted FROM own JOIN reply USING (conv_id, turn) JOIN chain USING (conv_id, turn)""",
+    "op11_fill_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS x FROM d),
+n AS (SELECT *, len(units) AS n, contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR text = '' OR x[3] % 100 >= 100 AS plain FROM u),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b FROM n),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(pre) END AS prefix_chars, CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN x[4] % 100 < 50 THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+vocab AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, v.term, v.c AS lang_c, CAST(coalesce(k.c, 0) AS HUGEINT) AS c FROM groups g JOIN vocab v USING (lang) LEFT JOIN counts k ON k.lang = g.lang AND k.source = g.source AND k.term = v.term),
+shares AS (SELECT lang, source, term, c, 1 + 1000000000 * (c + 1) // (sum(c) OVER g + count(*) OVER g) AS p, 1 + 1000000000 * (lang_c + 1) // (sum(lang_c) OVER g + count(*) OVER g) AS q FROM dense WINDOW g AS (PARTITION BY lang, source)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op13_line_dedup": r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT *, list_transform(lines, lambda x: trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS keys FROM d),
+l AS (SELECT row, unnest(lines) AS line, unnest(keys) AS key, generate_subscripts(lines, 1) AS pos FROM k),
+gone AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10),
+kept AS (SELECT row, count(*) AS n_lines, count(g.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.key IS NULL), '') AS text FROM l LEFT JOIN gone g USING (key) GROUP BY row)
+SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept JOIN d USING (row)""",
 }

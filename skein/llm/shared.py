@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, drop
@@ -32,6 +32,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def ascii_lower(text: Column) -> Column:
+    """text with A-Z alone in lower case; other letters stay."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, capitals, capitals.lower()))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b), by alternating large-star and small-star.
 
