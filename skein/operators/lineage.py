@@ -36,6 +36,13 @@ def _erase_all() -> None:
             return
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, which goes when the process ends."""
+    path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again; what it wrote goes when the process ends, or by drop()."""
     spark = df.sparkSession

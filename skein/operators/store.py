@@ -5,12 +5,17 @@ null-safe equality where a key may be null."""
 
 from __future__ import annotations
 
+import json
+import os
+import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -80,9 +85,9 @@ def broken_references(child: DataFrame, parent: DataFrame, child_key: str, paren
 
 
 def unexpired(cache: DataFrame, now: Column | float, ttl: float) -> DataFrame:
-    """Cache rows that may be read: the newest of each key, not older than ttl seconds (ttl <= 0: always). Table.replace() with
-    these rows deletes the expired ones."""
-    rows = latest(cache, ["key"], ["created_at"])
+    """Cache rows that may be read: the newest of each key (of equal times the greatest value), not older than ttl seconds (ttl <= 0:
+    always). Table.replace() with these rows deletes the expired ones."""
+    rows = latest(cache, ["key"], ["created_at", *[c for c in cache.columns if c not in ("key", "created_at")]])
     return rows if ttl <= 0 else rows.where((now if isinstance(now, Column) else F.lit(now)) - F.col("created_at") <= ttl)
 
 
@@ -98,71 +103,204 @@ class Conflict(RuntimeError):
     """Another writer has published a version first."""
 
 
-class Table:
-    """A Parquet table in versions. A version is a list of folders, published by creating the small file `versions/<number>`, which
-    fails if it exists: of two writers that start from one version one gets a Conflict and loses nothing.
-
-    append() adds a folder to the list, replace() starts a new list, vacuum() deletes folders that no version from `keep` on
-    names. A failed write leaves no version behind."""
+class Log:
+    """Numbered JSON documents in a folder. publish() shows a document whole or not at all, and only if its number is free: it is written
+    under another name and then linked (one machine) or renamed without overwriting. What is no number or can't be read is no version."""
 
-    def __init__(self, spark: SparkSession, path: str, partition: str | None = None):
-        self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-    def _fs(self, path: str) -> tuple:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    def _at(self, name: str = "") -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def versions(self) -> list[int]:
-        fs, where = self._fs(f"{self.path}/versions")
-        return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
+    def numbers(self) -> list[int]:
+        """All numbers that are taken, readable or not."""
+        fs, where = self._at()
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(x) for x in names if x.isdigit())
 
-    def version(self) -> int | None:
-        return max(self.versions(), default=None)
-
-    def folders(self, version: int | None) -> list[str]:
-        if version is None:
-            return []
-        fs, where = self._fs(f"{self.path}/versions/{version:012d}")
-        stream = fs.open(where)
+    def read(self, number: int) -> dict | None:
+        """A document, or None where it is damaged."""
+        fs, where = self._at(f"{number:012d}")
+        try:
+            stream = fs.open(where)
+            try:
+                found = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            finally:
+                stream.close()
+        except (Py4JJavaError, ValueError):
+            return None
+        return found if isinstance(found, dict) else None
+
+    def last(self, numbers: list[int] | None = None) -> tuple[int | None, dict]:
+        """The last readable document and its number."""
+        for number in reversed(self.numbers() if numbers is None else numbers):
+            if (found := self.read(number)) is not None:
+                return number, found
+        return None, {}
+
+    def publish(self, number: int, document: dict) -> None:
+        name = f".{uuid.uuid4().hex}"
+        fs, temporary = self._at(name)
+        _, target = self._at(f"{number:012d}")
+        stream = fs.create(temporary, False)
         try:
-            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().split()
+            stream.write(bytearray(json.dumps(document).encode()))
         finally:
             stream.close()
-
-    def read(self, version: int | None = None) -> DataFrame:
-        folders = self.folders(self.version() if version is None else version)
-        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{x}" for x in folders]).drop("data")
-
-    def _publish(self, folders: list[str], base: int | None) -> None:
-        fs, where = self._fs(f"{self.path}/versions/{(base or 0) + 1:012d}")
-        try:
-            stream = fs.create(where, False)
-        except Exception as refusal:
-            raise Conflict(f"{self.path}: version {(base or 0) + 1} exists") from refusal
         try:
-            stream.write(bytearray(" ".join(folders).encode()))
+            if fs.getUri().getScheme() == "file":  # a rename would replace the other writer's file there
+                os.link(temporary.toUri().getPath(), target.toUri().getPath())
+            else:
+                jvm = self.spark.sparkContext._jvm
+                none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(temporary, target, none)
+        except (FileExistsError, Py4JJavaError) as refusal:
+            if number in self.numbers():
+                raise Conflict(f"{self.path}: version {number} exists") from refusal
+            raise
         finally:
-            stream.close()
+            if fs.exists(temporary):
+                fs.delete(temporary, False)
+
+    def delete(self, number: int) -> None:
+        fs, where = self._at(f"{number:012d}")
+        fs.delete(where, False)
+
+
+class Tables:
+    """Parquet tables of one folder that change together. A version is one document that lists the folders of every table, so a commit
+    over several tables is seen whole or not at all.
+
+    commit() writes the data first and publishes last: a writer that dies before that leaves folders that nothing names, which
+    vacuum() deletes once they are old. Two writers that start from one version: the second finds its number taken, looks at
+    what came between and publishes on top of it, if that touched none of the tables that it replaces or has read; else it gets a
+    Conflict, and nothing of it is seen. Tables with a partition column keep one entry a partition, so that replace_in() swaps the
+    partitions that hold some keys and leaves the others' files alone."""
+
+    TRIES = 20
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"data={uuid.uuid4().hex}"
-        (rows.write.partitionBy(self.partition) if self.partition else rows.write).parquet(f"{self.path}/{name}")
-        return name
+    def __init__(self, spark: SparkSession, path: str, partitions: dict[str, str] | None = None):
+        self.spark, self.path, self.partitions = spark, path.rstrip("/"), partitions or {}
+        self.log = Log(spark, f"{self.path}/commits")
+
+    def versions(self) -> list[int]:
+        return [n for n in self.log.numbers() if self.log.read(n) is not None]
+
+    def version(self) -> int | None:
+        return self.log.last()[0]
+
+    def state(self, version: int | None = None) -> dict[str, dict]:
+        """The entries (folders or their partitions) and the schema of each table at a version, the last one if none is named."""
+        found = self.log.last()[1] if version is None else self.log.read(version)
+        if found is None:
+            raise LookupError(f"{self.path}: no version {version}")
+        return found.get("tables", {})
+
+    def has(self, name: str, version: int | None = None) -> bool:
+        return name in self.state(version)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        held = self.state(version).get(name)
+        if held is None:
+            raise LookupError(f"{self.path}: no table {name}")
+        schema = T.StructType.fromJson(held["schema"])
+        if not held["entries"]:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema.add("data", "string")).option("basePath", f"{self.path}/{name}")
+        return rows.parquet(*[f"{self.path}/{name}/{x}" for x in held["entries"]]).select(*[F.col(f"`{c}`") for c in schema.fieldNames() if c != "data"])
+
+    def get(self, name: str, schema: str) -> DataFrame:
+        """The table, or an empty one of this schema (DDL) where there is none yet."""
+        return self.read(name) if self.has(name) else self.spark.createDataFrame([], schema)
+
+    def _write(self, name: str, rows: DataFrame) -> dict:
+        """Writes a new folder of a table and returns its entries (the folder, or each of its partitions that hold rows) and schema."""
+        schema, folder, by = json.loads(rows.schema.json()), f"data={uuid.uuid4().hex}", self.partitions.get(name)
+        (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.path}/{name}/{folder}")
+        if not by:
+            return {"entries": [folder], "schema": schema}
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{folder}")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = sorted(x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory())
+        return {"entries": [f"{folder}/{x}" for x in found], "schema": schema}
+
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, swap: dict[str, DataFrame] | None = None, reads: Sequence[str] = (), at: int | None = None) -> int:
+        """Writes all of these and publishes them as one version, which it returns.
+
+        append adds rows, replace writes tables anew, swap (tables with a partition column) replaces the partitions that its rows fall in. reads:
+        tables that the rows were made of. at: the version they were made of, the last one if it is not named."""
+        base = self.version() if at is None else at
+        added = {name: self._write(name, rows) for name, rows in (append or {}).items()}
+        anew = {name: self._write(name, rows) for name, rows in (replace or {}).items()}
+        swapped = {name: self._write(name, rows) for name, rows in (swap or {}).items()}
+        mine = {*anew, *swapped, *reads}
+        before = self.state(base) if base is not None else {}
+        for _ in range(self.TRIES):
+            numbers = self.log.numbers()
+            _, document = self.log.last(numbers)
+            now = dict(document.get("tables", {}))
+            if moved := sorted(name for name in mine if now.get(name) != before.get(name)):
+                raise Conflict(f"{self.path}: {', '.join(moved)} changed since version {base}")
+            for name, new in anew.items():
+                now[name] = new
+            for name, new in (added | swapped).items():
+                held = now.get(name, {"entries": [], "schema": new["schema"]})
+                touched = {x.rpartition("/")[2] for x in new["entries"]} if name in swapped else set()
+                names = {x["name"] for x in held["schema"]["fields"]}
+                fields = held["schema"]["fields"] + [x | {"nullable": True} for x in new["schema"]["fields"] if x["name"] not in names]
+                now[name] = {"entries": [x for x in held["entries"] if x.rpartition("/")[2] not in touched] + new["entries"], "schema": held["schema"] | {"fields": fields}}
+            number = max(numbers, default=0) + 1
+            try:
+                self.log.publish(number, {"tables": now})
+                return number
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path}: other writers were faster {self.TRIES} times")
+
+    def vacuum(self, keep: int = 1, older: float = 86_400.0) -> list[str]:
+        """Deletes versions before the last `keep`, the folders that only they name, and folders that no version names and that
+        are `older` seconds or more, which writers have left that died."""
+        versions = self.versions()
+        named = lambda v: {f"{name}/{x.partition('/')[0]}" for name, held in self.state(v).items() for x in held["entries"]}
+        held = set().union(*[named(v) for v in versions[-keep:]]) if versions else set()
+        old = set().union(*[named(v) for v in versions[:-keep]]) - held if versions[:-keep] else set()
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for table in fs.listStatus(where) if fs.exists(where) else []:
+            if table.isDirectory() and table.getPath().getName() != "commits":
+                for x in fs.listStatus(table.getPath()):
+                    name = f"{table.getPath().getName()}/{x.getPath().getName()}"
+                    if x.getPath().getName().startswith("data=") and name not in held and time.time() - x.getModificationTime() / 1000 >= older:
+                        old.add(name)
+        for name in sorted(old):
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        for v in versions[:-keep]:
+            self.log.delete(v)
+        return sorted(old)
+
+
+class Table:
+    """One table with versions of its own: Tables of which one is used."""
+
+    def __init__(self, spark: SparkSession, path: str, partition: str | None = None):
+        self.tables = Tables(spark, path, {"rows": partition} if partition else None)
+
+    def versions(self) -> list[int]:
+        return self.tables.versions()
+
+    def version(self) -> int | None:
+        return self.tables.version()
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.tables.read("rows", version)
 
     def append(self, rows: DataFrame) -> None:
-        base = self.version()
-        self._publish([*self.folders(base), self._write(rows)], base)
+        self.tables.commit(append={"rows": rows})
 
     def replace(self, rows: DataFrame) -> None:
-        base = self.version()
-        self._publish([self._write(rows)], base)
+        self.tables.commit(replace={"rows": rows})
 
     def vacuum(self, keep: int = 1) -> list[str]:
-        """Deletes versions before the last `keep`, and folders that only they name."""
-        versions = self.versions()
-        held = {x for v in versions[-keep:] for x in self.folders(v)}
-        gone = {x for v in versions[:-keep] for x in self.folders(v)} - held
-        for path in [f"versions/{v:012d}" for v in versions[:-keep]] + sorted(gone):
-            fs, where = self._fs(f"{self.path}/{path}")
-            fs.delete(where, True)
-        return sorted(gone)
+        return [x.partition("/")[2] for x in self.tables.vacuum(keep)]

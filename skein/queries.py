@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import ENTITY, SEARCH_TOKEN, clean_json, content_hash, keyword_terms, match_query, matches, normalised, token_estimate
 from .operators import claims, export, ingest, retrieval, state, store, tiers
+from .operators.lineage import own_folder
 from .plans.adapters import CHAPTERS, CHARACTERS, CHUNKS, DAYS, NARRATIONS, all_chunks, chapters, characters, days, narrations, stripped, table
 from .sources.html import with_markdown
 from .sources.text_files import quality_score
@@ -160,6 +161,26 @@ def cache_ttl(spark, folder):
     return store.unexpired(newest.crossJoin(cache.agg(F.max("created_at").alias("now"))), F.col("now"), 432_000).select("key", "value")  # one row
 
 
+@query(f"WITH {NARRATIONS} SELECT chapter_id, max(version) AS version, max_by(narration_text, version) AS narration_text, count(*) AS written FROM narrations GROUP BY 1")
+def commit_after_conflict(spark, folder):
+    """Two writers start from one version of two tables; the second finds the latest narrations changed, starts again, and both are in both tables."""
+    n = narrations(spark, folder).select("chapter_id", "version", "narration_text")
+    tables = store.Tables(spark, own_folder(spark))
+
+    def write(rows: DataFrame, at: int) -> None:
+        held = store.upsert(tables.read("latest", at), rows, ["chapter_id"], ["version"])
+        tables.commit(append={"narrations": rows}, replace={"latest": held}, at=at)
+
+    base = tables.commit(replace={"narrations": n.limit(0), "latest": n.limit(0)})
+    write(n.where("version = 1"), base)
+    try:
+        write(n.where("version = 2"), base)
+    except store.Conflict:
+        write(n.where("version = 2"), tables.version())
+    written = tables.read("narrations").groupBy("chapter_id").agg(F.count("*").alias("written"))
+    return tables.read("latest").join(written, "chapter_id")
+
+
 @query("SELECT user_id AS book_id, event_id FROM events WHERE user_id <> 3")
 def clear_book(spark, folder):
     return state.clear_book(table(spark, folder, "events").select(F.col("user_id").alias("book_id"), "event_id"), 3)
