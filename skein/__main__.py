@@ -1,4 +1,4 @@
-"""Command line: ingest texts into tables, narrate, export, and show the configuration."""
+"""Command line: ingest texts into tables, embed, narrate, summarize, export, and show the configuration."""
 
 from __future__ import annotations
 
@@ -7,44 +7,57 @@ import json
 import logging
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.providers import HashingEmbedder
+from .functions.providers import LeadingGenerator, provider
 from .functions.text import content_hash, normalised
-from .operators import export, ingest, state, store, tiers
+from .functions.unicode import nfkc
+from .operators import export, ingest, store, tiers
+from .operators.lineage import cut
+from .plans import stored
 from .plans.config import Config, load
-from .plans.generate import assets
-from .plans.narrate import narrate
 from .session import session
+from .sources.html import book_texts, read_epub
 from .sources.text_files import read_text
 
 log = logging.getLogger("skein")
 
 
+def library(config: Config, spark: SparkSession) -> store.Tables:
+    return stored.library(spark, config.data)
+
+
 def run_ingest(config: Config, paths: list[str]) -> dict[str, int]:
     """Books, chapters and chunks of new texts; what is there by content hash is left alone."""
     spark = session("skein-ingest")
-    texts = read_text(spark, paths, config.ingest.encoding).withColumn("text", normalised(F.col("text"), config.ingest.compact))
+    own = config.ingest
+    texts = read_texts(spark, paths, own.encoding).withColumn("text", normalised(nfkc(F.col("text")) if own.nfkc else F.col("text"), own.compact))
     books = texts.select(F.col("path").alias("source_path"), "text", content_hash("text").alias("book_id"))
-    chapters = ingest.chapters(books.dropDuplicates(["book_id"]), "book_id", config.ingest.chapter_regex, width=config.ingest.fallback_chars)
+    chapters = ingest.chapters(books.dropDuplicates(["book_id"]), "book_id", own.chapter_regex, width=own.fallback_chars)
     chapters = chapters.withColumn("chapter_hash", ingest.chapter_hash(F.col("book_id"), F.col("title"), F.col("body"))).dropDuplicates(["chapter_hash"])
-    split = config.ingest.split
-    chunks = ingest.chunks(chapters.withColumnRenamed("idx", "chapter_idx"), ["book_id", "chapter_hash", "chapter_idx", "title"], "body", split.size, split.overlap, split.least)
-    counts = {}
+    chunks = ingest.chunks(chapters.withColumnRenamed("idx", "chapter_idx"), ["book_id", "chapter_hash", "chapter_idx", "title"], "body", own.split.size, own.split.overlap, own.split.least)
+    tables, counts, new = library(config, spark), {}, {}
+    at = tables.version()
     for name, rows, keys in (("chapters", chapters, ["chapter_hash"]), ("chunks", chunks, ["chapter_hash", "idx"])):
-        table = store.Table(spark, f"{config.data}/{name}")
-        old = table.read() if table.version() else rows.limit(0)
-        before = old.count()
-        (table.append if table.version() else table.replace)(store.insert_ignore(old, rows, keys, keys))
-        counts[name] = table.read().count() - before
+        new[name] = cut(store.insert_ignore(tables.read(name) if tables.has(name) else rows.limit(0), rows, keys, keys))
+        counts[name] = new[name].count()
+    tables.commit(append=new, reads=list(new), at=at)
     return counts
 
 
+def read_texts(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """path and text of text files and of EPUB containers."""
+    books, plain = [p for p in paths if p.lower().endswith(".epub")], [p for p in paths if not p.lower().endswith(".epub")]
+    parts = [read_text(spark, plain, encoding)] if plain else []
+    parts += [book_texts(read_epub(spark, books)).select("path", "text")] if books else []
+    return parts[0].select("path", "text").unionByName(parts[1]) if len(parts) > 1 else parts[0].select("path", "text")
+
+
 def chapters_of(config: Config, book: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
     """The chapters to work on: of one book or all, in a range that is widened to whole steps."""
     size = config.narration.step_size
-    rows = store.Table(session("skein"), f"{config.data}/chapters").read().withColumnRenamed("body", "text")
+    rows = library(config, session("skein")).read("chapters").withColumnRenamed("body", "text")
     rows = rows if book is None else rows.where(F.col("book_id") == book)
     rows = rows if first is None else rows.where(F.col("idx") >= (first - 1) // size * size + 1)
     rows = rows if last is None else rows.where(F.col("idx") <= -(-last // size) * size)
@@ -53,55 +66,50 @@ def chapters_of(config: Config, book: str | None = None, first: int | None = Non
 
 def rule_of(config: Config) -> tiers.Tiering:
     n = config.narration
-    return tiers.Tiering(default=n.tier, long_every_n=n.long_every_n, long_min_chars=n.long_min_chars, long_keywords=tuple(n.long_keywords))
+    return tiers.Tiering(enabled=n.tiering, default=n.tier, preset=n.tier, long_every_n=n.long_every_n, long_min_chars=n.long_min_chars, long_keywords=tuple(n.long_keywords))
 
 
 def run_embed(config: Config) -> int:
-    """Vectors and the inverted index of all chunks; only chunks that the passages table lacks are embedded."""
-    spark = session("skein-embed")
-    chunks = store.Table(spark, f"{config.data}/chunks").read()
-    corpus = chunks.select("book_id", F.lit("chunk").alias("source_type"), F.xxhash64("chapter_hash", "idx").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"))
-    table = store.Table(spark, f"{config.data}/passages", "book_id")
-    passages, index = assets(corpus, HashingEmbedder(), table.read() if table.version() else None)
-    table.replace(passages)
-    for name, rows in (("postings", index.rows), ("postings_stats", index.stats)):
-        store.Table(spark, f"{config.data}/{name}").replace(rows)
-    return table.read().count()
+    """Vectors and the inverted index of all chunks and narrations; only what is new is embedded, only parts that changed are written."""
+    tables = library(config, session("skein-embed"))
+    stored.embed(tables, provider(config.providers.embedder, "embedder"))
+    return tables.read("passages").count()
 
 
 def run_narrate(config: Config, book: str | None = None, first: int | None = None, last: int | None = None) -> dict[str, int]:
-    """Narrates chapters that were not narrated before, then folds the stored outputs of all chapters into the world state."""
+    """Narrates chapters that were not narrated before; what earlier chapters left behind is known to them."""
     spark = session("skein-narrate")
-    n = config.narration
-    table = store.Table(spark, f"{config.data}/narrations")
-    done = table.read() if table.version() else None
-    run = narrate(chapters_of(config, book, first, last), rule_of(config), embedder=HashingEmbedder(), done=done, window=n.recent_window, least=n.evidence_least, snippets=n.evidence_snippets, memory=n.step_memory, step_size=n.step_size)
-    new = run.narrations.withColumn("narrated_at", F.current_timestamp())
-    (table.append if done is not None else table.replace)(new)
-    outputs = store.Table(spark, f"{config.data}/outputs")
-    (outputs.append if outputs.version() else outputs.replace)(run.outputs)
-    latest = store.latest(table.read(), ["chapter_id"], ["narrated_at", "input_hash"])
-    back = state.replayed(outputs.read(), 1 << 30)
-    plain = back["mentions"].withColumn("canonical", F.col("name"))
-    for name, rows in (("characters", state.character_states(plain, back["updates"])), ("items", state.item_states(back["items"])), ("plot_events", state.plot_events(back["events"])), ("world_facts", state.facts(back["events"], back["updates"], back["items"]))):
-        store.Table(spark, f"{config.data}/{name}").replace(rows)
+    n, tables = config.narration, library(config, session("skein-narrate"))
+    settings = tiers.tier_settings(spark, n.tiers, {"ratio_low": n.ratio_low, "ratio_high": n.ratio_high, "memory_top_k": n.memory_top_k}, n.tiering)
+    run = stored.tell(
+        tables, chapters_of(config, book, first, last), rule_of(config), provider(config.providers.generator, "generator"), provider(config.providers.embedder, "embedder"), n.step_size, n.in_order, ttl=config.providers.answer_ttl, every=n.checkpoint_every,
+        window=n.recent_window, least=n.evidence_least, snippets=n.evidence_snippets, memory=n.step_memory, settings=settings,
+    )
     report = run.report.collect()  # one row a book of this run
     for line in report:
         log.info("%s", line.asDict())
-    return {"narrated": sum(r.chapters_processed for r in report), "skipped": sum(r.chapters_skipped for r in report), "chapters": latest.count()}
+    return {"narrated": sum(r.chapters_processed for r in report), "skipped": sum(r.chapters_skipped for r in report), "chapters": tables.read("narrations").select("chapter_id").distinct().count()}
+
+
+def run_summarize(config: Config, book: str | None = None) -> dict[str, int]:
+    """Summaries level by level; without a generator the first characters stand in."""
+    generator = provider(config.providers.generator, "generator") or LeadingGenerator()
+    return stored.summarize(library(config, session("skein-summarize")), generator, config.summary.most_chars, config.summary.story, config.providers.answer_ttl, book)
 
 
 def run_export(config: Config, mode: str = "auto") -> None:
     """Reports of all books that have narrations: a file a chapter, the whole story, characters, timeline, summary and world state."""
     spark = session("skein-export")
-    read = lambda name: store.Table(spark, f"{config.data}/{name}").read()
-    rows = read("narrations") if store.Table(spark, f"{config.data}/narrations").version() else spark.createDataFrame([], "book_id string")
+    tables = library(config, spark)
+    read = tables.read
+    rows = read("narrations") if tables.has("narrations") else spark.createDataFrame([], "book_id string")
     if export.export_mode(mode, rows) == "legacy":
-        summaries = store.Table(spark, f"{config.data}/summaries")
-        if summaries.version():
-            export.write_files(export.legacy_files(summaries.read()), config.output)
+        if tables.has("summaries"):
+            export.write_files(export.legacy_files(store.latest(read("summaries").where("scope = 'book'"), ["book_id", "summary_type"], ["created_at", "input_hash"])), config.output)
         return
-    latest = export.with_outputs(store.latest(rows, ["chapter_id"], ["narrated_at", "input_hash"]).withColumn("narration_id", F.col("chapter_id")), read("outputs").withColumnRenamed("chapter_id", "narration_id").dropDuplicates(["narration_id"]))
+    latest = stored.latest_narrations(tables)
+    outputs = read("outputs").select("chapter_id", "prompt_version", "input_hash", "payload_json").dropDuplicates(["chapter_id", "prompt_version", "input_hash"])
+    latest = latest.join(outputs, ["chapter_id", "prompt_version", "input_hash"], "left")
     files = export.chapter_files(latest, config.narration.step_size)
     story = export.full_story(files)
     books = latest.groupBy("book_id").agg(F.count("*").alias("n"), F.first("book_id").alias("title"))
@@ -120,7 +128,7 @@ def run_export(config: Config, mode: str = "auto") -> None:
     out = several[0]
     for part in several[1:]:
         out = out.union(part)
-    export.write_files(out, config.output)
+    export.write_files(out, config.output, stale=r"\d{3}(-\d{3})?_.*\.md")
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -132,7 +140,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--output-dir")
     parser.add_argument("--chapter-regex")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("config", "embed", "narrate", "storytell", "export", "ingest", "run"):
+    for name in ("config", "embed", "narrate", "storytell", "summarize", "export", "ingest", "run"):
         one = commands.add_parser(name)
         if name in ("ingest", "run"):
             one.add_argument("paths", nargs="+")
@@ -142,6 +150,8 @@ def main(arguments: list[str] | None = None) -> None:
             one.add_argument("--to-chapter", type=int)
             one.add_argument("--step-size", type=int)
             one.add_argument("--no-export", action="store_true")
+        if name == "summarize":
+            one.add_argument("--book-id")
         if name == "export":
             one.add_argument("--mode", default="auto", choices=["auto", "storyteller", "legacy"])
     a = parser.parse_args(arguments)
@@ -157,6 +167,8 @@ def main(arguments: list[str] | None = None) -> None:
         log.info("%d passages", run_embed(config))
     if a.command in ("narrate", "storytell", "run"):
         log.info("%s", run_narrate(config, a.book_id, a.from_chapter, a.to_chapter))
+    if a.command == "summarize":
+        log.info("%s", run_summarize(config, a.book_id))
     if a.command == "export" or a.command in ("storytell", "run") and not a.no_export:
         run_export(config, getattr(a, "mode", "auto"))
 

@@ -27,22 +27,36 @@ def consistent_events(events: DataFrame, recent: DataFrame) -> DataFrame:
     return new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EVENTS).drop("n")
 
 
-def spaced_events(events: DataFrame, window: int) -> DataFrame:
-    """consistent_events() where the known events are those of this very run: an event is kept unless an equal one was kept in the
-    `window` chapters before. One fold over the chapters of each text, in order."""
+def first_events(events: DataFrame) -> DataFrame:
+    """Events (book_id, chapter_idx, pos, what) that are not empty, each text once a chapter, by its first place."""
     clean = events.withColumn("what", text_or_empty(F.col("what"))).where("what <> ''")
-    first = clean.groupBy("book_id", "what", "chapter_idx").agg(F.min("pos").alias("pos"))
+    first = W.partitionBy("book_id", "chapter_idx", "what").orderBy("pos")
+    return clean.withColumn("skein_n", F.row_number().over(first)).where("skein_n = 1").drop("skein_n")
+
+
+def spaced_events(events: DataFrame, window: int, past: DataFrame | None = None) -> DataFrame:
+    """consistent_events() where the known events are those of this very run: an event is kept unless an equal one was stored in the
+    `window` chapters before. One fold over the chapters of each text, in order; of a text it holds a number a chapter.
+
+    Events may have `stored`: false for those that will not be (without support); they hold back no later ones. past (book_id,
+    chapter_idx, what): what earlier runs stored."""
+    first = first_events(events)
+    seen = first.select("book_id", "what", F.col("chapter_idx").cast("int").alias("idx"), *[F.col("stored") if "stored" in events.columns else F.lit(True).alias("stored")], F.lit(False).alias("old"))
+    if past is not None:
+        old = past.select("book_id", text_or_empty(F.col("what")).alias("what"), F.col("chapter_idx").cast("int").alias("idx"), F.lit(True).alias("stored"), F.lit(True).alias("old")).where("what <> ''")
+        seen = seen.unionByName(old.join(first.select("book_id", "what").distinct(), ["book_id", "what"], "left_semi").distinct())
     start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
 
-    def step(acc: Column, idx: Column) -> Column:
-        far = acc["last"].isNull() | (idx - acc["last"] > window)
-        return F.struct(F.when(far, idx).otherwise(acc["last"]).alias("last"), F.when(far, F.concat(acc["kept"], F.array(idx))).otherwise(acc["kept"]).alias("kept"))
+    def step(acc: Column, x: Column) -> Column:
+        far = acc["last"].isNull() | (x["idx"] - acc["last"] > window)
+        last = F.when(x["old"] | (far & x["stored"]), x["idx"]).otherwise(acc["last"])
+        return F.struct(last.alias("last"), F.when(far & ~x["old"], F.concat(acc["kept"], F.array(x["idx"]))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = first.groupBy("book_id", "what").agg(F.aggregate(F.array_sort(F.collect_list(F.col("chapter_idx").cast("int"))), start, step)["kept"].alias("kept"))
-    kept = first.join(kept.select("book_id", "what", F.explode("kept").alias("chapter_idx")), ["book_id", "what", "chapter_idx"])
-    new = clean.join(kept, ["book_id", "what", "chapter_idx", "pos"], "left_semi")
+    kept = seen.groupBy("book_id", "what").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("idx", "old", "stored"))), start, step)["kept"].alias("kept"))
+    kept = kept.select("book_id", "what", F.explode("kept").alias("chapter_idx"))
+    new = first.join(kept, ["book_id", "what", "chapter_idx"], "left_semi")
     order = W.partitionBy("book_id", "chapter_idx").orderBy("pos")
-    return new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EVENTS).drop("n")
+    return new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EVENTS).drop("n").select(*events.columns)
 
 
 def with_evidence(claims: DataFrame, scored: DataFrame, keys: list[str], least: float = LEAST_SUPPORT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_list, safe_filename
+from .lineage import cut
 from .state import listed
 
 # Headings and phrases of the reports.
@@ -128,17 +130,21 @@ def world_state(books: DataFrame, most_facts: int = 1000, **tables: DataFrame) -
     return out.select("book_id", F.to_json(F.struct("book_id", "book_title", *tables), {"pretty": "true"}).alias("content"))
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Writes (book_id, filename, content) as files folder/book_id/filename, each from the task that holds its row.
+def write_files(files: DataFrame, folder: str, stale: str | None = None) -> int:
+    """Writes (book_id, filename, content) as files folder/book_id/filename, each from the task that holds its row; returns how many.
 
-    A file is written beside its place and renamed, so that readers see whole files and a repeated task does no harm."""
-    jvm_free = files.select(F.col("book_id").cast("string").alias("book_id"), "filename", "content")
+    A file is written beside its place and renamed, so that readers see whole files and a repeated task does no harm. stale: a pattern of names; files
+    of the written books that match it and are not among the new ones are removed, book by book, once all files are written."""
+    named = files.select(F.col("book_id").cast("string").alias("book_id"), "filename", "content")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(book: str | None) -> tuple[pafs.FileSystem, str]:
         fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        return fs, f"{root.rstrip('/')}/{quote(book or 'none', safe=' ')}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for book, name, content in zip(*(batch.column(c).to_pylist() for c in ("book_id", "filename", "content"))):
-                where = f"{root.rstrip('/')}/{quote(book or 'none', safe=' ')}"
+                fs, where = place(book)
                 fs.create_dir(where, recursive=True)
                 part = f"{where}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(part) as out:
@@ -146,4 +152,18 @@ def write_files(files: DataFrame, folder: str) -> None:
                 fs.move(part, f"{where}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    jvm_free.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+    def swept(table: pa.Table) -> pa.Table:
+        names, gone = set(table.column("filename").to_pylist()), 0
+        fs, where = place(table.column("book_id")[0].as_py())
+        for found in fs.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
+            if found.is_file and found.base_name not in names and re.fullmatch(stale, found.base_name):
+                fs.delete_file(found.path)
+                gone += 1
+        return pa.table({"n": pa.array([gone], pa.int64())})
+
+    if stale is not None:
+        named = cut(named)
+    written = named.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if stale is not None:
+        named.select("book_id", "filename").groupBy("book_id").applyInArrow(swept, "n long").agg(F.sum("n")).collect()  # names only; one row
+    return written

@@ -6,7 +6,7 @@ own last value; first appearances are minima over all mentions and updates; alia
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from ..functions.text import text_or_empty
 
 
-def character_states(mentions: DataFrame, updates: DataFrame) -> DataFrame:
+def character_states(mentions: DataFrame, updates: DataFrame, default: str | None = "active") -> DataFrame:
     """Characters from mentions (book_id, chapter_idx, name, canonical) and updates (book_id, chapter_idx, pos, name,
-    change_type, after): aliases, first and last chapter, status, location."""
+    change_type, after): aliases, first and last chapter, status (`default` before any change), location."""
     seen = mentions.select("book_id", "chapter_idx", F.col("canonical").alias("name"), F.when(F.col("name") != F.col("canonical"), F.col("name")).alias("alias"))
     seen = seen.unionByName(updates.select("book_id", "chapter_idx", "name", F.lit(None).cast("string").alias("alias")))
     base = seen.groupBy("book_id", "name").agg(F.min("chapter_idx").alias("first_chapter_idx"), F.max("chapter_idx").alias("last_chapter_idx"), F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("aliases"))
@@ -29,7 +29,7 @@ def character_states(mentions: DataFrame, updates: DataFrame) -> DataFrame:
         return F.max_by(F.when(F.col("change_type") == kind, F.col("after")), F.when(F.col("change_type") == kind, F.struct("chapter_idx", "pos")))
 
     changed = set_.groupBy("book_id", "name").agg(last("status").alias("status"), last("location").alias("location"))
-    return base.join(changed, ["book_id", "name"], "left").select("book_id", "name", "aliases", "first_chapter_idx", "last_chapter_idx", F.coalesce("status", F.lit("active")).alias("status"), "location")
+    return base.join(changed, ["book_id", "name"], "left").select("book_id", "name", "aliases", "first_chapter_idx", "last_chapter_idx", F.coalesce("status", F.lit(default)).alias("status"), "location")
 
 
 def item_states(items: DataFrame) -> DataFrame:
@@ -46,10 +46,11 @@ def plot_events(events: DataFrame) -> DataFrame:
     return events.where(text_or_empty(F.col("what")) != "").select("book_id", "chapter_idx", "pos", F.col("what").alias("event_summary"), who.alias("involved_characters_json"), F.lit("narration_draft").alias("event_type"), F.coalesce("impact", F.lit("")).alias("impact"))
 
 
-def facts(events: DataFrame, updates: DataFrame, items: DataFrame) -> DataFrame:
+def facts(events: DataFrame, updates: DataFrame, items: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Facts of events, updates and items; the last writer of a key wins. Writers of a chapter come in that order.
 
-    Every update of a character states its status as it then is (`active` before any change), and its location once there is one."""
+    Every update of a character states its status as it then is (`active` before any change), and its location once there is one.
+    before: characters (book_id, name, status, location) as they were before these chapters."""
     e = events.where(text_or_empty(F.col("what")) != "").select("book_id", "chapter_idx", F.lit(0).alias("stage"), "pos", F.concat(F.lit("event:"), F.col("chapter_idx"), F.lit(":"), F.left(F.sha2("what", 256), F.lit(12))).alias("fact_key"), F.col("what").alias("fact_value"), F.lit(0.7).alias("confidence"), F.col("what").alias("excerpt"))
     order = F.struct("chapter_idx", "pos")
     set_ = text_or_empty(F.col("after")) != ""
@@ -58,7 +59,11 @@ def facts(events: DataFrame, updates: DataFrame, items: DataFrame) -> DataFrame:
         changed = set_ & (F.lower(F.trim("change_type")) == kind)
         return F.max_by(F.when(changed, F.col("after")), F.when(changed, order))
 
-    cast = updates.groupBy("book_id", "name").agg(F.max(order).alias("at"), F.max_by(F.coalesce("evidence", F.lit("")), order).alias("excerpt"), F.coalesce(last("status"), F.lit("active")).alias("status"), last("location").alias("location"))
+    cast = updates.groupBy("book_id", "name").agg(F.max(order).alias("at"), F.max_by(F.coalesce("evidence", F.lit("")), order).alias("excerpt"), last("status").alias("status"), last("location").alias("location"))
+    if before is not None:
+        held = before.select("book_id", "name", F.col("status").alias("held_status"), F.col("location").alias("held_location"))
+        cast = cast.join(held, ["book_id", "name"], "left").withColumn("status", F.coalesce("status", "held_status")).withColumn("location", F.coalesce("location", "held_location"))
+    cast = cast.withColumn("status", F.coalesce("status", F.lit("active")))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.lit(c).alias("confidence")) for k, c in (("status", 0.85), ("location", 0.8))])
     u = cast.select("book_id", "name", "at", "excerpt", F.explode(kinds).alias("k")).where("k.value IS NOT NULL")
     u = u.select("book_id", "at.chapter_idx", F.lit(1).alias("stage"), "at.pos", F.concat(F.lit("character:"), F.col("name"), F.lit(":"), F.col("k.kind")).alias("fact_key"), F.col("k.value").alias("fact_value"), "k.confidence", "excerpt")
@@ -67,6 +72,23 @@ def facts(events: DataFrame, updates: DataFrame, items: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "fact_key").agg(F.max_by(F.struct("fact_value", "confidence", "chapter_idx", "excerpt"), F.struct("chapter_idx", "stage", "pos")).alias("f")).select("book_id", "fact_key", "f.fact_value", "f.confidence", F.col("f.chapter_idx").alias("source_chapter_idx"), F.col("f.excerpt").alias("source_excerpt"))
 
 
+def world_of(mentions: DataFrame, events: DataFrame, updates: DataFrame, items: DataFrame, before: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The four state tables after the chapters of these rows. before: the tables as the chapters before them left them."""
+    if before is None:
+        return {"characters": character_states(mentions, updates), "items": item_states(items), "plot_events": plot_events(events), "world_facts": facts(events, updates, items)}
+    people, things, keys = character_states(mentions, updates, None), item_states(items), ["book_id", "name"]
+    side = lambda old, new: old.select(*new.columns, F.lit(0).alias("side")).unionByName(new.withColumn("side", F.lit(1)))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("side"))).alias(c)
+    span = [F.min("first_chapter_idx").alias("first_chapter_idx"), F.max("last_chapter_idx").alias("last_chapter_idx")]
+    aliases = F.array_join(F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.split("aliases", ","))), lambda x: x != ""))), ",").alias("aliases")
+    people = side(before["characters"], people).groupBy(*keys).agg(aliases, *span, last("status"), last("location")).withColumn("status", F.coalesce("status", F.lit("active")))
+    things = side(before["items"], things).groupBy(*keys).agg(F.max_by(F.struct("owner_name", "description"), "side").alias("x"), *span).select(*keys, "x.*", "first_chapter_idx", "last_chapter_idx")
+    plot = plot_events(events)
+    known = facts(events, updates, items, before["characters"])
+    known = side(before["world_facts"], known).groupBy("book_id", "fact_key").agg(F.max_by(F.struct(*[c for c in known.columns if c not in ("book_id", "fact_key")]), "side").alias("x")).select("book_id", "fact_key", "x.*")
+    return {"characters": people, "items": things, "plot_events": before["plot_events"].select(*plot.columns).unionByName(plot), "world_facts": known}
+
+
 def first_rows(rows: DataFrame, order: Sequence[str], most: int | None) -> DataFrame:
     """The first rows of each book; windows drop the rest before anything is gathered."""
     if most is None:
@@ -81,6 +103,13 @@ def listed(rows: DataFrame, order: Sequence[str], out: str, most: int | None = N
     return first_rows(rows, order, most).groupBy("book_id").agg(F.transform(sorted_, lambda x: x["row"]).alias(out))
 
 
+#: Their columns besides book_id.
+STATE_COLUMNS = {
+    "characters": "name string, aliases string, first_chapter_idx int, last_chapter_idx int, status string, location string",
+    "items": "name string, owner_name string, description string, first_chapter_idx int, last_chapter_idx int",
+    "plot_events": "chapter_idx int, pos int, event_summary string, involved_characters_json string, event_type string, impact string",
+    "world_facts": "fact_key string, fact_value string, confidence double, source_chapter_idx int, source_excerpt string",
+}
 #: The four tables of a world state, the order of their rows and how many a snapshot holds of a book.
 STATE_TABLES = {"characters": (["name"], None), "items": (["name"], None), "plot_events": (["chapter_idx", "pos"], None), "world_facts": (["fact_key"], 10_000)}
 

@@ -226,11 +226,12 @@ class Tables:
         found = sorted(x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory())
         return {"entries": [f"{folder}/{x}" for x in found], "schema": schema}
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, swap: dict[str, DataFrame] | None = None, reads: Sequence[str] = (), at: int | None = None) -> int:
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, swap: dict[str, DataFrame] | None = None, reads: Sequence[str] = (), at: int | None = None, parts: Sequence[object] = ()) -> int:
         """Writes all of these and publishes them as one version, which it returns.
 
-        append adds rows, replace writes tables anew, swap (tables with a partition column) replaces the partitions that its rows fall in. reads:
-        tables that the rows were made of. at: the version they were made of, the last one if it is not named."""
+        append adds rows, replace writes tables anew, swap (tables with a partition column) replaces the partitions that its rows fall in, and those
+        of `parts`, which may be left without rows. reads: tables that the rows were made of. at: the version they were made of, the last one if
+        it is not named."""
         base = self.version() if at is None else at
         added = {name: self._write(name, rows) for name, rows in (append or {}).items()}
         anew = {name: self._write(name, rows) for name, rows in (replace or {}).items()}
@@ -247,7 +248,7 @@ class Tables:
                 now[name] = new
             for name, new in (added | swapped).items():
                 held = now.get(name, {"entries": [], "schema": new["schema"]})
-                touched = {x.rpartition("/")[2] for x in new["entries"]} if name in swapped else set()
+                touched = {x.rpartition("/")[2] for x in new["entries"]} | {f"{self.partitions[name]}={x}" for x in parts} if name in swapped else set()
                 names = {x["name"] for x in held["schema"]["fields"]}
                 fields = held["schema"]["fields"] + [x | {"nullable": True} for x in new["schema"]["fields"] if x["name"] not in names]
                 now[name] = {"entries": [x for x in held["entries"] if x.rpartition("/")[2] not in touched] + new["entries"], "schema": held["schema"] | {"fields": fields}}

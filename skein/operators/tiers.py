@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +49,7 @@ def tier_table(spark: SparkSession) -> DataFrame:
 
 def effective(override: Column, held: object = None, default: object = None) -> Column:
     """A setting's value: the override where there is one (also 0 or False), else the global one, else the default."""
-    return F.coalesce(override, F.lit(held), F.lit(default))
+    return F.coalesce(override, F.lit(held), default if isinstance(default, Column) else F.lit(default))
 
 
 def retrieval_needed(settings: DataFrame) -> Column:
@@ -78,17 +78,18 @@ def draft(text: Column, ratio_high: Column | float) -> Column:
 
 def run_report(chapters: DataFrame, seconds: float | None = None) -> DataFrame:
     """One row of totals for each book over its chapters: idx, text, narration, calls, refine_calls, cache_hit (counts), skipped, warnings,
-    actions, supported, unsupported; refine_calls and what follows may be missing and count as none."""
+    actions, supported, unsupported; refine_calls and what follows may be missing and count as none. A row stands for `chapters` of them, one if there is no such column."""
     for c in ("refine_calls", "warnings", "actions", "supported", "unsupported"):
         chapters = chapters if c in chapters.columns else chapters.withColumn(c, F.lit(0))
     chapters = chapters if "skipped" in chapters.columns else chapters.withColumn("skipped", F.lit(False))
+    chapters = chapters if "chapters" in chapters.columns else chapters.withColumn("chapters", F.lit(1))
     total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0).cast("long"))
     tokens = lambda c, when: F.coalesce(F.sum(F.when(when, token_estimate(F.col(c)).cast("long"))), F.lit(0).cast("long"))
     work, refined = ~F.col("skipped"), F.col("refine_calls") > 0
     calls, hits = total("calls"), total("cache_hit")
     return chapters.groupBy("book_id").agg(
-        F.count("*").alias("chapters_total"),
-        F.count_if(work & (F.length("narration") > 0)).alias("chapters_processed"),
+        total("chapters").alias("chapters_total"),
+        F.coalesce(F.sum(F.when(work & (F.length("narration") > 0), F.col("chapters").cast("long"))), F.lit(0).cast("long")).alias("chapters_processed"),
         F.count_if(F.col("skipped")).alias("chapters_skipped"),
         calls.alias("llm_calls"),
         total("refine_calls").alias("refine_llm_calls"),
@@ -105,3 +106,21 @@ def run_report(chapters: DataFrame, seconds: float | None = None) -> DataFrame:
         F.coalesce(F.max("idx"), F.lit(0)).cast("int").alias("max_chapter_idx"),
         F.lit(seconds).cast("double").alias("runtime_seconds"),
     )
+
+
+def summed_reports(reports: DataFrame) -> DataFrame:
+    """One report a book out of those of several runs."""
+    most = ("max_chapter_idx",)
+    return reports.groupBy("book_id").agg(*[(F.max(c) if c in most else F.sum(c)).alias(c) for c in reports.columns if c != "book_id"])
+
+
+def tier_settings(spark: SparkSession, overrides: Mapping[str, Mapping[str, object]] | None = None, held: Mapping[str, object] | None = None, enabled: bool = True) -> DataFrame:
+    """The tiers' table with settings of their own: a tier's override where there is one (also 0 or False), else its own value. Without
+    tiers (enabled is False) the global settings `held` come before the tiers' values."""
+    table = tier_table(spark)
+    for column in table.columns[1:]:
+        own = F.lit(None)
+        for name, values in (overrides or {}).items():
+            own = F.when(F.col("tier") == name, F.lit(values.get(column))).otherwise(own)
+        table = table.withColumn(column, effective(own.cast(table.schema[column].dataType), None if enabled else (held or {}).get(column), F.col(column)).cast(table.schema[column].dataType))
+    return table

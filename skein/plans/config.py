@@ -26,12 +26,15 @@ class Ingest:
     chapter_regex: str = r"^第[0-9一二三四五六七八九十百千]+章.*$"
     fallback_chars: int = 20_000
     compact: bool = True
+    nfkc: bool = False
     split: Split = field(default_factory=Split)
 
 
 @dataclass(frozen=True)
 class Narration:
+    tiering: bool = True
     tier: str = "medium"
+    tiers: dict[str, dict[str, Any]] = field(default_factory=dict)
     long_every_n: int = 0
     long_min_chars: int = 0
     long_keywords: tuple[str, ...] = ()
@@ -43,6 +46,8 @@ class Narration:
     recent_window: int = 5
     evidence_least: float = 0.18
     evidence_snippets: int = 4
+    in_order: bool = False
+    checkpoint_every: int = 1
 
     def __post_init__(self) -> None:
         if not 0 < self.ratio_low < self.ratio_high < 1:
@@ -51,12 +56,31 @@ class Narration:
             raise ValueError("narration: unknown step_memory or step_size below 1")
 
 
+@dataclass(frozen=True)
+class Summary:
+    """Characters that a prompt of a level may hold; an optional last level tells the story."""
+
+    most_chars: int = 12_000
+    story: bool = True
+
+
+@dataclass(frozen=True)
+class Providers:
+    """Who answers prompts and makes vectors (functions.providers.provider), and seconds that stored answers hold (0: for ever)."""
+
+    generator: str = ""
+    embedder: str = ""
+    answer_ttl: float = 0
+
+
 @dataclass(frozen=True)
 class Config:
     data: str = "data"
     output: str = "output"
     ingest: Ingest = field(default_factory=Ingest)
     narration: Narration = field(default_factory=Narration)
+    providers: Providers = field(default_factory=Providers)
+    summary: Summary = field(default_factory=Summary)
 
 
 def merged(*layers: Mapping[str, Any]) -> dict[str, Any]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.__main__ import main
 from skein.functions.providers import HashingEmbedder, embed_in_batches, service_url, shortened, vectors_of, with_embeddings, with_retries
-from skein.operators.store import Table
+from skein.plans import stored
 from skein.plans import generate
 from skein.plans.config import build, dotenv, load, merged
 from skein.plans.config import Config
@@ -55,15 +55,6 @@ def test_cached_generation(spark):
     assert [r.value for r in new.collect()] == ["A"]
 
 
-def test_narration_falls_back(spark):
-    ch = spark.createDataFrame([(1, "t", "abcdefghij"), (2, "t", "")], "idx int, title string, text string")
-    got = {r.idx: r for r in generate.narrated(ch, 0.5).collect()}
-    assert got[1].narration == "abcde" and got[1].key_events[0].what == "Chapter 1 draft narration generated"
-    assert got[2].narration == "" and got[2].key_events == []
-    asked = generate.narrated(ch, 0.5, upper(), spark.createDataFrame([], "key string, value string"))
-    assert {r.idx: r.narration for r in asked.collect()} == {1: "ABCDEFGHIJ", 2: ""}
-
-
 def test_sources_and_steps(spark):
     rows = spark.createDataFrame([(1, " text ", [("narration", "m"), ("x", " "), ("", "z"), ("late", "l")])], "chapter_id int, text string, memories array<struct<source_type:string,text:string>>")
     got = [tuple(r)[1:] for r in generate.evidence_sources(rows, 3).orderBy("pos").collect()]
@@ -75,7 +66,7 @@ def test_sources_and_steps(spark):
 
 def test_reduction_ends(spark):
     items = spark.createDataFrame([("b", i, "x" * 40) for i in range(10)] + [("c", 0, "y" * 500), ("c", 1, "y" * 500)], "book_id string, idx long, text string")
-    got = generate.reduced(items, 100, lambda t: F.substring(t, 1, 30)).groupBy("book_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("s")).collect()
+    got = generate.reduced(items, 100, lambda d: d.withColumn("text", F.substring("text", 1, 30))).groupBy("book_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("s")).collect()
     assert {r.book_id: r.n for r in got} == {"b": 2, "c": 2}
 
 
@@ -94,21 +85,25 @@ def test_config(tmp_path):
 
 def test_command_line(spark, tmp_path):
     (tmp_path / "b.txt").write_text("第1章 始\n甲乙丙丁\n第2章 续\n戊己庚辛", encoding="utf-8")
+    library = stored.library(spark, f"file://{tmp_path}/data")
     where = ["--data-dir", f"file://{tmp_path}/data", "--output-dir", f"file://{tmp_path}/out"]
     main([*where, "run", f"file://{tmp_path}/b.txt"])
     main([*where, "ingest", f"file://{tmp_path}/b.txt"])
     files = sorted(x.name for x in tmp_path.glob("out/*/*"))
     assert {"001_第1章_始.md", "002_第2章_续.md", "full_story.md"} <= set(files) and not any(x.startswith(".") for x in files)
-    assert Table(spark, f"file://{tmp_path}/data/chapters").read().count() == 2
+    assert library.read("chapters").count() == 2
     assert {"story.md", "characters.md", "timeline.md", "book_summary.md", "world_state.json"} <= set(files)
     main([*where, "storytell", "--from-chapter", "2", "--to-chapter", "2", "--no-export"])
-    assert Table(spark, f"file://{tmp_path}/data/narrations").read().count() == 2  # nothing is narrated twice
+    assert library.read("narrations").count() == 2  # nothing is narrated twice
     (tmp_path / "b.txt").write_text("第1章 始\n甲乙丙丁\n第2章 续\n戊己庚辛\n第3章 新\n天地玄黄", encoding="utf-8")
     main([*where, "ingest", f"file://{tmp_path}/b.txt"])
     main([*where, "embed"])
     main([*where, "storytell", "--from-chapter", "3"])
-    assert Table(spark, f"file://{tmp_path}/data/narrations").read().count() == 3
-    assert Table(spark, f"file://{tmp_path}/data/passages").read().count() == Table(spark, f"file://{tmp_path}/data/chunks").read().count()
+    assert library.read("narrations").count() == 3
+    kinds = {r.source_type: r.n for r in library.read("passages").groupBy("source_type").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"chunk": library.read("chunks").count(), "narration": 2}
+    main([*where, "summarize"])
+    assert library.read("summaries").where("summary_type = 'story'").count() == 2
     main([*where, "export", "--mode", "legacy"])
 
 
