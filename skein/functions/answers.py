@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import clean_json, text_or_empty
+from .text import clean_json, once, text_or_empty
 
 #: What JSON holds for a type of a schema: the start of its name as a variant, and what to call it.
 KINDS = {T.StringType: (["STRING"], "text"), T.StructType: (["OBJECT"], "an object"), T.MapType: (["OBJECT"], "an object"), T.BooleanType: (["BOOLEAN"], "true or false")}
@@ -43,33 +43,54 @@ def field_fault(value: Column, field: T.StructField, required: bool) -> Column:
     return F.when(none, missing).when(~fits, F.lit(f"{field.name} is not {name}"))
 
 
-def faults(answer: Column, schema: str | T.StructType, required: Sequence[str] = ()) -> Column:
-    """All that is wrong with an answer, as an array in the schema's order; empty where it fits."""
-    value = F.try_parse_json(clean_json(answer))
+def faults_of(answer: Column, value: Column, fields: T.StructType, required: Sequence[str]) -> Column:
+    """faults() of an answer and its parsed value."""
     none = F.lit(None).cast("string")
     whole = F.when(text_or_empty(answer) == "", "empty").when(value.isNull(), "no JSON").when(~F.schema_of_variant(value).startswith("OBJECT"), "not an object")
-    fields = [F.when(whole.isNull(), field_fault(value, f, f.name in required)).otherwise(none) for f in struct_type(schema).fields]
-    return F.filter(F.array(whole, *fields), lambda x: x.isNotNull())
+    return once(whole, lambda w: F.filter(F.array(w, *[F.when(w.isNull(), field_fault(value, f, f.name in required)).otherwise(none) for f in fields.fields]), lambda x: x.isNotNull()))
+
+
+def faults(answer: Column, schema: str | T.StructType, required: Sequence[str] = ()) -> Column:
+    """All that is wrong with an answer, as an array in the schema's order; empty where it fits."""
+    return once(F.try_parse_json(clean_json(answer)), lambda value: faults_of(answer, value, struct_type(schema), required))
+
+
+def reason(wrong: Column) -> Column:
+    return F.nullif(F.array_join(wrong, "; "), F.lit(""))
 
 
 def checked(answer: Column, schema: str | T.StructType, required: Sequence[str] = ()) -> Column:
     """Struct of value and reason: the answer under the schema, or what is wrong with it. Fences, text around an object, control characters
     and trailing commas are no fault; a missing or null field is one only if it is required."""
-    wrong = faults(answer, schema, required)
-    return F.struct(F.when(F.size(wrong) == 0, F.from_json(clean_json(answer), struct_type(schema))).alias("value"), F.nullif(F.array_join(wrong, "; "), F.lit("")).alias("reason"))
+    fields = struct_type(schema)
+
+    def read(clean: Column) -> Column:
+        wrong = once(F.try_parse_json(clean), lambda value: faults_of(answer, value, fields, required))
+        return once(wrong, lambda w: F.struct(F.when(F.size(w) == 0, F.from_json(clean, fields)).alias("value"), reason(w).alias("reason")))
+
+    return once(clean_json(answer), read)
 
 
 def best_effort(answer: Column, schema: str | T.StructType, main: str) -> Column:
     """Struct of value, source and reason, by four ways in turn: `answer`, all fields fit; `partial`, the main field is text and
     fields that don't fit are null; `text`, the answer holds no object and is the main field itself; `none`, there is nothing to use."""
     fields = struct_type(schema)
-    clean = clean_json(answer)
-    value = F.try_parse_json(clean)
-    wrong = faults(answer, fields, [main])
-    # misfits are left out of the text that is parsed, so that one wrong type does not spoil its row
-    one = lambda f: F.when(field_fault(value, f, False).isNull(), F.from_json(clean, T.StructType([f]))[f.name]).alias(f.name)
-    spoken = field_fault(value, fields[main], True).isNull() & (text_or_empty(F.try_variant_get(value, f"$.{main}", "string")) != "")
-    plain = F.struct(*[(F.trim(answer) if f.name == main else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields.fields])
-    source = F.when((F.size(wrong) == 0) & spoken, "answer").when(spoken, "partial").when((text_or_empty(answer) != "") & ~F.contains(answer, F.lit("{")), "text").otherwise("none")
-    got = F.when(source == "answer", F.from_json(clean, fields)).when(source == "partial", F.struct(*[one(f) for f in fields.fields])).when(source == "text", plain)
-    return F.struct(got.alias("value"), source.alias("source"), F.nullif(F.array_join(wrong, "; "), F.lit("")).alias("reason"))
+
+    def read(clean: Column, value: Column, wrong: Column) -> Column:
+        # a field that does not fit is read on its own, so that one wrong type does not spoil its row
+        one = lambda f: F.when(field_fault(value, f, False).isNull(), F.from_json(clean, T.StructType([f]))[f.name]).alias(f.name)
+        spoken = field_fault(value, fields[main], True).isNull() & (text_or_empty(F.try_variant_get(value, f"$.{main}", "string")) != "")
+        plain = F.struct(*[(F.trim(answer) if f.name == main else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields.fields])
+        alone = (text_or_empty(answer) != "") & ~F.contains(answer, F.lit("{"))
+        source = once(spoken, lambda s: F.when(s & (F.size(wrong) == 0), "answer").when(s, "partial").when(alone, "text").otherwise("none"))
+
+        def got(source: Column) -> Column:
+            held = F.when(source == "answer", F.from_json(clean, fields)).when(source == "partial", F.struct(*[one(f) for f in fields.fields])).when(source == "text", plain)
+            return F.struct(held.alias("value"), source.alias("source"), reason(wrong).alias("reason"))
+
+        return once(source, got)
+
+    def parsed(clean: Column) -> Column:
+        return once(F.try_parse_json(clean), lambda value: once(faults_of(answer, value, fields, [main]), lambda wrong: read(clean, value, wrong)))
+
+    return once(clean_json(answer), parsed)

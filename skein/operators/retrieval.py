@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SEARCH_TOKEN, matches
+from ..functions.text import BETWEEN_TOKENS, runs
 
 K1, B = 1.2, 0.75
 
@@ -17,7 +17,7 @@ def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = No
     """key, keep, term, tf, size: the inverted index, or its part for `terms`; size is the number of tokens of the document.
 
     Rows are documents, one a key. The whole index needs no shuffle: a row's sorted tokens are counted by where each begins."""
-    tokens = matches(F.lower(F.concat_ws(" ", *text)), SEARCH_TOKEN)
+    tokens = runs(F.lower(F.concat_ws(" ", *text)), BETWEEN_TOKENS)
     if terms is None:
         held = docs.select(key, *keep, F.sort_array(tokens).alias("tokens")).select(key, *keep, "tokens", F.size("tokens").alias("n")).where("n > 0")
         new = lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", F.greatest(i - 1, F.lit(0))))
@@ -31,7 +31,7 @@ def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = No
 
 
 def document_sizes(docs: DataFrame, key: str, *text: str, keep: Sequence[str] = ()) -> DataFrame:
-    return docs.select(key, *keep, F.regexp_count(F.lower(F.concat_ws(" ", *text)), F.lit(SEARCH_TOKEN)).cast("long").alias("size"))
+    return docs.select(key, *keep, F.size(runs(F.lower(F.concat_ws(" ", *text)), BETWEEN_TOKENS)).cast("long").alias("size"))
 
 
 class Index:
@@ -86,12 +86,13 @@ def knn(corpus: DataFrame | None, queries: DataFrame, key: str, vector: str, lim
     """The nearest rows of each query (query_id, query_vector, by) and kind by squared Euclidean distance; a corpus of None has none.
 
     `by` columns must agree and make it an equality join. Without them queries are a stated set that meets all rows, block by block
-    (a nested loop over the smaller side). The window keeps `limit` rows a query before its shuffle."""
+    (a nested loop over the smaller side). The window keeps `limit` rows a query before its shuffle. Rows and queries without a vector, or
+    with vectors of different lengths, don't meet."""
     if corpus is None:
         return queries.where("false").select("query_id", *[F.lit(None).cast("long").alias(c) for c in (key, *keep)], F.lit(None).cast("double").alias("distance"), F.lit(0).alias("rank"))
-    rows, asked = corpus.select(key, vector, *keep, *[b for b in by if b not in keep]), queries.select("query_id", "query_vector", *by)
+    rows, asked = corpus.where(F.col(vector).isNotNull()).select(key, vector, *keep, *[b for b in by if b not in keep]), queries.select("query_id", "query_vector", *by)
     pairs = rows.join(asked, list(by)) if by else rows.crossJoin(asked)
-    scored = pairs.select("query_id", key, *keep, squared_distance(F.col(vector), F.col("query_vector")).alias("distance"))
+    scored = pairs.where(F.size(vector) == F.size("query_vector")).select("query_id", key, *keep, squared_distance(F.col(vector), F.col("query_vector")).alias("distance"))
     ranks = W.partitionBy("query_id", *([kind] if kind else [])).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= limit)
 

@@ -19,6 +19,12 @@ def chapters(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), "idx", F.concat(F.lit("doc "), "doc_id").alias("title"), "text")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """chapters() without their place in the book, which costs two shuffles."""
+    docs = table(spark, folder, "documents")
+    return docs.select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), F.concat(F.lit("doc "), "doc_id").alias("title"), "text")
+
+
 CHAPTERS = """chapters AS (SELECT doc_id AS chapter_id, source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS idx,
   'doc ' || doc_id AS title, text FROM documents)"""
 

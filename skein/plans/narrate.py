@@ -86,7 +86,7 @@ def with_memories(chapters: DataFrame, every: DataFrame, embedder: Embedder | No
     asked = chapters.withColumn("query_text", generate.query_text(F.col("idx"), F.col("entities"), F.col("locations"), F.col("items"), F.col("text")))
     asked = generate.step_queries(asked, mode, size)
     terms = keyword_terms(F.col("query_text"), F.concat("entities", "locations", "items")).alias("terms")
-    asked = with_embeddings(asked.select("book_id", F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), "query_text", terms), "query_text", embedder, "query_vector")
+    asked = with_embeddings(asked.select("book_id", F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), "query_text", terms), "query_text", embedder, "query_vector", required=False)
     most = max(row[3] for row in tiers.TIERS)
     hits = generate.memories(generate.hybrid(index[0], asked.drop("query_text"), index[1], most), most)
     taken = hits.join(chapters.select(F.col("chapter_id").alias("query_id"), "memory_top_k"), "query_id").where("rank <= memory_top_k")
@@ -111,11 +111,11 @@ def steps_of(chapters: DataFrame, size: int) -> DataFrame:
     for c in columns:
         own[c] = last[c] if c in ("chapter_id", "idx", "title", "prompt_version", "input_hash") else first[c]
     own["text"] = F.array_join(F.transform("c", lambda x: x["text"]), "\n\n")
-    for c in NAMED:
-        own[c] = F.array_distinct(F.filter(F.flatten(F.transform("c", lambda x, c=c: F.transform(x[c], strip))), lambda x: x != ""))
+    names = lambda c: F.filter(F.flatten(F.transform("c", lambda x: F.transform(x[c], strip))), lambda x: x != "")
+    own |= {c: F.array_distinct(names(c)) for c in NAMED}
     own["memories"] = merged_in_order(F.transform("c", lambda x: x["memories"]), MEMORY, lambda m: F.struct(m["source_id"], m["chapter_idx"], m["source_type"]))
-    for c in ("entity_calls", "entity_hits"):
-        own[c] = F.aggregate("c", F.lit(0), lambda n, x, c=c: n + x[c])
+    total = lambda c: F.aggregate("c", F.lit(0), lambda n, x: n + x[c])
+    own |= {c: total(c) for c in ("entity_calls", "entity_hits")}
     told = lambda x: F.struct(x["idx"].alias("chapter_idx"), x["title"].alias("chapter_title"), x["text"].alias("chapter_text"), x["memories"].alias("memories"), F.array(x["ratio_low"], x["ratio_high"]).alias("narration_ratio"), x["include_key_dialogue"].alias("include_key_dialogue"), x["include_inner_thoughts"].alias("include_inner_thoughts"))
     return rows.select("book_id", *[own[c].alias(c) for c in columns], first["idx"].alias("first_idx"), last["idx"].alias("last_idx"), F.size("c").alias("n_chapters"), F.to_json(F.transform("c", told)).alias("told"))
 

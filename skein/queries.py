@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.text import ENTITY, SEARCH_TOKEN, clean_json, content_hash, keyword_terms, match_query, matches, normalised, token_estimate
+from .functions.text import clean_json, content_hash, keyword_terms, match_query, normalised, token_estimate
 from .operators import claims, export, ingest, retrieval, state, store, tiers
 from .operators.lineage import own_folder
-from .plans.adapters import CHAPTERS, CHARACTERS, CHUNKS, DAYS, NARRATIONS, all_chunks, chapters, characters, days, narrations, stripped, table
+from .plans.adapters import CHAPTERS, CHARACTERS, CHUNKS, DAYS, NARRATIONS, all_chunks, chapters, characters, days, narrations, stripped, table, texts
 from .sources.html import with_markdown
 from .sources.text_files import quality_score
 
@@ -65,7 +65,7 @@ def ingest_chunks(spark, folder):
 
 @query(f"WITH {CHAPTERS} SELECT chapter_id, sha256(text) AS book_hash, sha256(book_id || '::' || title || '::' || text) AS chapter_hash FROM chapters")
 def content_hashes(spark, folder):
-    return chapters(spark, folder).select("chapter_id", content_hash("text").alias("book_hash"), ingest.chapter_hash(F.col("book_id"), F.col("title"), F.col("text")).alias("chapter_hash"))
+    return texts(spark, folder).select("chapter_id", content_hash("text").alias("book_hash"), ingest.chapter_hash(F.col("book_id"), F.col("title"), F.col("text")).alias("chapter_hash"))
 
 
 @query("""WITH hashed AS (SELECT doc_id, sha256(text) AS content_hash FROM documents), old AS (SELECT content_hash FROM hashed WHERE doc_id % 3 = 0)
@@ -313,11 +313,14 @@ def draft_narration(spark, folder):
     return narrations(spark, folder).select("narration_id", "chapter_id", "narration_text", F.concat(F.lit("Chapter "), "chapter_idx", F.lit(" draft narration generated")).alias("what"))
 
 
-@query("""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,8}') AS t, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]{2,8}')) AS han FROM documents)
-SELECT doc_id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 16), ',') AS entities, CAST(han AS INTEGER) AS han FROM r""")
+@query("""WITH r AS (SELECT doc_id, regexp_extract_all(translate(text, 'abcdefghijklmnop', '赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨'), '[\\x{4e00}-\\x{9fff}]{2,8}') AS t FROM documents)
+SELECT doc_id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(list_slice(t, 1, i - 1), x) IS NULL OR list_position(list_slice(t, 1, i - 1), x) = 0), 1, 16), ',') AS entities FROM r""")
 def entity_fallback(spark, folder):
-    names = F.slice(F.array_distinct(matches(F.col("text"), "[A-Z][a-z]{2,8}")), 1, 16)
-    return table(spark, folder, "documents").select("doc_id", F.array_join(names, ",").alias("entities"), F.size(matches(F.col("text"), ENTITY)).alias("han"))
+    """Names found in texts; the tables hold no such script, so half of the Latin letters are read as family names."""
+    from .plans.generate import fallback_entities
+
+    text = F.translate("text", "abcdefghijklmnop", "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨")
+    return table(spark, folder, "documents").select("doc_id", F.array_join(fallback_entities(text), ",").alias("entities"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(length(text) // 2 AS INTEGER)) END AS tokens, sha256('narration::model::v1::' || sha256(text) || '::0.3') AS cache_key FROM documents")
@@ -355,6 +358,80 @@ def narration_run(spark, folder):
     return run.narrations.join(named, "chapter_id")
 
 
+TOLD = f"""WITH {CHAPTERS}, c AS (SELECT *, CAST((idx - 1) // 5 * 5 + 1 AS INTEGER) AS step, {TIER} AS tier FROM chapters),
+h AS (SELECT *, sha256(chapter_id || '::' || idx || '::' || text || '::' || tier || '::quoting') AS h FROM c),
+s AS (SELECT book_id, step, max(idx) AS chapter_idx, max_by(chapter_id, idx) AS chapter_id, max_by(title, idx) AS title, min_by(text, idx) AS body, min_by(tier, idx) AS tier, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS whole, sha256(string_agg(h, '::' ORDER BY idx)) AS input_hash FROM h GROUP BY ALL),
+told AS (SELECT *, CASE WHEN {stripped("substr(body, 1, 60)")} = '' THEN {stripped("substr(" + stripped("whole") + ", 1, greatest(1, CAST(floor(length(" + stripped("whole") + ") * CASE tier WHEN 'long' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS INTEGER)))")} ELSE {stripped("substr(body, 1, 60)")} END AS narration_text FROM s),
+proposed AS (SELECT *, {stripped("substr(body, 11, 30)")} AS what FROM told WHERE length(body) >= 40 AND {stripped("substr(body, 1, 60)")} <> ''),
+runs AS (SELECT *, (step - 1) // 5 - row_number() OVER (PARTITION BY book_id, what ORDER BY step) AS island FROM proposed WHERE what <> ''),
+kept AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY book_id, what, island ORDER BY step) % 2 = 1)"""
+
+
+def told_steps(spark: SparkSession, folder: str):
+    from .functions.providers import QuotingGenerator
+    from .plans.narrate import narrate
+
+    return narrate(chapters(spark, folder), RULE, QuotingGenerator(), step_size=5)
+
+
+@query(f"""{TOLD} SELECT t.book_id, t.chapter_id, t.chapter_idx, t.title, t.tier, t.narration_text, 'step_v1' AS prompt_version, t.input_hash, t.step AS first_idx, t.chapter_idx AS last_idx, CAST(k.chapter_id IS NOT NULL AS INTEGER) AS events FROM told t LEFT JOIN kept k ON k.chapter_id = t.chapter_id""")
+def step_narration_run(spark, folder):
+    """Steps of five chapters, told as one by a generator that quotes: narrations, ranges and events of their stored outputs. An event that repeats
+    the step before it is dropped."""
+    run = told_steps(spark, folder)
+    payload = F.from_json("payload_json", "step_start_chapter_idx int, step_end_chapter_idx int, key_events array<struct<what:string>>")
+    parsed = run.outputs.select("chapter_id", payload.alias("p")).select("chapter_id", F.col("p.step_start_chapter_idx").alias("first_idx"), F.col("p.step_end_chapter_idx").alias("last_idx"), F.size("p.key_events").alias("events"))
+    return run.narrations.join(parsed, "chapter_id")
+
+
+@query(f"""{TOLD}, u AS (SELECT book_id, chapter_idx, {stripped("substr(body, 1, 3)")} AS name, {stripped("substr(body, 21, 10)")} AS after, what AS evidence FROM proposed), i AS (SELECT book_id, chapter_idx, substr(body, 6, 4) AS name, substr(body, 1, 3) AS owner, substr(body, 11, 30) AS description FROM proposed),
+w AS (SELECT book_id, chapter_idx, 0 AS stage, 'event:' || chapter_idx || ':' || substr(sha256(what), 1, 12) AS fact_key, what AS fact_value, what AS excerpt FROM kept
+  UNION ALL SELECT book_id, max(chapter_idx), 1, 'character:' || name || ':status', max_by(after, chapter_idx) FILTER (WHERE after <> ''), max_by(evidence, chapter_idx) FROM u WHERE name <> '' GROUP BY book_id, name
+  UNION ALL SELECT book_id, chapter_idx, 2, 'item:' || name || ':owner', owner, CASE WHEN {stripped("description")} = '' THEN owner ELSE {stripped("description")} END FROM i WHERE {stripped("name")} <> '' AND {stripped("owner")} <> '')
+SELECT book_id, fact_key, coalesce(fact_value, 'active') AS fact_value, CAST(chapter_idx AS INTEGER) AS source_chapter_idx, substr(excerpt, 1, 300) AS source_excerpt FROM w QUALIFY row_number() OVER (PARTITION BY book_id, fact_key ORDER BY chapter_idx DESC, stage DESC) = 1""")
+def step_narration_facts(spark, folder):
+    """The facts that the same run leaves, after consistency and evidence."""
+    return told_steps(spark, folder).world_facts.select("book_id", "fact_key", "fact_value", "source_chapter_idx", "source_excerpt")
+
+
+ANSWERS = """a AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(event_id % 6 AS INTEGER) AS kind FROM events)"""
+
+
+@query(f"""WITH {ANSWERS} SELECT event_id, CASE kind WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 4 THEN event_type || ' in plain words' ELSE event_type END AS narration, CASE WHEN kind <= 1 THEN k END AS k, CASE WHEN kind = 0 THEN 1 END AS n_events,
+CASE kind WHEN 0 THEN 'answer' WHEN 1 THEN 'answer' WHEN 2 THEN 'partial' WHEN 4 THEN 'text' ELSE 'none' END AS source, CASE kind WHEN 2 THEN 'key_events is not a list of an object; k is not a whole number' WHEN 3 THEN 'narration is missing' WHEN 4 THEN 'no JSON' WHEN 5 THEN 'empty' END AS reason FROM a""")
+def structured_answers(spark, folder):
+    """Answers of all kinds read under a schema: whole, in a fence or amid text, with wrong types, without the main field, plain, empty."""
+    from .functions.answers import best_effort
+
+    e = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    kind, q = F.col("event_id") % 6, F.to_json(F.struct(F.col("event_type").alias("narration")))
+    inner = F.substr(q, F.lit(2), F.length(q) - 2)
+    whole = F.concat(F.lit("{"), inner, F.lit(',"key_events":[{"what":"x"}],"k":'), "k", F.lit(",}"))
+    answers = F.when(kind == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Here: {"), inner, F.lit(',"k":'), "k", F.lit("} done")))
+    answers = answers.when(kind == 2, F.concat(F.lit("{"), inner, F.lit(',"key_events":"none","k":"'), "k", F.lit('"}'))).when(kind == 3, F.lit('{"key_events":[]}')).when(kind == 4, F.concat("event_type", F.lit(" in plain words"))).otherwise("")
+    b = best_effort(answers, "narration string, key_events array<struct<what:string>>, k int", "narration")
+    return e.select("event_id", b.alias("b")).select("event_id", "b.value.narration", "b.value.k", F.size("b.value.key_events").alias("n_events"), "b.source", "b.reason").withColumn("n_events", F.when(F.col("n_events") >= 0, F.col("n_events")))
+
+
+LEVELS = f"""WITH RECURSIVE {CHUNKS}, low AS (SELECT book_id, chapter_id, chapter_idx, idx, {stripped("substr(chunk_text, 1, 120)")} AS content FROM chunks),
+ch AS (SELECT book_id, chapter_id, chapter_idx, {stripped("substr(string_agg(content, chr(10) ORDER BY idx), 1, 120)")} AS content FROM low GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx) AS k, sum(length(content)) OVER (PARTITION BY book_id) > 2000 AND count(*) OVER (PARTITION BY book_id) > 1 AS large FROM ch),
+b(book_id, k, bin, fill) AS (SELECT book_id, k, 1, CAST(length(content) AS BIGINT) FROM n WHERE k = 1 AND large UNION ALL SELECT n.book_id, n.k, CASE WHEN fill > 0 AND fill + length(content) > 2000 THEN bin + 1 ELSE bin END, CASE WHEN fill > 0 AND fill + length(content) > 2000 THEN length(content) ELSE fill + length(content) END FROM b JOIN n ON n.book_id = b.book_id AND n.k = b.k + 1),
+f AS (SELECT book_id, bin AS k, CASE WHEN count(*) = 1 THEN min(content) ELSE {stripped("substr(string_agg(content, chr(10) ORDER BY k), 1, 120)")} END AS content FROM n JOIN b USING (book_id, k) GROUP BY book_id, bin),
+items AS (SELECT book_id, k, content FROM n WHERE NOT large UNION ALL SELECT * FROM f), whole AS (SELECT book_id, {stripped("substr(string_agg(content, chr(10) ORDER BY k), 1, 120)")} AS content FROM items GROUP BY 1)"""
+
+
+@query(f"""{LEVELS} SELECT book_id, 'chunk' AS scope, chapter_id || ':' || idx AS ref_id, 'chunk_summary' AS summary_type, content FROM low UNION ALL SELECT book_id, 'chapter', CAST(chapter_id AS VARCHAR), 'chapter_summary', content FROM ch
+UNION ALL SELECT book_id, 'book', book_id, t, content FROM whole, (VALUES ('book_summary'), ('story')) v(t)""")
+def summary_levels(spark, folder):
+    """Chunk, chapter, book and story summaries by their first characters; chapters of a book are folded until 2,000 characters hold them."""
+    from .functions.providers import LeadingGenerator
+    from .plans.summarize import summarised
+
+    rows, _ = summarised(all_chunks(spark, folder).select("book_id", "chapter_id", "chapter_idx", "idx", "chunk_text"), LeadingGenerator(), most=2000)
+    return rows.select("book_id", "scope", "ref_id", "summary_type", "content")
+
+
 # claims
 
 
@@ -567,17 +644,17 @@ def html_to_text(spark, folder):
 
 
 @query(f"""{FACTS}, {CAST}, titles AS (SELECT book_id, 'user ' || book_id AS title FROM (SELECT DISTINCT book_id FROM days)), ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY fact_key) AS n FROM facts)
-SELECT t.book_id, t.title AS book_title, CAST(0 AS INTEGER) AS narrations, (SELECT string_agg(name, ',' ORDER BY name) FROM people p WHERE p.book_id = t.book_id) AS characters, (SELECT string_agg(name || '=' || coalesce(owner, ''), ',' ORDER BY name) FROM things x WHERE x.book_id = t.book_id) AS owners,
+SELECT t.book_id, t.title AS book_title, (SELECT string_agg(chapter_idx || ':' || t, ',' ORDER BY chapter_idx) FROM (SELECT chapter_idx, count(*) || ' events' AS t FROM days WHERE days.book_id = t.book_id GROUP BY 1)) AS narrations, (SELECT string_agg(name, ',' ORDER BY name) FROM people p WHERE p.book_id = t.book_id) AS characters, (SELECT string_agg(name || '=' || coalesce(owner, ''), ',' ORDER BY name) FROM things x WHERE x.book_id = t.book_id) AS owners,
 (SELECT CAST(count(*) AS INTEGER) FROM e WHERE e.book_id = t.book_id) AS plot_events, (SELECT string_agg(fact_key || '=' || fact_value, ',' ORDER BY fact_key) FROM ranked r WHERE r.book_id = t.book_id AND n <= 100) AS facts FROM titles t""")
 def world_state_json(spark, folder):
     """world_state.json of each book, read back from its text."""
     books = days(spark, folder).select("book_id").distinct().withColumn("title", F.concat(F.lit("user "), "book_id"))
-    none = spark.createDataFrame([], "book_id long, chapter_idx int, narration_text string")
-    written = export.world_state(books, 100, narrations=none, characters=cast_states(spark, folder), items=state.item_states(items(spark, folder)), plot_events=state.plot_events(events(spark, folder)), world_facts=facts(spark, folder))
-    schema = "book_id long, book_title string, narrations array<struct<chapter_idx:int>>, characters array<struct<name:string>>, items array<struct<name:string,owner_name:string>>, plot_events array<struct<pos:long>>, world_facts array<struct<fact_key:string,fact_value:string>>"
+    told = days(spark, folder).groupBy("book_id", "chapter_idx").agg(F.concat(F.count("*"), F.lit(" events")).alias("narration_text"))
+    written = export.world_state(books, 100, narrations=told, characters=cast_states(spark, folder), items=state.item_states(items(spark, folder)), plot_events=state.plot_events(events(spark, folder)), world_facts=facts(spark, folder))
+    schema = "book_id long, book_title string, narrations array<struct<chapter_idx:int,narration_text:string>>, characters array<struct<name:string>>, items array<struct<name:string,owner_name:string>>, plot_events array<struct<pos:long>>, world_facts array<struct<fact_key:string,fact_value:string>>"
     x = written.select(F.from_json("content", schema).alias("x")).select("x.*")
     pair = lambda key, value: lambda r: F.concat(r[key], F.lit("="), F.coalesce(r[value], F.lit("")))
-    return x.select("book_id", "book_title", F.size("narrations").alias("narrations"), F.array_join("characters.name", ",").alias("characters"), F.array_join(F.transform("items", pair("name", "owner_name")), ",").alias("owners"), F.size("plot_events").alias("plot_events"), F.array_join(F.transform("world_facts", pair("fact_key", "fact_value")), ",").alias("facts"))
+    return x.select("book_id", "book_title", F.array_join(F.transform("narrations", lambda r: F.concat(r["chapter_idx"], F.lit(":"), r["narration_text"])), ",").alias("narrations"), F.array_join("characters.name", ",").alias("characters"), F.array_join(F.transform("items", pair("name", "owner_name")), ",").alias("owners"), F.size("plot_events").alias("plot_events"), F.array_join(F.transform("world_facts", pair("fact_key", "fact_value")), ",").alias("facts"))
 
 
 QUERIES["keyword_terms"], SQL["keyword_terms"] = QUERIES.pop("keyword_terms_query"), SQL.pop("keyword_terms_query")
@@ -605,11 +682,22 @@ def cache_put(spark, folder):
     return store.upsert(held, rows.where("late"), ["key"], ["event_id"]).select("key", "value")
 
 
-@query(f"WITH {CHUNKS}, tok AS (SELECT book_id, chunk_id, {TOKENS} AS t FROM chunks) SELECT book_id, count(DISTINCT chunk_id) AS documents, CAST(sum(len(t)) AS BIGINT) AS tokens FROM tok GROUP BY 1")
+@query(f"""WITH {CHUNKS}, tok AS (SELECT book_id, chunk_id, {TOKENS} AS t FROM chunks WHERE book_id <> (SELECT min(book_id) FROM chunks) OR chapter_id % 2 = 0), each AS (SELECT book_id, chunk_id, unnest(t) AS term FROM tok),
+post AS (SELECT book_id, chunk_id, term, count(*) AS tf FROM each GROUP BY ALL) SELECT book_id, count(DISTINCT chunk_id) AS documents, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM post GROUP BY 1""")
 def index_rebuild(spark, folder):
-    c = all_chunks(spark, folder)
-    sizes = retrieval.document_sizes(c, "chunk_id", "title", "chunk_text")
-    return c.select("book_id", "chunk_id").join(sizes, "chunk_id").groupBy("book_id").agg(F.count("*").alias("documents"), F.sum("size").alias("tokens"))
+    """The stored index of all books after one book has lost every other chapter: only that book's part is written again."""
+    from .functions.providers import HashingEmbedder
+    from .plans import stored
+
+    tables = stored.library(spark, own_folder(spark))
+    chunks = all_chunks(spark, folder).select("book_id", F.col("chapter_id").cast("string").alias("chapter_hash"), "chapter_id", "chapter_idx", "title", "idx", "chunk_text")
+    tables.commit(replace={"chunks": chunks})
+    stored.embed(tables, HashingEmbedder(8))
+    first = tables.read("chunks").agg(F.min("book_id")).first()[0]
+    tables.commit(replace={"chunks": tables.read("chunks").where((F.col("book_id") != first) | (F.col("chapter_id") % 2 == 0))})
+    stored.embed(tables, HashingEmbedder(8))
+    rows = tables.read("postings")
+    return rows.groupBy("book_id").agg(F.countDistinct("source_id").alias("documents"), F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term").alias("terms"))
 
 
 @query(f"WITH {CHARACTERS} SELECT book_id, canonical_name FROM characters WHERE canonical_name IN ('Hero1', 'Hero5')")
@@ -658,17 +746,17 @@ def evidence_lines(spark, folder):
 
 @query(f"WITH {CHAPTERS} SELECT book_id, '# ' || CASE WHEN book_id = 'src0' THEN '(未命名)' ELSE book_id END || chr(10) || chr(10) || count(*) || ' chapters' || chr(10) AS content, '# 说书稿' || chr(10) || chr(10) || CASE WHEN count(*) > 9 THEN 'text' ELSE '暂无说书稿数据。' END || chr(10) AS story FROM chapters GROUP BY 1")
 def export_book_summary(spark, folder):
-    n = chapters(spark, folder).groupBy("book_id").agg(F.count("*").alias("n"))
+    n = texts(spark, folder).groupBy("book_id").agg(F.count("*").alias("n"))
     title = F.when(F.col("book_id") != "src0", F.col("book_id"))
     return n.select("book_id", export.book_summary(title, F.concat("n", F.lit(" chapters"))).alias("content"), export.story(F.when(F.col("n") > 9, "text")).alias("story"))
 
 
 KEYWORDS = f"""list_transform(regexp_extract_all('chapter_idx=' || idx || chr(10) || 'entities=' || array_to_string(list_slice(list_filter(han, lambda x, i: list_position(han, x) = i), 1, 16), ', ') || chr(10) || 'locations=' || chr(10) || 'items=' || chr(10) || substr(text, 1, 2000), '[\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9_]{{2,20}}'), lambda t: trim(t))"""
 HYBRID = f"""WITH {NARRATIONS}, {CHUNKS.removeprefix(CHAPTERS + ", ")},
-passages AS (SELECT book_id, 'chunk' AS source_type, chunk_id AS source_id, chapter_idx, title, chunk_text AS text, (chapter_id * 7 + idx) % 500 AS v FROM chunks
-  UNION ALL SELECT book_id, 'narration', narration_id, chapter_idx, title, narration_text, (chapter_id * 7 + 3) % 500 FROM (SELECT * FROM narrations QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY created_at DESC) = 1)),
+passages AS (SELECT book_id, 'chunk' AS source_type, chunk_id AS source_id, chapter_idx, title, chunk_text AS text, (chapter_id * 7 + idx) % (SELECT count(*) FROM embeddings) AS v FROM chunks
+  UNION ALL SELECT book_id, 'narration', narration_id, chapter_idx, title, narration_text, (chapter_id * 7 + 3) % (SELECT count(*) FROM embeddings) FROM (SELECT * FROM narrations QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY created_at DESC) = 1)),
 raw AS (SELECT *, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}') AS han FROM chapters WHERE chapter_id % 100 = 0), keys AS (SELECT *, list_filter({KEYWORDS}, lambda t: t <> '') AS t FROM raw),
-asked AS (SELECT book_id, chapter_id AS query_id, idx AS current_idx, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 8) AS terms, (chapter_id * 7 + 5) % 500 AS v FROM keys),
+asked AS (SELECT book_id, chapter_id AS query_id, idx AS current_idx, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 8) AS terms, (chapter_id * 7 + 5) % (SELECT count(*) FROM embeddings) AS v FROM keys),
 pair AS (SELECT a.query_id, a.current_idx, p.source_type, p.source_id, p.chapter_idx, {DISTANCE} AS distance FROM asked a JOIN passages p ON p.book_id = a.book_id JOIN embeddings q ON q.vec_id = a.v JOIN embeddings e ON e.vec_id = p.v),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY distance, source_id) AS rank FROM pair QUALIFY rank <= CASE source_type WHEN 'chunk' THEN 24 ELSE 16 END),
 tok AS (SELECT *, regexp_extract_all(lower(title || ' ' || text), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM passages), stat AS (SELECT source_type, count(*) AS n, avg(len(tokens)) AS mean FROM tok GROUP BY 1),
@@ -684,22 +772,47 @@ t AS (SELECT *, 0.7::DOUBLE * v + (1 - 0.7::DOUBLE) * k + 0.2::DOUBLE * (1.0::DO
 best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS INTEGER) AS rank FROM t QUALIFY rank <= 8)"""
 
 
-@query(f"{HYBRID} SELECT b.query_id, b.source_type, b.source_id, b.chapter_idx, round(b.score, 6) AS score, b.rank, p.title AS chapter_title, substr(p.text, 1, 800) AS text FROM best b JOIN passages p ON p.source_type = b.source_type AND p.source_id = b.source_id")
-def hybrid_fusion(spark, folder):
-    """Chunks and narrations with stored vectors, indexed by book; the chapters whose id is divisible by 100 ask their own book, with their causal bound."""
+BEST = "SELECT b.query_id, b.source_type, b.source_id, b.chapter_idx, round(b.score, 6) AS score, b.rank, p.title AS chapter_title, substr(p.text, 1, 800) AS text FROM best b JOIN passages p ON p.source_type = b.source_type AND p.source_id = b.source_id"
+
+
+def hybrid_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Passages and queries: chunks and narrations take the stored vectors in turn, and so do the chapters whose id is divisible by 100, which
+    ask their own book with their causal bound."""
     from .functions.text import keyword_terms as keywords
-    from .plans.generate import assets, fallback_entities, hybrid, query_text
+    from .plans.generate import fallback_entities, query_text
 
-    c = all_chunks(spark, folder).select("book_id", F.lit("chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"), ((F.col("chapter_id") * 7 + F.col("idx")) % 500).alias("vec_id"))
-    n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"]).select("book_id", F.lit("narration").alias("source_type"), F.col("narration_id").alias("source_id"), "chapter_idx", "title", F.col("narration_text").alias("text"), ((F.col("chapter_id") * 7 + 3) % 500).alias("vec_id"))
     vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    turn = lambda k: ((F.col("chapter_id") * 7 + k) % vectors.count()).alias("vec_id")
+    c = all_chunks(spark, folder).select("book_id", F.lit("chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), "chapter_idx", "title", F.col("chunk_text").alias("text"), turn(F.col("idx")))
+    n = store.latest(narrations(spark, folder), ["chapter_id"], ["created_at"]).select("book_id", F.lit("narration").alias("source_type"), F.col("narration_id").alias("source_id"), "chapter_idx", "title", F.col("narration_text").alias("text"), turn(3))
     none = F.array().cast("array<string>")
     asked_ = chapters(spark, folder).where("chapter_id % 100 = 0").withColumn("q", query_text(F.col("idx"), fallback_entities(F.col("text")), none, none, F.col("text")))
-    asked_ = asked_.select("book_id", F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), keywords(F.col("q"), none).alias("terms"), ((F.col("chapter_id") * 7 + 5) % 500).alias("vec_id")).join(vectors.withColumnRenamed("vector", "query_vector"), "vec_id").drop("vec_id")
-    passages, index = assets(c.unionByName(n).join(vectors, "vec_id").drop("vec_id"), None)
+    asked_ = asked_.select("book_id", F.col("chapter_id").alias("query_id"), F.col("idx").alias("current_idx"), keywords(F.col("q"), none).alias("terms"), turn(5)).join(vectors.withColumnRenamed("vector", "query_vector"), "vec_id").drop("vec_id")
+    return c.unionByName(n).join(vectors, "vec_id").drop("vec_id"), asked_
+
+
+@query(f"{HYBRID} {BEST}")
+def hybrid_fusion(spark, folder):
+    """Chunks and narrations with stored vectors, indexed by book."""
+    from .plans.generate import assets, hybrid
+
+    corpus, asked_ = hybrid_inputs(spark, folder)
+    passages, index = assets(corpus, None)
     return hybrid(passages, asked_, index, 8).withColumn("score", F.round("score", 6))
 
 
+@query(f"""{HYBRID.replace("JOIN passages p ON p.book_id = a.book_id JOIN", "JOIN passages p ON p.book_id = a.book_id AND p.source_type = 'chunk' AND a.query_id % 300 <> 0 JOIN")}, found AS ({BEST})
+SELECT f.*, CASE WHEN f.query_id % 300 = 0 THEN 'no vector' ELSE 'ok' END AS vectors, CASE WHEN len(a.terms) > 0 THEN 'ok' ELSE 'no terms' END AS keywords FROM found f JOIN asked a USING (query_id)""")
+def hybrid_degraded(spark, folder):
+    """The same where narrations have no vectors and a third of the queries has none: their words still find what they find."""
+    from .plans.generate import assets, hybrid, legs
+
+    corpus, asked_ = hybrid_inputs(spark, folder)
+    passages, index = assets(corpus.withColumn("vector", F.when(F.col("source_type") == "chunk", F.col("vector"))), None)
+    asked_ = asked_.withColumn("query_vector", F.when(F.col("query_id") % 300 != 0, F.col("query_vector")))
+    return hybrid(passages, asked_, index, 8).withColumn("score", F.round("score", 6)).join(legs(asked_, passages, index), "query_id")
+
+
 @query("""SELECT conv_id AS book_id, role AS summary_type, text AS value FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1""")
 def latest_summary(spark, folder):
     return store.latest(table(spark, folder, "conversations"), ["conv_id", "role"], ["turn"]).select(F.col("conv_id").alias("book_id"), F.col("role").alias("summary_type"), F.col("text").alias("value"))
