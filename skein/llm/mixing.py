@@ -6,9 +6,11 @@ sources are split among the output shards by a binary tree: each node draws, wit
 each source go to its left half. A keyed permutation orders a source's blocks; each shard has a run of that order to itself, as
 long as its share of the quotas, and draws the first blocks of its run, as many as the tree gave it. Hence the tree decides which
 blocks a source gives. Whole passes deal their blocks to the shards in the same runs. A hash orders the blocks
-inside each shard. Nothing depends on partitions or the order of rows.
+inside each shard. Nothing depends on partitions, settings, files or the order of rows: the fixed order is that of a hash of
+the id, and buckets are ranges of that hash, so their number changes no place in it.
 
-Block starts come from sums over (source, bucket of ids), so a hot source is spread over all buckets. The driver holds
+Block starts come from sums over (source, bucket of ids), so a hot source is spread over all buckets. A source has blocks of its own length, so
+that some 64 of them at least are drawn from, down to single words. The driver holds
 one row per source; the tree's quotas, shards x sources integers, are broadcast and have at most `MOST_CELLS` cells:
 with more sources there are fewer, larger shards, and more sources than that are an error.
 
@@ -29,10 +31,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import runs
 from .bytewords import mix
 from .shared import parts_for
 
 WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"  # what lies between words
 MOST_CELLS = 1 << 22
 BLOCK = T.StructType([T.StructField(n, T.LongType()) for n in ("pass", "first", "words", "shard", "place")])
 
@@ -110,7 +114,7 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def word_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with size (words; null text has none) and a hash that orders rows of one id."""
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    size = F.size(runs(F.coalesce(F.col(text_col), F.lit("")), BETWEEN)).cast("long")
     return docs.drop("size").withColumn("size", size).withColumn("skein_tie", F.xxhash64(text_col))
 
 
@@ -119,53 +123,59 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the blocks it takes: pass, first word in the document, words, shard and place in the shard.
 
     A table from word_sizes() needs no text. Sources in code-point order, null last, have the weights in turn. Taken words of a source add up to its rounded
-    target. Blocks grow with the corpus beyond 2e8 blocks, so that the tree's draws stay in range."""
+    target. Blocks grow with the corpus beyond 2e8 blocks, so that the tree's draws stay in range, and never exceed n // 64 + 1 words of a source of
+    n."""
     ready = "skein_tie" in docs.columns
     made = ["source_size", "target", "taken", "blocks"] + ["size"] * (not ready)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     sized = docs if ready else word_sizes(docs, text_col)
     kept = [c for c in docs.columns if c not in ("size", "skein_tie")]
-    per = sorted(((r[0], r[1]) for r in sized.groupBy(source_col).agg(F.sum("size")).toLocalIterator()), key=lambda r: (r[0] is None, r[0] or ""))
+    totals = sized.groupBy(source_col).agg(F.sum("size")).limit(MOST_CELLS + 1)
+    per = sorted(((r[0], r[1]) for r in totals.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes = [r[0] for r in per], [int(r[1] or 0) for r in per]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], most)
     if len(per) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} sources")
-    block = max(block_words, sum(sizes) * most // 200_000_000 + 1)
+    longest = max(block_words, sum(sizes) * most // 200_000_000 + 1)
     plan, last = {}, []
     for i, (name, n, t) in enumerate(zip(names, sizes, goal)):
         whole, rest = divmod(min(round(t), most * n), n) if n else (0, 0)
+        block = min(longest, n // 64 + 1)
         count = n // block
         full, extra = divmod(rest, block)
         # the last of the drawn blocks gives `cut` words; words that exceed all full blocks come from the stream's short end
         drawn, cut, tail = (full + (extra > 0), extra or block, 0) if full + (extra > 0) <= count else (count, block, extra)
-        plan[name] = (i, n, t, whole, count, cut, tail)
+        plan[name] = (i, n, t, whole, count, cut, tail, block)
         last.append(drawn)
     shards = max(1, min(-(-sum(map(round, goal)) // shard_words), MOST_CELLS // max(len(per), 1)))
     quotas = np.cumsum(split_quotas(np.array(last, np.int64), shards, seed), axis=0).T if last else np.zeros((0, shards), np.int64)
     quotas = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(quotas))
+    plans = docs.sparkSession.sparkContext.broadcast(plan)
 
     # where each document starts in its source's stream: sums of earlier buckets, then a running sum inside the bucket
     n_buckets = parts_for(docs, 16_000_000)
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(n_buckets)).cast("int")
+    place = F.xxhash64(id_col)
+    bucket = F.least(F.floor((place.cast("double") / float(1 << 64) + 0.5) * n_buckets), F.lit(n_buckets - 1)).cast("int")  # grows with the hash
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))  # never null, so that window and join share one exchange
-    keyed = sized.withColumn("skein_source", source).withColumn("skein_bucket", bucket)
+    keyed = sized.withColumn("skein_source", source).withColumn("skein_bucket", bucket).withColumn("skein_hash", place)
     sums = keyed.groupBy("skein_source", "skein_bucket").agg(F.sum("size").alias("skein_sum"))
     before = W.partitionBy("skein_source").orderBy("skein_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("skein_source", "skein_bucket", F.coalesce(F.sum("skein_sum").over(before), F.lit(0)).alias("skein_before"))
-    inside = W.partitionBy("skein_source", "skein_bucket").orderBy(id_col, "size", "skein_tie").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("skein_source", "skein_bucket").orderBy("skein_hash", id_col, "size", "skein_tie").rowsBetween(W.unboundedPreceding, -1)
     keyed = keyed.withColumn("skein_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = keyed.join(sums, ["skein_source", "skein_bucket"])
     placed = placed.withColumn("skein_start", F.col("skein_start") + F.col("skein_before")).select(*kept, "size", "skein_start")
     fields = [*placed.schema.fields[:-1], T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())] + [T.StructField("blocks", T.ArrayType(BLOCK))] * blocks
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = plans.value
         for batch in batches:
             source = batch.column(source_col).to_pylist()
             own = np.array([plan[s][0] for s in source], np.int64)
             size, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "skein_start"))
             taken, rows = np.zeros(len(own), np.int64), []
             for i in np.unique(own).tolist():
-                _, n, _, whole, count, cut, tail = plan[names[i]]
+                _, n, _, whole, count, cut, tail, block = plan[names[i]]
                 at = np.flatnonzero((own == i) & (size > 0))
                 if not len(at):
                     continue
@@ -211,7 +221,7 @@ def mixed_documents(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks' places, so that a document's passes part."""
     passes = mixed.withColumn("skein_pass", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["pass"]))))
     own = F.filter("blocks", lambda b: b["pass"] == F.col("skein_pass"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    words = runs(F.col(text_col), BETWEEN)
     some = F.array_join(F.flatten(F.transform("skein_own", lambda b: F.slice("skein_words", b["first"].cast("int") + 1, b["words"].cast("int")))), " ")
     whole = F.aggregate("skein_own", F.lit(0).cast("long"), lambda n, b: n + b["words"]) == F.col("size")
     passes = passes.withColumn("skein_own", own).withColumn("skein_whole", whole).withColumn("skein_words", F.when(~F.col("skein_whole"), words))
@@ -222,6 +232,6 @@ def mixed_documents(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def shuffled_blocks(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix in blocks: one row per block with its words' text, shards as partitions, shuffled inside each shard."""
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    words = runs(F.col(text_col), BETWEEN)
     out = mixed.select(id_col, F.explode("blocks").alias("b"), text_col).select(id_col, "b.*", F.array_join(F.slice(words, F.col("b.first").cast("int") + 1, F.col("b.words").cast("int")), " ").alias("text"))
     return out.repartition(mixed.skein_shards, "shard").sortWithinPartitions("shard", "place", id_col, "first")

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import fill_middle, line_dedup, queries, source_divergence
+from skein.llm import fill_middle, line_dedup, mixing, queries, source_divergence
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -150,3 +150,32 @@ def test_queries_and_sql(spark, rows, tmp_path, name, empty):
 def test_line_dedup_is_native(spark, rows):
     df = spark.createDataFrame(rows, DOCS)
     assert "Python" not in line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
+
+
+def test_mix_is_the_same_under_any_setting(spark, tmp_path):
+    """The words that each document gives don't depend on shuffle partitions, files or the order of rows."""
+    r = random.Random(9)
+    rows = [(i if i % 50 else None, " ".join(["w"] * r.randrange(300)), f"s{min(i % 7, 3)}") for i in range(1500)] + [(7, "a b", "tiny"), (8, "c d e", "tiny"), (9, "f", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen, held = set(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, files in ((1, 1), (4, 7), (8, 2), (200, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            df.orderBy(F.rand(partitions)).repartition(files).write.parquet(f"{tmp_path}/{partitions}")
+            made = mixing.mix_sources(spark.read.parquet(f"{tmp_path}/{partitions}"))
+            seen.add(tuple(sorted((repr(g.doc_id), g.size, g.source, g.taken, repr(g.blocks)) for g in made.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert len(seen) == 1
+
+
+def test_small_sources_are_drawn_from(spark):
+    """A source of fewer words than a block gives words that the tree picks, not the first ones of its stream."""
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(9)), "a" if i < 40 else "b") for i in range(52)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    outs = []
+    for seed in (1, 2, 3):
+        got = mixing.mix_sources(df, weights=(1, 9), most=3, seed=seed).collect()
+        outs.append({(g.doc_id, b["first"], b["words"]) for g in got for b in g.blocks if g.source == "a"})
+        assert sum(g.taken for g in got if g.source == "a") == round(got[0].target if got[0].source == "a" else next(g.target for g in got if g.source == "a"))
+    assert len(set(map(frozenset, outs))) == 3
