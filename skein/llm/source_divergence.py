@@ -77,7 +77,10 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     dense = cut(dense.select("lang", "term", "source", "n", share("n", "total", "v").alias("p"), share("lang_n", "lang_total", "v").alias("q")))
 
     other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("item_p"))
-    pairs = dense.join(other, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(divergence("p", "item_p")).alias("value"))
+    # each two sources meet once and are summed both ways
+    sums = dense.join(other, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(divergence("p", "item_p")).alias("there"), F.sum(divergence("item_p", "p")).alias("back"))
+    both = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    pairs = sums.select("lang", F.inline(both))
     bare = groups.where("v = 0").select("lang", "source")
     bare = spread(bare, bare.withColumnRenamed("source", "item"), "lang", "source").where("source <> item").withColumn("value", F.lit(0).cast("long"))
     terms = dense.where("n > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
