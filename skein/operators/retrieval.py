@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,21 +84,92 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(corpus: DataFrame | None, queries: DataFrame, key: str, vector: str, limit: Column | int, keep: Sequence[str] = (), by: Sequence[str] = (), kind: str | None = None) -> DataFrame:
+def knn(corpus: DataFrame | None, queries: DataFrame, key: str, vector: str, limit: Column | int, keep: Sequence[str] = (), by: Sequence[str] = (), kind: str | None = None, cells: Cells | None = None, probes: int = 24) -> DataFrame:
     """The nearest rows of each query (query_id, query_vector, by) and kind by squared Euclidean distance; a corpus of None has none.
 
     `by` columns must agree and make it an equality join. Without them queries are a stated set that meets all rows, block by block
     (a nested loop over the smaller side). The window keeps `limit` rows a query before its shuffle. Rows and queries without a vector, or
-    with vectors of different lengths, don't meet."""
+    with vectors of different lengths, don't meet.
+
+    cells: rows are searched in the `probes` nearest cells of a query only (Cells); a corpus that has a column `cell` is taken as assigned."""
     if corpus is None:
-        return queries.where("false").select("query_id", *[F.lit(None).cast("long").alias(c) for c in (key, *keep)], F.lit(None).cast("double").alias("distance"), F.lit(0).alias("rank"))
-    rows, asked = corpus.where(F.col(vector).isNotNull()).select(key, vector, *keep, *[b for b in by if b not in keep]), queries.select("query_id", "query_vector", *by)
+        return queries.where("false").select("query_id", *[F.lit(None).cast("string" if c == kind else "long").alias(c) for c in (key, *keep)], F.lit(None).cast("double").alias("distance"), F.lit(0).alias("rank"))
+    held = [F.col("cell").alias("skein_cell")] if cells is not None and "cell" in corpus.columns else []
+    rows, asked = corpus.where(F.col(vector).isNotNull()).select(key, vector, *keep, *[b for b in by if b not in keep], *held), queries.select("query_id", "query_vector", *by)
+    if cells is not None:
+        rows = rows.withColumn("cell", F.col("skein_cell")).drop("skein_cell") if "skein_cell" in rows.columns else cells.assigned(rows, vector)
+        asked = cells.assigned(asked, "query_vector", max(probes, 2), "near").withColumn("cell", F.explode("near")).drop("near")
+        by = [*by, "cell"]
     pairs = rows.join(asked, list(by)) if by else rows.crossJoin(asked)
     scored = pairs.where(F.size(vector) == F.size("query_vector")).select("query_id", key, *keep, squared_distance(F.col(vector), F.col("query_vector")).alias("distance"))
     ranks = W.partitionBy("query_id", *([kind] if kind else [])).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= limit)
 
 
+class Cells:
+    """An inverted file over vectors: centroids fitted on a bounded sample, and every row in the cell of its nearest one. A query looks into the
+    cells of its nearest centroids only, and distances there are exact; knn() without cells looks at all rows.
+
+    Centroids are at most `MOST` and travel to all tasks; `sample` rows, by the least hash of their vectors, fit them."""
+
+    MOST = 4096
+
+    def __init__(self, centroids: np.ndarray):
+        self.centroids = centroids
+
+    @classmethod
+    def fit(cls, rows: DataFrame, vector: str, cells: int | None = None, sample: int = 50_000, rounds: int = 10, seed: int = 7) -> Cells:
+        """Lloyd's rounds on the driver over at most `sample` vectors; cells defaults to the root of the number of rows. Vectors that are
+        null or of another length than most take no part."""
+        sizes = rows.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+        if sizes is None:
+            return cls(np.zeros((0, 0)))
+        good = rows.where(F.size(vector) == sizes["size"]).select(F.col(vector).cast("array<double>").alias("v"))
+        held = good.withColumn("h", F.xxhash64("v")).orderBy("h").limit(sample).select("v").toPandas()["v"]
+        data = np.array(held.tolist())
+        count = max(1, min(cells or int(np.sqrt(sizes["n"])), cls.MOST, len(data)))
+        centroids = data[np.random.default_rng(seed).permutation(len(data))[:count]].copy()
+        for _ in range(rounds):
+            near = nearest_of(data, centroids, 1)[:, 0]
+            sums = np.zeros_like(centroids)
+            np.add.at(sums, near, data)
+            n = np.bincount(near, minlength=count)[:, None]
+            moved = np.where(n > 0, sums / np.maximum(n, 1), centroids)
+            if np.allclose(moved, centroids):
+                break
+            centroids = moved
+        return cls(centroids)
+
+    def assigned(self, rows: DataFrame, vector: str, probes: int = 1, out: str = "cell") -> DataFrame:
+        """rows with the cells of their nearest centroids in `out`: one (an int), or an array of up to `probes`. Without a usable vector null."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.centroids)
+        kind = "int" if probes == 1 else "array<int>"
+
+        @F.pandas_udf(kind)
+        def cell(vectors: pd.Series) -> pd.Series:
+            centroids = shared.value
+            fits = vectors.map(lambda v: v is not None and len(v) == centroids.shape[1]).to_numpy(dtype=bool) if len(vectors) else np.zeros(0, bool)
+            found: list[object] = [None] * len(vectors)
+            if fits.any() and len(centroids):
+                near = nearest_of(np.array(vectors[fits].tolist(), float), centroids, probes)
+                for i, x in zip(np.flatnonzero(fits), near):
+                    found[i] = int(x[0]) if probes == 1 else x.tolist()
+            return pd.Series(found, dtype=object)
+
+        return rows.withColumn(out, cell(vector))
+
+
+def nearest_of(data: np.ndarray, centroids: np.ndarray, n: int, block: int = 2048) -> np.ndarray:
+    """The n nearest centroids of each row, nearest first."""
+    n, square = min(n, len(centroids)), (centroids * centroids).sum(axis=1)
+    out = np.empty((len(data), n), np.int64)
+    for at in range(0, len(data), block):
+        far = square - 2 * data[at : at + block] @ centroids.T
+        some = np.argpartition(far, n - 1, axis=1)[:, :n]
+        out[at : at + block] = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
+    return out
+
+
 def rank_score(rank: Column, size: Column) -> Column:
     """1 for the first, falling by 1 / size a rank; 0 without rows."""
     return F.when(size <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - (rank - 1) / F.greatest(size, F.lit(1))))

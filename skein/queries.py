@@ -232,6 +232,15 @@ def knn_l2(spark, folder):
     return near(spark, folder).where("rank <= 10").withColumn("distance", F.round("distance", 6))
 
 
+@query()
+def knn_cells(spark, folder):
+    """The same search in cells of near vectors: each query looks into 24 of them, and distances there are exact."""
+    e = table(spark, folder, "embeddings")
+    asked_ = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = retrieval.knn(e, asked_, "vec_id", "embedding", 10, cells=retrieval.Cells.fit(e, "embedding"))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query("""WITH raw AS (SELECT doc_id, list_filter(list_transform(['given', lang] || regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}A-Za-z0-9_]{2,20}'), lambda t: trim(t)), lambda t: t <> '') AS t FROM documents),
 first AS (SELECT doc_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 8) AS terms FROM raw)
 SELECT doc_id, array_to_string(terms, ',') AS terms, array_to_string(list_transform(terms, lambda t: '"' || t || '"'), ' OR ') AS match_query FROM first""")
@@ -467,15 +476,14 @@ def updates(spark: SparkSession, folder: str) -> DataFrame:
 
 def support(spark: SparkSession, folder: str) -> DataFrame:
     """Claims: the first line of each chapter; sources: its own text, then the two chapters before it and the two after it, all whole."""
-    line = F.split("text", "\n")[0]
-    ch = chapters(spark, folder).select("book_id", "chapter_id", "idx", F.nullif("text", F.lit("")).alias("source"), F.trim(line).alias("claim"), F.array(F.substring("text", 50, 12)).alias("phrases"))
-    # the claims of the chapters around come to a text, so that no text travels
-    claim, near_ = F.struct(F.col("idx").alias("at"), F.col("chapter_id").alias("claim_id"), "claim", "phrases"), W.partitionBy("book_id").orderBy("chapter_id")
-    places = [("chapter", claim)] + [(f"prev{k}", F.lead(claim, k).over(near_)) for k in (1, 2)] + [(f"next{k}", F.lag(claim, k).over(near_)) for k in (1, 2)]
-    asked_ = claims.evidence_tokens(ch.select("book_id", "source", *[x.alias(kind) for kind, x in places]), "source")
-    asked_ = asked_.select("book_id", "source", "source_tokens", F.explode(F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("source_type"), F.col(kind).alias("c")) for pos, (kind, _) in enumerate(places)])).alias("x"))
-    pairs = asked_.where("x.c.at IS NOT NULL").select("book_id", "source", "source_tokens", "x.pos", "x.source_type", "x.c.*")
-    return claims.best_support(claims.evidence_tokens(pairs, "claim"), ["book_id", "at"])
+    ch = chapters(spark, folder).select("book_id", "chapter_id", "idx", "text")
+    claim = F.struct(F.col("idx").alias("at"), F.col("chapter_id").alias("claim_id"), F.trim(F.split("text", "\n")[0]).alias("claim"), F.array(F.substring("text", 50, 12)).alias("phrases")).alias("c")
+    # each claim goes to the five places whose text may support it, and meets their texts by place: no text travels with a book
+    around = F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("source_type"), F.lit(step).alias("step")) for pos, (kind, step) in enumerate((("chapter", 0), ("prev1", -1), ("prev2", -2), ("next1", 1), ("next2", 2)))])
+    asked_ = ch.select("book_id", claim).select("book_id", "c", F.explode(around).alias("o")).select("book_id", "c.*", "o.pos", "o.source_type", (F.col("c.at") + F.col("o.step")).alias("idx"))
+    sources = claims.evidence_tokens(ch.select("book_id", "idx", F.nullif("text", F.lit("")).alias("source")), "source")
+    pairs = claims.evidence_tokens(asked_, "claim").join(sources, ["book_id", "idx"]).drop("idx")
+    return claims.best_support(pairs, ["book_id", "at"])
 
 
 SUPPORT = f"""WITH {CHAPTERS}, asked AS (SELECT book_id, idx AS place, chapter_id AS claim_id, trim(string_split(text, chr(10))[1], ' ') AS claim, {stripped("substr(text, 50, 12)")} AS phrase FROM chapters),
