@@ -7,9 +7,10 @@ to every count; divergence is (p - q) squared over q, rounded down term by term,
 
 Scale. Counts are summed before their shuffle, and what is left grows with the vocabulary, not with the text. A document counts a
 term once by the distinct terms of its row, so no shuffle by document is needed. Groups and vocabulary meet by language and a hash
-of the term, so that a language with most of the rows is spread over all tasks. Dense rows are groups x kept terms of a language, and
+of the term, so that a language with most of the rows is spread over all tasks; a term brings the counts of the groups that use it. Dense rows are groups x kept terms of a language, and
 the pairs' rows groups squared x kept terms: one key holds one term's groups only, and their sums are taken before the shuffle.
-Groups, one row each, are broadcast to nothing. Windows by group see at most the ranks of each task.
+Whether the groups, one row each, are
+broadcast is left to Spark, which knows the size of what was written. Windows by group see at most the ranks of each task.
 
 Edge cases. Null text, lang and source are ''. Each row is a document of its own, also if it repeats an id. A group without
 terms still has its rows against the others; a language with one source has no pairs; one without kept terms has the value 0 for
@@ -32,10 +33,10 @@ BILLION = 1_000_000_000
 def term_counts(docs: DataFrame, text: Column) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (documents that hold it)."""
     # the matches of [^\x00-\x40\x5B-\x60\x7B-\x7F]+ are what splitting at the other characters leaves; far cheaper than extracting them
-    terms = docs.select("lang", "source", F.array_remove(F.split(ascii_lower(text), BETWEEN), "").alias("all"))
-    # every occurrence, then every distinct term once
-    both = terms.select("lang", "source", F.size("all").alias("many"), F.posexplode(F.concat("all", F.array_distinct("all"))).alias("at", "term"))
-    return both.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("many")).alias("n"), F.count_if(F.col("at") >= F.col("many")).alias("docs"))
+    terms = docs.select("lang", "source", F.sort_array(F.array_remove(F.split(ascii_lower(text), BETWEEN), "")).alias("term"))
+    # sorted, so that a term that differs from the one before it is the document's first
+    pairs = terms.select("lang", "source", F.inline(F.arrays_zip("term", F.concat(F.array(F.lit("")), "term").alias("before")))).where("term IS NOT NULL")
+    return pairs.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
 def spread(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
@@ -63,22 +64,25 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     named = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
     groups = named.select("lang", "source").distinct()
     counts = term_counts(named, F.coalesce("text", F.lit("")))
-    same = W.partitionBy("lang", "term")
-    kept = counts.withColumn("lang_docs", F.sum("docs").over(same)).withColumn("lang_n", F.sum("n").over(same)).where(F.col("lang_docs") >= least_docs)
-    kept = cut(kept.select("lang", "source", "term", "n", "lang_n"))
-    vocabulary = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
+    same = W.partitionBy("lang", "term")  # a term's groups, one row each
+    whole = counts.select("lang", "source", "term", F.sum("docs").over(same).alias("lang_docs"), F.sum("n").over(same).alias("lang_n"), F.min("source").over(same).alias("first"), F.collect_list(F.struct("source", "n")).over(same).alias("held"))
+    vocabulary = whole.where((F.col("lang_docs") >= least_docs) & (F.col("source") == F.col("first")))
+    vocabulary = cut(vocabulary.select("lang", "term", "lang_n", F.map_from_entries("held").alias("held")))
 
     langs = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = vocabulary.select("lang", F.explode("held").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = cut(groups.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "v", "lang_total")]))
 
-    dense = spread(vocabulary, groups, "lang", "term").join(kept.drop("lang_n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    dense = spread(vocabulary, groups, "lang", "term").withColumn("n", F.coalesce(F.try_element_at("held", F.col("source")), F.lit(0).cast("long")))
     dense = cut(dense.select("lang", "term", "source", "n", share("n", "total", "v").alias("p"), share("lang_n", "lang_total", "v").alias("q")))
 
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("item_p"))
+    # both sides are the same rows, so that they are shuffled once
+    one, two = (dense.select("lang", "term", "source", "p").alias(x) for x in ("one", "two"))
+    met = one.join(two, (F.col("one.lang") == F.col("two.lang")) & (F.col("one.term") == F.col("two.term")) & (F.col("one.source") < F.col("two.source")))
+    met = met.select("one.lang", "one.source", "one.p", F.col("two.source").alias("item"), F.col("two.p").alias("item_p"))
     # each two sources meet once and are summed both ways
-    sums = dense.join(other, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(divergence("p", "item_p")).alias("there"), F.sum(divergence("item_p", "p")).alias("back"))
+    sums = met.groupBy("lang", "source", "item").agg(F.sum(divergence("p", "item_p")).alias("there"), F.sum(divergence("item_p", "p")).alias("back"))
     both = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
     pairs = sums.select("lang", F.inline(both))
     bare = groups.where("v = 0").select("lang", "source")
