@@ -13,7 +13,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import best_effort
+from ..functions.answers import best_effort, faults
 from ..functions.providers import Embedder, Generator, with_embeddings
 from ..functions.text import clean_json, content_hash, keyword_terms, strip, text_or_empty
 from ..operators import claims, ingest, retrieval, state, store, tiers
@@ -61,7 +61,7 @@ def with_entities(chapters: DataFrame, generator: Generator | None, cache: DataF
     plain = chapters.withColumns({"found": F.lit(None).cast(NAMES), "entity_calls": F.lit(0), "entity_hits": F.lit(0)})
     if generator is not None:
         asked = chapters.where("entity_extract_mode = 'llm'").select("chapter_id", F.concat(F.lit(generate.ENTITY_PROMPT), "text").alias("prompt"))
-        asked, new = generate.cached_answers(asked, "prompt", generator, cache, "entity", VERSION, readable=lambda c: structured(c, NAMES).isNotNull(), write=write)
+        asked, new = generate.cached_answers(asked, "prompt", generator, cache, "entity", VERSION, readable=lambda c: F.size(faults(c, NAMES)) == 0, write=write)
         asked = asked.select("chapter_id", structured(F.col("answer"), NAMES).alias("found"), F.lit(1).alias("entity_calls"), F.col("cache_hit").cast("int").alias("entity_hits"))
         plain = chapters.join(asked, "chapter_id", "left").fillna(0, ["entity_calls", "entity_hits"])
     names = lambda field, out, other: F.coalesce(F.when(F.size(f"found.{field}") > 0, generate.clean_names(F.col(f"found.{field}"), NAMED[out])), other).alias(out)

@@ -47,6 +47,8 @@ def asked(log):
     return [json.loads(x) for x in open(log)] if log.exists() else []
 
 
+#: Steps one after another cost a run each.
+SHORT = 4
 STORY = ["Mira lights the lamp. Tal is in the cave.", "Mira lights the lamp. Mira is hurt.", "Mira gives Tal the lamp. Tal is in the tower.", "Mira walks on.", "Mira lights the lamp. Tal is in the cave again, Mira says.", "Nothing.", "Mira lights the lamp."]
 
 
@@ -72,20 +74,22 @@ def content(tables, name):
 @pytest.mark.parametrize("in_order", [False, True])
 def test_parts_equal_the_whole(spark, tmp_path, chapters, in_order):
     rule, how = tiers.Tiering(default="medium", long_every_n=3), dict(embedder=HashingEmbedder(16), in_order=in_order, window=3)
+    if in_order:
+        chapters = chapters.where(f"idx <= {SHORT} AND book_id = 'a'")
     whole, parts = shelf(spark, tmp_path / "whole", chapters), shelf(spark, tmp_path / "parts", chapters)
     stored.tell(whole, chapters, rule, author(tmp_path / "w"), **how)
     first, rest = "idx <= 2 OR (book_id = 'b' AND idx <= 4)", "idx > 2 AND (book_id = 'a' OR idx > 4)"
     stored.tell(parts, chapters.where(first), rule, author(tmp_path / "p"), **how)
     held = parts.read("checkpoints")
-    assert {(r.book_id, r.chapter_idx) for r in held.collect()} == {("a", 2), ("b", 4)}
+    assert {(r.book_id, r.chapter_idx) for r in held.collect()} == ({("a", 2)} if in_order else {("a", 2), ("b", 4)})
     stored.tell(parts, chapters.where(rest), rule, author(tmp_path / "p"), **how)
     for name in TABLES:
         assert content(whole, name) == content(parts, name), name
     events = {(r.book_id, r.chapter_idx) for r in parts.read("plot_events").collect()}
-    assert events == {(b, i) for b in "ab" for i in (1, 5)}  # the second and the seventh repeat one of the three chapters before
+    assert events == {(b, i) for b in "ab" for i in (1, 5)} if not in_order else {("a", 1)}  # the second and the seventh repeat one of the three chapters before
     people = {(r.book_id, r.name): r for r in parts.read("characters").collect()}
-    assert (people["a", "Tal"].location, people["a", "Mira"].status, people["a", "Mira"].first_chapter_idx, people["a", "Mira"].last_chapter_idx) == ("cave", "hurt", 1, 7)
-    assert {r.owner_name for r in parts.read("items").collect()} == {"Mira"}
+    assert (people["a", "Tal"].location, people["a", "Mira"].status, people["a", "Mira"].first_chapter_idx, people["a", "Mira"].last_chapter_idx) == (("tower", "hurt", 1, 4) if in_order else ("cave", "hurt", 1, 7))
+    assert {r.owner_name for r in parts.read("items").collect()} == {"Tal" if in_order else "Mira"}
     texts = [r.narration_text for r in parts.read("narrations").collect()]
     assert any("knowing 0" not in t for t in texts) == in_order
     # every distinct prompt was asked once, and a run over everything asks nothing
@@ -128,12 +132,13 @@ def test_failed_and_stored_answers(spark, tmp_path):
     assert len(answers) == len({a.key for a in answers}) == 4  # two entity prompts, two narrations
     report = run.report.first()
     assert (report.llm_calls, report.cache_hits) == (6, 0)
+    assert sum("fails" in p for p in asked(tmp_path / "log") if p.startswith("Retell")) >= 3
     n = len(asked(tmp_path / "log"))
     bad = spark.createDataFrame([(a.key, "not JSON" if a.value.startswith('{"characters"') else a.value) for a in answers], "key string, value string")
     again = narrate(ch, tiers.Tiering(default="medium"), author(tmp_path / "log"), bad)
     assert {r.chapter_id: r.narration_text for r in again.narrations.collect()} == got
     new = asked(tmp_path / "log")[n:]
-    assert sorted({p[:4] for p in new}) == ["List", "Rete"] and all("fails" in p for p in new if p.startswith("Rete"))
+    assert {p[:4] for p in new} == {"List", "Rete"} and all("fails" in p for p in new if p.startswith("Rete"))
     assert answers_of(type("G", (), {"generate": lambda self, ps: [p for p in ps if p != "x"]})(), ["a", "x"], 1, lambda s: None) == ["a", None]
 
 
