@@ -152,15 +152,18 @@ class Models:
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """lang, text and calibrate of at most per_language documents a language, by the least hash of their ids."""
+    """lang, text and calibrate of at most per_language documents a language, by the least hash of their ids. Rows that repeat an id within a
+    language are one document: the text with the least hash, so that reruns train on the same."""
     ids = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("skein_id"), F.col(lang_col).alias("skein_lang")).withColumn("skein_salt", F.spark_partition_id() % 1000)
     # the first of each task, then of each thousandth of the tasks, then of all
     for keys in (["skein_lang", "skein_salt"], ["skein_lang"]):
         order = W.partitionBy(*keys).orderBy(F.xxhash64("skein_id"), "skein_id")
-        ids = ids.withColumn("skein_n", F.row_number().over(order)).where(F.col("skein_n") <= per_language)
-    ids = cut(ids.select("skein_id", "skein_lang", (F.col("skein_n") % 5 == 0).alias("calibrate")).dropDuplicates(["skein_id", "skein_lang"]))
+        ids = ids.withColumn("skein_n", F.dense_rank().over(order)).where(F.col("skein_n") <= per_language).dropDuplicates(["skein_id", *keys])
+    ids = cut(ids.select("skein_id", "skein_lang", (F.col("skein_n") % 5 == 0).alias("calibrate")))
     # written, so that Spark knows its size and broadcasts it if it is small: per_language rows a language
-    return docs.join(ids, (F.col(id_col) == F.col("skein_id")) & (F.col(lang_col) == F.col("skein_lang"))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "calibrate")
+    found = docs.select(F.col(id_col).alias("skein_id"), F.col(lang_col).alias("skein_lang"), F.col(text_col).alias("text")).join(ids, ["skein_id", "skein_lang"])
+    least = found.groupBy("skein_id", "skein_lang", "calibrate").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return least.select(F.col("skein_lang").alias("lang"), "x.text", "calibrate")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, quantile: float = 0.995) -> tuple[Models, np.ndarray]:
