@@ -4,7 +4,7 @@ A line's quote level is the number of `>` before its text. Neighbouring lines of
 are normalised (lower case, single spaces) and hashed (128 bits and the length). A quoted hash belongs to the last earlier turn of the
 conversation that says the same in its own words, as a passage or a line. The lines of a quoted passage count only where the passage as a
 whole is not found, so that each quoted character counts once. A message replies to the turn that most of its quoted characters belong
-to (ties: the later turn); without such a turn it replies to the turn before it, if there is one. The first turn of a chain of
+to (ties: the later turn); without such a turn it replies to the last turn before it, if there is one; turns may have gaps. The first turn of a chain of
 replies is its root. Messages come without quotes and without the line that introduces one ("... wrote:"), in the
 order of conversation, root and turn, so that each reply follows what it answers.
 
@@ -87,8 +87,12 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     linked = votes.groupBy("conv", "turn").agg(F.max_by("said", F.struct("size", "said")).alias("said"), F.sum("size").alias("n_linked"))
 
     turns = base.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn").distinct()
-    previous = turns.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
-    replies = turns.join(linked, ["conv", "turn"], "left").join(previous, ["conv", "turn"], "left")
+    # the last turn before each, in its stretch or else in an earlier one
+    turns = turns.withColumn("stretch", F.floor(F.col("turn") / 1000))
+    ends = turns.groupBy("conv", "stretch").agg(F.max("turn").alias("end")).select("conv", "stretch", F.max("end").over(W.partitionBy("conv").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)).alias("end"))
+    turns = turns.withColumn("near", F.lag("turn").over(W.partitionBy("conv", "stretch").orderBy("turn"))).join(ends, ["conv", "stretch"])
+    turns = turns.select("conv", "turn", F.coalesce("near", "end").alias("before"))
+    replies = turns.join(linked, ["conv", "turn"], "left")
     replies = cut(replies.select("conv", "turn", F.coalesce("said", "before").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
 
     # only messages whose ancestor is not yet a root are joined again

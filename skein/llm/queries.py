@@ -132,8 +132,8 @@ u AS (SELECT conv_id, turn, run, i, quoted, lower(trim(regexp_replace(t, '[\t\n\
 said AS (SELECT q.conv_id, q.turn, q.run, q.i, q.norm, max(o.turn) AS said FROM u q JOIN (SELECT DISTINCT conv_id, turn, norm FROM u WHERE NOT quoted) o ON q.conv_id = o.conv_id AND q.norm = o.norm AND o.turn < q.turn WHERE q.quoted AND q.norm <> '' GROUP BY ALL),
 vote AS (SELECT conv_id, turn, said, sum(length(norm)) AS size FROM said s WHERE i = 0 OR NOT EXISTS (SELECT 1 FROM said w WHERE w.conv_id = s.conv_id AND w.turn = s.turn AND w.run = s.run AND w.i = 0) GROUP BY ALL),
 linked AS (SELECT conv_id, turn, (array_agg(said ORDER BY size DESC, said DESC))[1] AS said, sum(size) AS n_linked FROM vote GROUP BY ALL),
-turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
-reply AS (SELECT t.conv_id, t.turn, coalesce(k.said, b.turn) AS reply_to, coalesce(n_linked, 0) AS n_linked FROM turns t LEFT JOIN linked k USING (conv_id, turn) LEFT JOIN turns b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+reply AS (SELECT t.conv_id, t.turn, coalesce(k.said, t.before) AS reply_to, coalesce(n_linked, 0) AS n_linked FROM turns t LEFT JOIN linked k USING (conv_id, turn)),
 chain(conv_id, turn, root) AS (SELECT conv_id, turn, turn FROM reply WHERE reply_to IS NULL UNION ALL SELECT r.conv_id, r.turn, c.root FROM reply r JOIN chain c ON c.conv_id = r.conv_id AND c.turn = r.reply_to),
 own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT (regexp_matches(body, '(?i)\bwrote:\s*$') AND coalesce(next_level, 0) > 0)), ''), '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS text, count(*) FILTER (WHERE level > 0) AS n_quoted FROM g GROUP BY ALL)
 SELECT conv_id, turn, role, reply_to, root, n_quoted, CAST(n_linked AS BIGINT) AS n_linked, text, '<|' || coalesce(role, '') || '|>' || chr(10) || text || '<|end|>' || chr(10) AS formatted FROM own JOIN reply USING (conv_id, turn) JOIN chain USING (conv_id, turn)""",

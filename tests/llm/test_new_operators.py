@@ -9,7 +9,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import fill_middle, line_dedup, mixing, queries, source_divergence
+from skein.llm import fill_middle, language_id, line_dedup, mixing, queries, source_divergence
+from skein.llm.chat_format import conversations
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -179,3 +180,29 @@ def test_small_sources_are_drawn_from(spark):
         outs.append({(g.doc_id, b["first"], b["words"]) for g in got for b in g.blocks if g.source == "a"})
         assert sum(g.taken for g in got if g.source == "a") == round(got[0].target if got[0].source == "a" else next(g.target for g in got if g.source == "a"))
     assert len(set(map(frozenset, outs))) == 3
+
+
+def test_turns_with_gaps(spark, tmp_path):
+    """A message without quotes replies to the last turn before it, also over a gap and from one stretch of turns to another."""
+    rows = [("a", t, "user", f"says {t}") for t in (0, 2, 4, 999, 1000, 5000, 5001)] + [("b", 7, "user", "first"), ("b", 9, "bot", "> first\n\nyes"), ("b", 3000, "user", "later"), ("c", None, "user", "x"), (None, 3, "user", "y"), ("a", 2, "bot", "second part")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root) for r in conversations(df).collect()}
+    assert got == {("a", 0): (None, 0), ("a", 2): (0, 0), ("a", 4): (2, 0), ("a", 999): (4, 0), ("a", 1000): (999, 0), ("a", 5000): (1000, 0), ("a", 5001): (5000, 0), ("b", 7): (None, 7), ("b", 9): (7, 7), ("b", 3000): (9, 7), ("c", None): (None, None), (None, 3): (None, 3)}
+    df.where("conv_id IS NOT NULL AND turn IS NOT NULL").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = duck.sql(queries.SQL["op5_chat_format"])
+    made = queries.QUERIES["op5_chat_format"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(list, made))) == sorted(map(repr, map(list, want.fetchall())))
+
+
+def test_training_sample_of_repeated_ids(spark):
+    """Repeated ids are one document each, whatever the order of rows, and don't use up the sample."""
+    rows = [(1, f"hot text {k}", "en") for k in range(200)] + [(k, f"text {k}", "en") for k in range(2, 40)] + [(1, "autre", "fr"), (None, "no id", "fr"), (5, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = set()
+    for k in (1, 2, 3):
+        got = language_id.sampled(df.orderBy(F.rand(k)).repartition(k * 3), "doc_id", "text", "lang", 30).collect()
+        seen.add(tuple(sorted(map(repr, map(tuple, got)))))
+    counts = Counter(r.lang for r in got)
+    assert len(seen) == 1 and counts == {"en": 30, "fr": 2}  # a row without an id can't be told from others and takes no part
