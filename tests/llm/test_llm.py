@@ -876,6 +876,31 @@ def test_vector_search_recall(spark, kind):
     assert sum(g.vec_id in exact[g.query_id] for g in got) / 3000 >= 0.9
 
 
+@pytest.mark.parametrize("kind,most", [("even", 2500), ("clusters", 300)])
+@pytest.mark.parametrize("sample", [500_000, 3000])
+def test_vector_search_fits_its_reach(spark, monkeypatch, kind, most, sample):
+    """The curves carry the recall: windows are as wide as the vectors ask for, whether the sample is whole or a part."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((6000, 24))
+    if kind == "clusters":
+        v = np.repeat(rng.standard_normal((120, 24)), 50, axis=0) + 0.3 * v
+    df = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(v)], "vec_id long, embedding array<float>")
+    reaches, plain = [], vector_search.least_reach
+    monkeypatch.setattr(vector_search, "least_reach", lambda *x: reaches.append(plain(*x)[0]) or plain(*x))
+    got = vector_search.nearest(df, F.col("id") % 20 == 0, k=10, part=512, sample=sample).collect()
+    exact = {q: set(np.argsort(-np.where(np.arange(6000) == q, -np.inf, v @ v[q]))[:10].tolist()) for q in range(0, 6000, 20)}
+    assert sum(g.vec_id in exact[g.query_id] for g in got) / 3000 >= 0.9
+    assert len(reaches) == 1 and 0 < reaches[0] < most
+
+
+def test_least_reach():
+    ranks = np.array([[100, 50, 103, 90, 60], [10, 500, 200, 11, 490]])  # two probes, three neighbours, two curves
+    reach, apart = vector_search.least_reach(ranks, np.array([0, 0, 1]), 2, 1.0, 1.0)
+    assert apart.tolist() == [3, 1, 10] and reach == 10
+    assert vector_search.least_reach(ranks, np.array([0, 0, 1]), 2, 0.5, 1.0)[0] == 3
+    assert vector_search.least_reach(ranks, np.array([0, 0, 1]), 2, 1.0, 4.0)[0] == 44  # a sample of one in four: one place more
+
+
 def test_hilbert_curve_is_continuous():
     side = 1 << 3
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
