@@ -3,8 +3,8 @@
 Words are runs of letters and digits, lower-cased in A-Z. Templates are cut into k-word grams; in each window of
 `window` grams the one of least hash is a fingerprint, and an inverted index holds their places. Every gram of a document is looked up,
 so a text that shares k + window - 1 words in a row with a template has a hit. Hits near one diagonal
-are one candidate; a local alignment inside a band around it gives the matched words, their share of the template
-(coverage) and the span in the document. Matches that reach `least` coverage are reported; of overlapping
+are one candidate. The template's words that stand within the band of their place bound what can match; where they suffice, a
+local alignment inside the band gives the matched words, their share of the template (coverage) and the span in the document. Matches that reach `least` coverage are reported; of overlapping
 ones the longer template's, then the better covered.
 
 Each document is scanned on its own and nothing is shuffled; the index is as large as the templates, a parameter.
@@ -81,6 +81,20 @@ class Index:
         return h
 
 
+def possible(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> int:
+    """No alignment inside the band matches more words: the template's words that stand within `band` of their place."""
+    size, low = len(template), diagonal - band
+    around = np.full(size + 2 * band, -1, text.dtype)
+    first, last = max(low, 0), min(low + len(around), len(text))
+    if first >= last:
+        return 0
+    around[first - low : last - low] = text[first:last]
+    seen = around[:size] == template
+    for d in range(1, 2 * band + 1):
+        seen |= around[d : d + size] == template
+    return int(seen.sum())
+
+
 def aligned(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Best local alignment inside the band: matched words, first and last word of the text (-1 if none).
 
@@ -151,13 +165,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     hits.setdefault((d, t), []).append((p - int(first[d]) - i, p - int(first[d])))
             found: dict[int, list[tuple]] = {}
             for (d, t), own in hits.items():
-                text, template = codes[first[d] : first[d + 1]].copy(), index.templates[t]
-                last = None
+                template = index.templates[t]
+                wanted, last = least * len(template), None
+                if first[d + 1] - first[d] < wanted:  # a text of fewer words can't cover it
+                    continue
+                text = codes[first[d] : first[d + 1]].copy()
                 for diagonal, at_ in sorted(own):
                     # words of a notice found are taken, so that a hit beside it finds its own; one without a notice speaks for its band
                     while text[at_] >= 0 and (last is None or diagonal > last + band):
-                        matched, a, b = aligned(template, text, diagonal, band)
-                        if matched >= least * len(template):
+                        matched, a, b = aligned(template, text, diagonal, band) if possible(template, text, diagonal, band) >= wanted else (0, -1, -1)
+                        if matched >= wanted:
                             found.setdefault(d, []).append((len(template), matched / len(template), a, b, t, matched))
                             text[a : b + 1] = -1
                         else:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -347,6 +348,41 @@ def test_license_edges(spark):
         license_scan.scan(df, templates={"short": "two words"})
 
 
+def test_license_bound_holds_back_no_match():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        template = rng.integers(0, 9, rng.integers(5, 60))
+        text = rng.integers(-1, 9, rng.integers(0, 150))
+        at, step = int(rng.integers(-20, 140)), int(rng.integers(2, 9))
+        if at >= 0:
+            copy = np.delete(template, np.arange(step, len(template), step))[: max(len(text) - at, 0)]
+            text[at : at + len(copy)] = copy
+        band = int(rng.integers(0, 8))
+        assert license_scan.possible(template, text, at, band) >= license_scan.aligned(template, text, at, band)[0]
+
+
+def test_license_full_texts(spark):
+    """Long licenses, changed in places, are found whole; scattered phrases of one are told apart quickly."""
+    full = license_scan.templates_in(str(Path(license_scan.__file__).parent / "licenses"))
+    rng = np.random.default_rng(9)
+    rows, want = [], []
+    for i, name in enumerate(sorted(full)):
+        text = full[name].split()
+        for j in range(7, len(text), 23):
+            text[j] = "changed"
+        rows.append((i, "before it\n" + " ".join(text) + "\nafter it"))
+        want.append((i, name))
+    gpl = full["GPL-3.0-full"].split()
+    phrases = [" ".join(gpl[a : a + 6] + ["xyz"] * 2) for a in rng.integers(0, len(gpl) - 6, 2500)]
+    rows.append((100, " ".join(phrases)))
+    df = spark.createDataFrame(rows, DOCS)
+    started = time.monotonic()
+    got = license_scan.scan(df.where("doc_id = 100")).collect()
+    assert not [g for g in got if g.template == "GPL-3.0-full"] and time.monotonic() - started < 10  # an alignment for every hit takes far longer
+    got = license_scan.scan(df.where("doc_id < 100")).collect()
+    assert sorted((g.doc_id, g.template) for g in got if g.template in full) == want
+
+
 def plain_alignment(template, text):
     """Best local alignment of two word lists without band: score by 2 for a match and -1 for a replaced, missing or extra word."""
     best, before = (0, 0), [(0, 0)] * (len(text) + 1)
