@@ -57,10 +57,6 @@ def chunks(parts: DataFrame, keep: list[str], text: str = "text", size: int = 12
     return rows.select(*keep, F.col("idx").cast("int").alias("idx"), body.alias("chunk_text"), start.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.length(body).alias("token_count"))
 
 
-def split_params(size: int, overlap: int, least: int) -> str:
-    return f"size={size};overlap={overlap};min={least}"
-
-
 def chapter_hash(book: Column, title: Column, text: Column) -> Column:
     return content_hash(book, title, text)
 

@@ -136,10 +136,11 @@ def lookup(chapters: DataFrame, characters: DataFrame, items: DataFrame, events:
     keys = ["book_id", "chapter_idx"]
 
     def named(names: str, rows: DataFrame, name: str, out: str) -> DataFrame:
-        some = chapters.select(*keys, F.explode(F.array_distinct(names)).alias(name)).join(rows, ["book_id", name])
-        every = chapters.where(F.coalesce(F.size(names), F.lit(0)) <= 0).select(*keys).join(rows, "book_id")
-        columns = [c for c in rows.columns if c != "book_id"]
-        return some.unionByName(every).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(name, *[c for c in columns if c != name]))).alias(out))
+        packed = F.array_sort(F.collect_list(F.struct(name, *[c for c in rows.columns if c not in ("book_id", name)]))).alias(out)
+        some = chapters.select(*keys, F.explode(F.array_distinct(names)).alias(name)).join(rows, ["book_id", name]).groupBy(*keys).agg(packed)
+        # a book's whole list is made once, however many chapters name nothing
+        every = chapters.where(F.coalesce(F.size(names), F.lit(0)) <= 0).select(*keys).join(rows.groupBy("book_id").agg(packed), "book_id")
+        return some.unionByName(every)
 
     recent = recent_events(events, chapters, window)
     columns = [c for c in recent.columns if c not in (*keys, "n")]

@@ -198,6 +198,10 @@ class Tables:
             raise LookupError(f"{self.path}: no version {version}")
         return found.get("tables", {})
 
+    def batch(self, stream: str) -> int:
+        """The number of a stream's last published batch, -1 before the first."""
+        return self.log.last()[1].get("batches", {}).get(stream, -1)
+
     def has(self, name: str, version: int | None = None) -> bool:
         return name in self.state(version)
 
@@ -226,13 +230,16 @@ class Tables:
         found = sorted(x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory())
         return {"entries": [f"{folder}/{x}" for x in found], "schema": schema}
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, swap: dict[str, DataFrame] | None = None, reads: Sequence[str] = (), at: int | None = None, parts: Sequence[object] = ()) -> int:
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, swap: dict[str, DataFrame] | None = None, reads: Sequence[str] = (), at: int | None = None, parts: Sequence[object] = (), batch: tuple[str, int] | None = None) -> int:
         """Writes all of these and publishes them as one version, which it returns.
 
         append adds rows, replace writes tables anew, swap (tables with a partition column) replaces the partitions that its rows fall in, and those
         of `parts`, which may be left without rows. reads: tables that the rows were made of. at: the version they were made of, the last one if
-        it is not named."""
+        it is not named. batch: a stream's name and the number of its batch; batches come in order, and one that is published already is not
+        published again (the version is then the last one)."""
         base = self.version() if at is None else at
+        if batch is not None and self.batch(batch[0]) >= batch[1]:
+            return self.version()
         added = {name: self._write(name, rows) for name, rows in (append or {}).items()}
         anew = {name: self._write(name, rows) for name, rows in (replace or {}).items()}
         swapped = {name: self._write(name, rows) for name, rows in (swap or {}).items()}
@@ -241,7 +248,11 @@ class Tables:
         for _ in range(self.TRIES):
             numbers = self.log.numbers()
             _, document = self.log.last(numbers)
-            now = dict(document.get("tables", {}))
+            now, batches = dict(document.get("tables", {})), dict(document.get("batches", {}))
+            if batch is not None:
+                if batches.get(batch[0], -1) >= batch[1]:  # another run of the stream was faster
+                    return max(numbers)
+                batches[batch[0]] = batch[1]
             if moved := sorted(name for name in mine if now.get(name) != before.get(name)):
                 raise Conflict(f"{self.path}: {', '.join(moved)} changed since version {base}")
             for name, new in anew.items():
@@ -254,7 +265,7 @@ class Tables:
                 now[name] = {"entries": [x for x in held["entries"] if x.rpartition("/")[2] not in touched] + new["entries"], "schema": held["schema"] | {"fields": fields}}
             number = max(numbers, default=0) + 1
             try:
-                self.log.publish(number, {"tables": now})
+                self.log.publish(number, {"tables": now} | ({"batches": batches} if batches else {}))
                 return number
             except Conflict:
                 continue
