@@ -72,6 +72,7 @@ def token_estimate(c: Column) -> Column:
 
 
 def safe_filename(c: Column) -> Column:
+    # What file names may not hold, and the name of an empty one.
     plain = F.regexp_replace(strip(F.regexp_replace(c, r'[\\/:*?"<>|]+', "_")), f"{BLANK}+", "_")
     return F.when(plain == "", F.lit("untitled")).otherwise(plain)
 
@@ -94,6 +95,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def clean_json(c: Column) -> Column:
     """Text that holds JSON, made strict: fence, control characters and trailing commas go; text around an object goes."""
+    # The patterns are fixed values: fences, line ends, control characters and trailing commas as models write them.
 
     def unfenced(c: Column) -> Column:
         fenced = c.startswith("```") & c.endswith("```") & F.contains(c, F.lit("\n"))
