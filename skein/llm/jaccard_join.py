@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import LOWER, column_bytes, mix, pieces, shingles, spans_hash, sums, words
-from .shared import components, cut
+from .shared import components, cut, drop
 
 SLOT_BITS, SLOT_BLOCK = 20, 4096
 #: Documents with one shingle: up to FEW give pairs, more than MANY are dealt in tiles.
@@ -72,8 +72,10 @@ def counted(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     once = docs.select(text_col).mapInArrow(count, "block int, salt int, counts binary").groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    for block, counts in once.groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # bounded: one row per block
+    added = cut(once.groupBy("block").applyInArrow(add, "block int, counts binary"))
+    for block, counts in added.collect():  # bounded: one row per block
         out[block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK] = np.frombuffer(counts, np.int64)
+    drop(added)
     return out
 
 
@@ -214,7 +216,9 @@ def candidates(sketched: DataFrame, percent: int) -> DataFrame:
     tile = F.struct(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     dense = dense.select("id", "key", tile.alias("tile"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side")).join(points, "id")
     tree = dense.groupBy("key", "tile").applyInArrow(forest, "a long, b long")
-    return pairs.mapInArrow(bounded, "a long, b long").unionByName(tree)
+    found = cut(pairs.mapInArrow(bounded, "a long, b long").unionByName(tree))
+    drop(shared)
+    return found
 
 
 def links_within(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -267,13 +271,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(sizes), pa.array(one), pa.array(two), keys, points], ["id", "n", "s1", "s2", "keys", "point"])
 
     sketched = cut(docs.mapInArrow(sketch, "id long, n long, s1 long, s2 long, keys array<long>, point binary"))
-    slim = sketched.select("id", "n", "s1", "s2")
+    slim = cut(sketched.select("id", "n", "s1", "s2"))
     # written, so that the join below reads both sides from exchanges and a hot group of copies can be split
     first = cut(slim.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     member = slim.join(first, ["s1", "s2", "n"], "left").select("id", "n", "rep")
     # keys of copies are those of their representative
     unique = sketched.where("n > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "point")
-    groups = components(candidates(unique, percent))
+    near = candidates(unique, percent)
+    drop(sketched)
+    groups = components(near)
 
     reps = first.join(groups, first.rep == groups.node).select("rep", "n", F.col("component").alias("grp"))
     reps = cut(reps)
