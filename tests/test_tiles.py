@@ -41,3 +41,18 @@ def test_vectors_meet_as_matrices(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "zipwith" not in plan.lower()
     assert [r.id for r in found.where("query_id = 50").orderBy("rank").collect()] == [50, 49, 51]
+
+
+def test_keyword_tiles_find_what_a_join_finds(spark, monkeypatch):
+    """Blocks that split books, documents of two kinds, copies that tie, a query without a bound, one with an unknown term: as by the join."""
+    monkeypatch.setattr(retrieval, "TILE_POSTINGS", 100)
+    monkeypatch.setattr(retrieval, "TILE_TERMS", 9)
+    r = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, int(i % 2), "ab"[i // 2 % 2], int(i // 4), " ".join(f"w{x}" for x in r.integers(0, 30, 12)) if i % 5 else "w1 w2 w2") for i in range(300)], "id long, book int, kind string, idx int, text string")
+    index = retrieval.Index.of(docs, "id", ["text"], ["book", "idx"], "kind")
+    asked = spark.createDataFrame([(q, q % 2, None if q == 3 else q * 4, [f"W{q}", "w1", "none", f"w{q + 3}"]) for q in range(20)], "query_id long, book int, current int, terms array<string>")
+    limit = F.when(F.col("kind") == "a", 4).otherwise(9)
+    want = index.search(asked, limit, ["book"], F.col("current").isNull() | (F.col("idx") < F.col("current")))
+    got = index.search(asked, limit, ["book"], before=("idx", "current"))
+    shown = lambda df: sorted((x.query_id, x.kind, x["rank"], x.id, x.book, x.idx, round(x.score, 9)) for x in df.collect())
+    assert shown(got) == shown(want) and got.count() > 150
