@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import LOWER, column_bytes, mix, pieces, shingles, spans_hash, sums, words
-from .shared import components, cut, drop
+from .shared import components, cut, drop, input_bytes, may_be_in, not_in
 
 SLOT_BITS, SLOT_BLOCK = 20, 4096
 #: Documents with one shingle: up to FEW give pairs, more than MANY are dealt in tiles.
 FEW, MANY = 12, 20_000
+#: Keys are counted in rounds, each a share of all keys, so that their shuffle files are never on disk together: a round for so many bytes of sketches, up to ROUNDS.
+ROUND_BYTES, ROUNDS = 64 << 20, 8
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -191,9 +194,14 @@ def bound_forest(ids: np.ndarray, points: list[np.ndarray], side: np.ndarray, pe
 
 def candidates(sketched: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b that connect whatever shares a key within the bound. sketched: id, keys, point."""
-    keys = sketched.select("id", F.explode("keys").alias("key"))
-    # counted before the shuffle and joined back, so that a key of very many documents is never in one task
-    shared = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "key"))
+    every = sketched.select("id", F.explode("keys").alias("key"))
+    rounds = int(min((input_bytes(sketched) or 0) // ROUND_BYTES + 1, ROUNDS))
+    written = []
+    for i in range(rounds):
+        keys = every.where(F.pmod("key", F.lit(rounds)) == i) if rounds > 1 else every
+        # counted before the shuffle and joined back, so that a key of very many documents is never in one task
+        written.append(cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").hint("merge"), "key")))
+    shared = reduce(DataFrame.unionByName, written)
     listed = shared.where(F.col("df") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pair = F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")
     pairs = listed.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
@@ -217,7 +225,8 @@ def candidates(sketched: DataFrame, percent: int) -> DataFrame:
     dense = dense.select("id", "key", tile.alias("tile"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side")).join(points, "id")
     tree = dense.groupBy("key", "tile").applyInArrow(forest, "a long, b long")
     found = cut(pairs.mapInArrow(bounded, "a long, b long").unionByName(tree))
-    drop(shared)
+    for part in written:
+        drop(part)
     return found
 
 
@@ -235,7 +244,8 @@ def links_within(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str,
         found = leaf_links(ids, own, labels, side, percent) if len(own) > 1 else []
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("skein_text"))
+    leaves = cut(leaves)
+    texts = may_be_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("skein_text")), "id", leaves)
     chosen = leaves.join(texts.hint("merge"), "id").select("leaf", "id", "label", "side", "skein_text")  # leaves have no size bound: never broadcast
     return chosen.mapInArrow(sets, "leaf string, id long, label long, side int, hashes binary").groupBy("leaf").applyInArrow(join, "a long, b long")
 
@@ -276,9 +286,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = cut(slim.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     member = slim.join(first, ["s1", "s2", "n"], "left").select("id", "n", "rep")
     # keys of copies are those of their representative
-    unique = sketched.where("n > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "point")
-    near = candidates(unique, percent)
+    named = slim.where("n > 0 AND id IS NOT NULL").select("id").distinct()
+    copies = cut(named.join(first.select(F.col("rep").alias("id")), "id", "left_anti"))
+    unique = cut(not_in(sketched.where("n > 0 AND id IS NOT NULL").select("id", "keys", "point"), "id", copies))
     drop(sketched)
+    near = candidates(unique, percent)
+    drop(unique)
+    drop(copies)
     groups = components(near)
 
     reps = first.join(groups, first.rep == groups.node).select("rep", "n", F.col("component").alias("grp"))
@@ -324,8 +338,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = docs.groupBy(id_col).agg(F.count("*").alias("rows")).where(F.col(id_col).isNull() | (F.col("rows") > 1))
     if kinds.isEmpty():
         found = jaccard_components(docs, id_col, text_col, n, percent)
-        gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-        return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
+        gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
+        return not_in(docs, id_col, gone)
     plain = [c for c, t in docs.dtypes if not t.startswith("map")]
     rows = cut(docs.withColumn("skein_row", F.monotonically_increasing_id()).withColumn("skein_hash", F.xxhash64(*plain)).withColumn("skein_text", F.xxhash64(text_col)))
     found = jaccard_components(rows.select(F.col("skein_row").alias("id"), F.col(text_col).alias("text")), "id", "text", n, percent)
@@ -334,4 +348,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = [F.when(F.col("skein_n") > 0, F.col("skein_group")), *[F.when(F.col("skein_n") == 0, F.col(c)) for c in (id_col, "skein_text")]]
     first = F.min(F.struct(F.col(id_col).isNull(), id_col, "skein_hash", "skein_row"))
     left = slim.groupBy(*[g.alias(f"skein_{i}") for i, g in enumerate(group)]).agg(first.alias("first")).select("first.skein_row")
-    return rows.join(left.hint("merge"), "skein_row", "left_semi").select(*docs.columns)
+    gone = cut(rows.select("skein_row").join(left, "skein_row", "left_anti"))
+    return not_in(rows, "skein_row", gone).select(*docs.columns)

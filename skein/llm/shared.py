@@ -67,6 +67,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def slot(column: str) -> Column:
+    """One of 2 ** 21 places of an integer id: tables of them have a bound and can be broadcast."""
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << 21))
+
+
+def may_be_in(rows: DataFrame, column: str, some: DataFrame) -> DataFrame:
+    """rows whose integer id in column may be in some, and few besides; null ids may stay. Nothing is shuffled."""
+    held = F.broadcast(some.select(slot(column).alias("skein_slot")).distinct())
+    return rows.withColumn("skein_slot", slot(column)).join(held, "skein_slot", "left_semi").select(*rows.columns)
+
+
+def not_in(rows: DataFrame, column: str, some: DataFrame) -> DataFrame:
+    """rows whose integer id in column is not in some, exactly; null ids stay. Only rows that may be in some are shuffled. some: a written table."""
+    held = F.broadcast(some.select(slot(column).alias("skein_slot")).distinct())
+    surely = rows.withColumn("skein_slot", slot(column)).join(held, "skein_slot", "left_anti").select(*rows.columns)
+    return surely.unionByName(may_be_in(rows, column, some).join(some.hint("merge"), column, "left_anti").select(*rows.columns))
+
+
 def set_aside(docs: DataFrame, needed: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with all columns but the needed ones under names that clash with none, and what gives them their names and order again."""
     names = {c: f"skein_own_{i}" for i, c in enumerate(docs.columns) if c not in needed}
