@@ -110,13 +110,13 @@ STATE_COLUMNS = {
     "plot_events": "chapter_idx int, pos int, event_summary string, involved_characters_json string, event_type string, impact string",
     "world_facts": "fact_key string, fact_value string, confidence double, source_chapter_idx int, source_excerpt string",
 }
-#: The four tables of a world state, the order of their rows and how many a snapshot holds of a book.
-STATE_TABLES = {"characters": (["name"], None), "items": (["name"], None), "plot_events": (["chapter_idx", "pos"], None), "world_facts": (["fact_key"], 10_000)}
+#: The four tables of a world state and the order of their rows.
+STATE_TABLES = {"characters": ["name"], "items": ["name"], "plot_events": ["chapter_idx", "pos"], "world_facts": ["fact_key"]}
 
 
 def snapshots(**tables: DataFrame) -> DataFrame:
-    """book_id, snapshot_json and snapshot_hash from tables by name (those of STATE_TABLES): equal states have equal hashes."""
-    parts = [listed(rows, *STATE_TABLES[name][:1], out=name, most=STATE_TABLES[name][1]) for name, rows in sorted(tables.items())]
+    """book_id, snapshot_json and snapshot_hash from tables by name (those of STATE_TABLES), with all of their rows: equal states have equal hashes."""
+    parts = [listed(rows, STATE_TABLES[name], name) for name, rows in sorted(tables.items())]
     both = parts[0]
     for part in parts[1:]:
         both = both.join(part, "book_id", "full")
